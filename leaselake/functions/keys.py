@@ -69,21 +69,38 @@ def looks_like_key(col: Column, integer_input: bool = False) -> Column:
     return key_value(col, integer_input).isNotNull()
 
 
-def _mod11_digit(digits: Column, weights: tuple[int, ...]) -> Column:
-    total = sum(
-        ((F.ascii(F.substring(digits, i + 1, 1)) - F.lit(48)) * F.lit(w) for i, w in enumerate(weights)),
-        F.lit(0),
-    )
+def _weighted_sum(digits: Column, weights: tuple[int, ...]) -> Column:
+    values = F.transform(F.split(digits, ""), lambda d: F.ascii(d) - F.lit(48))
+    products = F.zip_with(values, F.array(*[F.lit(w) for w in weights]), lambda d, w: d * w)
+    return F.aggregate(products, F.lit(0), lambda total, p: total + p)
+
+
+def _mod11_digit(total: Column) -> Column:
     rest = total % F.lit(11)
-    return F.when(rest < 2, F.lit("0")).otherwise((F.lit(11) - rest).cast("string"))
+    return F.when(rest < 2, F.lit(0)).otherwise(F.lit(11) - rest)
 
 
 def check_digits(col: Column) -> Column:
-    """the two check digits of a 12-digit base; null when it has not 12 digits."""
+    """the two check digits of a 12-digit base; null when it has not 12 digits.
+
+    The second digit weighs the base and the first digit, whose weight is the last.
+    """
     base = digits_only(col)
-    first = _mod11_digit(base, WEIGHTS_FIRST)
-    second = _mod11_digit(F.concat(base, first), WEIGHTS_SECOND)
-    return F.when(F.length(base) == BASE_LENGTH, F.concat(first, second))
+    usable = F.when(F.length(base) == BASE_LENGTH, base)
+    sums = F.array(
+        F.struct(
+            _weighted_sum(usable, WEIGHTS_FIRST).alias("a"),
+            _weighted_sum(usable, WEIGHTS_SECOND[:BASE_LENGTH]).alias("b"),
+        )
+    )
+    digits = F.transform(sums, lambda s: F.struct(_mod11_digit(s["a"]).alias("a"), s["b"].alias("b")))
+    both = F.transform(
+        digits,
+        lambda s: F.concat(
+            s["a"].cast("string"), _mod11_digit(s["b"] + s["a"] * WEIGHTS_SECOND[-1]).cast("string")
+        ),
+    )
+    return F.get(both, F.lit(0))
 
 
 def valid_check_digits(col: Column, integer_input: bool = False) -> Column:
