@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leaselake.functions.keys import key_value
 from leaselake.functions.labels import pending_message
@@ -78,16 +79,19 @@ def _scores(text: str, others: list[str], codes: np.ndarray) -> np.ndarray:
     return np.where(total > 0, (1.0 - apart / np.maximum(total, 1)) * 100.0, 100.0)
 
 
-@F.pandas_udf("double")
-def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity of two compare keys."""
+def _pair_scores(a: pd.Series, b: pd.Series) -> pd.Series:
     out = np.zeros(len(a))
-    for text, rows in b.groupby(a, sort=False):
+    for text, rows in b.reset_index(drop=True).groupby(a.to_numpy(), sort=False):
         others = rows.tolist()
-        out[a.index.get_indexer(rows.index)] = _scores(text, others, _codes(others))
+        out[rows.index.to_numpy()] = _scores(text, others, _codes(others))
     return pd.Series(out)
 
 
+def name_similarity(a: Column, b: Column) -> Column:
+    """Similarity of two compare keys, in Arrow batches."""
+    return F.pandas_udf(_pair_scores, T.DoubleType())(a, b)
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
     """Alternative measure inside the JVM: one minus edit distance over length."""
     longest = F.greatest(F.length(a), F.length(b))
@@ -168,13 +172,15 @@ def _prefix(texts: DataFrame, col: str, frequent: Column, threshold: float, q: i
         F.transform(
             _grams(F.col(col), q),
             lambda g: F.struct(
-                F.coalesce(F.try_element_at(frequent, g), F.lit(0).cast("bigint")).alias("n"), g.alias("g")
+                F.coalesce(F.try_element_at(F.col("_frequent"), g), F.lit(0).cast("bigint")).alias("n"),
+                g.alias("g"),
             ),
         )
     )
     grams = F.size("_ranked")
     return (
-        texts.withColumn("_ranked", ranked)
+        texts.withColumn("_frequent", frequent)
+        .withColumn("_ranked", ranked)
         .withColumn("_len", length)
         .select(
             *texts.columns,

@@ -32,26 +32,36 @@ def _has_word(cell: Column, words: tuple[str, ...]) -> Column:
     return test
 
 
-def detect_header(rows: DataFrame, max_rows: int = HEADER_ROWS) -> DataFrame:
-    """Header row per source: best score of the first rows, lowest row on ties."""
-    score = F.exists("cells", lambda c: _has_word(c, KEY_WORDS)).cast("int") + F.exists(
-        "cells", lambda c: _has_word(c, NAME_WORDS)
-    ).cast("int")
-    best = F.max(F.struct(score.alias("score"), (-F.col("row")).alias("_row")))
+def source_heads(rows: DataFrame, max_rows: int = HEADER_ROWS) -> DataFrame:
+    """First rows of every source, one row per source; all header work reads only this."""
     return (
         rows.where(F.col("row") < max_rows)
         .groupBy("source")
-        .agg(best.alias("_best"))
-        .select(
-            "source",
-            F.when(F.col("_best.score") > 0, -F.col("_best._row")).otherwise(F.lit(0)).alias("header_row"),
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("head"))
+    )
+
+
+def with_header_row(heads: DataFrame) -> DataFrame:
+    """Best score of the first rows, lowest row on ties, row 0 when none scores."""
+    scored = F.transform(
+        "head",
+        lambda r: F.struct(
+            (
+                F.exists(r["cells"], lambda c: _has_word(c, KEY_WORDS)).cast("int")
+                + F.exists(r["cells"], lambda c: _has_word(c, NAME_WORDS)).cast("int")
+            ).alias("score"),
+            (-r["row"]).alias("at"),
+        ),
     )
+    return heads.withColumn("_best", F.array_max(scored)).withColumn(
+        "header_row",
+        F.when(F.col("_best.score") > 0, -F.col("_best.at")).otherwise(F.lit(0).cast("long")),
+    ).drop("_best")
 
 
-def first_row_header(rows: DataFrame) -> DataFrame:
-    """The importer's default: row 0 is the header of every source."""
-    return rows.where(F.col("row") == 0).select("source", F.lit(0).cast("long").alias("header_row"))
+def detect_header(rows: DataFrame, max_rows: int = HEADER_ROWS) -> DataFrame:
+    """Header row per source."""
+    return with_header_row(source_heads(rows, max_rows)).select("source", "header_row")
 
 
 def _by_header(cells: Column, words: tuple[str, ...], exclude: Column | None = None) -> Column:
@@ -79,60 +89,72 @@ def value_profile(rows: DataFrame, headers: DataFrame) -> DataFrame:
     )
 
 
-def _key_by_value(profile: DataFrame) -> DataFrame:
-    share = F.col("key_like") / F.col("filled")
-    return (
-        profile.where((F.col("filled") > 0) & (share >= KEY_SHARE))
-        .groupBy("source")
-        .agg(F.max(F.struct(share.alias("share"), "col")).alias("_best"))
-        .select("source", F.col("_best.col").alias("key_by_value"))
+def _profile_per_source(profile: DataFrame) -> DataFrame:
+    """Column profiles of a source as one short array."""
+    return profile.groupBy("source").agg(
+        F.collect_list(F.struct("col", "filled", "key_like", "textual")).alias("_columns")
     )
 
 
-def _name_by_value(profile: DataFrame, keys: DataFrame) -> DataFrame:
-    others = profile.join(keys, "source").where(
-        (F.col("col") != F.col("key_col")) & (F.col("textual") > 0)
+def _key_by_value(columns: Column) -> Column:
+    """Highest share of key-like cells, at least the limit; the later column on ties."""
+    shares = F.transform(
+        F.filter(columns, lambda c: (c["filled"] > 0) & (c["key_like"] / c["filled"] >= KEY_SHARE)),
+        lambda c: F.struct((c["key_like"] / c["filled"]).alias("share"), c["col"].alias("col")),
     )
-    return (
-        others.groupBy("source")
-        .agg(F.max(F.struct("textual", (-F.col("col")).alias("_col"))).alias("_best"))
-        .select("source", (-F.col("_best._col")).alias("name_by_value"))
+    return F.array_max(shares)["col"]
+
+
+def _name_by_value(columns: Column, key_col: Column) -> Column:
+    """Most cells with text, not the key column; the earlier column on ties."""
+    texts = F.transform(
+        F.filter(columns, lambda c: (c["col"] != key_col) & (c["textual"] > 0)),
+        lambda c: F.struct(c["textual"].alias("textual"), (-c["col"]).alias("at")),
     )
+    return -F.array_max(texts)["at"]
 
 
 def map_columns(
-    rows: DataFrame, headers: DataFrame | None = None, explicit: DataFrame | None = None
+    rows: DataFrame, search_header: bool = False, explicit: DataFrame | None = None
 ) -> DataFrame:
     """Key and name column per source, by header, else by values, else an error.
 
-    The value profile reads only the sources whose header left a role open.
-    ``explicit`` (source, key_col, name_col) overrides detection.
+    Row 0 is the header unless ``search_header``. The value profile reads only the
+    sources whose header left a role open. ``explicit`` (source, key_col, name_col)
+    overrides detection. The result has one row per source; store it before using
+    it on the rows again.
     """
-    headers = first_row_header(rows) if headers is None else headers
-    head = rows.join(headers, "source").where(F.col("row") == F.col("header_row"))
-    by_header = head.withColumn("key_by_header", _by_header(F.col("cells"), KEY_WORDS)).select(
-        "source",
-        "header_row",
-        "key_by_header",
-        _by_header(F.col("cells"), NAME_WORDS, F.col("key_by_header")).alias("name_by_header"),
-        F.col("cells").alias("_head"),
+    heads = source_heads(rows)
+    heads = with_header_row(heads) if search_header else heads.withColumn("header_row", F.lit(0).cast("long"))
+    cells = F.get(F.filter("head", lambda r: r["row"] == F.col("header_row")), F.lit(0))["cells"]
+    roles = (
+        heads.select("source", "header_row", cells.alias("_cells"))
+        .withColumn("key_by_header", _by_header(F.col("_cells"), KEY_WORDS))
+        .withColumn("name_by_header", _by_header(F.col("_cells"), NAME_WORDS, F.col("key_by_header")))
     )
-    unsure = by_header.where(F.col("key_by_header").isNull() | F.col("name_by_header").isNull())
-    profile = value_profile(rows.join(unsure.select("source"), "source", "left_semi"), headers)
-    keyed = by_header.join(_key_by_value(profile), "source", "left").withColumn(
-        "key_col", F.coalesce("key_by_header", "key_by_value")
+    unsure = roles.where(F.col("key_by_header").isNull() | F.col("name_by_header").isNull())
+    profile = value_profile(
+        rows, unsure.select("source", "header_row")
+    )
+    known = roles.join(_profile_per_source(profile), "source", "left").withColumn(
+        "key_col", F.coalesce("key_by_header", _key_by_value(F.col("_columns")))
     )
     # The name search skips the key column, also one found by its values.
-    keyed = keyed.withColumn("name_by_header", _by_header(F.col("_head"), NAME_WORDS, F.col("key_col")))
-    names = _name_by_value(profile, keyed.select("source", "key_col"))
-    mapped = keyed.join(names, "source", "left").withColumn(
-        "name_col", F.coalesce("name_by_header", "name_by_value")
+    named = known.withColumn(
+        "name_col",
+        F.when(
+            F.col("key_col").isNotNull(),
+            F.coalesce(
+                _by_header(F.col("_cells"), NAME_WORDS, F.col("key_col")),
+                _name_by_value(F.col("_columns"), F.col("key_col")),
+            ),
+        ),
     )
-    mapping = mapped.select(
+    mapping = named.select(
         "source",
         "header_row",
         "key_col",
-        F.when(F.col("key_col").isNotNull(), F.col("name_col")).alias("name_col"),
+        "name_col",
         F.when(F.col("key_col").isNull(), F.lit(NO_KEY_COLUMN))
         .when(F.col("name_col").isNull(), F.lit(NO_NAME_COLUMN))
         .alias("error"),
@@ -142,35 +164,32 @@ def map_columns(
     given = explicit.select(
         "source", F.col("key_col").alias("_key"), F.col("name_col").alias("_name")
     )
-    has = F.col("_key").isNotNull()
     return mapping.join(given, "source", "left").select(
         "source",
         "header_row",
         F.coalesce("_key", "key_col").alias("key_col"),
         F.coalesce("_name", "name_col").alias("name_col"),
-        F.when(~has, F.col("error")).alias("error"),
+        F.when(F.col("_key").isNull(), F.col("error")).alias("error"),
     )
 
 
-def profile_sources(rows: DataFrame) -> DataFrame:
+def profile_sources(rows: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
     """Rows, sample, header row, column roles and estimated data rows per source."""
-    headers = detect_header(rows)
-    sizes = rows.groupBy("source").agg(F.count("*").alias("rows"))
-    samples = (
-        rows.where(F.col("row") < SAMPLE_ROWS)
-        .groupBy("source")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda s: s["cells"]).alias("sample"))
+    mapping = map_columns(rows, search_header=True) if mapping is None else mapping
+    in_sample = F.col("row") < SAMPLE_ROWS
+    sizes = rows.groupBy("source").agg(
+        F.count("*").alias("rows"),
+        F.array_sort(
+            F.array_compact(F.collect_list(F.when(in_sample, F.struct("row", "cells"))))
+        ).alias("_sample"),
     )
-    mapping = map_columns(rows, headers).select("source", "key_col", "name_col", "error")
-    return (
-        sizes.join(samples, "source", "left")
-        .join(headers, "source", "left")
-        .join(mapping, "source", "left")
-        .select(
-            "source", "rows", "sample", "header_row",
-            F.when(F.col("error").isNull(), F.struct("key_col", "name_col")).alias("mapping"),
-            F.greatest(F.col("rows") - F.col("header_row") - 1, F.lit(0)).alias("data_rows"),
-        )
+    return sizes.join(mapping, "source", "left").select(
+        "source",
+        "rows",
+        F.transform("_sample", lambda r: r["cells"]).alias("sample"),
+        "header_row",
+        F.when(F.col("error").isNull(), F.struct("key_col", "name_col")).alias("mapping"),
+        F.greatest(F.col("rows") - F.col("header_row") - 1, F.lit(0)).alias("data_rows"),
     )
 
 

@@ -69,7 +69,7 @@ def sniff_delimiters(lines: DataFrame) -> DataFrame:
 
 def split_cells(line: Column, delimiter: Column) -> Column:
     """Cells of a line; quoted cells may hold the delimiter and doubled quotes."""
-    plain = F.split(line, F.concat(F.lit("\\Q"), delimiter, F.lit("\\E")))
+    plain = F.split(line, F.concat(F.lit("\\Q"), delimiter, F.lit("\\E")), -1)
     outside = F.concat(
         F.lit("\\Q"), delimiter, F.lit('\\E(?=(?:[^"]*"[^"]*")*[^"]*$)')
     )

@@ -10,10 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from leaselake.operators.dedup import dedup_by_content
 from leaselake.operators.linkage import link_entities
-from leaselake.operators.maintain import hash_id, upsert_history
+from leaselake.operators.maintain import hash_id
 from leaselake.plans.contracts import analyse
 from leaselake.sources.documents import _documents, _glob
-from leaselake.sources.tables import read_version, save_version
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -50,6 +49,17 @@ def history_batch(documents: DataFrame, processed_at: Column, ref_date: date | s
     )
 
 
+def read_history(spark: SparkSession, root: str) -> DataFrame:
+    """The history as of now: of every content hash, the record of the last batch."""
+    stored = spark.read.parquet(root)
+    fields = [c for c in stored.columns if c not in ("file_hash", "batch")]
+    return (
+        stored.groupBy("file_hash")
+        .agg(F.max_by(F.struct(*fields), "batch").alias("_last"))
+        .select("file_hash", "_last.*")
+    )
+
+
 def stream_ingest(
     documents: DataFrame,
     history_root: str,
@@ -59,16 +69,16 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Extract arriving files and upsert them into the history by hash.
 
-    Every batch writes the history version of its own number, computed from the
-    version before it, so a repeated batch gives the same table.
+    A batch writes only its own records, to the folder of its number, so history
+    already stored is not rewritten and a repeated batch replaces itself. The id
+    comes from the hash, so a file that arrives again keeps it; ``read_history``
+    shows the last record of each.
     """
     stamp = F.current_timestamp() if processed_at is None else processed_at
 
     def store(batch: DataFrame, batch_id: int) -> None:
         records = history_batch(batch, stamp, ref_date)
-        stored = read_version(batch.sparkSession, history_root, batch_id) if batch_id else None
-        merged = records if stored is None else upsert_history(stored, records)
-        save_version(merged, history_root, batch_id + 1)
+        records.write.mode("overwrite").parquet(f"{history_root}/batch={batch_id}")
 
     return (
         documents.writeStream.foreachBatch(store)
@@ -92,7 +102,7 @@ def stream_link(
 
     def store(batch: DataFrame, batch_id: int) -> None:
         links = link_entities(batch, portfolio, id_col, mode=mode)
-        save_version(links, out, batch_id + 1)
+        links.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
         contracts.writeStream.foreachBatch(store)
