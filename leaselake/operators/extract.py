@@ -616,9 +616,7 @@ def extract_fields(
 
 
 # ---- ambiguous fields (E25, F25, U2) --------------------------------------------------------
-def excerpt(text: Column, length: int = R.EXCERPT_LENGTH) -> Column:
-    """text around the first anchor term, in priority order; else the head."""
-    fold = fold_case(text)
+def _excerpt(text: Column, fold: Column, length: int) -> Column:
     cut = F.substring(text, 1, length)
     for term in reversed(R.EXCERPT_TERMS):
         at = F.instr(fold, term)
@@ -627,6 +625,21 @@ def excerpt(text: Column, length: int = R.EXCERPT_LENGTH) -> Column:
     return cut
 
 
+def with_excerpt(
+    df: DataFrame, text_col: str, out: str, wanted: Column | None = None, length: int = R.EXCERPT_LENGTH
+) -> DataFrame:
+    """text around the first anchor term, in priority order; else the head.
+
+    Rows that are not ``wanted`` get null.
+    """
+    fold = fold_case(F.col(text_col))
+    folded = df.withColumn("_folded", fold if wanted is None else F.when(wanted, fold))
+    cut = F.when(
+        F.col("_folded").isNotNull(), _excerpt(F.col(text_col), F.col("_folded"), length)
+    )
+    return folded.withColumn(out, cut).drop("_folded")
+
+
 def route_ambiguous(
     df: DataFrame,
     text_col: str,
@@ -634,30 +647,28 @@ def route_ambiguous(
     field: str = "lease_type",
     allowed: tuple[str, ...] = R.LEASE_TYPES,
 ) -> DataFrame:
-    """Ask the caller's interpreter about the unresolved rows only.
+    """Ask the caller's interpreter about the unresolved rows, in one pass.
 
     ``interpreter`` maps the excerpt column to ``struct<value, confidence,
     detail>`` (an Arrow ``pandas_udf`` or any Column function). Rows the rules
-    resolved never reach it. A reply outside ``allowed`` stays not found.
+    resolved give it a null excerpt and ignore its answer. A reply outside
+    ``allowed`` stays not found.
     """
     unresolved = ~(
         F.col(field)["value"].isNotNull() & (F.col(field)["confidence"] >= R.REVIEW_LIMIT)
     )
+    asked = with_excerpt(df, text_col, "_excerpt", unresolved)
     reply = F.col("_reply")
     answered = F.lower(F.trim(reply["value"]))
-    routed = (
-        df.where(unresolved)
-        .withColumn("_reply", interpreter(excerpt(F.col(text_col))))
-        .withColumn(
-            field,
-            F.when(
-                answered.isin(*allowed),
-                result(answered, reply["confidence"], R.BY_INTERPRETER, reply["detail"], "string"),
-            ).otherwise(missing("string", R.INTERPRETER_UNDECIDED)),
-        )
-        .drop("_reply")
+    decided = F.when(
+        answered.isin(*allowed),
+        result(answered, reply["confidence"], R.BY_INTERPRETER, reply["detail"], "string"),
+    ).otherwise(missing("string", R.INTERPRETER_UNDECIDED))
+    return (
+        asked.withColumn("_reply", interpreter(F.col("_excerpt")))
+        .withColumn(field, F.when(F.col("_excerpt").isNotNull(), decided).otherwise(F.col(field)))
+        .drop("_excerpt", "_reply")
     )
-    return df.where(~unresolved).unionByName(routed)
 
 
 # ---- provenance and assembly (E23, E24, E26, A9) -----------------------------------------------

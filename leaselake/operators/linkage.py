@@ -173,24 +173,19 @@ def _prefix(texts: DataFrame, col: str, frequent: Column, threshold: float, q: i
             _grams(F.col(col), q),
             lambda g: F.struct(
                 F.coalesce(F.try_element_at(F.col("_frequent"), g), F.lit(0).cast("bigint")).alias("n"),
-                g.alias("g"),
+                F.xxhash64(g).alias("g"),
             ),
         )
     )
-    grams = F.size("_ranked")
+    # Grams travel as 64-bit hashes: short rows, and set tests on numbers.
+    grams = F.transform("_ranked", lambda r: r["g"])
+    kept = F.greatest(F.lit(0), F.size("_all") - needed.cast("int") + 1)
     return (
         texts.withColumn("_frequent", frequent)
         .withColumn("_ranked", ranked)
-        .withColumn("_len", length)
-        .select(
-            *texts.columns,
-            F.col("_len"),
-            grams.alias("_grams"),
-            F.posexplode(
-                F.slice("_ranked", F.lit(1), F.greatest(F.lit(0), grams - needed.cast("int") + 1))
-            ).alias("_at", "_ranked_gram"),
-        )
-        .select(*texts.columns, "_len", "_grams", "_at", F.col("_ranked_gram.g").alias("gram"))
+        .withColumn("_all", grams)
+        .withColumn("_prefix", F.slice("_all", F.lit(1), kept))
+        .select(*texts.columns, "_all", "_prefix", F.posexplode("_prefix").alias("_at", "gram"))
     )
 
 
@@ -198,8 +193,8 @@ def blocked_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     """Pairs (a, b) that can reach the threshold, by shared rare grams.
 
     Exact: a pair at or above the threshold always shares one of the grams kept on
-    both sides, passes the length test, and passes the position test at its first
-    shared gram. ``left`` has the column a, ``right`` has b; both distinct.
+    both sides, passes the length test, passes the position test at its first shared
+    gram, and shares enough grams in all. ``left`` has the column a, ``right`` has b; both distinct.
     """
     q = _gram_size(threshold)
     frequent = (
@@ -211,19 +206,21 @@ def blocked_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
         .agg(F.map_from_entries(F.collect_list(F.struct("g", "n"))).alias("m"))
         .scalar()
     )
-    a = _prefix(left, "a", frequent, threshold, q)
-    b = _prefix(right, "b", frequent, threshold, q)
-    a = a.withColumnsRenamed({"_len": "_la", "_grams": "_ga", "_at": "_pa"})
-    b = b.withColumnsRenamed({"_len": "_lb", "_grams": "_gb", "_at": "_pb"})
-    total = F.col("_la") + F.col("_lb")
-    possible = (
-        (F.abs(F.col("_la") - F.col("_lb")) <= _max_apart(total, threshold))
-        & (
-            F.least(F.col("_ga") - F.col("_pa"), F.col("_gb") - F.col("_pb"))
-            >= _shared_grams(total, threshold, q)
-        )
+    def side(texts: DataFrame, col: str) -> DataFrame:
+        found = _prefix(texts, col, frequent, threshold, q)
+        return found.withColumnsRenamed({n: f"{n}_{col}" for n in ("_all", "_prefix", "_at")})
+
+    total = F.length("a") + F.length("b")
+    needed = _shared_grams(total, threshold, q)
+    close = F.abs(F.length("a") - F.length("b")) <= _max_apart(total, threshold)
+    enough_left = (
+        F.least(F.size("_all_a") - F.col("_at_a"), F.size("_all_b") - F.col("_at_b")) >= needed
     )
-    return a.join(b, "gram").where(possible).drop("gram", "_la", "_lb", "_ga", "_gb", "_pa", "_pb")
+    # A pair is met once per shared prefix gram; it is kept at the first of them.
+    first = F.get(F.array_intersect("_prefix_a", "_prefix_b"), F.lit(0)) == F.col("gram")
+    shared = F.size(F.array_intersect("_all_a", "_all_b")) >= needed
+    met = side(left, "a").join(side(right, "b"), "gram").where(close & enough_left)
+    return met.where(first).where(shared).select(*left.columns, *right.columns)
 
 
 def _best(pairs: DataFrame) -> DataFrame:

@@ -441,17 +441,20 @@ def oracle_sql() -> dict[str, str]:
     cells = f"""cells AS (
       SELECT source, style, 0 AS col, CASE WHEN style=1 THEN name_cell ELSE key_cell END AS val FROM s1
       UNION ALL SELECT source, style, 1, CASE WHEN style=1 THEN key_cell ELSE name_cell END FROM s1 WHERE NOT short
-      UNION ALL SELECT source, style, 2, n_name FROM s1 WHERE NOT short)"""
+      UNION ALL SELECT source, style, 2, CASE WHEN style=2 THEN '4.000' ELSE n_name END FROM s1 WHERE NOT short)"""
+    sql["default_header_roles"] = f"""SELECT n_name||'.csv' AS source, CAST(0 AS BIGINT) AS header_row,
+      CAST(CASE WHEN n_nationkey % 5 = 1 THEN 1 ELSE 0 END AS BIGINT) AS key_col, CAST(CASE WHEN n_nationkey % 5 = 1 THEN 0
+      WHEN n_nationkey % 5 = 3 THEN 2 ELSE 1 END AS BIGINT) AS name_col, CAST(NULL AS VARCHAR) AS error FROM nation"""
     sql["value_profiles"] = f"""WITH {SHEETS}, {cells} SELECT source, CAST(col AS BIGINT) AS col, count(*) FILTER (val <> '') AS filled,
       count(*) FILTER (val <> '' AND length(replace(replace(replace(val,'.',''),'/',''),'-','')) = 14 AND val NOT LIKE 'Firma%' AND col <> 2) AS key_like,
-      count(*) FILTER (val LIKE 'Firma%' OR col = 2) AS textual FROM cells GROUP BY 1, 2"""
+      count(*) FILTER (val LIKE 'Firma%' OR (col = 2 AND val <> '4.000')) AS textual FROM cells GROUP BY 1, 2"""
     sql["sheet_cell_counts"] = f"""WITH {SHEETS}, {cells}, extra AS (SELECT n_name||'.csv' AS source, unnest([0,1,2]) AS col, CASE WHEN n_nationkey % 5 = 3 THEN 2 ELSE 1 END AS n FROM nation),
       allc AS (SELECT source, col, count(*) AS n FROM cells GROUP BY 1, 2 UNION ALL SELECT source, col, n FROM extra)
       SELECT source, CAST(col AS BIGINT) AS col, CAST(sum(n) AS BIGINT) AS cells FROM allc GROUP BY 1, 2"""
     sql["sniffed_delimiters"] = "SELECT n_name||'.csv' AS source, CAST([44, 59, 9][CAST(length(n_name||'.csv') % 3 + 1 AS INT)] AS BIGINT) AS code FROM nation"
     heads = "[['CNPJ','Razão Social','Cidade'],['Empresa','Nº do CNPJ','Cidade'],['Documento','Cliente','Cidade'],['MAPA DE ALUGUÉIS','',''],['  cnpj ','RAZAO SOCIAL / NOME EMPRESARIAL','Cidade']]"
     sql["delimited_rows"] = f"""WITH {SHEETS} SELECT source, "row", CASE WHEN style=1 THEN name_cell||'|'||key_cell||'|'||n_name WHEN short THEN key_cell
-        ELSE key_cell||'|'||name_cell||'|'||n_name END AS cells FROM s1
+        ELSE key_cell||'|'||name_cell||'|'||CASE WHEN style=2 THEN '4.000' ELSE n_name END END AS cells FROM s1
       UNION ALL SELECT n_name||'.csv', CAST(0 AS BIGINT), array_to_string({heads}[CAST(n_nationkey % 5 + 1 AS INT)], '|') FROM nation
       UNION ALL SELECT n_name||'.csv', CAST(1 AS BIGINT), 'CNPJ|Nome|Cidade' FROM nation WHERE n_nationkey % 5 = 3"""
     sql["import_outcomes"] = f"""WITH {OUTCOMES} SELECT source, "row" + 1 AS line, "key", name, status,

@@ -242,9 +242,8 @@ def ambiguous_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.table(spark, sf_dir, "documents").select(
-        "doc_id", E.excerpt(F.col("text")).alias("excerpt")
-    )
+    documents = synth.table(spark, sf_dir, "documents")
+    return E.with_excerpt(documents, "text", "excerpt").select("doc_id", "excerpt")
 
 
 @query
@@ -705,6 +704,7 @@ def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("n_name", F.lit(".csv")).alias("source"), "style", (c + 2).alias("row"),
         F.when(F.col("style") == 1, F.array(name_cell, key_cell, F.col("n_name")))
         .when(c % 23 == 0, F.array(key_cell))
+        .when(F.col("style") == 2, F.array(key_cell, name_cell, F.lit("4.000")))
         .otherwise(F.array(key_cell, name_cell, F.col("n_name"))).alias("cells"),
     )
     return first.unionByName(second).unionByName(body).drop("style")
@@ -870,15 +870,17 @@ def named_tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def name_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.link_entities(named_tenants(spark, sf_dir), named_companies(spark, sf_dir)).select(
-        "contract_id", "cnpj", "status", "method", F.round("score", 6).alias("score")
-    )
+    """Blocked matching: only pairs that can reach the threshold are scored."""
+    return J.link_entities(
+        named_tenants(spark, sf_dir), named_companies(spark, sf_dir), threshold=95.0
+    ).select("contract_id", "cnpj", "status", "method", F.round("score", 6).alias("score"))
 
 
 @query
 def name_matching_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best score of every name, also below the threshold."""
     return J.link_entities(
-        named_tenants(spark, sf_dir), named_companies(spark, sf_dir), threshold=95.0, mode="exact"
+        named_tenants(spark, sf_dir), named_companies(spark, sf_dir), mode="exact"
     ).select("contract_id", "cnpj", "status", "method", F.round("score", 6).alias("score"))
 
 
