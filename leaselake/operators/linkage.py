@@ -15,6 +15,7 @@ from leaselake.functions.keys import key_value
 from leaselake.functions.labels import pending_message
 from leaselake.functions.text import null_if_empty, strip_ws
 from leaselake.operators.skew import DEFAULT_SALTS, bucket, lookup_join
+from leaselake.session import stored
 
 # Statuses, methods, default threshold.
 FOUND, NOT_FOUND = "ENCONTRADO", "NAO_ENCONTRADO"
@@ -30,7 +31,7 @@ BLOCK_NAMES = 2048
 def compare_key(col: Column) -> Column:
     """Text that is compared: lower case, no punctuation, words sorted."""
     plain = F.lower(F.regexp_replace(col, r"(?U)\W", " "))
-    return F.array_join(F.array_sort(F.filter(F.split(plain, " +"), lambda w: w != "")), " ")
+    return F.btrim(F.array_join(F.array_sort(F.split(plain, " ")), " "))
 
 
 def _codes(texts: list[str]) -> np.ndarray:
@@ -145,18 +146,24 @@ def _gram_size(threshold: float) -> int:
     return 2 if low >= 1 else 1
 
 
-def _grams(text: Column, q: int) -> Column:
-    """Grams of a text as 'gram#occurrence', so that repeats count."""
+def _with_grams(texts: DataFrame, col: str, q: int, out: str) -> DataFrame:
+    """Grams of a text as 'gram#occurrence', so that repeats count.
+
+    The plain grams are a column of their own; numbering them only looks them up.
+    """
     starts = F.when(
-        F.length(text) >= q, F.sequence(F.lit(1), F.length(text) - (q - 1))
+        F.length(col) >= q, F.sequence(F.lit(1), F.length(col) - (q - 1))
     ).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(starts, lambda i: F.substring(text, i, F.lit(q)))
-    return F.transform(
-        grams,
+    cut = texts.withColumn("_cut", F.transform(starts, lambda i: F.substring(F.col(col), i, F.lit(q))))
+    numbered = F.transform(
+        "_cut",
         lambda g, i: F.concat(
-            g, F.lit("#"), F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda o: o == g)).cast("string")
+            g,
+            F.lit("#"),
+            F.size(F.filter(F.slice("_cut", F.lit(1), i + 1), lambda o: o == g)).cast("string"),
         ),
     )
+    return cut.withColumn(out, numbered).drop("_cut")
 
 
 def _prefix(texts: DataFrame, col: str, frequent: Column, threshold: float, q: int) -> DataFrame:
@@ -170,7 +177,7 @@ def _prefix(texts: DataFrame, col: str, frequent: Column, threshold: float, q: i
     needed = F.greatest(F.lit(1), F.ceil(least_total * F.lit(share) - F.lit(q - 1 + 1e-6)))
     ranked = F.array_sort(
         F.transform(
-            _grams(F.col(col), q),
+            "_named",
             lambda g: F.struct(
                 F.coalesce(F.try_element_at(F.col("_frequent"), g), F.lit(0).cast("bigint")).alias("n"),
                 F.xxhash64(g).alias("g"),
@@ -181,7 +188,8 @@ def _prefix(texts: DataFrame, col: str, frequent: Column, threshold: float, q: i
     grams = F.transform("_ranked", lambda r: r["g"])
     kept = F.greatest(F.lit(0), F.size("_all") - needed.cast("int") + 1)
     return (
-        texts.withColumn("_frequent", frequent)
+        _with_grams(texts, col, q, "_named")
+        .withColumn("_frequent", frequent)
         .withColumn("_ranked", ranked)
         .withColumn("_all", grams)
         .withColumn("_prefix", F.slice("_all", F.lit(1), kept))
@@ -198,7 +206,8 @@ def blocked_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     """
     q = _gram_size(threshold)
     frequent = (
-        right.select(F.explode(_grams(F.col("b"), q)).alias("g"))
+        _with_grams(right, "b", q, "_named")
+        .select(F.explode("_named").alias("g"))
         .groupBy("g")
         .agg(F.count("*").alias("n"))
         .orderBy(F.desc("n"), "g")
@@ -287,7 +296,10 @@ def best_names(
     threshold; names below it are absent. 'exact' also reports the best score
     below the threshold. A caller's ``similarity`` is evaluated on the blocked pairs.
     """
-    candidates = _unique(candidate_names(portfolio))
+    # Both sides are read several times below; storing the distinct compare keys once
+    # keeps the contracts and the key computation out of every one of those reads.
+    names = stored(names.select("a"), "names")
+    candidates = stored(_unique(candidate_names(portfolio)), "candidates")
     equal = names.join(candidates.withColumnRenamed("b", "a"), "a").select(
         "a", F.lit(KEY_SCORE).alias("score"), F.col("owner.key").alias("key")
     )
