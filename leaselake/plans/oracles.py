@@ -235,9 +235,12 @@ s1 AS (
 s AS (SELECT *, CASE WHEN short THEN '' ELSE name_cell END AS name FROM s1)
 """
 HEADER_AT = "CASE WHEN n_nationkey % 5 = 3 THEN 1 ELSE 0 END"
+# A sheet whose header names no key column needs 60% of key-like cells, else it has no mapping.
 OUTCOMES = f"""
 {SHEETS},
-v AS (SELECT *, CASE WHEN key_cell NOT IN ('', '123') THEN full_key END AS "key" FROM s),
+mapped AS (SELECT source FROM s1 GROUP BY source, style HAVING style <> 2
+   OR count(*) FILTER (key_cell NOT IN ('', '123')) >= 0.6 * count(*) FILTER (key_cell <> '')),
+v AS (SELECT *, CASE WHEN key_cell NOT IN ('', '123') THEN full_key END AS "key" FROM s WHERE source IN (SELECT source FROM mapped)),
 w AS (SELECT *, min(CASE WHEN "key" IS NOT NULL AND name <> '' THEN "row" END) OVER (PARTITION BY source, "key") AS first_row FROM v),
 o AS (SELECT *, CASE WHEN key_cell = '' AND name = '' THEN 'blank' WHEN "key" IS NULL THEN 'error'
    WHEN "row" > first_row THEN 'duplicate' WHEN name = '' THEN 'error' ELSE 'imported' END AS status FROM w)
