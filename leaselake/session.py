@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,13 +27,13 @@ def local_session(name: str = "leaselake", cores: str = "8", shuffle_partitions:
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder in the shared folder the session names, never used twice."""
+    """A new folder in the shared folder the session names, never used twice.
+
+    Without ``spark.checkpoint.dir`` the folder lies in the warehouse, which is shared too.
+    """
     shared = spark.conf.get(WORK_DIR_SETTING, None) or spark.sparkContext.getConf().get(WORK_DIR_SETTING)
-    if shared is None and spark.sparkContext.master.startswith("local"):
-        # Only a local session may fall back to this machine's temporary folder.
-        shared = tempfile.gettempdir()
-    if shared is None:
-        raise ValueError(f"set {WORK_DIR_SETTING} to a folder every executor can reach")
+    if not shared:
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{shared.rstrip('/')}/leaselake-{purpose}-{uuid.uuid4().hex}"
 
 
