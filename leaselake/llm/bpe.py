@@ -12,7 +12,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from leaselake.llm.common import map_chunks
+from leaselake.llm.common import map_chunks, with_fields
 
 MEMO_PIECES = 400_000
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -193,7 +193,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
         ids = [codec.encode(t or "") for t in part.column(text).to_pylist()]
         return pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], [*part.schema.names, "ids"])
 
-    return map_chunks(kept, run, kept.schema.add("ids", "binary"), text)
+    return map_chunks(kept, run, with_fields(kept, "ids binary"), text)
 
 
 def encode_and_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,7 +209,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_
             [part.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], [key, "ids", "decoded"]
         )
 
-    schema = kept.select(key).schema.add("ids", "binary").add("decoded", "binary")
+    schema = with_fields(kept.select(key), "ids binary, decoded binary")
     return map_chunks(kept, run, schema, text)
 
 
@@ -223,4 +223,4 @@ def decode(encoded: DataFrame, path: str, pattern: str = "", ids: str = "ids") -
         out = [None if i is None else codec.decode(i) for i in part.column(ids).to_pylist()]
         return pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
 
-    return map_chunks(kept, run, kept.schema.add("decoded", "binary"), ids)
+    return map_chunks(kept, run, with_fields(kept, "decoded binary"), ids)

@@ -7,14 +7,14 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leaselake.session import stored
 
 CHUNK_ROWS = 256
 CHUNK_BYTES = 4 << 20
-DOCUMENT = "doc_id long, text string"
 
 
 def chunks(batch: pa.RecordBatch, column: str, rows: int = CHUNK_ROWS, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -33,7 +33,7 @@ def chunks(batch: pa.RecordBatch, column: str, rows: int = CHUNK_ROWS, size: int
 def map_chunks(
     df: DataFrame,
     function: Callable[[pa.RecordBatch], pa.RecordBatch],
-    schema: str,
+    schema: str | T.StructType,
     column: str = "text",
     rows: int = CHUNK_ROWS,
     size: int = CHUNK_BYTES,
@@ -58,6 +58,11 @@ def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def with_fields(df: DataFrame, fields: str) -> T.StructType:
+    """The schema of a table with more fields, given as in DDL; the table's own schema object stays."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])
+
+
 def in_fold(key: str, folds: int, fold: int) -> Column:
     """True where crc32 of the key as text leaves ``fold``; a null key is in no fold."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
