@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaselake.llm import bpe, fingerprint, langid, quality, sharding, simhash, toxicity
+from leaselake.llm import bpe, fingerprint, langid, mixing, pii, quality, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -75,6 +75,54 @@ def op6_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+@query
+def op7_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans"
+    )
+
+
+#: Domains of the sources, as a pattern each; other sources are a domain of their own.
+DOMAINS = {"web": "^src[0-9]$", "reference": "^src1[0-4]$", "forum": "^src1[5-9]$"}
+#: Target weights of nodes: domain, language, source.
+MIXTURE = [
+    ("web", None, None, 4), ("reference", None, None, 4), ("forum", None, None, 2),
+    ("web", "en", None, 5), ("web", "de", None, 2), ("reference", "en", None, 3), ("reference", "es", None, 3),
+    ("web", "en", "src0", 3), ("reference", "en", "src10", 6), ("forum", "fr", "src15", 4),
+]
+MIX_PERCENT = 80
+MIX_EPOCHS = 3
+
+
+def domain_of(source: str = "source"):
+    out = F.lit("other")
+    for name, pattern in reversed(DOMAINS.items()):
+        out = F.when(F.col(source).rlike(pattern), name).otherwise(out)
+    return out
+
+
+def mixture(spark: SparkSession) -> DataFrame:
+    """The weights as a table of literal rows, so that no Python runs on the executors for it."""
+    rows = ", ".join("({}, {}, {}, {})".format(*("null" if v is None else repr(v) for v in row)) for row in MIXTURE)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(domain, lang, source, weight)")
+
+
+@query
+def op8_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(
+        "doc_id", "lang", "source", mixing.token_count(F.col("text")).alias("words")
+    )
+    mixed = mixing.select(docs, mixture(spark), MIX_PERCENT, MIX_EPOCHS, domain_of(), tokens=F.col("words"))
+    return mixed.select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "taken")
+
+
+_SQL["op8_hierarchical_mix"] = mixing.oracle(
+    "CASE " + " ".join(f"WHEN regexp_matches(source, '{p}') THEN '{n}'" for n, p in DOMAINS.items()) + " ELSE 'other' END",
+    MIXTURE, MIX_PERCENT, MIX_EPOCHS,
+)
+
+
 @query
 def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select(
