@@ -103,21 +103,25 @@ def order_key(seed: int, epoch: Column, key: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.col(key).cast("string")).cast("binary"))
 
 
-def select(docs: DataFrame, weights: DataFrame, percent: int, max_epochs: int, domain: Column, key: str = "doc_id", tokens: Column | None = None, seed: int = SEED) -> DataFrame:
+#: Columns that ``select`` adds, with their names.
+ADDED = {"domain": "domain", "epoch": "epoch", "n_tokens": "n_tokens", "taken": "taken"}
+
+
+def select(docs: DataFrame, weights: DataFrame, percent: int, max_epochs: int, domain: Column, key: str = "doc_id", tokens: Column | None = None, seed: int = SEED, added: dict[str, str] | None = ADDED) -> DataFrame:
     """The documents each leaf reads, once per epoch, with ``domain``, ``epoch``, ``n_tokens`` and ``taken``.
 
     A leaf's budget is spent on whole epochs first; in the last one its documents are read in the order of
     ``order_key`` (ties by number of tokens) until the budget is used, the last document in part: ``taken``
     is the number of its first words that count. Documents without tokens are never read. All columns of
-    ``docs`` are kept, except ones with the four names.
+    ``docs`` are kept, except ones with the names of the added ones; ``added`` None adds none.
 
     Sums by leaf and slice of the order decide for whole slices at once; only the one slice of each leaf in
     which the budget ends is ordered, so a leaf with most of all documents is not gathered anywhere, and
     rows move only in those slices.
     """
-    added = ("domain", "epoch", "n_tokens", "taken")
+    added = added or {}
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added.values()]).alias("row"),
         F.col(key).alias("key"), domain.alias("domain"), F.col("lang").alias("lang"), F.col("source").alias("source"),
         (token_count(F.col("text")) if tokens is None else tokens).cast("long").alias("n_tokens"),
     )
@@ -160,7 +164,7 @@ def select(docs: DataFrame, weights: DataFrame, percent: int, max_epochs: int, d
     ending = whole.where(F.col("slice") == F.col("last")).withColumn("taken", F.least(F.col("n_tokens"), F.col("room") - before)).where(
         F.col("taken") > 0
     ).select(*out, F.col("epochs").alias("epoch"), "taken")
-    return full.unionByName(ending).select("row.*", "domain", "epoch", "n_tokens", "taken")
+    return full.unionByName(ending).select("row.*", *[F.col(c).alias(name) for c, name in added.items()])
 
 
 def _share_sql(name: str, source: str, parent: list[str]) -> str:
