@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql import types as T
 from leaselake.functions.keys import key_value
 from leaselake.functions.labels import pending_message
 from leaselake.functions.text import null_if_empty, strip_ws
-from leaselake.operators.skew import DEFAULT_SALTS, bucket, lookup_join
+from leaselake.operators.skew import lookup_join
 from leaselake.session import stored
 
 # Statuses, methods, default threshold.
@@ -22,9 +21,11 @@ FOUND, NOT_FOUND = "ENCONTRADO", "NAO_ENCONTRADO"
 BY_KEY, BY_NAME, BY_NONE = "cnpj", "fuzzy", "nenhum"
 KEY_SCORE = 100.0
 DEFAULT_THRESHOLD = 85.0
+#: Lower end of the band that is shown for manual review; below it a name has no candidate.
+DEFAULT_FLOOR = 80.0
 
-FREQUENT_GRAMS = 512
-BLOCK_NAMES = 2048
+Similarity = Callable[[Column, Column], Column]
+Pairs = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 # ---- similarity (J3) ---------------------------------------------------------------
@@ -44,33 +45,32 @@ def _codes(texts: list[str]) -> np.ndarray:
 def _common_lengths(text: str, codes: np.ndarray) -> np.ndarray:
     """Longest common subsequence of one text with every row of ``codes``.
 
-    One bit per character of ``text``; texts over 64 characters use Python's
-    unbounded integers, row by row.
+    One bit per character of ``text``, in as many 64-bit words as it takes; sums
+    carry from word to word.
     """
     if not text:
         return np.zeros(len(codes), dtype=np.int64)
-    positions: dict[int, int] = {}
-    for i, char in enumerate(text):
-        positions[ord(char)] = positions.get(ord(char), 0) | (1 << i)
-    full = (1 << len(text)) - 1
-    if len(text) > 64:
-        lengths = []
-        for row in codes:
-            state = full
-            for code in row:
-                hit = state & positions.get(int(code), 0)
-                state = ((state + hit) | (state - hit)) & full
-            lengths.append(len(text) - state.bit_count())
-        return np.array(lengths, dtype=np.int64)
-    alphabet = np.array(sorted(positions), dtype=np.uint32)
-    masks = np.array([positions[c] for c in alphabet.tolist()], dtype=np.uint64)
-    slot = np.searchsorted(alphabet, codes).clip(max=len(alphabet) - 1)
-    hits = np.where(alphabet[slot] == codes, masks[slot], np.uint64(0))
-    state = np.full(len(codes), full, dtype=np.uint64)
-    for column in hits.T:
-        hit = state & column
-        state = (state + hit) | (state - hit)
-    return len(text) - np.bitwise_count(state & np.uint64(full)).astype(np.int64)
+    chars = np.array([ord(c) for c in text], dtype=np.uint32)
+    alphabet = np.unique(chars)
+    words = (len(text) + 63) // 64
+    bits = np.zeros((words, len(alphabet)), dtype=np.uint64)
+    for i, slot in enumerate(np.searchsorted(alphabet, chars).tolist()):
+        bits[i // 64, slot] |= np.uint64(1 << i % 64)
+    slots = np.searchsorted(alphabet, codes).clip(max=len(alphabet) - 1)
+    known = alphabet[slots] == codes
+    state = np.full((words, len(codes)), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for column, found in zip(slots.T, known.T):
+        carry = np.zeros(len(codes), dtype=np.uint64)
+        for word in range(words):
+            held = state[word]
+            hit = np.where(found, held & bits[word, column], np.uint64(0))
+            plus = held + hit
+            total = plus + carry
+            carry = ((plus < held) | (total < plus)).astype(np.uint64)
+            state[word] = total | (held - hit)
+    last = np.uint64((1 << (len(text) - 64 * (words - 1))) - 1)
+    state[-1] &= last
+    return len(text) - np.bitwise_count(state).sum(axis=0, dtype=np.int64)
 
 
 def _scores(text: str, others: list[str], codes: np.ndarray) -> np.ndarray:
@@ -125,111 +125,101 @@ def _unique(names: DataFrame) -> DataFrame:
     )
 
 
-# ---- blocking: only pairs that can reach the threshold (J2) ------------------------------
-def _max_apart(total: Column, threshold: float) -> Column:
+# ---- pairs that can reach the lower limit (J2) -------------------------------------------
+def _apart(total: Column, floor: float) -> Column:
     """Most characters two texts of this total length may differ by."""
-    return F.floor(total * F.lit(1.0 - threshold / 100.0) + F.lit(1e-9))
+    return F.floor(total * F.lit(1.0 - floor / 100.0) + F.lit(1e-9)).cast("int")
 
 
-def _shared_grams(total: Column, threshold: float, q: int) -> Column:
-    """Grams two texts must share: each differing character breaks at most q + 1 halves."""
-    apart = _max_apart(total, threshold)
-    return F.ceil((total - (2 * q - 1) * apart) / 2.0) - (q - 1)
+def _partner_lengths(length: Column, floor: float) -> Column:
+    """Lengths a partner may have."""
+    t = floor / 100.0
+    shortest = F.greatest(F.ceil(length * F.lit(t / (2.0 - t)) - F.lit(1e-9)), F.lit(1))
+    return F.sequence(shortest.cast("int"), F.floor(length * F.lit((2.0 - t) / t) + F.lit(1e-9)).cast("int"))
 
 
-def _gram_size(threshold: float) -> int:
-    """Two-letter grams where they always leave something shared, else letters."""
-    share = 1.0 - threshold / 100.0
-    low = min(
-        math.ceil((s - 3 * math.floor(s * share + 1e-9)) / 2) - 1 for s in range(4, 400)
+def _cuts(df: DataFrame) -> DataFrame:
+    """Segments of a text of length ``m`` cut in ``k`` + 1: number, start and length; the last ones are longer."""
+    plain, long = F.expr("m div (k + 1)"), F.expr("m % (k + 1)")
+    first_long = F.col("k") + 1 - long
+    return df.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumns(
+        {
+            "start": (F.col("j") * plain + F.greatest(F.lit(0), F.col("j") - first_long)).cast("int"),
+            "size": (plain + (F.col("j") >= first_long).cast("int")).cast("int"),
+        }
     )
-    return 2 if low >= 1 else 1
 
 
-def _with_grams(texts: DataFrame, col: str, q: int, out: str) -> DataFrame:
-    """Grams of a text as 'gram#occurrence', so that repeats count.
+def _letter_bits(text: Column) -> list[Column]:
+    """Two words with a bit for each of the first four letters of each of 32 kinds.
 
-    The plain grams are a column of their own; numbering them only looks them up.
+    The number of bits that differ is never above the number of characters by which
+    two texts differ, so it refuses a pair without comparing the texts.
     """
-    starts = F.when(
-        F.length(col) >= q, F.sequence(F.lit(1), F.length(col) - (q - 1))
-    ).otherwise(F.array().cast("array<int>"))
-    cut = texts.withColumn("_cut", F.transform(starts, lambda i: F.substring(F.col(col), i, F.lit(q))))
-    numbered = F.transform(
-        "_cut",
-        lambda g, i: F.concat(
-            g,
-            F.lit("#"),
-            F.size(F.filter(F.slice("_cut", F.lit(1), i + 1), lambda o: o == g)).cast("string"),
-        ),
+    kinds = F.transform(F.split(text, ""), lambda c: F.ascii(c) % 32)
+    nth = F.transform(
+        kinds, lambda x, i: F.struct(x.alias("x"), F.size(F.filter(F.slice(kinds, F.lit(1), i + 1), lambda y: y == x)).alias("n"))
     )
-    return cut.withColumn(out, numbered).drop("_cut")
-
-
-def _prefix(texts: DataFrame, col: str, frequent: Column, threshold: float, q: int) -> DataFrame:
-    """The rarest grams of each text, as many as the pigeonhole principle needs."""
-    t = threshold / 100.0
-    length = F.length(col)
-    # Smallest total length a partner above the threshold can give; the requirement
-    # without rounding grows from there on, so its value there is safe for all.
-    least_total = length * F.lit(1.0 + t / (2.0 - t))
-    share = (1.0 - (2 * q - 1) * (1.0 - t)) / 2.0
-    needed = F.greatest(F.lit(1), F.ceil(least_total * F.lit(share) - F.lit(q - 1 + 1e-6)))
-    ranked = F.array_sort(
-        F.transform(
-            "_named",
-            lambda g: F.struct(
-                F.coalesce(F.try_element_at(F.col("_frequent"), g), F.lit(0).cast("bigint")).alias("n"),
-                F.xxhash64(g).alias("g"),
-            ),
+    kept = F.filter(nth, lambda o: o["n"] <= 4)
+
+    def word(low: int) -> Column:
+        mine = F.filter(kept, lambda o: (o["x"] >= low) & (o["x"] < low + 16))
+        return F.aggregate(
+            mine, F.lit(0).cast("long"),
+            lambda held, o: held.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (o["x"] - low) * 4 + o["n"] - 1)),
         )
-    )
-    # Grams travel as 64-bit hashes: short rows, and set tests on numbers.
-    grams = F.transform("_ranked", lambda r: r["g"])
-    kept = F.greatest(F.lit(0), F.size("_all") - needed.cast("int") + 1)
-    return (
-        _with_grams(texts, col, q, "_named")
-        .withColumn("_frequent", frequent)
-        .withColumn("_ranked", ranked)
-        .withColumn("_all", grams)
-        .withColumn("_prefix", F.slice("_all", F.lit(1), kept))
-        .select(*texts.columns, "_all", "_prefix", F.posexplode("_prefix").alias("_at", "gram"))
-    )
+
+    return [word(0), word(16)]
 
 
-def blocked_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) that can reach the threshold, by shared rare grams.
+def segment_pairs(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
+    """Distinct pairs (a, b) that can reach the lower limit, by one shared segment.
 
-    Exact: a pair at or above the threshold always shares one of the grams kept on
-    both sides, passes the length test, passes the position test at its first shared
-    gram, and shares enough grams in all. ``left`` has the column a, ``right`` has b; both distinct.
+    Exact. Two texts of lengths n and m at or above the limit differ by at most
+    k = (n + m)(1 - limit) inserted or deleted characters. Of k + 1 segments of b one
+    is untouched and has, for its number j, exactly j changes before it and at most
+    k - j behind it; so it occurs in a, moved by at most j places, by an odd or even
+    number as j is, and by as much as the rest of both texts allows. ``left`` has the
+    column a, ``right`` has b; both distinct and not empty.
     """
-    q = _gram_size(threshold)
-    frequent = (
-        _with_grams(right, "b", q, "_named")
-        .select(F.explode("_named").alias("g"))
-        .groupBy("g")
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "g")
-        .limit(FREQUENT_GRAMS)
-        .agg(F.map_from_entries(F.collect_list(F.struct("g", "n"))).alias("m"))
-        .scalar()
+    m, n, k = F.col("m"), F.col("n"), F.col("k")
+    lengths = right.select(F.length("b").alias("m")).distinct()
+    word_a, word_b = _letter_bits(F.col("a")), _letter_bits(F.col("b"))
+    filed = (
+        _cuts(
+            right.select("b", *[w.alias(f"b{i}") for i, w in enumerate(word_b)], F.length("b").alias("m")).withColumn(
+                "k", F.explode(F.array_distinct(F.transform(_partner_lengths(m, floor), lambda x: _apart(m + x, floor))))
+            )
+        )
+        .withColumn("segment", F.xxhash64("m", "k", "j", F.substring("b", F.col("start") + 1, F.col("size"))))
+        .select("segment", "b", "b0", "b1")
     )
-    def side(texts: DataFrame, col: str) -> DataFrame:
-        found = _prefix(texts, col, frequent, threshold, q)
-        return found.withColumnsRenamed({n: f"{n}_{col}" for n in ("_all", "_prefix", "_at")})
-
-    total = F.length("a") + F.length("b")
-    needed = _shared_grams(total, threshold, q)
-    close = F.abs(F.length("a") - F.length("b")) <= _max_apart(total, threshold)
-    enough_left = (
-        F.least(F.size("_all_a") - F.col("_at_a"), F.size("_all_b") - F.col("_at_b")) >= needed
+    # Only lengths that some candidate has are looked up; their number is bounded by the longest name.
+    sought = (
+        left.select("a", *[w.alias(f"a{i}") for i, w in enumerate(word_a)], F.length("a").alias("n"))
+        .withColumn("m", F.explode(_partner_lengths(F.length("a"), floor)))
+        .join(lengths, "m", "left_semi")
+        .withColumn("k", _apart(n + m, floor))
+        .where(F.abs(n - m) <= k)
     )
-    # A pair is met once per shared prefix gram; it is kept at the first of them.
-    first = F.get(F.array_intersect("_prefix_a", "_prefix_b"), F.lit(0)) == F.col("gram")
-    shared = F.size(F.array_intersect("_all_a", "_all_b")) >= needed
-    met = side(left, "a").join(side(right, "b"), "gram").where(close & enough_left)
-    return met.where(first).where(shared).select(*left.columns, *right.columns)
+    longer = n - m
+    before, behind = F.col("j"), k - F.col("j")
+    least = F.greatest(-before, longer - behind, -F.floor((k - longer) / 2))
+    most = F.least(before, longer + behind, F.floor((k + longer) / 2))
+    # From the first place of the right parity on, every second one.
+    first = (least + F.pmod(least + before, F.lit(2))).cast("int")
+    moves = F.when(first <= most, F.sequence(first, most.cast("int"), F.lit(2))).otherwise(F.array().cast("array<int>"))
+    place = F.col("start") + F.col("move")
+    looked_up = (
+        _cuts(sought)
+        .withColumn("move", F.explode(moves))
+        .where((place >= 0) & (place + F.col("size") <= n))
+        .withColumn("segment", F.xxhash64("m", "k", "j", F.substring("a", place + 1, F.col("size"))))
+        .select("segment", "a", "a0", "a1", "k")
+    )
+    differ = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    met = looked_up.join(filed, "segment").where(differ <= k).select("a", "b").distinct()
+    return met.join(right, "b") if len(right.columns) > 1 else met
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -245,56 +235,10 @@ def _best(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _best_in_block(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Best candidate of each name of one block within one block of candidates."""
-    rows = []
-    if len(left) and len(right):
-        right = right.sort_values(["seq", "pos"])
-        others = right["b"].tolist()
-        codes = _codes(others)
-        for name in left["a"]:
-            scores = _scores(name, others, codes)
-            i = int(scores.argmax())
-            owner = right.iloc[i]
-            rows.append((name, float(scores[i]), int(owner.seq), int(owner.pos), owner.key))
-    return pd.DataFrame(rows, columns=["a", "score", "seq", "pos", "key"])
-
-
-def _best_everywhere(names: DataFrame, candidates: DataFrame, block: int) -> DataFrame:
-    """Best candidate per name over all candidates, below the threshold as well.
-
-    Both sides are cut into blocks of a bounded size; a task compares one block of
-    names with one block of candidates and returns one row per name. Work is the
-    product of both sides, so this is for diagnosis, not for every run.
-    """
-    name_blocks = max(1, math.ceil(names.count() / block))
-    candidate_blocks = max(1, math.ceil(candidates.count() / block))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = names.select("a", bucket(name_blocks, "a").alias("x"), spread(candidate_blocks).alias("y"))
-    right = candidates.select(
-        "b", "owner.*", bucket(candidate_blocks, "b").alias("y"), spread(name_blocks).alias("x")
-    )
-    found = (
-        left.groupBy("x", "y")
-        .cogroup(right.groupBy("x", "y"))
-        .applyInPandas(_best_in_block, "a string, score double, seq long, pos int, key string")
-    )
-    return _best(found.select("a", "score", F.struct("seq", "pos", "key").alias("owner")))
-
-
-def best_names(
-    names: DataFrame,
-    portfolio: DataFrame,
-    threshold: float = DEFAULT_THRESHOLD,
-    similarity: Callable[[Column, Column], Column] = name_similarity,
-    mode: str = "blocked",
-    block: int = BLOCK_NAMES,
-) -> DataFrame:
-    """Best candidate of each distinct compare key ``a`` of ``names``.
+def best_names(names: DataFrame, portfolio: DataFrame, floor: float = DEFAULT_FLOOR) -> DataFrame:
+    """Best candidate of each distinct compare key ``a`` of ``names``, at or above ``floor``.
 
-    'blocked' finds the exact best candidate of every name that reaches the
-    threshold; names below it are absent. 'exact' also reports the best score
-    below the threshold. A caller's ``similarity`` is evaluated on the blocked pairs.
+    Candidate and score are exact; a name that no candidate reaches the floor for is absent.
     """
     # Both sides are read several times below; storing the distinct compare keys once
     # keeps the contracts and the key computation out of every one of those reads.
@@ -303,23 +247,31 @@ def best_names(
     equal = names.join(candidates.withColumnRenamed("b", "a"), "a").select(
         "a", F.lit(KEY_SCORE).alias("score"), F.col("owner.key").alias("key")
     )
-    rest = names.join(candidates.select(F.col("b").alias("a")), "a", "left_anti")
-    if mode == "exact":
-        return equal.unionByName(_best_everywhere(rest, candidates, block))
-    pairs = blocked_pairs(rest, candidates, threshold).withColumn(
-        "score", similarity(F.col("a"), F.col("b"))
+    rest = names.where(F.col("a") != "").join(candidates.select(F.col("b").alias("a")), "a", "left_anti")
+    pairs = segment_pairs(rest, candidates.where(F.col("b") != ""), floor).withColumn("score", name_similarity(F.col("a"), F.col("b")))
+    return equal.unionByName(_best(pairs.where(F.col("score") >= floor)))
+
+
+def best_by(names: DataFrame, portfolio: DataFrame, similarity: Similarity, pairs: Pairs, floor: float) -> DataFrame:
+    """The same with the caller's measure on raw names.
+
+    ``pairs`` takes the distinct raw names (column a) and candidate names (b, owner)
+    and gives the pairs to compare with all three columns: only the caller knows which
+    pairs its measure can raise to the floor.
+    """
+    candidates = candidate_names(portfolio).where(F.col("candidate").isNotNull()).groupBy(F.col("candidate").alias("b")).agg(
+        F.min(F.struct("seq", "pos", "key")).alias("owner")
     )
-    return equal.unionByName(_best(pairs.where(F.col("score") >= threshold)))
+    met = pairs(names.select("a"), candidates).withColumn("score", similarity(F.col("a"), F.col("b")))
+    return _best(met.where(F.col("score") >= floor))
 
 
 # ---- the link decision (J1, J2, J8) ---------------------------------------------------------
-def link_by_key(
-    contracts: DataFrame, portfolio: DataFrame, id_col: str, document: str, salts: int = DEFAULT_SALTS
-) -> DataFrame:
+def link_by_key(contracts: DataFrame, portfolio: DataFrame, id_col: str, document: str) -> DataFrame:
     """Add ``key`` of the company with the tenant's usable 14-digit document."""
     keyed = contracts.withColumn("_key", key_value(null_if_empty(F.col(document))))
     companies = portfolio.select(F.col("cnpj").alias("_key"), F.col("cnpj").alias("key"))
-    return lookup_join(keyed, companies, ["_key"], [id_col], salts).drop("_key")
+    return lookup_join(keyed, companies, ["_key"], [id_col]).drop("_key")
 
 
 def link_entities(
@@ -329,29 +281,33 @@ def link_entities(
     name: str = "tenant_name",
     document: str = "tenant_document",
     threshold: float = DEFAULT_THRESHOLD,
-    similarity: Callable[[Column, Column], Column] = name_similarity,
-    mode: str = "blocked",
-    salts: int = DEFAULT_SALTS,
+    floor: float = DEFAULT_FLOOR,
+    similarity: Similarity | None = None,
+    pairs: Pairs | None = None,
 ) -> DataFrame:
     """One row per contract with cnpj, status, method and score.
 
-    The exact key decides first; only contracts it leaves open are compared by
-    name, and each distinct name once. Inactive companies take part.
+    The exact key decides first; only contracts it leaves open are compared by name,
+    and each distinct name once. Inactive companies take part. A contract whose best
+    candidate lies from ``floor`` up to the threshold keeps that score for review; below
+    the floor it has no candidate and the score is null, without a name it is 0. A
+    measure of the caller's own needs the pairs to compare as well (``best_by``).
     """
-    slim = contracts.select(id_col, name, document)
-    keyed = link_by_key(slim, portfolio, id_col, document, salts)
+    if (similarity is None) != (pairs is None):
+        raise ValueError("give similarity and pairs together")
+    floor = min(floor, threshold)
+    keyed = stored(link_by_key(contracts.select(id_col, name, document), portfolio, id_col, document), "keyed")
     by_key = keyed.where(F.col("key").isNotNull()).select(
         id_col, name, document, F.col("key").alias("cnpj"),
         F.lit(BY_KEY).alias("method"), F.lit(KEY_SCORE).alias("score"),
     )
     named = strip_ws(F.coalesce(F.col(name), F.lit(""))) != ""
-    open_rows = keyed.where(F.col("key").isNull()).drop("key").withColumn(
-        "a", F.when(named, compare_key(F.col(name)))
-    )
+    compared = compare_key(F.col(name)) if similarity is None else F.col(name)
+    open_rows = keyed.where(F.col("key").isNull()).drop("key").withColumn("a", F.when(named, compared))
     names = open_rows.where(F.col("a").isNotNull()).select("a").distinct()
-    best = best_names(names, portfolio, threshold, similarity, mode)
+    best = best_names(names, portfolio, floor) if similarity is None else best_by(names, portfolio, similarity, pairs, floor)
     hit = F.col("score") >= threshold
-    by_name = lookup_join(open_rows, best, ["a"], [id_col], salts).select(
+    by_name = lookup_join(open_rows, best, ["a"], [id_col]).select(
         id_col, name, document,
         F.when(hit, F.col("key")).alias("cnpj"),
         F.when(hit, F.lit(BY_NAME)).otherwise(F.lit(BY_NONE)).alias("method"),
@@ -388,7 +344,7 @@ def pendencies(links: DataFrame, portfolio: DataFrame) -> DataFrame:
 
 
 def orphans(links: DataFrame) -> DataFrame:
-    """Contracts without a company, with the best score below the threshold."""
+    """Contracts without a company, with the best score of the review band (null below it)."""
     return links.where(F.col("cnpj").isNull()).drop("cnpj", "status", "method").withColumnRenamed(
         "score", "best_score"
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 8
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
 HOT_SPREAD = 1024
@@ -22,26 +21,36 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def _many(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows and more than 1/10,000 of all rows: at most 10,000."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    total = counts.agg(F.sum("_rows").alias("n")).scalar()
+    return counts.where(F.col("_rows") > F.greatest(F.lit(hot_rows).cast("double"), total / MAX_HOT_KEYS)).drop("_rows")
+
+
 def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    spread_by: list[str],
-    salts: int = DEFAULT_SALTS,
+    left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Left join to a side with unique keys, the left rows of one key spread out.
+    """Left join to a side with unique keys, whatever share of ``left`` one key has.
 
-    Each key of ``right`` is repeated per salt, so a hot left key is shared by
-    ``salts`` tasks, and adaptive skew splitting works on top of that. Rows with a
-    null key never match and are spread by the same salt instead of meeting in one
-    partition.
+    Keys with many left rows are counted first; their few right rows are broadcast and
+    their left rows need not meet. Those rows, and rows with a null key, which match
+    nothing, pass the join of all other keys spread by a stable hash.
     """
-    if salts <= 1:
-        return left.join(right, on, "left")
-    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", bucket(salts, *spread_by)).join(
-        salted, [*on, "_salt"], "left"
-    ).drop("_salt")
+    values = [c for c in right.columns if c not in on]
+    no_key = F.lit(False)
+    for key in on:
+        no_key = no_key | F.col(key).isNull()
+    many = _many(left.where(~no_key), on, hot_rows)
+    hot = many.join(right.join(F.broadcast(many), on, "left_semi"), on, "left")
+    hot = hot.select(*on, F.lit(True).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values])
+    marked = left.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.when(F.col("_hot") | no_key, bucket(HOT_SPREAD, *spread_by) + 1).otherwise(0)
+    )
+    joined = marked.join(right.withColumn("_salt", F.lit(0)), [*on, "_salt"], "left")
+    return joined.select(
+        *left.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{v}")).otherwise(F.col(v)).alias(v) for v in values]
+    )
 
 
 def attach_group(

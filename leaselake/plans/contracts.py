@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from leaselake.operators.compliance import compliance_flags
 from leaselake.operators.extract import assemble_contracts, extract_fields, with_provenance
 from leaselake.operators.linkage import (
+    DEFAULT_FLOOR,
     DEFAULT_THRESHOLD,
     company_status,
     compliance_totals,
@@ -29,7 +30,7 @@ def analyse(
 
 
 class Report(NamedTuple):
-    """All tables of one report; every one is lazy."""
+    """All tables of one report. Linking stores the names first, so a job runs when the report is made."""
 
     ledger: DataFrame
     totals: DataFrame
@@ -46,7 +47,7 @@ def report(
     brackets: DataFrame,
     id_col: str,
     threshold: float = DEFAULT_THRESHOLD,
-    mode: str = "blocked",
+    floor: float = DEFAULT_FLOOR,
 ) -> Report:
     """Ledger and compliance of assembled contracts.
 
@@ -54,7 +55,7 @@ def report(
     """
     ledger = build_ledger(contracts, brackets, id_col)
     links = link_entities(
-        ledger, portfolio, id_col, "tenant_name", "tenant_document", threshold, mode=mode
+        ledger, portfolio, id_col, "tenant_name", "tenant_document", threshold, floor
     )
     return Report(
         ledger,

@@ -268,9 +268,14 @@ sn AS (SELECT e.* FROM e LEFT JOIN rs USING (cnpj) WHERE op <> 'remove' AND (rse
 lt AS (SELECT cnpj, arg_max(name, seq) FILTER (name IS NOT NULL) AS lname, arg_max(ativo, seq) FILTER (ativo IS NOT NULL) AS lativo FROM sn GROUP BY 1),
 al AS (SELECT coalesce(p.cnpj, rs.cnpj) AS cnpj, p.razao_social, p.ativo, rs.rop FROM p FULL JOIN rs ON p.cnpj = rs.cnpj)
 """
+NEAR_NAME = (
+    "(substr(upper(p_brand)||' '||p_type||' '||p_name, 1, CAST(p_partkey % 5 + 2 AS INT)) || "
+    "substr(upper(p_brand)||' '||p_type||' '||p_name, CAST(p_partkey % 5 + 4 AS INT), 100))"
+)
 TENANT_NAME = (
-    "substr(upper(p_brand)||' '||p_type||' '||p_name, 1, CAST(p_partkey % 5 + 2 AS INT)) || "
-    "substr(upper(p_brand)||' '||p_type||' '||p_name, CAST(p_partkey % 5 + 4 AS INT), 100)"
+    "CASE WHEN p_partkey % 11 = 0 THEN 'Outra Firma Qualquer '||p_partkey "
+    f"WHEN p_partkey % 7 = 0 THEN substr({NEAR_NAME}, 1, 12)||substr('qzwxkvj', 1, CAST(p_partkey % 6 + 2 AS INT))||substr({NEAR_NAME}, 13, 100) "
+    f"ELSE {NEAR_NAME} END"
 )
 COMPARE = "array_to_string(list_sort(list_filter(string_split(lower(replace({}, '#', ' ')), ' '), lambda x: x <> '')), ' ')"
 
@@ -288,6 +293,31 @@ def lcs(a: str, b: str) -> str:
     return f"(length({a}) - bit_count({state}))"
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def matches() -> str:
+    """CTE mt: the best candidate over all pairs of names, from a score of 80 on.
+
+    Letter counts, a lower bound of the distance, spare the exact measure of hopeless pairs.
+    """
+    company = "p_name||' '||p_type||' '||p_brand"
+    counts = ", ".join(f"length({{0}}) - length(replace({{0}}, '{c}', '')) AS c{i}" for i, c in enumerate(LETTERS))
+    apart = " + ".join(f"abs(x.c{i} - y.c{i})" for i in range(len(LETTERS)))
+    total = "(length(a) + length(b))"
+    return f"""
+nt AS (SELECT p_partkey AS contract_id, {TENANT_NAME} AS tenant_name, {COMPARE.format('(' + TENANT_NAME + ')')} AS a FROM part),
+nc AS (SELECT p_partkey AS seq, 0 AS pos, {key('p_partkey + 1')} AS cnpj, {COMPARE.format('(' + company + ')')} AS b FROM part
+  UNION ALL SELECT p_partkey, 1, {key('p_partkey + 1')}, {COMPARE.format("(p_brand||' '||p_name)")} FROM part),
+xa AS (SELECT a, {counts.format('a')} FROM (SELECT DISTINCT a FROM nt)), xb AS (SELECT b, {counts.format('b')} FROM (SELECT DISTINCT b FROM nc)),
+xp AS (SELECT a, b FROM xa x JOIN xb y ON ({apart}) <= {total} * 0.2 + 0.000001),
+xs AS (SELECT a, b, (1.0::DOUBLE - ({total} - 2 * {lcs('a', 'b')})::DOUBLE / {total}) * 100.0 AS score FROM xp),
+xr AS (SELECT a, cnpj, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, seq, pos) AS n FROM xs JOIN nc USING (b) WHERE score >= 80),
+mt AS (SELECT contract_id, tenant_name, CASE WHEN score >= 85 THEN cnpj END AS cnpj, CASE WHEN score >= 85 THEN 'ENCONTRADO' ELSE 'NAO_ENCONTRADO' END AS status,
+  CASE WHEN score >= 85 THEN 'fuzzy' ELSE 'nenhum' END AS method, round(score, 6) AS score FROM nt LEFT JOIN (SELECT * FROM xr WHERE n = 1) USING (a))
+"""
+
+
 WRITTEN_MONTH = "[" + ", ".join(f"'{m}'" for m in MONTH_NAMES) + "]"
 
 
@@ -483,14 +513,20 @@ def oracle_sql() -> dict[str, str]:
       CASE WHEN n IS NULL THEN 'nenhum' ELSE 'cnpj' END AS method, CASE WHEN n IS NULL THEN 0.0 ELSE 100.0 END::DOUBLE AS score,
       CAST(coalesce(n, 0) AS BIGINT) AS contracts FROM cov"""
     sql["pendencies"] = f"WITH {COVERAGE} SELECT cnpj, 'Contrato da Empresa '||razao_social||' / '||cnpj||' não encontrado' AS message FROM cov WHERE n IS NULL"
-    sql["orphan_contracts"] = f"WITH {LINKS} SELECT contract_id, tenant_name, tenant_document FROM k WHERE cnpj IS NULL"
+    sql["orphan_contracts"] = f"WITH {LINKS} SELECT contract_id, tenant_name, tenant_document, score AS best_score FROM k WHERE cnpj IS NULL"
     sql["compliance_totals"] = f"""WITH {COVERAGE} SELECT count(*) AS companies, (SELECT count(*) FROM k) AS contracts,
       count(*) FILTER (n IS NOT NULL) AS found, count(*) FILTER (n IS NULL) AS pending FROM cov"""
-    sql["compare_keys"] = f"SELECT p_partkey AS contract_id, {COMPARE.format(TENANT_NAME)} AS key FROM part"
+    sql["name_matching"] = f"WITH {matches()} SELECT contract_id, cnpj, status, method, score FROM mt"
+    sql["name_orphans"] = f"WITH {matches()} SELECT contract_id, tenant_name, score AS best_score FROM mt WHERE cnpj IS NULL"
+    sql["name_coverage"] = f"""WITH {matches()}, g AS (SELECT cnpj, count(*) AS contracts, max(score) AS score FROM mt WHERE cnpj IS NOT NULL GROUP BY 1)
+      SELECT {key('p_partkey + 1')} AS cnpj, CASE WHEN g.cnpj IS NULL THEN 'NAO_ENCONTRADO' ELSE 'ENCONTRADO' END AS status,
+      CASE WHEN g.cnpj IS NULL THEN 'nenhum' ELSE 'fuzzy' END AS method, coalesce(score, 0.0) AS score, coalesce(contracts, 0) AS contracts
+      FROM part LEFT JOIN g ON g.cnpj = {key('p_partkey + 1')}"""
+    sql["compare_keys"] = f"SELECT p_partkey AS contract_id, {COMPARE.format('(' + TENANT_NAME + ')')} AS key FROM part"
     company = "p_name||' '||p_type||' '||p_brand"
-    sql["edit_scores"] = f"""WITH q AS (SELECT p_partkey, lower({TENANT_NAME}) AS a, lower({company}) AS b FROM part)
+    sql["edit_scores"] = f"""WITH q AS (SELECT p_partkey, lower(({TENANT_NAME})) AS a, lower({company}) AS b FROM part)
       SELECT p_partkey AS contract_id, round((1.0::DOUBLE - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b))) * 100.0, 6) AS score FROM q"""
-    sql["pair_scores"] = f"""WITH q AS (SELECT p_partkey, {COMPARE.format(TENANT_NAME)} AS a, {COMPARE.format('(' + company + ')')} AS b FROM part)
+    sql["pair_scores"] = f"""WITH q AS (SELECT p_partkey, {COMPARE.format('(' + TENANT_NAME + ')')} AS a, {COMPARE.format('(' + company + ')')} AS b FROM part)
       SELECT p_partkey AS contract_id, round((1.0::DOUBLE - (length(a) + length(b) - 2 * {lcs('a', 'b')})::DOUBLE / (length(a) + length(b))) * 100.0, 6) AS score FROM q"""
 
     sql["ledger"] = f"""WITH {LEDGER} SELECT contract_id, tenant_name, tenant_document, landlord_name, rent, adjustment_index AS "index", index_source,
@@ -554,5 +590,5 @@ def oracle_sql() -> dict[str, str]:
     sql["stream_dedup"] = "SELECT DISTINCT user_id||'/'||event_type AS hash FROM events"
     sql["stream_history"] = f"""WITH {FACTS} SELECT 'contrato_'||lpad(CAST(contract_id AS VARCHAR), 9, '0')||'.txt' AS file_name,
       {REVIEW_LIST} <> '' AS needs_review, rent, tenant_document FROM f"""
-    sql["stream_links"] = f"WITH {LINKS} SELECT contract_id, cnpj, status, method FROM k"
+    sql["stream_links"] = f"WITH {LINKS} SELECT contract_id, cnpj, status, method, score FROM k"
     return sql

@@ -837,7 +837,7 @@ def pendencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def orphan_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.orphans(links_table(spark, sf_dir)).select("contract_id", "tenant_name", "tenant_document")
+    return J.orphans(links_table(spark, sf_dir)).select("contract_id", "tenant_name", "tenant_document", "best_score")
 
 
 @query
@@ -858,30 +858,48 @@ def named_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def named_tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tenants under a disturbed part name: other word order, case, one letter lost."""
-    lost = (F.col("p_partkey") % 5 + 2).cast("int")
+    """Tenants under a disturbed part name: other word order, case, one letter lost.
+
+    One in seven also has letters of its own in the middle, one in eleven a name of no company.
+    """
+    k = F.col("p_partkey")
+    lost = (k % 5 + 2).cast("int")
     name = F.concat_ws(" ", F.upper("p_brand"), "p_type", "p_name")
+    near = F.concat(F.substring(name, F.lit(1), lost), F.substring(name, lost + 2, F.lit(100)))
+    inside = F.substring(F.lit("qzwxkvj"), F.lit(1), (k % 6 + 2).cast("int"))
+    tenant = (
+        F.when(k % 11 == 0, F.concat(F.lit("Outra Firma Qualquer "), k.cast("string")))
+        .when(k % 7 == 0, F.concat(F.substring(near, F.lit(1), F.lit(12)), inside, F.substring(near, F.lit(13), F.lit(100))))
+        .otherwise(near)
+    )
     return synth.table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("contract_id"),
-        F.concat(F.substring(name, F.lit(1), lost), F.substring(name, lost + 2, F.lit(100))).alias("tenant_name"),
-        F.lit(None).cast("string").alias("tenant_document"),
+        k.alias("contract_id"), tenant.alias("tenant_name"), F.lit(None).cast("string").alias("tenant_document")
     )
 
 
+def name_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(
+        spark, sf_dir, "name-links", lambda: J.link_entities(named_tenants(spark, sf_dir), named_companies(spark, sf_dir))
+    ).withColumn("score", F.round("score", 6))
+
+
 @query
 def name_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocked matching: only pairs that can reach the threshold are scored."""
-    return J.link_entities(
-        named_tenants(spark, sf_dir), named_companies(spark, sf_dir), threshold=95.0
-    ).select("contract_id", "cnpj", "status", "method", F.round("score", 6).alias("score"))
+    """Best company of every tenant name over all candidate names, with its score."""
+    return name_links(spark, sf_dir).select("contract_id", "cnpj", "status", "method", "score")
 
 
 @query
-def name_matching_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best score of every name, also below the threshold."""
-    return J.link_entities(
-        named_tenants(spark, sf_dir), named_companies(spark, sf_dir), mode="exact"
-    ).select("contract_id", "cnpj", "status", "method", F.round("score", 6).alias("score"))
+def name_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tenants that no company name reaches, with the best score of the review band."""
+    return J.orphans(name_links(spark, sf_dir)).select("contract_id", "tenant_name", "best_score")
+
+
+@query
+def name_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.company_status(name_links(spark, sf_dir), named_companies(spark, sf_dir)).select(
+        "cnpj", "status", "method", "score", "contracts"
+    )
 
 
 @query
@@ -1188,7 +1206,7 @@ def stream_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     STREAM.stream_link(
         _stream_of(spark, tenants, "tenants"), synth.portfolio(spark, sf_dir), f"{out}/links", f"{out}/checkpoint"
     ).awaitTermination()
-    return spark.read.parquet(f"{out}/links").select("contract_id", "cnpj", "status", "method")
+    return spark.read.parquet(f"{out}/links").select("contract_id", "cnpj", "status", "method", "score")
 
 
 @query

@@ -96,12 +96,11 @@ def stream_dedup(stream: DataFrame, hash_col: str, time_col: str, delay: str = "
 
 def stream_link(
     contracts: DataFrame, portfolio: DataFrame, out: str, checkpoint: str, id_col: str = "contract_id",
-    mode: str = "blocked",
 ) -> StreamingQuery:
     """Link arriving contracts to the portfolio; one output folder per batch."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        links = link_entities(batch, portfolio, id_col, mode=mode)
+        links = link_entities(batch, portfolio, id_col)
         links.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
