@@ -21,20 +21,26 @@ SEGMENT_CHANGES = 100_000
 
 
 def upsert(
-    base: DataFrame, changes: DataFrame, key: str, keep: tuple[str, ...] = (), order: str | None = None
+    base: DataFrame, changes: DataFrame, key: str, order: list[str], keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """M1-M3: insert or overwrite by key; ``keep`` columns stay as first stored.
+    """M1-M3: insert or overwrite by key; one row per key whatever the batch holds.
 
-    With ``order``, the last change of a key wins. Columns that only the base has
-    keep their value; new rows get null there.
+    Of several changes of a key the last by ``order`` wins, except in the ``keep``
+    columns: those stay as stored, or as the first change of a new key gave them.
+    Columns that only the base has keep their value; new rows get null there. Order
+    columns that the base does not have are dropped.
     """
-    if order is not None:
-        others = [c for c in changes.columns if c != key]
-        changes = (
-            changes.groupBy(key)
-            .agg(F.max_by(F.struct(*others), order).alias("_last"))
-            .select(key, "_last.*")
-        )
+    if not order:
+        raise ValueError("an order of the changes is needed: a key may come more than once")
+    values = [c for c in changes.columns if c != key and (c in base.columns or c not in order)]
+    last = [c for c in values if c not in keep]
+    first = [c for c in values if c in keep]
+    position = F.struct(*order)
+    reduced = changes.groupBy(key).agg(
+        F.max_by(F.struct(*last), position).alias("_last"),
+        *([F.min_by(F.struct(*first), position).alias("_first")] if first else []),
+    )
+    changes = reduced.select(key, "_last.*", *(["_first.*"] if first else []))
     b, c = base.alias("b"), changes.withColumn("_new", F.lit(True)).alias("c")
     joined = b.join(c, F.col(f"b.{key}") == F.col(f"c.{key}"), "full_outer")
     changed, stored = F.col("c._new").isNotNull(), F.col(f"b.{key}").isNotNull()
@@ -47,12 +53,9 @@ def upsert(
         take_new = changed & ~stored if name in keep else changed
         return F.when(take_new, F.col(f"c.{name}")).otherwise(F.col(f"b.{name}"))
 
-    names = base.columns + [n for n in changes.columns if n not in base.columns and n != order]
+    names = base.columns + [n for n in changes.columns if n not in base.columns]
     return joined.select(
-        *[
-            (merged(n) if n in base.columns else F.col(f"c.{n}")).alias(n)
-            for n in names
-        ]
+        *[(merged(n) if n in base.columns else F.col(f"c.{n}")).alias(n) for n in names]
     )
 
 
@@ -63,14 +66,17 @@ def hash_id(file_hash: Column) -> Column:
     return F.concat_ws("-", *[F.substring(h, start, size) for start, size in cuts])
 
 
-def upsert_history(history: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert_history(history: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
     """M2: refresh a stored file by hash, keeping its id, or add it with a new id."""
-    return upsert(history, batch.withColumn("id", hash_id(F.col("file_hash"))), "file_hash", ("id",))
+    return upsert(history, batch.withColumn("id", hash_id(F.col("file_hash"))), "file_hash", order, ("id",))
+
 
+def upsert_portfolio(portfolio: DataFrame, imported: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """M1: re-import overwrites names and activity; ``created_at`` and order number survive.
 
-def upsert_portfolio(portfolio: DataFrame, imported: DataFrame) -> DataFrame:
-    """M1: re-import overwrites names and activity; ``created_at`` and order survive."""
-    return upsert(portfolio, imported, "cnpj", ("created_at", "portfolio_seq"))
+    Imported rows follow their order number unless told otherwise.
+    """
+    return upsert(portfolio, imported, "cnpj", order or ["portfolio_seq"], ("created_at", "portfolio_seq"))
 
 
 def upsert_brackets(tables: DataFrame, changes: DataFrame) -> DataFrame:
@@ -106,13 +112,10 @@ def judge_changes(
         F.col("_wrong").isNull(), F.when(F.col("op") == "insert", True).when(F.col("op") == "remove", False)
     )
     segment = F.floor(F.col("seq") / segment_size)
-    scanned = running_last(
-        sound.where(F.col("cnpj").isNotNull()), "cnpj", "seq", sets, segment, "_state"
-    )
     stored = base.select("cnpj", F.lit(True).alias("_stored"))
-    judged = scanned.join(stored, "cnpj", "left").withColumn(
-        "_exists", F.coalesce("_state", "_stored", F.lit(False))
-    )
+    judged = running_last(
+        sound.where(F.col("cnpj").isNotNull()), "cnpj", "seq", sets, segment, "_state", stored, "_stored"
+    ).withColumn("_exists", F.coalesce("_state", F.lit(False)))
     reason = F.coalesce(
         F.col("_wrong"),
         F.when((F.col("op") == "insert") & F.col("_exists"), F.format_string(KEY_EXISTS, "cnpj")),
@@ -127,53 +130,48 @@ def judge_changes(
     return good.select(*changes.columns, "reason", "effective").unionByName(bad)
 
 
-def apply_changes(base: DataFrame, judged: DataFrame) -> DataFrame:
-    """M4: the table after all effective changes, in one pass per key.
+def apply_changes(base: DataFrame, judged: DataFrame, created_at: Column | None = None) -> DataFrame:
+    """M4: the table after all effective changes, by one grouping and one join.
 
-    The last insert or remove of a key starts its final state; each field then
-    takes the last value given since, else the stored one.
+    The last insert or remove of a key starts its final state; each field then takes
+    the last value given since, else the stored one. An inserted company, also one
+    removed before, is created at ``created_at`` (now, unless told otherwise) and is
+    numbered after all stored ones, in the order of the changes.
     """
-    effective = judged.where("effective")
-    resets = effective.where(F.col("op") != "edit").groupBy("cnpj").agg(
-        F.max(F.struct("seq", "op")).alias("_reset")
+    stamp = F.current_timestamp() if created_at is None else created_at
+    given = F.col("op") != "remove"
+    cleaned = {
+        "razao_social": strip_ws(F.col("razao_social")),
+        "aliases": F.when(F.col("aliases").isNotNull(), clean_list(F.col("aliases"))),
+        "nomes_fantasia": F.when(F.col("nomes_fantasia").isNotNull(), clean_list(F.col("nomes_fantasia"))),
+        "ativo": F.col("ativo"),
+    }
+    last = lambda f: F.max(
+        F.when(given & F.col(f).isNotNull(), F.struct(F.col("seq").alias("seq"), cleaned[f].alias("value")))
     )
-    since = effective.join(resets, "cnpj", "left").where(
-        (F.col("op") != "remove")
-        & (F.col("_reset").isNull() | (F.col("seq") >= F.col("_reset.seq")))
+    state = judged.where("effective").groupBy(F.col("cnpj").alias("_key")).agg(
+        F.max(F.when(F.col("op") != "edit", F.struct("seq", "op"))).alias("_reset"), *[last(f).alias(f"_{f}") for f in FIELDS]
     )
-    cleaned = since.withColumns(
-        {
-            "razao_social": strip_ws(F.col("razao_social")),
-            "aliases": F.when(F.col("aliases").isNotNull(), clean_list(F.col("aliases"))),
-            "nomes_fantasia": F.when(
-                F.col("nomes_fantasia").isNotNull(), clean_list(F.col("nomes_fantasia"))
-            ),
-        }
-    )
-    latest = cleaned.groupBy("cnpj").agg(
-        *[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("seq"))).alias(f"_{f}") for f in FIELDS],
-        F.max(F.when(F.col("op") == "insert", F.col("seq"))).alias("_inserted"),
-    )
-    ops = resets.select("cnpj", F.col("_reset.op").alias("_op"))
-    joined = base.join(ops, "cnpj", "full_outer").join(latest, "cnpj", "left")
-    fresh = F.col("_op") == "insert"
+    top = base.agg(F.coalesce(F.max("portfolio_seq"), F.lit(0)).alias("n")).scalar() if "portfolio_seq" in base.columns else F.lit(0)
+    joined = base.join(state, F.col("cnpj") == F.col("_key"), "full_outer")
+    fresh = F.coalesce(F.col("_reset.op") == "insert", F.lit(False))
     empty = F.array().cast("array<string>")
     defaults = {"aliases": empty, "nomes_fantasia": empty, "ativo": F.lit(True), "razao_social": F.lit(None)}
-    kept = joined.where(F.col("_op").isNull() | (F.col("_op") != "remove"))
-    return kept.select(
-        *[
-            F.when(F.coalesce(fresh, F.lit(False)), F.coalesce(f"_{c}", defaults[c]))
-            .otherwise(F.coalesce(f"_{c}", c))
-            .alias(c)
-            if c in FIELDS
-            else F.when(F.coalesce(fresh, F.lit(False)), F.lit("manual")).otherwise(F.col(c)).alias(c)
-            if c == "origem_import"
-            else F.when(F.coalesce(fresh, F.lit(False)), F.col("_inserted")).otherwise(F.col(c)).alias(c)
-            if c == "portfolio_seq"
-            else F.col(c)
-            for c in base.columns
-        ]
-    )
+
+    def value(name: str) -> Column:
+        if name == "cnpj":
+            return F.coalesce("cnpj", "_key")
+        if name in FIELDS:
+            # Of a key's values the last is given after the reset or not at all.
+            current = F.when(
+                F.col("_reset").isNull() | (F.col(f"_{name}.seq") >= F.col("_reset.seq")), F.col(f"_{name}.value")
+            )
+            return F.when(fresh, F.coalesce(current, defaults[name])).otherwise(F.coalesce(current, name))
+        new = {"origem_import": F.lit("manual"), "portfolio_seq": top + F.col("_reset.seq"), "created_at": stamp}.get(name)
+        return F.when(fresh, new).otherwise(F.col(name)) if new is not None else F.col(name)
+
+    kept = joined.where(F.col("_reset").isNull() | (F.col("_reset.op") != "remove"))
+    return kept.select(*[value(c).alias(c) for c in base.columns])
 
 
 def delete_keys(base: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from leaselake.functions.keys import looks_like_key, normalise_key
 from leaselake.functions.text import header_key, strip_ws
@@ -115,18 +115,29 @@ def _name_by_value(columns: Column, key_col: Column) -> Column:
 
 
 def map_columns(
-    rows: DataFrame, search_header: bool = False, explicit: DataFrame | None = None
+    rows: DataFrame,
+    search_header: bool = False,
+    explicit: DataFrame | None = None,
+    header_rows: DataFrame | None = None,
 ) -> DataFrame:
     """Key and name column per source, by header, else by values, else an error.
 
-    Row 0 is the header unless ``search_header``. The value profile reads only the
+    Row 0 is the header unless ``search_header``; ``header_rows`` (source, header_row)
+    names it for some or all sources. The value profile reads only the
     sources whose header left a role open. ``explicit`` (source, key_col, name_col)
     overrides detection. The result has one row per source; store it before using
     it on the rows again.
     """
     heads = source_heads(rows)
     heads = with_header_row(heads) if search_header else heads.withColumn("header_row", F.lit(0).cast("long"))
+    if header_rows is not None:
+        # The row named may lie beyond the first rows.
+        named = header_rows.select("source", F.col("header_row").cast("long").alias("row"))
+        own = named.join(rows, ["source", "row"], "left").select("source", F.col("row").alias("_row"), F.col("cells").alias("_own"))
+        heads = heads.join(own, "source", "left").withColumn("header_row", F.coalesce("_row", "header_row"))
     cells = F.get(F.filter("head", lambda r: r["row"] == F.col("header_row")), F.lit(0))["cells"]
+    if header_rows is not None:
+        cells = F.when(F.col("_row").isNotNull(), F.col("_own")).otherwise(cells)
     roles = (
         heads.select("source", "header_row", cells.alias("_cells"))
         .withColumn("key_by_header", _by_header(F.col("_cells"), KEY_WORDS))
@@ -256,25 +267,32 @@ def import_summary(outcomes: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def imported_companies(outcomes: DataFrame) -> DataFrame:
-    """Accepted rows as portfolio records; the sheet carries no other names."""
+def imported_companies(outcomes: DataFrame, portfolio: DataFrame, created_at: Column | None = None) -> DataFrame:
+    """Accepted rows as portfolio records; the sheet carries no other names.
+
+    Order numbers go on after the largest stored one: sources by name, each after the
+    lines of the ones before. All records of an import are created at one time.
+    """
     empty = F.array().cast("array<string>")
-    return outcomes.where(F.col("status") == IMPORTED).select(
+    before = W.orderBy("source").rowsBetween(W.unboundedPreceding, -1)
+    # One row per source.
+    offsets = outcomes.groupBy("source").agg(F.max("line").alias("_lines")).select(
+        "source", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_offset")
+    )
+    top = portfolio.agg(F.coalesce(F.max("portfolio_seq"), F.lit(0)).alias("n")).scalar()
+    accepted = outcomes.where(F.col("status") == IMPORTED)
+    return lookup_join(accepted, offsets, ["source"], ["line"]).select(
         F.col("key").alias("cnpj"),
         F.col("name").alias("razao_social"),
         empty.alias("aliases"),
         empty.alias("nomes_fantasia"),
         F.lit(True).alias("ativo"),
         F.col("source").alias("origem_import"),
-        F.col("line").alias("portfolio_seq"),
+        (top + F.col("_offset") + F.col("line")).alias("portfolio_seq"),
+        (F.current_timestamp() if created_at is None else created_at).alias("created_at"),
     )
 
 
-def unexpected_columns(df: DataFrame, expected: StructType) -> list[str]:
-    """M7: columns a strict record schema does not know."""
-    return sorted(set(df.columns) - set(expected.fieldNames()))
-
-
 def validate_records(df: DataFrame, key: str = "cnpj", name: str = "razao_social") -> DataFrame:
     """M7: add ``reason``, null for a record with a usable key and a name."""
     problem = normalise_key(F.col(key))["reason"]

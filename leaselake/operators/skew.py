@@ -91,39 +91,32 @@ def attach_group(
 
 
 def running_last(
-    df: DataFrame, key: str, order: str, value: Column, segment: Column, name: str
+    df: DataFrame, key: str, order: str, value: Column, segment: Column, name: str,
+    start: DataFrame | None = None, start_value: str = "",
 ) -> DataFrame:
     """Last non-null ``value`` before each row of a key, as a two-level scan.
 
     Rows of one key are cut into segments by ``segment`` (an integer that grows
     with ``order``). Segments are reduced first, their ends are carried forward over
     the short list of segments, and only one segment is ever ordered in one task.
+    ``start`` gives keys a value before their first row. Rows move once.
     """
     from pyspark.sql import Window as W
 
-    rows = df.withColumn("_segment", segment).withColumn("_value", value)
-    ends = (
-        rows.where(F.col("_value").isNotNull())
-        .groupBy(key, "_segment")
-        .agg(F.max_by("_value", order).alias("_end"))
-    )
-    all_segments = rows.select(key, "_segment").distinct()
-    carried = (
-        all_segments.join(ends, [key, "_segment"], "left")
-        .withColumn(
-            "_carry",
-            F.last("_end", ignorenulls=True).over(
-                W.partitionBy(key).orderBy("_segment").rowsBetween(W.unboundedPreceding, -1)
-            ),
-        )
-        .select(key, "_segment", "_carry")
+    rows = df.withColumn("_segment", segment).withColumn("_value", value).repartition(key, "_segment")
+    ends = rows.groupBy(key, "_segment").agg(
+        F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_end")
     )
+    before = W.partitionBy(key).orderBy("_segment").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(before))
+    if start is not None:
+        carried = carried.join(start, key, "left").withColumn("_carry", F.coalesce("_carry", start_value))
     inside = F.last("_value", ignorenulls=True).over(
         W.partitionBy(key, "_segment").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     )
     return (
         rows.withColumn("_inside", inside)
-        .join(carried, [key, "_segment"], "left")
+        .join(carried.select(key, "_segment", "_carry"), [key, "_segment"], "left")
         .withColumn(name, F.coalesce("_inside", "_carry"))
         .drop("_segment", "_value", "_inside", "_carry")
     )

@@ -266,7 +266,7 @@ e AS (SELECT * FROM jj WHERE effective),
 rs AS (SELECT cnpj, max(seq) AS rseq, arg_max(op, seq) AS rop FROM e WHERE op <> 'edit' GROUP BY 1),
 sn AS (SELECT e.* FROM e LEFT JOIN rs USING (cnpj) WHERE op <> 'remove' AND (rseq IS NULL OR seq >= rseq)),
 lt AS (SELECT cnpj, arg_max(name, seq) FILTER (name IS NOT NULL) AS lname, arg_max(ativo, seq) FILTER (ativo IS NOT NULL) AS lativo FROM sn GROUP BY 1),
-al AS (SELECT coalesce(p.cnpj, rs.cnpj) AS cnpj, p.razao_social, p.ativo, rs.rop FROM p FULL JOIN rs ON p.cnpj = rs.cnpj)
+al AS (SELECT coalesce(p.cnpj, rs.cnpj) AS cnpj, p.razao_social, p.ativo, p.portfolio_seq, rs.rop, rs.rseq FROM p FULL JOIN rs ON p.cnpj = rs.cnpj)
 """
 NEAR_NAME = (
     "(substr(upper(p_brand)||' '||p_type||' '||p_name, 1, CAST(p_partkey % 5 + 2 AS INT)) || "
@@ -553,24 +553,34 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL SELECT 1, portfolio_seq, 'Contrato da Empresa '||razao_social||' / '||cnpj||' não encontrado', NULL FROM cov WHERE n IS NULL
       UNION ALL SELECT 1, 0, 'Nenhuma pendência.', NULL FROM z WHERE d = 0"""
 
-    sql["upsert_portfolio"] = f"""WITH {PORTFOLIO}, i AS (SELECT DISTINCT o_custkey AS c, {key('o_custkey * 2 + 1')} AS cnpj FROM orders)
-      SELECT coalesce(p.cnpj, i.cnpj) AS cnpj, CASE WHEN i.cnpj IS NOT NULL THEN 'Novo Nome '||c ELSE razao_social END AS razao_social,
+    sql["upsert_portfolio"] = f"""WITH {PORTFOLIO}, i AS (SELECT {key('o_custkey * 2 + 1')} AS cnpj, min(o_orderkey) AS a, max(o_orderkey) AS z FROM orders GROUP BY o_custkey)
+      SELECT coalesce(p.cnpj, i.cnpj) AS cnpj, CASE WHEN i.cnpj IS NOT NULL THEN 'Novo Nome '||z ELSE razao_social END AS razao_social,
         CASE WHEN i.cnpj IS NOT NULL THEN true ELSE ativo END AS ativo, CASE WHEN i.cnpj IS NOT NULL THEN 'planilha.csv' ELSE 'carga' END AS origem_import,
-        coalesce(p.portfolio_seq, c + 5000000000) AS portfolio_seq, CAST(CASE WHEN i.cnpj IS NOT NULL THEN 0 ELSE 1 END AS BIGINT) AS aliases,
-        CASE WHEN p.cnpj IS NOT NULL THEN '2024' ELSE '2026' END AS created_year FROM p FULL JOIN i ON p.cnpj = i.cnpj"""
+        coalesce(p.portfolio_seq, a + 5000000000) AS portfolio_seq, CAST(CASE WHEN i.cnpj IS NOT NULL THEN 0 ELSE 1 END AS BIGINT) AS aliases,
+        CASE WHEN p.cnpj IS NOT NULL THEN '2024-01-01' ELSE '2026-01-01' END AS created_day FROM p FULL JOIN i ON p.cnpj = i.cnpj"""
+    sql["imported_portfolio"] = f"""WITH {OUTCOMES}, {PORTFOLIO},
+      off AS (SELECT source, coalesce(sum(n) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS skip
+        FROM (SELECT source, max("row" + 1) AS n FROM o GROUP BY source)),
+      i0 AS (SELECT "key" AS cnpj, name, o.source, (SELECT max(portfolio_seq) FROM p) + skip + "row" + 1 AS seq FROM o JOIN off USING (source) WHERE status = 'imported'),
+      i AS (SELECT cnpj, arg_max(name, seq) AS name, arg_max(source, seq) AS source, min(seq) AS seq FROM i0 GROUP BY cnpj)
+      SELECT coalesce(p.cnpj, i.cnpj) AS cnpj, coalesce(i.name, razao_social) AS razao_social, coalesce(i.source, 'carga') AS origem_import,
+        CAST(coalesce(p.portfolio_seq, i.seq) AS BIGINT) AS portfolio_seq, CASE WHEN p.cnpj IS NOT NULL THEN '2024-01-01' ELSE '2026-03-03' END AS created_day
+      FROM p FULL JOIN i ON p.cnpj = i.cnpj"""
     hash_ = "sha256(CAST(o_orderkey AS VARCHAR))"
     uid = f"sha256({hash_})"
     uuid_ = f"substr({uid},1,8)||'-'||substr({uid},9,4)||'-'||substr({uid},13,4)||'-'||substr({uid},17,4)||'-'||substr({uid},21,12)"
     sql["upsert_history"] = f"""SELECT CASE WHEN o_orderstatus IN ('F','O') THEN 'antigo-arquivo_'||o_orderkey ELSE {uuid_} END AS id,
       'arquivo_'||o_orderkey||CASE WHEN o_orderstatus IN ('O','P') THEN '_v2' ELSE '' END AS file_name, {hash_} AS file_hash,
-      o_orderkey % 2 = 0 AS needs_review, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders"""
+      o_orderkey % 2 = 0 AS needs_review, strftime(o_orderdate + to_days(CASE WHEN o_orderstatus IN ('O','P') THEN 1 ELSE 0 END), '%Y-%m-%d') AS day FROM orders"""
     sql["history_newest_first"] = f"SELECT 'arquivo_'||o_orderkey AS file_name, {hash_} AS file_hash FROM orders"
     sql["portfolio_by_name"] = f"WITH {PORTFOLIO} SELECT cnpj, razao_social FROM p"
     sql["json_round_trip"] = f"""WITH {FACTS}, {BRACKETS}, {TAX} SELECT contract_id, rent, {pick('ptax', '0', D, 'amount')}, {pick('prate', '0', 'DECIMAL(6,5)', 'rate')} FROM t"""
     sql["judged_changes"] = f"WITH {PORTFOLIO}, {CHANGES} SELECT seq, op, cnpj, reason, effective FROM jj"
     sql["applied_changes"] = f"""WITH {APPLIED} SELECT al.cnpj, CASE WHEN rop = 'insert' THEN lname ELSE coalesce(lname, razao_social) END AS razao_social,
       CASE WHEN rop = 'insert' THEN coalesce(lativo, true) ELSE coalesce(lativo, ativo) END AS ativo,
-      CASE WHEN rop = 'insert' THEN 'manual' ELSE 'carga' END AS origem_import
+      CASE WHEN rop = 'insert' THEN 'manual' ELSE 'carga' END AS origem_import,
+      CASE WHEN rop = 'insert' THEN (SELECT max(portfolio_seq) FROM p) + rseq ELSE portfolio_seq END AS portfolio_seq,
+      CASE WHEN rop = 'insert' THEN '2026-02-02' ELSE '2024-01-01' END AS created_day
       FROM al LEFT JOIN lt ON al.cnpj = lt.cnpj WHERE rop IS NULL OR rop <> 'remove'"""
     sql["deleted_companies"] = f"""WITH {PORTFOLIO}, g AS (SELECT DISTINCT {key('s_suppkey * 3 + 1')} AS cnpj FROM supplier)
       SELECT count(*) FILTER (g.cnpj IS NULL) AS kept, count(*) FILTER (g.cnpj IS NOT NULL) AS deleted FROM p LEFT JOIN g ON p.cnpj = g.cnpj"""

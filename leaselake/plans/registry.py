@@ -992,19 +992,31 @@ def compliance_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     companies = synth.portfolio(spark, sf_dir)
     empty = F.array().cast("array<string>")
-    imported = synth.table(spark, sf_dir, "orders").select("o_custkey").distinct().select(
+    # Every order brings its customer's company again: a key comes many times in one batch.
+    imported = synth.table(spark, sf_dir, "orders").select(
         synth.key_of(F.col("o_custkey") * 2 + 1).alias("cnpj"),
-        F.concat(F.lit("Novo Nome "), F.col("o_custkey").cast("string")).alias("razao_social"),
+        F.concat(F.lit("Novo Nome "), F.col("o_orderkey").cast("string")).alias("razao_social"),
         empty.alias("aliases"), empty.alias("nomes_fantasia"), F.lit(True).alias("ativo"),
         F.lit("planilha.csv").alias("origem_import"),
-        (F.col("o_custkey") + 5000000000).alias("portfolio_seq"),
+        (F.col("o_orderkey") + 5000000000).alias("portfolio_seq"),
         F.lit("2026-01-01 00:00:00").cast("timestamp").alias("created_at"),
     )
     merged = M.upsert_portfolio(companies, imported)
     return merged.select(
         "cnpj", "razao_social", "ativo", "origem_import", "portfolio_seq",
         F.size("aliases").cast("bigint").alias("aliases"),
-        F.date_format("created_at", "yyyy").alias("created_year"),
+        F.date_format("created_at", "yyyy-MM-dd").alias("created_day"),
+    )
+
+
+@query
+def imported_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted rows of all sheets merged into the portfolio; sheets share companies."""
+    companies = synth.portfolio(spark, sf_dir)
+    outcomes = I.import_rows(*_mapping(spark, sf_dir))
+    records = I.imported_companies(outcomes, companies, F.lit("2026-03-03 00:00:00").cast("timestamp"))
+    return M.upsert_portfolio(companies, records).select(
+        "cnpj", "razao_social", "origem_import", "portfolio_seq", F.date_format("created_at", "yyyy-MM-dd").alias("created_day")
     )
 
 
@@ -1025,10 +1037,12 @@ def upsert_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = rows.where(F.col("o_orderstatus").isin("F", "O")).drop("o_orderstatus").withColumn(
         "id", F.concat(F.lit("antigo-"), "file_name")
     )
-    new = rows.where(F.col("o_orderstatus").isin("O", "P")).drop("o_orderstatus").withColumn(
-        "file_name", F.concat("file_name", F.lit("_v2"))
-    )
-    return M.upsert_history(old, new).select(
+    arriving = rows.where(F.col("o_orderstatus").isin("O", "P")).drop("o_orderstatus")
+    # Each file arrives twice in the batch, a day apart.
+    new = arriving.withColumn("file_name", F.concat("file_name", F.lit("_v2"))).withColumn(
+        "processed_at", F.col("processed_at") + F.expr("INTERVAL 1 DAY")
+    ).unionByName(arriving.withColumn("file_name", F.concat("file_name", F.lit("_v1"))))
+    return M.upsert_history(old, new, ["processed_at"]).select(
         "id", "file_name", "file_hash", "needs_review", F.date_format("processed_at", "yyyy-MM-dd").alias("day")
     )
 
@@ -1086,7 +1100,10 @@ def judged_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def applied_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     companies = synth.portfolio(spark, sf_dir)
     judged = M.judge_changes(companies, _changes(spark, sf_dir))
-    return M.apply_changes(companies, judged).select("cnpj", "razao_social", "ativo", "origem_import")
+    changed = M.apply_changes(companies, judged, F.lit("2026-02-02 00:00:00").cast("timestamp"))
+    return changed.select(
+        "cnpj", "razao_social", "ativo", "origem_import", "portfolio_seq", F.date_format("created_at", "yyyy-MM-dd").alias("created_day")
+    )
 
 
 @query

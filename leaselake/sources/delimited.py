@@ -7,10 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leaselake.operators.skew import lookup_join
+from leaselake.session import stored
+from leaselake.sources.documents import file_name
 
 # Delimiters in order of preference, size of the sniffed sample.
 DELIMITERS = (",", ";", "\t")
 SAMPLE_CHARS = 4096
+#: Longest quoted cell, the limit of common readers; a quote left open longer than that is no cell.
+MAX_CELL_CHARS = 131_072
 
 
 def numbered_lines(raw: DataFrame) -> DataFrame:
@@ -35,7 +39,7 @@ def numbered_lines(raw: DataFrame) -> DataFrame:
         "_n", F.row_number().over(W.partitionBy("source", "block").orderBy("line_id"))
     )
     return inside.join(offsets, ["source", "block"]).select(
-        "source", (F.col("offset") + F.col("_n") - 1).alias("row"), "value"
+        "source", "block", (F.col("offset") + F.col("_n") - 1).alias("row"), "value"
     )
 
 
@@ -76,7 +80,7 @@ def split_cells(line: Column, delimiter: Column) -> Column:
     quoted = F.transform(
         F.split(line, outside),
         lambda c: F.when(
-            F.trim(c).rlike('^".*"$'),
+            F.trim(c).rlike('(?s)^".*"$'),
             F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"')),
         ).otherwise(c),
     )
@@ -87,38 +91,118 @@ def split_cells(line: Column, delimiter: Column) -> Column:
     )
 
 
+def _open_after(line: Column, delimiter: str, inside: bool) -> Column:
+    """True where a quoted cell is open at the end of a line that starts outside or inside one.
+
+    A quote opens a cell only where the cell begins; a doubled quote inside is a letter.
+    """
+    d = f"\\Q{delimiter}\\E" if delimiter != "\t" else "\t"
+    letters, other = '(?:[^"]++|"")*+', f"[^{delimiter}]*+"
+    closed_cell, plain_cell = f'"{letters}"{other}', f'[^"{delimiter}]{other}'
+    outside = f'(?:(?:{closed_cell}|{plain_cell})?{d})*"{letters}$'
+    if not inside:
+        return line.rlike(f"(?s)^{outside}")
+    return line.rlike(f"(?s)^{letters}$") | line.rlike(f'(?s)^{letters}"{other}{d}{outside}')
+
+
+def join_quoted(lines: DataFrame) -> DataFrame:
+    """Lines of one quoted cell as one row: source, row and value, rows numbered anew.
+
+    ``lines`` has source, block, row, value and delimiter. What a line does to the
+    open-or-not state of a cell is known without its neighbours: it leaves it, turns
+    it over, or sets it. So states are added up within blocks and then over the
+    blocks of a file, as line numbers are, and no file meets in one task. A row with a
+    cell longer than MAX_CELL_CHARS is empty; its lines are not gathered.
+    """
+    opened, kept = F.lit(False), F.lit(True)
+    for d in DELIMITERS:
+        same = F.col("delimiter") == d
+        opened = F.when(same, _open_after(F.col("value"), d, False)).otherwise(opened)
+        kept = F.when(same, _open_after(F.col("value"), d, True)).otherwise(kept)
+    quoted = F.contains("value", F.lit('"'))
+    at = W.partitionBy("source", "block").orderBy("row")
+    upto, before = at.rowsBetween(W.unboundedPreceding, W.currentRow), at.rowsBetween(W.unboundedPreceding, -1)
+    marked = lines.withColumn("_a", quoted & opened).withColumn("_b", ~quoted | kept)
+    turns = (F.col("_a") & ~F.col("_b")).cast("int")
+    marked = marked.withColumn("_turns", F.sum(turns).over(upto)).withColumn(
+        "_set", F.when(F.col("_a") == F.col("_b"), (F.col("_a").cast("int") + F.col("_turns")) % 2)
+    ).withColumn("_last", F.last("_set", ignorenulls=True).over(upto))
+    whole = marked.groupBy("source", "block").agg(
+        F.max("_turns").alias("_all_turns"), F.max_by("_last", "row").alias("_block_set")
+    )
+    blocks = W.partitionBy("source").orderBy("block")
+    sofar = blocks.rowsBetween(W.unboundedPreceding, W.currentRow)
+    state = (F.coalesce(F.last("_fixed", ignorenulls=True).over(sofar), F.lit(0)) + F.col("_sum")) % 2
+    whole = (
+        whole.withColumn("_sum", F.sum("_all_turns").over(sofar))
+        .withColumn("_fixed", F.when(F.col("_block_set").isNotNull(), (F.col("_block_set") + F.col("_all_turns") + F.col("_sum")) % 2))
+        .withColumn("_after", state)
+        .select("source", "block", F.coalesce(F.lag("_after").over(blocks), F.lit(0)).alias("_first"))
+    )
+    after = (F.coalesce(F.col("_last"), F.col("_first")) + F.col("_turns")) % 2
+    known = marked.join(whole, ["source", "block"]).withColumn("_open_after", after)
+    known = known.withColumn("_open", F.coalesce(F.lag("_open_after").over(at), F.col("_first"))).withColumn(
+        "_begun", F.sum(F.when(F.col("_open") == 0, 1).otherwise(0)).over(upto)
+    )
+    counts = known.groupBy("source", "block").agg(F.max("_begun").alias("_rows"))
+    offsets = counts.select(
+        "source", "block",
+        F.coalesce(F.sum("_rows").over(blocks.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
+    )
+    rows = known.join(offsets, ["source", "block"]).select(
+        "source", F.greatest(F.col("_offset") + F.col("_begun") - 1, F.lit(0)).alias("_record"), "row", "value", "delimiter",
+        ((F.col("_open") == 1) | (F.col("_open_after") == 1)).alias("_several"),
+    )
+    one = rows.where(~F.col("_several")).select("source", F.col("_record").alias("row"), "value", "delimiter")
+    several = rows.where("_several")
+    sizes = several.groupBy("source", "_record").agg(F.sum(F.length("value") + 1).alias("_size"), F.first("delimiter").alias("_delimiter"))
+    fitting = several.join(sizes.where(F.col("_size") <= MAX_CELL_CHARS).drop("_delimiter"), ["source", "_record"]).groupBy(
+        "source", F.col("_record").alias("row")
+    ).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "value"))), lambda r: r["value"]), "\n").alias("value"),
+        F.first("delimiter").alias("delimiter"),
+    )
+    endless = sizes.where(F.col("_size") > MAX_CELL_CHARS).select(
+        "source", F.col("_record").alias("row"), F.lit("").alias("value"), F.col("_delimiter").alias("delimiter")
+    )
+    return one.unionByName(fitting).unionByName(endless)
+
+
 def rows_from_lines(lines: DataFrame) -> DataFrame:
-    """source, row, cells from numbered lines (source, row, value)."""
+    """source, row, cells from numbered lines (source, row, value), with block also quoted line breaks."""
     cut = lookup_join(lines, sniff_delimiters(lines), ["source"], ["row"])
-    delimiter = F.coalesce(F.col("delimiter"), F.lit(DELIMITERS[0]))
-    return cut.select("source", "row", split_cells(F.col("value"), delimiter).alias("cells"))
+    cut = cut.withColumn("delimiter", F.coalesce(F.col("delimiter"), F.lit(DELIMITERS[0])))
+    if "block" in lines.columns:
+        cut = join_quoted(cut)
+    return cut.select("source", "row", split_cells(F.col("value"), F.col("delimiter")).alias("cells"))
 
 
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of every delimited file under ``path``.
+def read_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Rows of every delimited file under ``path``: source (full path), row, cells, file_name.
 
     A byte-order mark is dropped. A file with any line that is not UTF-8 is read as
-    ISO-8859-1 as a whole.
+    ISO-8859-1 as a whole. Files of the same name in several folders stay apart, and
+    quoted cells may hold line breaks.
     """
-    raw = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("source_path"),
-        F.col("_metadata.file_name").alias("source"),
+    raw = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_id"),
         "value",
     )
     utf8 = raw.groupBy("source").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
-    lines = lookup_join(
-        numbered_lines(raw.drop("source_path")), utf8, ["source"], ["row"]
-    ).select(
+    lines = lookup_join(numbered_lines(raw), utf8, ["source"], ["row"]).select(
         "source",
+        "block",
         "row",
         F.when(F.col("utf8"), F.col("value"))
         .otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
         .alias("value"),
     )
     mark = F.when(F.col("row") == 0, F.ltrim(F.col("value"), F.lit("\ufeff")))
-    return rows_from_lines(lines.withColumn("value", F.coalesce(mark, "value")))
+    # Sniffed, joined and cut from here on: written once.
+    lines = stored(lines.withColumn("value", F.coalesce(mark, "value")), "lines")
+    return rows_from_lines(lines).withColumn("file_name", file_name(F.col("source")))
 
 
 def cells_long(rows: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ NATIVE, OCR = "nativo", "ocr"
 FILE_NOT_FOUND = "Arquivo não encontrado."
 UNSUPPORTED = "Extensão de arquivo não suportada."
 UNREADABLE = "Falha no OCR: sem texto"
+NOT_UTF8 = "Erro inesperado na extração: o texto não está em UTF-8."
 DEFAULT_EXTENSIONS = ("txt",)
 
 
@@ -43,46 +44,62 @@ def _documents(raw: DataFrame) -> DataFrame:
         name.alias("file_name"),
         F.lower(name).alias("order_key"),
         content_hash(F.col("content")).alias("hash"),
-        F.decode("content", "UTF-8").alias("text"),
-    )
+        F.try_validate_utf8(F.col("content").cast("string")).alias("text"),
+    ).withColumn("error", F.when(F.col("text").isNull(), F.lit(NOT_UTF8)))
 
 
 def scan_documents(
-    spark: SparkSession, folder: str, extensions: tuple[str, ...] = DEFAULT_EXTENSIONS
+    spark: SparkSession,
+    folder: str | list[str],
+    extensions: tuple[str, ...] = DEFAULT_EXTENSIONS,
+    recursive: bool = False,
 ) -> DataFrame:
-    """Supported files of one folder, not its sub-folders; a missing folder raises.
+    """Supported files of a folder or of several, not their sub-folders unless ``recursive``.
 
-    ``order_key`` (then ``path``) is the processing order.
+    A missing folder raises. A file that is not UTF-8 has ``error`` instead of text; the
+    others go on. ``order_key`` (then ``path``) is the processing order.
     """
     raw = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", _glob(extensions))
-        .option("recursiveFileLookup", "false")
+        .option("recursiveFileLookup", str(recursive).lower())
         .load(folder)
     )
     return _documents(raw)
 
 
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def scan_listed(
     spark: SparkSession,
     requested: DataFrame,
-    folder: str,
+    folders: str | list[str],
     extensions: tuple[str, ...] = DEFAULT_EXTENSIONS,
+    recursive: bool = False,
 ) -> DataFrame:
-    """The requested paths (column ``path``), each with its text or its error."""
-    scanned = scan_documents(spark, folder, extensions).drop("file_name", "order_key")
-    wanted = requested.select("path").withColumn("_plain", F.regexp_replace("path", "^file:/+", "/"))
-    found = scanned.withColumn("_plain", F.regexp_replace("path", "^file:/+", "/")).drop("path")
+    """The requested paths (column ``path``), each with its text or its error.
+
+    ``folders`` are the ones the paths lie in; with ``recursive``, sub-folders too.
+    """
+    found = scan_documents(spark, folders, extensions, recursive).select(
+        _plain(F.col("path")).alias("_plain"), "hash", "text", F.col("error").alias("_unreadable")
+    )
     present = (
         spark.read.format("binaryFile")
-        .load(folder)
-        .select(F.regexp_replace("path", "^file:/+", "/").alias("_plain"), F.lit(True).alias("_present"))
+        .option("recursiveFileLookup", str(recursive).lower())
+        .load(folders)
+        .select(_plain(F.col("path")).alias("_plain"), F.lit(True).alias("_present"))
     )
+    wanted = requested.select("path").withColumn("_plain", _plain(F.col("path")))
     joined = lookup_join(
         lookup_join(wanted, present, ["_plain"], ["path"]), found, ["_plain"], ["path"]
     )
-    error = F.when(F.col("_present").isNull(), F.lit(FILE_NOT_FOUND)).when(
-        ~extension(F.col("path")).isin(*extensions), F.lit(UNSUPPORTED)
+    error = (
+        F.when(F.col("_present").isNull(), F.lit(FILE_NOT_FOUND))
+        .when(~extension(F.col("path")).isin(*extensions), F.lit(UNSUPPORTED))
+        .otherwise(F.col("_unreadable"))
     )
     name = file_name(F.col("path"))
     return joined.select(

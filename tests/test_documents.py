@@ -26,6 +26,23 @@ def test_listed_files(spark, tmp_path):
     assert rows == {"a.txt": (None, "texto"), "c.pdf": (S.UNSUPPORTED, None), "nada.txt": (S.FILE_NOT_FOUND, None)}
 
 
+def test_a_file_that_is_not_utf8_is_an_error_row(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("coração".encode("latin-1"))
+    (tmp_path / "b.txt").write_text("bom")
+    rows = {r.file_name: (r.text, r.error) for r in S.scan_documents(spark, str(tmp_path)).collect()}
+    assert rows == {"a.txt": (None, S.NOT_UTF8), "b.txt": ("bom", None)}
+
+
+def test_listed_files_of_several_folders(spark, tmp_path):
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.txt").write_text(folder)
+    wanted = spark.createDataFrame([(f"{tmp_path}/{n}",) for n in ("x/a.txt", "y/a.txt", "y/b.txt")], "path string")
+    for rows in (S.scan_listed(spark, wanted, [f"{tmp_path}/x", f"{tmp_path}/y"]), S.scan_listed(spark, wanted, str(tmp_path), recursive=True)):
+        got = {r.path.split("/", 2)[-1][-7:]: (r.text, r.error) for r in rows.collect()}
+        assert got == {"x/a.txt": ("x", None), "y/a.txt": ("y", None), "y/b.txt": (None, S.FILE_NOT_FOUND)}
+
+
 def test_routing(spark):
     df = spark.createDataFrame([("x" * 20, None), ("curto", "texto lido"), ("curto", None)], "text string, scan string")
     rows = S.route_text(df, "text", "scan").select("method", F.col("error").isNull().alias("ok")).collect()

@@ -166,17 +166,129 @@ def test_read_rows(spark, tmp_path):
 
     (tmp_path / "a.csv").write_bytes("﻿Empresa;CNPJ\nAção \"x\";1\n\"a;b\";2\n".encode("utf-8"))
     (tmp_path / "b.csv").write_bytes("Razão,CNPJ\nJoão,1\n".encode("latin-1"))
-    got = {(r.source, r.row): r.cells for r in read_rows(spark, str(tmp_path)).collect()}
+    got = {(r.file_name, r.row): r.cells for r in read_rows(spark, str(tmp_path)).collect()}
     assert got["a.csv", 0] == ["Empresa", "CNPJ"] and got["a.csv", 2] == ["a;b", "2"]
     assert got["b.csv", 0] == ["Razão", "CNPJ"] and got["b.csv", 1] == ["João", "1"]
 
 
-def test_dedup_hot_and_cold_keys_agree(spark):
+def test_same_names_in_two_folders_stay_apart(spark, tmp_path):
+    from leaselake.sources.delimited import read_rows
+
+    for folder, name in (("s1", "Um"), ("s2", "Dois")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.csv").write_text(f"CNPJ,Nome\n1,{name}\n")
+    rows = read_rows(spark, [str(tmp_path / "s1"), str(tmp_path / "s2")]).collect()
+    assert len({r.source for r in rows}) == 2 and {r.file_name for r in rows} == {"x.csv"}
+    assert sorted((r.row, r.cells) for r in rows) == [(0, ["CNPJ", "Nome"])] * 2 + [(1, ["1", "Dois"]), (1, ["1", "Um"])]
+
+
+def test_quoted_line_breaks_as_the_csv_module_reads_them(spark, tmp_path):
+    import csv
+    import io
+
+    from leaselake.sources import delimited as S
+
+    rng = random.Random(12)
+    texts = ['a,"b\nc",d\n1,2,3\n', '"x ""y""\n\n z",1\n"",2\n', 'a"b,c\nd"e,f\n', '"p\nq\nr","s\nt"\nu,v\n', '"open, not closed\nnext,row\n']
+    for _ in range(40):
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator="\n")
+        for _ in range(rng.randint(1, 6)):
+            writer.writerow(["".join(rng.choices('ab", \n', k=rng.randint(1, 6))).strip(" ") or "x" for _ in range(3)])
+        texts.append(out.getvalue())
+    rows = [
+        (f"{i}", n // 2, n, line, ",")
+        for i, text in enumerate(texts) for n, line in enumerate(text.removesuffix("\n").split("\n"))
+    ]
+    df = spark.createDataFrame(rows, "source string, block long, row long, value string, delimiter string")
+    got = {}
+    for r in S.join_quoted(df).collect():
+        got.setdefault(int(r.source), {})[r.row] = r.value
+    for i, text in enumerate(texts):
+        records = [got[i][n] for n in sorted(got[i])]
+        assert sorted(got[i]) == list(range(len(records)))
+        want = list(csv.reader(io.StringIO(text.removesuffix("\n"))))
+        assert [next(csv.reader(io.StringIO(r)), []) for r in records] == want, text
+        assert "\n".join(records) == text.removesuffix("\n")
+
+
+def test_a_quote_never_closed_gathers_no_file(spark, monkeypatch):
+    from leaselake.sources import delimited as S
+
+    monkeypatch.setattr(S, "MAX_CELL_CHARS", 50)
+    rows = [("a", n // 10, n, '"open' if n == 3 else f"line {n}", ",") for n in range(100)]
+    out = S.join_quoted(spark.createDataFrame(rows, "source string, block long, row long, value string, delimiter string"))
+    assert sorted((r.row, r.value) for r in out.collect()) == [(0, "line 0"), (1, "line 1"), (2, "line 2"), (3, "")]
+
+
+def test_header_row_given_by_the_caller(spark):
+    lines = [["relatório", ""]] * 14 + [["Nome", "CNPJ"], ["Alpha", A], ["Beta", BB]]
+    rows = spark.createDataFrame([(s, i, c) for s in ("a", "b") for i, c in enumerate(lines)], "source string, row long, cells array<string>")
+    given = spark.createDataFrame([("a", 14)], "source string, header_row int")
+    got = {r.source: (r.header_row, r.key_col, r.name_col) for r in I.map_columns(rows, header_rows=given).collect()}
+    assert got["a"] == (14, 1, 0) and got["b"][0] == 0
+    assert [r.key for r in I.import_rows(rows, I.map_columns(rows, header_rows=given).where("source = 'a'")).orderBy("line").collect()] == [A, BB]
+
+
+def test_upsert_gives_one_row_per_key(spark):
+    base = spark.createDataFrame([("k1", "old", 1), ("k2", "two", 2)], "cnpj string, razao_social string, portfolio_seq long")
+    batch = spark.createDataFrame(
+        [("k1", "first", 10), ("k1", "last", 12), ("k3", "new", 11), ("k3", "newer", 13)], "cnpj string, razao_social string, portfolio_seq long"
+    )
+    got = sorted(tuple(r) for r in M.upsert_portfolio(base, batch).collect())
+    assert got == [("k1", "last", 1), ("k2", "two", 2), ("k3", "newer", 11)]
+    with pytest.raises(ValueError):
+        M.upsert(base, batch, "cnpj", [])
+
+
+def test_imported_companies_are_numbered_after_stored_ones(spark):
+    lines = ["CNPJ,Razão Social", f"{A},Alpha", f"{BB},Beta"]
+    rows = spark.createDataFrame([(s, i, l.split(",")) for s in ("a.csv", "b.csv") for i, l in enumerate(lines)], "source string, row long, cells array<string>")
+    out = I.import_rows(rows, I.map_columns(rows))
+    stored = companies(spark, [(C, "Gamma", [])]).withColumn("portfolio_seq", F.lit(100).cast("long"))
+    got = I.imported_companies(out, stored, F.lit("2026-01-02").cast("timestamp")).collect()
+    assert sorted((r.origem_import, r.cnpj, r.portfolio_seq) for r in got) == [("a.csv", A, 102), ("a.csv", BB, 103), ("b.csv", A, 105), ("b.csv", BB, 106)]
+    assert {str(r.created_at) for r in got} == {"2026-01-02 00:00:00"}
+
+
+def test_inserted_again_is_created_again(spark):
+    base = spark.createDataFrame([(A, "Alpha", [], [], True, "carga", 7, "2020-01-01")],
+                                 "cnpj string, razao_social string, aliases array<string>, nomes_fantasia array<string>, ativo boolean, origem_import string, portfolio_seq long, at string")
+    base = base.withColumn("created_at", F.col("at").cast("timestamp")).drop("at")
+    rows = [(1, "remove", A, None), (2, "insert", A, "Alpha 2"), (3, "insert", BB, "Beta"), (4, "edit", BB, "Beta 2"), (5, "edit", A, "  ")]
+    changes = spark.createDataFrame([(*r, None, None, None) for r in rows],
+                                    "seq long, op string, cnpj string, razao_social string, aliases array<string>, nomes_fantasia array<string>, ativo boolean")
+    judged = M.judge_changes(base, changes)
+    got = {r.cnpj: (r.razao_social, r.origem_import, r.portfolio_seq, str(r.created_at)[:10]) for r in M.apply_changes(base, judged, F.lit("2026-02-02").cast("timestamp")).collect()}
+    assert got == {A: ("Alpha 2", "manual", 9, "2026-02-02"), BB: ("Beta 2", "manual", 10, "2026-02-02")}
+
+
+def _shuffles(df):
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum("Exchange hashpartitioning" in line and "Reused" not in line for line in plan.splitlines())
+
+
+def test_change_sets_shuffle_little(spark):
+    from leaselake.plans import registry as Q
+
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).is_dir():
+        pytest.skip("tables not present")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _shuffles(Q.applied_changes(spark, folder)) <= 7
+        assert _shuffles(Q.content_dedup(spark, folder)) <= 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_dedup_with_and_without_further_columns(spark):
     rows = [(i, "h" if i % 3 else f"u{i}", "ruim" if i == 1 else None) for i in range(60)] + [(99, None, None)]
     df = spark.createDataFrame(rows, "id long, hash string, error string")
     want = {r.id: r.status for r in dedup_by_content(df, "hash", ["id"], "error").collect()}
-    hot = {r.id: r.status for r in dedup_by_content(df, "hash", ["id"], "error", hot_rows=5).collect()}
-    assert want == hot
+    wide = dedup_by_content(df.withColumn("text", F.lit("t")), "hash", ["id"], "error")
+    assert want == {r.id: r.status for r in wide.collect()} and wide.columns == ["id", "hash", "error", "text", "status"]
     assert (want[1], want[2], want[4], want[0]) == ("error", "processed", "duplicate", "processed")
     assert tuple(batch_summary(dedup_by_content(df.where("id < 60"), "hash", ["id"], "error")).collect()[0]) == (60, 21, 38, 1)
 
@@ -193,7 +305,7 @@ def test_running_last_over_segments(spark):
 def test_upsert_keeps_and_overwrites(spark):
     base = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "k string, made int, v string")
     new = spark.createDataFrame([("b", 9, "z"), ("c", 8, "w")], "k string, made int, v string")
-    got = {r.k: (r.made, r.v) for r in M.upsert(base, new, "k", ("made",)).collect()}
+    got = {r.k: (r.made, r.v) for r in M.upsert(base, new, "k", ["v"], ("made",)).collect()}
     assert got == {"a": (1, "x"), "b": (2, "z"), "c": (8, "w")}
 
 
