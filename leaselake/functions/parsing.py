@@ -14,11 +14,6 @@ MONEY_TYPE = "decimal(18,2)"
 # Money and date patterns, month names, number words.
 MONEY_LITERAL = r"(\d{1,3}(?:\.\d{3})*(?:,\d{2})?|\d+(?:,\d{2})?)"
 MONEY_WITH_SYMBOL = r"(?iuU)R\$\s*" + MONEY_LITERAL
-DATE_LITERAL = (
-    r"(?:\d{1,2}[ºo°]?\s+de\s+[A-Za-zçãéêíóôúÇÃÉÊÍÓÔÚ]+\s+de\s+\d{4}"
-    r"|\d{1,2}/\d{1,2}/\d{4}"
-    r"|\d{1,2}/\d{4})"
-)
 NUMERIC_DATE = r"(?U)\b\d{1,2}/\d{1,2}/\d{4}\b"
 WRITTEN_DATE = r"(?iuU)\b(\d{1,2})[ºo°]?\s+de\s+([A-Za-zçãéêíóôúÇÃÉÊÍÓÔÚ]+)\s+de\s+(\d{4})\b"
 MONTH_YEAR = r"(?U)\b\d{1,2}/\d{4}\b"

@@ -50,28 +50,58 @@ def contains_any(col: Column, stems: tuple[str, ...]) -> Column:
     return reduce(or_, [F.contains(col, F.lit(stem)) for stem in stems])
 
 
+def _spelled(col: Column, table: dict[str, str]) -> Column:
+    """Replace characters by strings of any length; texts without one of them pass as they are."""
+    if not table:
+        return col
+    keys = "".join(sorted(table))
+    ranges, start = [], keys[0]
+    for left, right in zip(keys, keys[1:] + "\0"):
+        if ord(right) != ord(left) + 1:
+            ranges.append((ord(start), ord(left)))
+            start = right
+    letters = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+    entries = F.map_from_arrays(
+        F.split(F.lit("\x01".join(table)), "\x01"), F.split(F.lit("\x01".join(table.values())), "\x01", -1)
+    )
+    spelled = F.transform(F.split(col, ""), lambda c: F.coalesce(F.try_element_at(entries, c), c))
+    return F.when(col.rlike(f"[{letters}]"), F.array_join(spelled, "")).otherwise(col)
+
+
 @lru_cache(maxsize=1)
-def _unaccent_tables() -> tuple[str, str]:
-    """Build the accent map from the Unicode compatibility decomposition."""
-    source, target, dropped = [], [], []
-    blocks = [range(0xA0, 0x2500), range(0xFF01, 0xFF5F)]
-    for code in (c for block in blocks for c in block):
+def _decompositions() -> dict[str, str]:
+    """Characters of the basic plane without accents and compatibility forms, by the Unicode tables.
+
+    Hangul syllables and the characters that stay as they are have no entry.
+    """
+    out = {}
+    for code in (c for block in (range(0x80, 0xAC00), range(0xF900, 0x10000)) for c in block):
         char = chr(code)
-        plain = "".join(
-            c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)
-        )
-        if plain == "":
-            dropped.append(char)
-        elif plain != char and len(plain) == 1:
-            source.append(char)
-            target.append(plain)
-    return "".join(source + dropped), "".join(target)
+        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        if plain != char:
+            out[char] = plain
+    return out
+
+
+@lru_cache(maxsize=1)
+def _case_foldings() -> dict[str, str]:
+    """Characters whose case folding is not their lower-case form, by the Unicode tables."""
+    return {chr(c): chr(c).casefold() for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c).lower()}
 
 
 def unaccent(col: Column) -> Column:
-    """Remove accents and compatibility forms, one code point at a time."""
-    source, target = _unaccent_tables()
-    return F.translate(col, source, target)
+    """Remove accents and compatibility forms."""
+    table = _decompositions()
+    # Latin letters, nearly all there is, one for one; the rest where it occurs.
+    common = {c: p for c, p in table.items() if c < "\u2500" and len(p) < 2}
+    order = sorted(common, key=lambda c: not common[c])
+    plain = F.translate(col, "".join(order), "".join(common[c] for c in order))
+    return _spelled(plain, {c: p for c, p in table.items() if c not in common})
+
+
+def case_fold(col: Column) -> Column:
+    """Text in which letters differ by more than case only."""
+    return F.lower(_spelled(col, _case_foldings()))
 
 
 def header_key(col: Column) -> Column:
@@ -81,7 +111,7 @@ def header_key(col: Column) -> Column:
 
 def name_key(col: Column) -> Column:
     """party name with spaces collapsed and case folded."""
-    return F.lower(collapse_ws(col))
+    return case_fold(collapse_ws(col))
 
 
 def null_if_empty(col: Column) -> Column:

@@ -7,7 +7,6 @@ with one match per row) and the bracket is picked inside the row.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -217,8 +216,3 @@ def withholding_tax(
         F.when(known, record).alias(out),
         F.when(F.col("_gross") < 0, F.lit(T.NEGATIVE_BASE)).alias(f"{out}_reason"),
     )
-
-
-def union_tables(tables: list[DataFrame]) -> DataFrame:
-    """Several versions as one bracket table."""
-    return reduce(DataFrame.unionByName, tables)

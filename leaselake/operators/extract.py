@@ -19,6 +19,7 @@ from leaselake.functions import parsing as P
 from leaselake.functions.keys import COMPANY_PATTERN, PERSON_PATTERN, digits_only
 from leaselake.functions.text import collapse_ws, contains_any, fold_case, name_key, null_if_empty
 from leaselake.plans import lease_ptbr as R
+from leaselake.session import stored
 
 PARTY = "struct<type:string,name:string,document:string>"
 FIELD_TYPES = {
@@ -149,6 +150,28 @@ def _field(field: R.Field, raws: list[Column], values: list[Column]) -> Column:
     return F.coalesce(*attempts, missing(field.type, reason))
 
 
+# ---- blocks of the parties --------------------------------------------------------------
+_MARK = "\x01"
+
+
+def labelled_blocks(text: Column, root: str, opposite: str) -> Column:
+    """Blocks that follow a party's label, each up to its border; blocks that are too long are left out.
+
+    Labels are marked where their block begins. The text is cut before every border
+    (blank line, the other party, section heading), so a block is what a piece holds
+    behind a mark, provided the piece ends near enough.
+    """
+    marked = F.regexp_replace(
+        F.replace(text, F.lit(_MARK), F.lit(" ")), f"(?iuU)({root}{R.LABEL_SUFFIX}{R.LABEL_SEPARATOR})", f"$1{_MARK}"
+    )
+    borders = "|".join([R.BLANK_LINE, opposite, *R.SECTION_WORDS])
+    pieces = F.filter(F.split(marked, f"(?iuU)(?={borders})"), lambda p: F.contains(p, F.lit(_MARK)))
+    behind = F.transform(
+        pieces, lambda p: F.regexp_extract(p, f"(?s){_MARK}([^{_MARK}](?:{_MARK}?[^{_MARK}]){{0,{R.BLOCK_LENGTH - 1}}}){_MARK}?\\z", 1)
+    )
+    return F.transform(F.filter(behind, lambda b: b != ""), lambda b: F.replace(b, F.lit(_MARK), F.lit("")))
+
+
 # ---- parties (E1-E4) ------------------------------------------------------------------
 def parse_parties(blocks: Column) -> Column:
     """Name, tax id and type of every qualification block of an array.
@@ -425,21 +448,19 @@ def _attempts(rules: tuple[R.Field, ...]) -> list[tuple[R.Field, int, R.Rule]]:
 def _capture_stage(rules: tuple[R.Field, ...]) -> list[Column | str]:
     """Every pattern once over the whole text."""
     text, fold = F.col(TEXT), F.col(FOLD)
-    landlord_block = R.labelled_block(R.LANDLORD_ROOT, R.TENANT_ROOT)
-    tenant_block = R.labelled_block(R.TENANT_ROOT, R.LANDLORD_ROOT)
     return [
         TEXT,
         FOLD,
         *[_capture(fold, rule).alias(f"_{field.name}_{i}") for field, i, rule in _attempts(rules)],
         F.when(
             contains_any(fold, R.LANDLORD_STEMS),
-            F.regexp_extract_all(text, F.lit(landlord_block), F.lit(1)),
+            labelled_blocks(text, R.LANDLORD_ROOT, R.TENANT_ROOT),
         )
         .otherwise(F.array().cast("array<string>"))
         .alias("_landlord_blocks"),
         F.when(
             contains_any(fold, R.TENANT_STEMS),
-            null_if_empty(F.regexp_extract(text, tenant_block, 1)),
+            F.get(labelled_blocks(text, R.TENANT_ROOT, R.LANDLORD_ROOT), F.lit(0)),
         ).alias("_tenant_block"),
         _first(fold, R.PENALTY_VALUE, 1, R.PENALTY_STEMS).alias("_penalty_value"),
         _first(fold, R.PENALTY_RENTS, 1, R.PENALTY_STEMS).alias("_penalty_rents"),
@@ -643,32 +664,42 @@ def with_excerpt(
 def route_ambiguous(
     df: DataFrame,
     text_col: str,
-    interpreter: Callable[[Column], Column],
+    interpreter: Callable[[Column], Column] | None = None,
     field: str = "lease_type",
     allowed: tuple[str, ...] = R.LEASE_TYPES,
 ) -> DataFrame:
-    """Ask the caller's interpreter about the unresolved rows, in one pass.
+    """Ask the caller's interpreter about the unresolved rows, and about no others.
 
     ``interpreter`` maps the excerpt column to ``struct<value, confidence,
-    detail>`` (an Arrow ``pandas_udf`` or any Column function). Rows the rules
-    resolved give it a null excerpt and ignore its answer. A reply outside
-    ``allowed`` stays not found.
+    detail>`` (an Arrow ``pandas_udf`` or any Column function); a null answer means that
+    it is not configured. A reply outside ``allowed``, or no interpreter, leaves the
+    field not found, with the reason. The rows are written once and read by both parts.
     """
-    unresolved = ~(
-        F.col(field)["value"].isNotNull() & (F.col(field)["confidence"] >= R.REVIEW_LIMIT)
-    )
-    asked = with_excerpt(df, text_col, "_excerpt", unresolved)
-    reply = F.col("_reply")
-    answered = F.lower(F.trim(reply["value"]))
-    decided = F.when(
-        answered.isin(*allowed),
-        result(answered, reply["confidence"], R.BY_INTERPRETER, reply["detail"], "string"),
-    ).otherwise(missing("string", R.INTERPRETER_UNDECIDED))
-    return (
-        asked.withColumn("_reply", interpreter(F.col("_excerpt")))
-        .withColumn(field, F.when(F.col("_excerpt").isNotNull(), decided).otherwise(F.col(field)))
-        .drop("_excerpt", "_reply")
-    )
+    rows = stored(df, "routing")
+    resolved = F.coalesce(
+        F.col(field)["value"].isNotNull() & (F.col(field)["confidence"] >= R.REVIEW_LIMIT), F.lit(False)
+    )
+    unresolved = rows.where(~resolved)
+    if interpreter is None:
+        asked = unresolved.withColumn(field, missing("string", R.NO_INTERPRETER))
+    else:
+        reply = F.col("_reply")
+        answered = F.lower(F.trim(reply["value"]))
+        decided = (
+            F.when(reply.isNull(), missing("string", R.INTERPRETER_ABSENT))
+            .when(
+                answered.isin(*allowed),
+                result(answered, reply["confidence"], R.BY_INTERPRETER, reply["detail"], "string"),
+            )
+            .otherwise(missing("string", R.INTERPRETER_UNDECIDED))
+        )
+        asked = (
+            with_excerpt(unresolved, text_col, "_excerpt")
+            .withColumn("_reply", interpreter(F.col("_excerpt")))
+            .withColumn(field, decided)
+            .drop("_excerpt", "_reply")
+        )
+    return rows.where(resolved).unionByName(asked.select(*rows.columns))
 
 
 # ---- provenance and assembly (E23, E24, E26, A9) -----------------------------------------------

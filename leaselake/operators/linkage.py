@@ -235,7 +235,14 @@ def _best(pairs: DataFrame) -> DataFrame:
     )
 
 
-def best_names(names: DataFrame, portfolio: DataFrame, floor: float = DEFAULT_FLOOR) -> DataFrame:
+def prepared_candidates(portfolio: DataFrame) -> DataFrame:
+    """Distinct compare keys of all company names, stored; a stream links all its batches to one."""
+    return stored(_unique(candidate_names(portfolio)), "candidates")
+
+
+def best_names(
+    names: DataFrame, portfolio: DataFrame, floor: float = DEFAULT_FLOOR, candidates: DataFrame | None = None
+) -> DataFrame:
     """Best candidate of each distinct compare key ``a`` of ``names``, at or above ``floor``.
 
     Candidate and score are exact; a name that no candidate reaches the floor for is absent.
@@ -243,7 +250,7 @@ def best_names(names: DataFrame, portfolio: DataFrame, floor: float = DEFAULT_FL
     # Both sides are read several times below; storing the distinct compare keys once
     # keeps the contracts and the key computation out of every one of those reads.
     names = stored(names.select("a"), "names")
-    candidates = stored(_unique(candidate_names(portfolio)), "candidates")
+    candidates = prepared_candidates(portfolio) if candidates is None else candidates
     equal = names.join(candidates.withColumnRenamed("b", "a"), "a").select(
         "a", F.lit(KEY_SCORE).alias("score"), F.col("owner.key").alias("key")
     )
@@ -284,6 +291,7 @@ def link_entities(
     floor: float = DEFAULT_FLOOR,
     similarity: Similarity | None = None,
     pairs: Pairs | None = None,
+    candidates: DataFrame | None = None,
 ) -> DataFrame:
     """One row per contract with cnpj, status, method and score.
 
@@ -292,6 +300,7 @@ def link_entities(
     candidate lies from ``floor`` up to the threshold keeps that score for review; below
     the floor it has no candidate and the score is null, without a name it is 0. A
     measure of the caller's own needs the pairs to compare as well (``best_by``).
+    ``candidates`` are the portfolio's names if they are prepared already.
     """
     if (similarity is None) != (pairs is None):
         raise ValueError("give similarity and pairs together")
@@ -305,7 +314,7 @@ def link_entities(
     compared = compare_key(F.col(name)) if similarity is None else F.col(name)
     open_rows = keyed.where(F.col("key").isNull()).drop("key").withColumn("a", F.when(named, compared))
     names = open_rows.where(F.col("a").isNotNull()).select("a").distinct()
-    best = best_names(names, portfolio, floor) if similarity is None else best_by(names, portfolio, similarity, pairs, floor)
+    best = best_names(names, portfolio, floor, candidates) if similarity is None else best_by(names, portfolio, similarity, pairs, floor)
     hit = F.col("score") >= threshold
     by_name = lookup_join(open_rows, best, ["a"], [id_col]).select(
         id_col, name, document,

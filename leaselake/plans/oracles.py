@@ -6,6 +6,7 @@ with plain SQL; no extraction pattern of the library appears here.
 
 from __future__ import annotations
 
+from leaselake.operators.report import HEADERS
 from leaselake.plans.tax_tables import BRACKETS_2026
 from leaselake.synth import FACTS_SQL, MONTH_NAMES, REF_DATE
 
@@ -544,8 +545,12 @@ def oracle_sql() -> dict[str, str]:
       CASE WHEN {AUTOMATIC} THEN 'Sim' ELSE 'Não' END AS d_adjustment_automatic, CASE WHEN layout<>3 THEN {br_date('end_date')} ELSE '' END AS d_due,
       coalesce(grace_months||' meses', '') AS d_grace, {EXPENSES} AS d_expenses, {RENEWAL} AS d_renewal,
       CASE WHEN co_owner=1 THEN 'Ana Prado '||contract_id ELSE '' END AS d_extra_landlords FROM l"""
-    sql["report_sheet"] = f"""WITH {LEDGER}, z AS (SELECT count(*) AS n, CAST(sum(tax_withheld) AS {D}) AS a, CAST(sum(tax_reduction) AS {D}) AS b FROM l)
-      SELECT n AS "rows", CAST(1 AS BIGINT) AS total_rows, {money('a')} AS total_tax, {money('b')} AS total_reduction FROM z"""
+    before, shown = sql["ledger_display"].split(" SELECT contract_id, tenant_name AS d_tenant,", 1)
+    titles = ", ".join(f'd_{name} AS "{title}"' for name, title in HEADERS)
+    total = {"tenant": "'TOTAL'", "tax": money("a"), "reduction": money("b")}
+    totals = ", ".join(total.get(name, "''") for name, _ in HEADERS)
+    sql["report_sheet"] = f"""{before}, dd AS (SELECT contract_id, tenant_name AS d_tenant,{shown}), z AS (SELECT CAST(sum(tax_withheld) AS {D}) AS a, CAST(sum(tax_reduction) AS {D}) AS b FROM l)
+      SELECT CAST(0 AS BIGINT) AS section, contract_id, {titles} FROM dd UNION ALL SELECT 1, NULL, {totals} FROM z"""
     sql["compliance_sheet"] = f"""WITH {COVERAGE}, z AS (SELECT count(*) AS a, (SELECT count(*) FROM k) AS b, count(*) FILTER (n IS NOT NULL) AS c, count(*) FILTER (n IS NULL) AS d FROM cov)
       SELECT CAST(0 AS BIGINT) AS section, CAST(0 AS BIGINT) AS position, 'Empresas cadastradas' AS label, CAST(a AS VARCHAR) AS "value" FROM z
       UNION ALL SELECT 0, 1, 'Contratos localizados', CAST(b AS VARCHAR) FROM z UNION ALL SELECT 0, 2, 'Empresas com contrato', CAST(c AS VARCHAR) FROM z
@@ -572,6 +577,16 @@ def oracle_sql() -> dict[str, str]:
     sql["upsert_history"] = f"""SELECT CASE WHEN o_orderstatus IN ('F','O') THEN 'antigo-arquivo_'||o_orderkey ELSE {uuid_} END AS id,
       'arquivo_'||o_orderkey||CASE WHEN o_orderstatus IN ('O','P') THEN '_v2' ELSE '' END AS file_name, {hash_} AS file_hash,
       o_orderkey % 2 = 0 AS needs_review, strftime(o_orderdate + to_days(CASE WHEN o_orderstatus IN ('O','P') THEN 1 ELSE 0 END), '%Y-%m-%d') AS day FROM orders"""
+    sql["history_lookup"] = f"SELECT 'arquivo_'||o_orderkey AS file_name, {hash_} AS file_hash FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)"
+    sql["contract_json"] = f"WITH {FACTS} SELECT contract_id, tenant_name, rent, true AS same FROM f"
+    sql["bracket_versions"] = f"WITH {YEARLY} SELECT version, lo, rate FROM yb"
+    sql["one_bracket_version"] = f"WITH {YEARLY} SELECT version, lo, hi, rate FROM yb WHERE version = (SELECT min(version) FROM yb)"
+    sql["document_files"] = """SELECT doc_id, CASE WHEN NOT bad THEN t END AS text, CASE WHEN missing THEN 'Arquivo não encontrado.'
+        WHEN bad THEN 'Erro inesperado na extração: o texto não está em UTF-8.' END AS error
+      FROM (SELECT doc_id, text||chr(10) AS t, lang <> 'en' AND regexp_matches(text, '[^\\x00-\\x7F]') AS bad, false AS missing FROM documents
+        UNION ALL SELECT -1, NULL, true, true)"""
+    sql["delimited_files"] = """SELECT folder, c_custkey||'|'||c_name||' & irmã'||CASE WHEN c_custkey % 5 = 0 THEN chr(10)||'filial; "centro", sul' ELSE '' END||'|'||c_nationkey AS cells
+      FROM customer, (VALUES ('a'), ('b')) AS t(folder)"""
     sql["history_newest_first"] = f"SELECT 'arquivo_'||o_orderkey AS file_name, {hash_} AS file_hash FROM orders"
     sql["portfolio_by_name"] = f"WITH {PORTFOLIO} SELECT cnpj, razao_social FROM p"
     sql["json_round_trip"] = f"""WITH {FACTS}, {BRACKETS}, {TAX} SELECT contract_id, rent, {pick('ptax', '0', D, 'amount')}, {pick('prate', '0', 'DECIMAL(6,5)', 'rate')} FROM t"""

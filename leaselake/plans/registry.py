@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -226,16 +227,13 @@ def contract_lease_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ambiguous_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The interpreter here is a Column function; a pandas_udf takes the same place."""
+    """The interpreter is an Arrow UDF; it sees only the rows the rules left open."""
     fields = E.extract_fields(synth.contracts(spark, sf_dir), keep_text=True)
 
-    def interpreter(excerpt: Column) -> Column:
-        seen = F.contains(excerpt, F.lit("foro da comarca"))
-        return F.struct(
-            F.when(seen, F.lit(" Comercial ")).otherwise(F.lit("banana")).alias("value"),
-            F.lit(0.8).alias("confidence"),
-            F.lit("lido no trecho").alias("detail"),
-        )
+    @F.pandas_udf("value string, confidence double, detail string")
+    def interpreter(excerpts: pd.Series) -> pd.DataFrame:
+        seen = excerpts.str.contains("foro da comarca", regex=False)
+        return pd.DataFrame({"value": seen.map({True: " Comercial ", False: "banana"}), "confidence": 0.8, "detail": "lido no trecho"})
 
     return E.route_ambiguous(fields, "text", interpreter).select("contract_id", "lease_type.*")
 
@@ -602,6 +600,19 @@ def latest_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TAB.tax_version(_yearly_brackets(spark, sf_dir)).select("version", "lo", "hi", "rate", "deduction")
 
 
+@query
+def bracket_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = TAB.tax_versions(_yearly_brackets(spark, sf_dir))
+    return rows.select("version", "lo", "rate")
+
+
+@query
+def one_bracket_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _yearly_brackets(spark, sf_dir)
+    first = rows.agg(F.min("version")).first()[0]
+    return TAB.tax_version(rows, first).select("version", "lo", "hi", "rate")
+
+
 @query
 def replaced_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = _yearly_brackets(spark, sf_dir)
@@ -967,15 +978,9 @@ def ledger_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def report_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First sheet, read at its edges: rows per section and the two totals shown."""
+    """First sheet: all rows under the 15 headers, then the total row."""
     rows = R.report_rows(ledger_table(spark, sf_dir), "contract_id")
-    total = F.col("section") == 1
-    return rows.agg(
-        F.count_if(~total).alias("rows"),
-        F.count_if(total).alias("total_rows"),
-        F.max(F.when(total, F.col("`IRRF Retido`"))).alias("total_tax"),
-        F.max(F.when(total, F.col("`Redução IRRF (Lei 15.270/2025)`"))).alias("total_reduction"),
-    )
+    return rows.withColumn("section", F.col("section").cast("bigint"))
 
 
 @query
@@ -1067,6 +1072,58 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select(TAB.record_from_json(F.col("json"), schema).alias("r")).select("r.*")
 
 
+@query
+def history_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of one content hash, that of the least order key."""
+    least = synth.table(spark, sf_dir, "orders").agg(F.sha2(F.min("o_orderkey").cast("string"), 256)).first()[0]
+    return TAB.history_by_hash(_history(spark, sf_dir), least).select("file_name", "file_hash")
+
+
+@query
+def contract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole contracts, nested parties, lists, maps and nulls, to JSON text and back."""
+    contracts = analysed(spark, sf_dir)
+    text = contracts.select(TAB.record_to_json(contracts, contracts.columns).alias("json"))
+    back = text.select("json", TAB.record_from_json(F.col("json"), contracts.schema).alias("r")).select("json", "r.*")
+    again = TAB.record_to_json(back.drop("json"), contracts.columns)
+    return back.select(
+        "contract_id", F.col("tenant.name").alias("tenant_name"), "rent", (F.col("json") == again).alias("same")
+    )
+
+
+@query
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of one name in folders of their own, some not in UTF-8, read back as a list."""
+    path = work_folder(spark, "files")
+    documents = synth.table(spark, sf_dir, "documents")
+    raw = F.when(F.col("lang") == "en", F.col("text")).otherwise(F.encode("text", "ISO-8859-1").cast("string"))
+    documents.select("doc_id", raw.alias("value")).coalesce(1).write.partitionBy("doc_id").text(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    listed = files.unionByName(spark.createDataFrame([(f"{path}/doc_id=-1/nada.txt",)], "path string"))
+    found = DOC.scan_listed(spark, listed, path, recursive=True)
+    number = F.regexp_extract("path", r"doc_id=(-?\d+)/", 1).cast("bigint")
+    return found.select(number.alias("doc_id"), "text", "error")
+
+
+@query
+def delimited_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as delimited files of equal names in two folders, in two encodings, with line breaks in cells."""
+    path = work_folder(spark, "sheets")
+    key = F.col("c_custkey")
+    name = F.concat(
+        F.col("c_name"), F.lit(" & irmã"), F.when(key % 5 == 0, F.lit('\nfilial; "centro", sul')).otherwise(F.lit(""))
+    )
+    rows = synth.table(spark, sf_dir, "customer").select(key.alias("k"), name.alias("name"), F.col("c_nationkey").alias("n"))
+    for encoding, delimiter in (("UTF-8", ";"), ("ISO-8859-1", ",")):
+        both = rows.withColumn("folder", F.explode(F.array(F.lit("a"), F.lit("b")))).repartition(2, "k")
+        both = both.where(F.pmod("k", F.lit(2)) == (0 if encoding == "UTF-8" else 1))
+        both.write.option("encoding", encoding).option("sep", delimiter).option("quoteAll", "true").option(
+            "escape", '"'
+        ).partitionBy("folder").csv(f"{path}/{encoding}")
+    read = S.read_rows(spark, [f"{path}/{e}/folder={f}" for e in ("UTF-8", "ISO-8859-1") for f in ("a", "b")])
+    return read.select(F.regexp_extract("source", "folder=(.)", 1).alias("folder"), F.array_join("cells", "|").alias("cells"))
+
+
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     op = (
@@ -1185,12 +1242,17 @@ def _stream_of(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
 
 @query
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = synth.table(spark, sf_dir, "events").schema
-    events = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-        .select(F.concat_ws("/", "user_id", "event_type").alias("hash"), F.col("ts").cast("timestamp").alias("ts"))
-    )
-    return _drain(STREAM.stream_dedup(events, "hash", "ts", "60 days"), spark, "dedup").select("hash")
+    """Events in five arrivals, each with events of the whole time, so that most come late."""
+    events = synth.table(spark, sf_dir, "events").select(
+        F.concat_ws("/", "user_id", "event_type").alias("hash"), F.col("ts").cast("timestamp").alias("ts"),
+        F.pmod(F.xxhash64("event_id"), F.lit(5)).alias("arrival"),
+    )
+    path = work_folder(spark, "events")
+    events.repartition(5, "arrival").drop("arrival").write.parquet(path)
+    arriving = spark.readStream.schema("hash string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    out = work_folder(spark, "dedup")
+    STREAM.stream_dedup(arriving, "hash", "ts", f"{out}/first", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/first").select("hash")
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leaselake.operators.dedup import dedup_by_content
-from leaselake.operators.linkage import link_entities
+from leaselake.operators.linkage import link_entities, prepared_candidates
 from leaselake.operators.maintain import hash_id
 from leaselake.plans.contracts import analyse
 from leaselake.sources.documents import _documents, _glob
@@ -88,19 +88,41 @@ def stream_ingest(
     )
 
 
-def stream_dedup(stream: DataFrame, hash_col: str, time_col: str, delay: str = "1 hour") -> DataFrame:
-    """R2: first event per hash; state is dropped once the watermark passes."""
-    timed = stream.withColumn(time_col, F.col(time_col).cast("timestamp"))
-    return timed.withWatermark(time_col, delay).dropDuplicatesWithinWatermark([hash_col])
+def stream_dedup(stream: DataFrame, hash_col: str, time_col: str, out: str, checkpoint: str) -> StreamingQuery:
+    """R2: the first event of each hash, however late it or its copies come.
+
+    The hashes written by earlier batches are the state: a batch is reduced to its first
+    event per hash and matched with them. No event is dropped for being late, and a
+    repeated batch replaces itself. One output folder per batch.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        fields = [c for c in batch.columns if c != hash_col]
+        first = batch.groupBy(hash_col).agg(F.min_by(F.struct(*fields), time_col).alias("_first")).select(hash_col, "_first.*")
+        if batch_id:
+            seen = batch.sparkSession.read.schema(f"{hash_col} {dict(batch.dtypes)[hash_col]}, batch long").parquet(out)
+            first = first.join(seen.where(F.col("batch") < batch_id).select(hash_col), hash_col, "left_anti")
+        first.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return (
+        stream.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 def stream_link(
     contracts: DataFrame, portfolio: DataFrame, out: str, checkpoint: str, id_col: str = "contract_id",
 ) -> StreamingQuery:
-    """Link arriving contracts to the portfolio; one output folder per batch."""
+    """Link arriving contracts to the portfolio; one output folder per batch.
+
+    The portfolio is that of the start; its names are prepared once for all batches.
+    """
+    candidates = prepared_candidates(portfolio)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        links = link_entities(batch, portfolio, id_col)
+        links = link_entities(batch, portfolio, id_col, candidates=candidates)
         links.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
