@@ -55,6 +55,12 @@ class Facts:
     def n_dup_lines(self) -> int:
         return len(self.lines) - len(set(self.lines))
 
+    @cached_property
+    def line_bytes(self) -> tuple[int, int]:
+        """Bytes of all lines, and of the lines equal to an earlier one."""
+        whole = sum(map(len, self.lines))
+        return whole, whole - sum(map(len, set(self.lines)))
+
     @cached_property
     def n_repeat_words(self) -> int:
         """Words inside 3-word windows that the text has at least twice."""
@@ -92,7 +98,7 @@ RULES: dict[str, Callable[[Facts], bool]] = {
     "short_words": lambda f: f.word_chars < 2 * f.n_words,
     "long_words": lambda f: f.word_chars > 14 * f.n_words,
     "symbols": lambda f: 10 * f.n_symbols > 2 * f.n_words,
-    "repeated_lines": lambda f: 10 * f.n_dup_lines > 3 * len(f.lines),
+    "repeated_lines": lambda f: 10 * f.line_bytes[1] > 3 * f.line_bytes[0],
     "shouting": lambda f: 10 * f.n_upper > 3 * (f.n_upper + f.n_lower),
     "exclaiming": lambda f: 10 * f.raw.count(b"!") > 2 * f.n_words,
     "stuttering": lambda f: 10 * f.n_adjacent > 3 * f.n_words,
@@ -204,13 +210,14 @@ WITH d AS (
     len(list_filter(range(2, greatest(len(w) + 1, 2)), lambda i: w[i] = w[i - 1])) AS adjacent
   FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id
 ), base AS (
-  SELECT *, len(l) - len(list_distinct(l)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  SELECT *, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(list_sum(list_transform(l, lambda x: strlen(x))), 0) AS line_bytes,
+    coalesce(list_sum(list_transform(list_distinct(l), lambda x: strlen(x))), 0) AS distinct_bytes, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
   FROM facts
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (
     word_chars < 2 * n_words OR word_chars > 14 * n_words OR 10 * n_symbols > 2 * n_words
-    OR 10 * n_dup_lines > 3 * len(l) OR 10 * up > 3 * (up + low) OR 10 * bangs > 2 * n_words
+    OR 10 * (line_bytes - distinct_bytes) > 3 * line_bytes OR 10 * up > 3 * (up + low) OR 10 * bangs > 2 * n_words
     OR 10 * adjacent > 3 * n_words
   ) AS kept
 FROM base
