@@ -98,7 +98,7 @@ RULES: dict[str, Callable[[Facts], bool]] = {
     "short_words": lambda f: f.word_chars < 2 * f.n_words,
     "long_words": lambda f: f.word_chars > 14 * f.n_words,
     "symbols": lambda f: 10 * f.n_symbols > 2 * f.n_words,
-    "repeated_lines": lambda f: 10 * f.line_bytes[1] > 3 * f.line_bytes[0],
+    "repeated_lines": lambda f: 10 * f.line_bytes[1] > 2 * f.line_bytes[0],
     "shouting": lambda f: 10 * f.n_upper > 3 * (f.n_upper + f.n_lower),
     "exclaiming": lambda f: 10 * f.raw.count(b"!") > 2 * f.n_words,
     "stuttering": lambda f: 10 * f.n_adjacent > 3 * f.n_words,
@@ -217,7 +217,7 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (
     word_chars < 2 * n_words OR word_chars > 14 * n_words OR 10 * n_symbols > 2 * n_words
-    OR 10 * (line_bytes - distinct_bytes) > 3 * line_bytes OR 10 * up > 3 * (up + low) OR 10 * bangs > 2 * n_words
+    OR 10 * (line_bytes - distinct_bytes) > 2 * line_bytes OR 10 * up > 3 * (up + low) OR 10 * bangs > 2 * n_words
     OR 10 * adjacent > 3 * n_words
   ) AS kept
 FROM base
