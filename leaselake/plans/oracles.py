@@ -387,8 +387,18 @@ def oracle_sql() -> dict[str, str]:
     sql["review_reasons"] = f"WITH {FACTS} SELECT contract_id, {REVIEW_LIST} <> '' AS needs_review, {REASON} AS review_reason FROM f"
     sql["extraction_accuracy"] = f"""WITH {FACTS}, n AS (SELECT count(*) AS c, count(*) FILTER (contract_id % 50 <> 0) AS r FROM f)
       SELECT 'rent' AS field, c AS documents, r AS agreeing, r / c::DOUBLE AS accuracy FROM n UNION ALL """ + " UNION ALL ".join(
-        f"SELECT '{x}', c, c, 1.0::DOUBLE FROM n" for x in ("start_date", "end_date", "term_months", "due_day", "adjustment_index")
+        f"SELECT '{x}', c, c, 1.0::DOUBLE FROM n" for x in (
+            "start_date", "end_date", "term_months", "due_day", "adjustment_index", "landlord_type", "landlord_name", "landlord_document",
+            "tenant_name", "tenant_document", "lease_type", "index_source", "adjustment_period_months", "grace_months",
+        )
     )
+    numbers = "CAST([2, 3, 4, 5, 10, 24][CAST(k % 6 + 1 AS INT)] AS BIGINT)"
+    sql["clause_values"] = f"""SELECT k AS contract_id, CASE k % 7 WHEN 0 THEN {numbers} WHEN 1 THEN (k % 9 + 1) * 12 WHEN 2 THEN {numbers} * 12 WHEN 3 THEN k % 9 + 1 END AS term_months,
+      CASE k % 7 WHEN 0 THEN 0.7 WHEN 1 THEN 0.9 WHEN 2 THEN 0.7 WHEN 3 THEN 0.45 ELSE 0.0 END::DOUBLE AS confidence,
+      CASE WHEN k % 7 = 4 THEN 'moeda estrangeira' END AS "index", CASE WHEN k % 7 = 6 THEN 'comercial' END AS lease_type,
+      CASE WHEN k % 7 = 5 THEN 'locador' END AS administration FROM (SELECT o_orderkey AS k FROM orders)"""
+    sql["contract_triage"] = f"""WITH {FACTS} SELECT 'contract' AS triage, count(*) AS documents FROM f
+      UNION ALL SELECT CASE WHEN length(text) < 400 THEN 'scanned' ELSE 'other' END, count(*) FROM documents GROUP BY 1"""
     sql["document_triage"] = "SELECT CASE WHEN length(text) < 400 THEN 'scanned' ELSE 'other' END AS triage, count(*) AS documents FROM documents GROUP BY 1"
     sql["document_fields"] = "SELECT lang, count(*) AS documents, CAST(0 AS BIGINT) AS landlords, CAST(0 AS BIGINT) AS rents FROM documents GROUP BY 1"
     sql["legal_flags"] = f"""WITH {FACTS} SELECT contract_id, guarantee_kind = 4 AS several_guarantees,
@@ -534,6 +544,9 @@ def oracle_sql() -> dict[str, str]:
       CAST(next_date AS VARCHAR) AS adjustment_next, {AUTOMATIC} AS adjustment_automatic, renewal_kind < 2 AS renewal_automatic,
       CAST(CASE WHEN layout<>3 THEN end_date END AS VARCHAR) AS due_date, CAST(grace_months AS BIGINT) AS grace_months, tax_withheld, tax_reduction,
       false AS incomplete, review_list <> '' AS needs_review FROM l"""
+    gap = "(contract_id % 11 = 0 OR contract_id % 7 = 0)"
+    sql["ledger_gaps"] = f"""WITH {LEDGER} SELECT contract_id, {gap} AS incomplete, {gap} OR review_list <> '' AS needs_review, {gap} AS says_incomplete FROM l"""
+    sql["ledger_without_empty_rows"] = f"WITH {LEDGER} SELECT contract_id, tenant_name, CASE WHEN contract_id % 7 <> 0 THEN rent END AS rent FROM l WHERE contract_id % 11 <> 0"
     sql["ledger_totals"] = f"""WITH {LEDGER} SELECT count(*) AS contracts, CAST(sum(tax_withheld) AS DECIMAL(28,2)) AS total_tax,
       CAST(sum(tax_reduction) AS DECIMAL(28,2)) AS total_reduction FROM l"""
     sql["ledger_filter"] = f"""WITH {LEDGER} SELECT contract_id, tenant_name, adjustment_index AS "index" FROM l
