@@ -10,7 +10,7 @@ from leaselake import synth
 from leaselake.operators.extract import extract_fields
 from leaselake.plans import registry
 from leaselake.plans.registry import queries
-from leaselake.session import local_session, stored
+from leaselake.session import local_session, release_work, stored
 
 HEADLINE = (
     "contract_parties", "contract_adjustment", "legal_flags", "document_fields", "content_dedup",
@@ -48,6 +48,7 @@ def main() -> None:
         start = time.time()
         _run(registered[name](spark, sf_dir))
         times[name] = round(time.time() - start, 3)
+    release_work(spark)
     print(
         json.dumps(
             {

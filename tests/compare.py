@@ -47,7 +47,7 @@ def difference(spark, con, query, sql: str, sf_dir: str) -> str:
 def main(sf_dir: str, names: list[str]) -> None:
     sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
     import __spark_entry__ as entry
-    from leaselake.session import local_session
+    from leaselake.session import local_session, release_work
 
     spark, con = local_session(), connect(sf_dir)
     sql = entry.oracle_sql()
@@ -63,6 +63,7 @@ def main(sf_dir: str, names: list[str]) -> None:
         except Exception as error:  # noqa: BLE001 - report and go on
             account = "FAILED " + str(error)[:500].replace("\n", " ")
         print(f"{name:26s} {time.time() - start:6.1f}s {account}", flush=True)
+    release_work(spark)
 
 
 if __name__ == "__main__":

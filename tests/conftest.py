@@ -7,10 +7,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from leaselake.session import local_session
+def spark(tmp_path_factory):
+    from leaselake.session import local_session, release_work
 
-    return local_session("leaselake-tests")
+    session = local_session("leaselake-tests", work_dir=str(tmp_path_factory.mktemp("work")))
+    yield session
+    release_work(session)
 
 
 @pytest.fixture(scope="session")

@@ -43,6 +43,20 @@ def test_listed_files_of_several_folders(spark, tmp_path):
         assert got == {"x/a.txt": ("x", None), "y/a.txt": ("y", None), "y/b.txt": (None, S.FILE_NOT_FOUND)}
 
 
+def test_work_folders_lie_in_the_named_folder_and_go_when_released(spark):
+    import os
+
+    from leaselake import session
+
+    folder = session.work_folder(spark, "trial").rpartition("/")[0]
+    assert folder == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    mine, other = session._MADE.pop(spark.sparkContext.applicationId), set(os.listdir(folder))
+    table = session.stored(spark.range(3), "trial")
+    assert table.count() == 3 and len(os.listdir(folder)) == len(other) + 1
+    assert session.release_work(spark) == 1 and set(os.listdir(folder)) == other
+    session._MADE[spark.sparkContext.applicationId] = mine
+
+
 def test_routing(spark):
     df = spark.createDataFrame([("x" * 20, None), ("curto", "texto lido"), ("curto", None)], "text string, scan string")
     rows = S.route_text(df, "text", "scan").select("method", F.col("error").isNull().alias("ok")).collect()
