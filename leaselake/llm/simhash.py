@@ -147,6 +147,9 @@ def connections(distinct: DataFrame) -> DataFrame:
     of about BLOCK filed by BLOCK looked-up fingerprints; a cell compares all of its own and gives a
     spanning forest, so what leaves it grows with its rows and not with their square.
     """
+    # A fingerprint becomes some 80 rows: a task gets as many as suits those, not as many as fill a file.
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = distinct.repartition(tasks, "fingerprint")
     filed, looked_up = _keyed(distinct, _filed), _keyed(distinct, _looked_up)
     busy = stored(
         filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
