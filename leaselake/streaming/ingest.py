@@ -60,6 +60,19 @@ def read_history(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def compact_history(spark: SparkSession, root: str, new_root: str) -> int:
+    """Write the history as of now to a new folder as one batch; the number of that batch.
+
+    Records lie there by ranges of their hash. The stream goes on with the new folder and its
+    old checkpoint: later batches have higher numbers, so they win as before.
+    """
+    last = spark.read.parquet(root).agg(F.max("batch")).first()[0]
+    read_history(spark, root).repartitionByRange("file_hash").sortWithinPartitions("file_hash").write.parquet(
+        f"{new_root}/batch={last}"
+    )
+    return last
+
+
 def stream_ingest(
     documents: DataFrame,
     history_root: str,

@@ -61,3 +61,33 @@ def test_routing(spark):
     df = spark.createDataFrame([("x" * 20, None), ("curto", "texto lido"), ("curto", None)], "text string, scan string")
     rows = S.route_text(df, "text", "scan").select("method", F.col("error").isNull().alias("ok")).collect()
     assert [tuple(r) for r in rows] == [("nativo", True), ("ocr", True), (None, False)]
+
+
+def test_arriving_files_and_the_written_report(spark, tmp_path):
+    from leaselake.operators import report as R
+    from leaselake.operators.brackets import brackets_2026
+    from leaselake.plans.contracts import analyse, report
+    from leaselake.streaming.ingest import stream_documents
+
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    (folder / "um.txt").write_text("LOCADOR: Ana Reis, CPF nº 111.444.777-35.\n\nLOCATÁRIO: Loja Um LTDA, CNPJ nº 11.222.333/0001-81.\n\nO aluguel é de R$ 6.000,00.")
+    (folder / "ruim.txt").write_bytes("coração".encode("latin-1"))
+    stream = stream_documents(spark, str(folder))
+    stream.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "cp")).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    documents = spark.read.parquet(str(out))
+    assert {r.file_name: r.error for r in documents.collect()} == {"um.txt": None, "ruim.txt": S.NOT_UTF8}
+    contracts = analyse(documents.where("error is null").select("file_name", "text"), "text", "2026-10-06")
+    portfolio = spark.createDataFrame(
+        [(1, "11222333000181", "Loja Um LTDA", [], []), (2, "45566778000109", "Beta", [], [])],
+        "portfolio_seq long, cnpj string, razao_social string, aliases array<string>, nomes_fantasia array<string>",
+    )
+    result = report(contracts, portfolio, brackets_2026(spark), "file_name")
+    R.write_report(result.ledger, "file_name", result.compliance, result.pendencies, str(tmp_path / "report"))
+    sheet = spark.read.option("header", "true").csv(str(tmp_path / "report" / "contratos")).collect()
+    assert [len(r) for r in sheet] == [15, 15] and sheet[0][0] == "Loja Um LTDA" and sheet[1][0] == R.TOTAL
+    assert sheet[0]["IRRF Retido"] == sheet[1]["IRRF Retido"] == "R$ 394,54"
+    lines = spark.read.option("header", "true").csv(str(tmp_path / "report" / "conformidade")).collect()
+    assert len(lines) == 5 and "Beta" in lines[4]["label"]
