@@ -219,8 +219,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     Of rows repeated in full only one stays.
     """
-    tie, component, place = fresh(docs, "text_hash", "component_id", "place")
-    hashed = docs.withColumn(tie, F.xxhash64(text))
+    tie, known, unknown = fresh(docs, "text_hash", "key_or_zero", "no_key")
+    zero = F.lit("0").cast(docs.schema[key].dataType)
+    hashed = docs.withColumns({tie: F.xxhash64(text), known: F.coalesce(F.col(key), zero), unknown: F.col(key).isNull()})
     rows = stored(
         fingerprints(hashed.select(F.col(key).alias("doc_id"), F.col(tie).alias("tie"), F.col(text).alias("text")), ["doc_id", "tie"]),
         "simhash",
@@ -233,7 +234,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     kept = (
         rows.groupBy("fingerprint").agg(first.alias("first"))
         .join(roots, "fingerprint").groupBy("root").agg(F.min("first").alias("first"))
-        .select(F.col("first.doc_id").alias(component), F.col("first.tie").alias(place))
+        .select(
+            F.coalesce(F.col("first.doc_id"), zero).alias(known), F.col("first.unknown").alias(unknown), F.col("first.tie").alias(tie)
+        )
     )
-    chosen = hashed.join(kept, hashed[key].eqNullSafe(kept[component]) & (hashed[tie] == kept[place]))
-    return chosen.dropDuplicates([key, tie]).select(*docs.columns)
+    # Rows repeated in full meet by the same columns as the join, so texts move once.
+    same = [known, unknown, tie]
+    return hashed.join(kept, same).dropDuplicates(same).select(*docs.columns)
