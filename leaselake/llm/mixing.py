@@ -145,9 +145,16 @@ def select(docs: DataFrame, weights: DataFrame, percent: int, max_epochs: int, d
     sums = placed(narrow, budgets.where(F.col("rest") > 0)).groupBy(*leaf, "slice").agg(
         F.sum("n_tokens").alias("held"), F.first("rest").alias("rest")
     )
-    upto = F.sum("held").over(W.partitionBy(*leaf).orderBy("slice").rowsBetween(W.unboundedPreceding, W.currentRow))
+    # Added up by first digit and then over the digits, so that no leaf's slices all meet in one task.
+    sums = sums.withColumn("digit", F.substring("slice", 1, 1))
+    earlier = W.partitionBy(*leaf).orderBy("digit").rowsBetween(W.unboundedPreceding, -1)
+    digits = sums.groupBy(*leaf, "digit").agg(F.sum("held").alias("digit_held")).withColumn(
+        "before", F.coalesce(F.sum("digit_held").over(earlier), F.lit(0))
+    ).select(*[F.col(c).alias(f"digit_{c}") for c in [*leaf, "digit"]], "before")
+    inside = W.partitionBy(*leaf, "digit").orderBy("slice").rowsBetween(W.unboundedPreceding, W.currentRow)
     ends = (
-        sums.withColumn("upto", upto).where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("held") < F.col("rest")))
+        sums.join(digits, _same([*leaf, "digit"], [f"digit_{c}" for c in [*leaf, "digit"]]))
+        .withColumn("upto", F.col("before") + F.sum("held").over(inside)).where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("held") < F.col("rest")))
         .select(*[F.col(c).alias(f"end_{c}") for c in leaf], F.col("slice").alias("last"), (F.col("rest") - F.col("upto") + F.col("held")).alias("room"))
     )
     plan = stored(budgets.join(ends, _same(leaf, [f"end_{c}" for c in leaf]), "left").select(*leaf, "epochs", "last", "room"), "plan")
