@@ -258,7 +258,9 @@ def render(df: DataFrame) -> DataFrame:
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render(facts(spark, sf_dir))
+    """Contract texts of all orders, rendered and read by all tasks: the order table may be one small file."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return render(facts(spark, sf_dir).repartition(tasks, "contract_id"))
 
 
 def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
