@@ -1,7 +1,7 @@
 """Document fingerprints: a homomorphic multiset hash over paragraphs.
 
 A paragraph (a line of the text, empty lines included) has a wide vector in two parts: 16 lanes modulo
-2^64 from a keyed hash of the whole paragraph, and 256 lanes modulo 2^16 in which each 16-byte window of
+2^64 from a keyed hash of the whole paragraph, and 256 lanes modulo 2^32 in which each 16-byte window of
 the paragraph (one per byte, zero-padded at the start) adds +1 or -1 to one lane. A document's fingerprint
 is the sum over its paragraphs, so the order of paragraphs does not matter, and a paragraph is added to or
 taken from a fingerprint without the document. The first lanes decide equality; the second ones hold a
@@ -47,16 +47,16 @@ class Fingerprint:
         return Fingerprint(self.exact - other.exact, self.sketch - other.sketch)
 
     def text(self) -> str:
-        return base64.b64encode(self.exact.astype("<u8").tobytes() + self.sketch.astype("<u2").tobytes()).decode()
+        return base64.b64encode(self.exact.astype("<u8").tobytes() + self.sketch.astype("<u4").tobytes()).decode()
 
     @staticmethod
     def of_text(value: str) -> Fingerprint:
         raw = base64.b64decode(value)
-        return Fingerprint(np.frombuffer(raw, "<u8", EXACT_LANES), np.frombuffer(raw, "<u2", SKETCH_LANES, EXACT_LANES * 8))
+        return Fingerprint(np.frombuffer(raw, "<u8", EXACT_LANES), np.frombuffer(raw, "<u4", SKETCH_LANES, EXACT_LANES * 8))
 
 
 def _sketch(paragraphs: list[bytes]) -> np.ndarray:
-    """Signed counts of all windows of the paragraphs, modulo 2^16."""
+    """Signed counts of all windows of the paragraphs, modulo 2^32."""
     total = np.zeros(SKETCH_LANES, dtype=np.int64)
     joined = _PAD + _PAD.join(paragraphs)
     for start in range(0, len(joined) - WINDOW + 1, PIECE):
@@ -73,7 +73,7 @@ def _sketch(paragraphs: list[bytes]) -> np.ndarray:
         lane = (mixed >> np.uint64(55)).astype(np.int64)[real]
         counts = np.bincount(lane, minlength=2 * SKETCH_LANES)
         total += counts[:SKETCH_LANES] - counts[SKETCH_LANES:]
-    return total.astype(np.uint16)
+    return total.astype(np.uint32)
 
 
 def fingerprint_of(paragraphs: list[bytes]) -> Fingerprint:
@@ -90,8 +90,8 @@ def likeness(a: Fingerprint, b: Fingerprint) -> float:
     """1 for equal fingerprints; else 1 - |a - b|^2 / (|a|^2 + |b|^2) of the sketches, at least 0."""
     if np.array_equal(a.exact, b.exact) and np.array_equal(a.sketch, b.sketch):
         return 1.0
-    x, y = (f.sketch.astype(np.int16).astype(np.int64) for f in (a, b))
-    d = (a.sketch - b.sketch).astype(np.int16).astype(np.int64)
+    x, y = (f.sketch.astype(np.int32).astype(np.int64) for f in (a, b))
+    d = x - y
     scale = int(x @ x + y @ y)
     return max(0.0, 1 - int(d @ d) / scale) if scale else 0.0
 

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from leaselake.llm import fingerprint as FP
@@ -23,6 +24,17 @@ def test_likeness_follows_the_shared_share():
     assert 0.6 < near[1] < 0.9 and near[3] < 0.2
 
 
+def test_lanes_past_two_bytes_do_not_wrap():
+    """A run of 200,000 equal letters, and the same with its last quarter replaced: lanes pass 32,767."""
+    run = b"a" * 200_000
+    other = lines(4, 1200).encode().replace(b"\n", b" ")[:50_000]
+    whole, changed = FP.fingerprint_of([run]), FP.fingerprint_of([run[:150_000] + other])
+    assert len(other) == 50_000 and np.abs(whole.sketch.astype(np.int32)).max() > 1 << 16
+    assert FP.likeness(whole, changed) > 0.9
+    assert FP.Fingerprint.of_text(whole.text()).text() == whole.text()
+    assert (changed - FP.fingerprint_of([run[:150_000] + other])).text() == (whole - whole).text()
+
+
 def test_long_texts_are_hashed_in_pieces_alike(monkeypatch):
     text = [t.encode() for t in lines(3, 30).split("\n")]
     whole = FP.fingerprint_of(text).text()
