@@ -9,7 +9,7 @@ looked up under every combination of nearby indices, and the fingerprints that m
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +33,25 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 BLOCK = 256
 
 
-def fingerprint(raw: bytes) -> int:
-    """64-bit SimHash of the lower-cased 3-word shingles of a text; 0 without a word."""
+def shingles(raw: bytes, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the lower-cased shingles of ``size`` words in order; a shorter text is one, no word gives none."""
     words = raw.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
-    if len(words) <= SHINGLE:
-        return xxhash.xxh64_intdigest(joined, SEED)
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype="<u8")
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(lengths)
     starts = ends - lengths
     digest = xxhash.xxh64_intdigest
-    spans = zip(starts[: 1 - SHINGLE].tolist(), (ends[SHINGLE - 1 :] - 1).tolist())
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in spans], dtype="<u8")
+    spans = zip(starts[: len(words) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist())
+    return np.array([digest(joined[s:e], SEED) for s, e in spans], dtype="<u8")
+
+
+def fingerprint(raw: bytes) -> int:
+    """64-bit SimHash of the lower-cased 3-word shingles of a text; 0 without a word."""
+    hashes = shingles(raw)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -116,9 +121,8 @@ def _near(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
 
 
-def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (member, least member) that connect what the links between ``a`` and ``b`` connect."""
-    near = np.bitwise_count((a[:, None] ^ b[None, :]).view("<u8")) <= MAX_BITS
+def spanning(a: np.ndarray, b: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (member, least member) that connect what the links ``near`` between ``a`` and ``b`` connect."""
     rows, columns = np.nonzero(near)
     label_a, label_b = a.copy(), b.copy()
     while True:
@@ -134,7 +138,9 @@ def _cell_pairs(key, left: pa.Table, right: pa.Table) -> pa.Table:
     a, b = (np.unique(t.column("fingerprint").to_numpy()) for t in (left, right))
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for at in range(0, len(a), BLOCK):
-        out.append(_spanning(a[at : at + BLOCK], b))
+        part = a[at : at + BLOCK]
+        near = np.bitwise_count((part[:, None] ^ b[None, :]).view("<u8")) <= MAX_BITS
+        out.append(spanning(part, b, near))
     ends = [np.concatenate(side) if out else np.zeros(0, np.int64) for side in zip(*out)] if out else [np.zeros(0, np.int64)] * 2
     different = ends[0] != ends[1]
     return pa.table({"a": ends[0][different], "b": ends[1][different]})
@@ -214,19 +220,25 @@ def with_component(rows: DataFrame) -> DataFrame:
     return rows.join(component, "fingerprint")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    prints: Callable[[DataFrame, list[str], str], DataFrame] = fingerprints,
+    linked: Callable[[DataFrame, DataFrame], DataFrame] = lambda rows, texts: classes(rows),
+) -> DataFrame:
     """One document of each component: the one of least (key, text hash), nulls last, with its own columns.
 
-    Of rows repeated in full only one stays.
+    Of rows repeated in full only one stays. ``prints`` adds ``fingerprint``, equal for texts that count as
+    equal, and what else ``linked`` needs to find the classes of fingerprints from these rows and the texts
+    (doc_id, tie, text).
     """
     tie, known, unknown = fresh(docs, "text_hash", "key_or_zero", "no_key")
     zero = F.lit("0").cast(docs.schema[key].dataType)
     hashed = docs.withColumns({tie: F.xxhash64(text), known: F.coalesce(F.col(key), zero), unknown: F.col(key).isNull()})
-    rows = stored(
-        fingerprints(hashed.select(F.col(key).alias("doc_id"), F.col(tie).alias("tie"), F.col(text).alias("text")), ["doc_id", "tie"]),
-        "simhash",
-    )
-    roots = rows.select("fingerprint").distinct().join(classes(rows), "fingerprint", "left").select(
+    texts = hashed.select(F.col(key).alias("doc_id"), F.col(tie).alias("tie"), F.col(text).alias("text"))
+    rows = stored(prints(texts, ["doc_id", "tie"], "text"), "simhash")
+    roots = rows.select("fingerprint").distinct().join(linked(rows, texts), "fingerprint", "left").select(
         "fingerprint", F.coalesce("root", "fingerprint").alias("root")
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "tie"))
