@@ -91,28 +91,75 @@ def split_cells(line: Column, delimiter: Column) -> Column:
     )
 
 
+def _patterns(delimiter: str) -> tuple[str, str, str, str]:
+    """Patterns of the letters in quotes, the rest of a cell, the delimiter, and cells up to an opening quote."""
+    d = f"\\Q{delimiter}\\E" if delimiter != "\t" else "\t"
+    letters, other = '(?:[^"]++|"")*+', f"[^{delimiter}]*+"
+    closed_cell, plain_cell = f'"{letters}"{other}', f'[^"{delimiter}]{other}'
+    return letters, other, d, f'(?:(?:{closed_cell}|{plain_cell})?{d})*"'
+
+
 def _open_after(line: Column, delimiter: str, inside: bool) -> Column:
     """True where a quoted cell is open at the end of a line that starts outside or inside one.
 
     A quote opens a cell only where the cell begins; a doubled quote inside is a letter.
     """
-    d = f"\\Q{delimiter}\\E" if delimiter != "\t" else "\t"
-    letters, other = '(?:[^"]++|"")*+', f"[^{delimiter}]*+"
-    closed_cell, plain_cell = f'"{letters}"{other}', f'[^"{delimiter}]{other}'
-    outside = f'(?:(?:{closed_cell}|{plain_cell})?{d})*"{letters}$'
+    letters, other, d, opening = _patterns(delimiter)
+    outside = f"{opening}{letters}$"
     if not inside:
         return line.rlike(f"(?s)^{outside}")
     return line.rlike(f"(?s)^{letters}$") | line.rlike(f'(?s)^{letters}"{other}{d}{outside}')
 
 
-def join_quoted(lines: DataFrame) -> DataFrame:
+def _cell_parts(delimiter: Column, value: Column, opened: Column, open_after: Column) -> tuple[Column, Column, Column]:
+    """Whether a line ends the cell it starts in, and the lengths of its parts of the first and of the last open cell."""
+    closes, first, last = F.lit(False), F.length(value), F.lit(0)
+    for d in DELIMITERS:
+        letters, other, cut, opening = _patterns(d)
+        closing = ~value.rlike(f"(?s)^{letters}$")
+        head = F.length(F.regexp_extract(value, f'(?s)^({letters})"', 1))
+        after_one = F.regexp_extract(value, f'(?s)^{letters}"{other}{cut}{opening}({letters})$', 1)
+        after_none = F.regexp_extract(value, f"(?s)^{opening}({letters})$", 1)
+        same = delimiter == d
+        closes = F.when(same, opened & closing).otherwise(closes)
+        first = F.when(same & closing, head).otherwise(first)
+        last = F.when(same, F.length(F.when(opened, after_one).otherwise(after_none))).otherwise(last)
+    return closes, F.when(opened, first).otherwise(0), F.when(open_after & (~opened | closes), last).otherwise(0)
+
+
+def _longest_cells(several: DataFrame) -> DataFrame:
+    """Longest quoted cell over several lines of each record: source, _record, _size.
+
+    Cells are numbered as records are, within blocks and then over the blocks of a file, so a cell's lines do not meet.
+    """
+    closes, first, last = _cell_parts(F.col("delimiter"), F.col("value"), F.col("_open") == 1, F.col("_open_after") == 1)
+    parts = several.withColumn("_closes", closes).withColumn("_first", first).withColumn("_tail", last)
+    begins = (F.col("_open_after") == 1) & ((F.col("_open") == 0) | F.col("_closes"))
+    parts = parts.withColumn("_begins", begins.cast("int")).withColumn("_cell", F.sum("_begins").over(
+        W.partitionBy("source", "block").orderBy("row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ))
+    counts = parts.groupBy("source", "block").agg(F.sum("_begins").alias("_n"))
+    before = W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("source", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    # A line break belongs to the cell that is open after it.
+    cell = F.col("_offset") + F.col("_cell")
+    pieces = parts.join(offsets, ["source", "block"]).select("source", "_record", F.explode(F.array(
+        F.struct((cell - F.col("_begins")).alias("cell"), (F.col("_first") + ((F.col("_open_after") == 1) & (F.col("_begins") == 0)).cast("int")).alias("n")),
+        F.struct(cell.alias("cell"), (F.col("_tail") + F.col("_begins")).alias("n")),
+    )).alias("_p"))
+    sizes = pieces.groupBy("source", "_record", "_p.cell").agg(F.sum("_p.n").alias("_n"))
+    return sizes.groupBy("source", "_record").agg(F.max("_n").alias("_size"))
+
+
+def join_quoted(lines: DataFrame, give_back: bool = False) -> DataFrame:
     """Lines of one quoted cell as one row: source, row and value, rows numbered anew.
 
     ``lines`` has source, block, row, value and delimiter. What a line does to the
     open-or-not state of a cell is known without its neighbours: it leaves it, turns
     it over, or sets it. So states are added up within blocks and then over the
-    blocks of a file, as line numbers are, and no file meets in one task. A row with a
-    cell longer than MAX_CELL_CHARS is empty; its lines are not gathered.
+    blocks of a file, as line numbers are, and no file meets in one task. The lines of a row
+    with a cell longer than MAX_CELL_CHARS are not gathered: it is empty, or with ``give_back`` each
+    of its lines is a row of its own, and a column ``error`` says so.
     """
     opened, kept = F.lit(False), F.lit(True)
     for d in DELIMITERS:
@@ -150,39 +197,52 @@ def join_quoted(lines: DataFrame) -> DataFrame:
         F.coalesce(F.sum("_rows").over(blocks.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
     )
     rows = known.join(offsets, ["source", "block"]).select(
-        "source", F.greatest(F.col("_offset") + F.col("_begun") - 1, F.lit(0)).alias("_record"), "row", "value", "delimiter",
-        ((F.col("_open") == 1) | (F.col("_open_after") == 1)).alias("_several"),
+        "source", "block", F.greatest(F.col("_offset") + F.col("_begun") - 1, F.lit(0)).alias("_record"), "row", "value", "delimiter",
+        "_open", "_open_after", ((F.col("_open") == 1) | (F.col("_open_after") == 1)).alias("_several"),
     )
     one = rows.where(~F.col("_several")).select("source", F.col("_record").alias("row"), "value", "delimiter")
-    several = rows.where("_several")
-    sizes = several.groupBy("source", "_record").agg(F.sum(F.length("value") + 1).alias("_size"), F.first("delimiter").alias("_delimiter"))
-    fitting = several.join(sizes.where(F.col("_size") <= MAX_CELL_CHARS).drop("_delimiter"), ["source", "_record"]).groupBy(
+    # Read several times from here on: written once, and so are the few cells over several lines.
+    several = stored(rows.where("_several"), "open-lines")
+    sizes = stored(_longest_cells(several), "cell-sizes")
+    fitting = several.join(sizes.where(F.col("_size") <= MAX_CELL_CHARS), ["source", "_record"]).groupBy(
         "source", F.col("_record").alias("row")
     ).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "value"))), lambda r: r["value"]), "\n").alias("value"),
         F.first("delimiter").alias("delimiter"),
     )
-    endless = sizes.where(F.col("_size") > MAX_CELL_CHARS).select(
-        "source", F.col("_record").alias("row"), F.lit("").alias("value"), F.col("_delimiter").alias("delimiter")
+    endless = several.join(sizes.where(F.col("_size") > MAX_CELL_CHARS), ["source", "_record"])
+    if not give_back:
+        empty = endless.groupBy("source", F.col("_record").alias("row")).agg(F.lit("").alias("value"), F.first("delimiter").alias("delimiter"))
+        return one.unionByName(fitting).unionByName(empty)
+    # Rows after a record that is given back move on by its further lines.
+    spans = endless.groupBy("source", "_record").agg(F.min("row").alias("_from"), F.count("*").alias("_lines"))
+    moves = spans.groupBy("source").agg(F.collect_list(F.struct("_record", (F.col("_lines") - 1).alias("_more"))).alias("_moves"))
+    given = endless.join(spans, ["source", "_record"]).select(
+        "source", F.col("_record").alias("row"), "value", "delimiter", (F.col("row") - F.col("_from")).alias("_inside"),
+        F.lit(f"quoted cell longer than {MAX_CELL_CHARS} characters: line given back as a row").alias("error"),
     )
-    return one.unionByName(fitting).unionByName(endless)
+    kept_rows = one.unionByName(fitting).withColumn("_inside", F.lit(0).cast("long")).withColumn("error", F.lit(None).cast("string"))
+    moved = lookup_join(kept_rows.unionByName(given), moves, ["source"], ["row"])
+    earlier = F.expr("coalesce(aggregate(filter(_moves, m -> m._record < row), 0L, (n, m) -> n + m._more), 0L)")
+    return moved.select("source", (F.col("row") + F.col("_inside") + earlier).alias("row"), "value", "delimiter", "error")
 
 
 def rows_from_lines(lines: DataFrame) -> DataFrame:
-    """source, row, cells from numbered lines (source, row, value), with block also quoted line breaks."""
+    """source, row, cells from numbered lines (source, row, value), with block also quoted line breaks and ``error``."""
     cut = lookup_join(lines, sniff_delimiters(lines), ["source"], ["row"])
     cut = cut.withColumn("delimiter", F.coalesce(F.col("delimiter"), F.lit(DELIMITERS[0])))
     if "block" in lines.columns:
-        cut = join_quoted(cut)
-    return cut.select("source", "row", split_cells(F.col("value"), F.col("delimiter")).alias("cells"))
+        cut = join_quoted(cut, give_back=True)
+    errors = ["error"] if "error" in cut.columns else []
+    return cut.select("source", "row", split_cells(F.col("value"), F.col("delimiter")).alias("cells"), *errors)
 
 
 def read_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Rows of every delimited file under ``path``: source (full path), row, cells, file_name.
+    """Rows of every delimited file under ``path``: source (full path), row, cells, error, file_name.
 
     A byte-order mark is dropped. A file with any line that is not UTF-8 is read as
     ISO-8859-1 as a whole. Files of the same name in several folders stay apart, and
-    quoted cells may hold line breaks.
+    quoted cells may hold line breaks. Where a quote stays open past MAX_CELL_CHARS, each line is a row with an error.
     """
     raw = spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.col("_metadata.file_path").alias("source"),

@@ -221,6 +221,28 @@ def test_a_quote_never_closed_gathers_no_file(spark, monkeypatch):
     assert sorted((r.row, r.value) for r in out.collect()) == [(0, "line 0"), (1, "line 1"), (2, "line 2"), (3, "")]
 
 
+def test_lines_after_an_open_quote_are_given_back_and_the_limit_is_per_cell(spark, monkeypatch):
+    from leaselake.sources import delimited as S
+
+    monkeypatch.setattr(S, "MAX_CELL_CHARS", 50)
+    shape = "source string, block long, row long, value string"
+    texts = {
+        "open": [f"line {n}" for n in range(3)] + ['x,"open'] + [f"line {n}" for n in range(4, 100)],
+        # Three cells of 33 characters each, line breaks included; then one of 51; then a short one and a plain line.
+        "sound": ['"' + "a" * 20, "b" * 12 + '","' + "c" * 20, "d" * 12 + '","' + "e" * 20, "f" * 12 + '"', "p,q",
+                  '"' + "g" * 25, "h" * 25 + '"', 'r,"s', 't"', "u,v"],
+    }
+    rows = [(name, n // 3, n, line) for name, text in texts.items() for n, line in enumerate(text)]
+    got = {(r.source, r.row): (r.cells, r.error is not None) for r in S.rows_from_lines(spark.createDataFrame(rows, shape)).collect()}
+    assert len(got) == 100 + 6
+    assert [got["open", n][1] for n in range(100)] == [False] * 3 + [True] * 97
+    assert all(got["open", n][0] == [f"line {n}"] for n in range(100) if n != 3)
+    a = ["a" * 20 + "\n" + "b" * 12, "c" * 20 + "\n" + "d" * 12, "e" * 20 + "\n" + "f" * 12]
+    assert got["sound", 0] == (a, False) and got["sound", 1] == (["p", "q"], False)
+    assert got["sound", 2][1] and got["sound", 3][1] and "g" * 25 in got["sound", 2][0][0]
+    assert got["sound", 4] == (["r", "s\nt"], False) and got["sound", 5] == (["u", "v"], False)
+
+
 def test_header_row_given_by_the_caller(spark):
     lines = [["relatório", ""]] * 14 + [["Nome", "CNPJ"], ["Alpha", A], ["Beta", BB]]
     rows = spark.createDataFrame([(s, i, c) for s in ("a", "b") for i, c in enumerate(lines)], "source string, row long, cells array<string>")
