@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaselake.llm import bpe, fingerprint, langid, mixing, pii, quality, sharding, simhash, toxicity, url_filter
+from leaselake.llm import (
+    bpe, conversations, fingerprint, hard_negatives, langid, mixing, pii, quality, sharding, simhash, substrings, toxicity, url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -148,4 +150,28 @@ def op10_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
+@query
+def op11_lempel_ziv_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+_SQL["op11_lempel_ziv_dedup"] = substrings.SQL
+
+
+@query
+def op12_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query
+def op13_kronecker_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(moved, F.col("vec_id") % 50 == 0)
+
+
+_SQL["op13_kronecker_negatives"] = hard_negatives.SQL
+
+
 _QUERIES["pipeline"] = corpus_pipeline.run
