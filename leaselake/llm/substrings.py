@@ -1,19 +1,20 @@
 """Passages repeated across documents, found by relative Lempel-Ziv parsing.
 
 Every window of WINDOW words has an anchor, its run of GRAM words of least hash. Equal windows have equal anchors,
-so a window can only be repeated where its anchor occurs in another row. Neighbouring windows of one such anchor
-form a phrase, and the phrases of an anchor form a reference block. A phrase is factored greedily against the
-block's phrases from smaller keys: each factor is the stretch from an indexed window on for as long as the words
-agree, and the next windows looked up are those that cross the factor's end. Blocks without a document's anchor
-have no factor of WINDOW words for it, so a document is factored against all other blocks.
-
-An anchor with more than BUSY places is a block of its own for each window, whose phrases are all equal and are
-reduced before they move; so no block holds more than BUSY phrases, and none is left out.
+so a window can only be repeated where its anchor occurs in another row. Neighbouring windows of one anchor form
+a phrase. A phrase that also occurs in a row of smaller key is one factor, found by its hash. The first row of each
+different phrase of an anchor gives its words to the anchor's reference block, where they are factored greedily
+against the block's phrases from smaller keys: each factor is the stretch from an indexed window on for as long as
+the words agree, and the next windows looked up are those that cross the factor's end. Blocks without a
+document's anchor have no factor of WINDOW words for it, so a document is factored against all other blocks.
+
+A block of an anchor with more than BUSY places is not gathered: its first phrases are taken window by window, each
+window under its own hash, and the least key of a window is reduced before it moves. So no task holds more than
+BUSY phrases of a block, and none is left out.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -29,10 +30,11 @@ from leaselake.session import stored
 WINDOW = 13
 GRAM = 5
 BUSY = 1024
-#: Bytes of a text hashed at a time, phrases of an output batch, and length from which a word counts by its digest.
-PIECE, PHRASES, LONG_WORD = 1 << 20, 1 << 14, 64
+#: Bytes of a text hashed at a time, and phrases of an output batch.
+PIECE, PHRASES = 1 << 20, 1 << 14
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
-_TIMES = np.uint64(0x9E3779B97F4A7C15)
+_TIMES = 0x9E3779B97F4A7C15
+_BACK = pow(_TIMES, -1, 1 << 64)
 
 
 def pieces(raw: bytes) -> Iterator[bytes]:
@@ -53,69 +55,111 @@ def word_hashes(raw: bytes) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def anchors(words: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each run of GRAM words, and for each window the place of its least one (the first of equal ones)."""
-    gram = min(GRAM, window)
-    if len(words) < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    grams = np.zeros(len(words) - gram + 1, np.uint64)
-    for j in range(gram):
-        grams *= _TIMES
-        grams += words[j : j + len(grams)]
-    grams ^= grams >> np.uint64(31)
-    grams *= _TIMES
-    grams ^= grams >> np.uint64(29)
-    n = len(words) - window + 1
-    least, place = grams[:n].copy(), np.arange(n)
-    for j in range(1, window - gram + 1):
-        other = grams[j : j + n]
-        better = np.flatnonzero(other < least)
-        least[better] = other[better]
-        place[better] = better + j
-    return grams, place
-
-
-def _anchor_hashes(window: int):
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = values ^ (values >> np.uint64(31))
+    values *= np.uint64(_TIMES)
+    return values ^ (values >> np.uint64(29))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class Windows:
+    """The phrases of some texts: owner (number of the text), first word, number of words, block and print."""
+
+    def __init__(self, raws: list[bytes], window: int = WINDOW) -> None:
+        gram = min(GRAM, window)
+        hashed = [word_hashes(raw) for raw in raws]
+        counts = np.array([len(h) for h in hashed], np.int64)
+        words = np.concatenate(hashed) if hashed else np.zeros(0, np.uint64)
+        starts = np.cumsum(counts) - counts
+        # Place of each window in all words, for texts that have one.
+        sizes = np.maximum(counts - window + 1, 0)
+        owner = np.repeat(np.arange(len(raws)), sizes)
+        at = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        raised = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * _powers(_TIMES, len(words)), out=raised[1:])
+        back = _powers(_BACK, len(words) + 1)
+
+        def hashes(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+            return _mixed((raised[end] - raised[first]) * back[first])
+
+        self.hashes, self.at, self.window = hashes, at, window
+        grams = hashes(np.arange(max(len(words) - gram + 1, 0)), np.arange(gram, max(len(words), gram - 1) + 1))
+        least, place = grams[at], at.copy()
+        for j in range(1, window - gram + 1):
+            other = grams[at + j]
+            better = np.flatnonzero(other < least)
+            least[better] = other[better]
+            place[better] = at[better] + j
+        # A place belongs to one text, so windows of one place follow each other there.
+        run = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
+        last = np.concatenate([run[1:], [len(place)]])[: len(run)] - 1
+        self.owner, self.start = owner[run], starts
+        self.first, self.end = at[run], at[last] + window
+        self.block = least[run]
+
+    @property
+    def prints(self) -> np.ndarray:
+        return self.hashes(self.first, self.end)
+
+
+def _codes(owner: np.ndarray, *parts: np.ndarray) -> np.ndarray:
+    out = _mixed(owner.astype(np.uint64) + np.uint64(1))
+    for part in parts:
+        out = _mixed(out ^ part)
+    return out
+
+
+def _listed(part: pa.RecordBatch, column: str, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Owner and fields of the structs in a list column, flattened."""
+    lists = part.column(column)
+    owner = np.repeat(np.arange(len(lists)), [0 if v is None else v for v in lists.value_lengths().to_pylist()])
+    flat = lists.flatten()
+    return owner, [flat.field(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _anchors(window: int):
+    """Key, anchor and number of its places for each different anchor of a row."""
+
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for raw in raw_texts(part):
-            grams, place = anchors(word_hashes(raw), window)
-            own, n = np.unique(grams[np.unique(place)], return_counts=True)
-            hashes.append(own)
-            times.append(n)
+        found = Windows(raw_texts(part), window)
+        order = np.lexsort((found.block, found.owner))
+        owner, block = found.owner[order], found.block[order]
+        new = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (owner[1:] != owner[:-1])])) if len(block) else order
+        times = np.diff(np.append(new, len(block)))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(times))], ["anchor", "times"]
+            [part.column("key").take(pa.array(owner[new])), pa.array(block[new].view(np.int64)), pa.array(times)], ["key", "anchor", "times"]
         )
 
     return run
 
 
-def _anchor_places(window: int):
+def _prints(window: int):
+    """Phrases of the marked anchors of each row."""
+
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, places, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
-        for i, raw in enumerate(raw_texts(part)):
-            grams, place = anchors(word_hashes(raw), window)
-            place = np.unique(place)
-            hashes.append(grams[place])
-            places.append(place)
-            rows.append(np.full(len(place), i))
-        own = part.select(["key", "tie"]).take(pa.array(np.concatenate(rows) if rows else [], pa.int64()))
+        found = Windows(raw_texts(part), window)
+        owner, (anchor, busy) = _listed(part, "marked", "anchor", "busy")
+        codes = _codes(owner, anchor.view(np.uint64))
+        order = np.argsort(codes)
+        own = _codes(found.owner, found.block)
+        place = np.minimum(np.searchsorted(codes[order], own), max(len(codes) - 1, 0))
+        hit = np.flatnonzero(codes[order][place] == own) if len(codes) else np.zeros(0, np.int64)
+        columns = part.select(["key", "tie"]).take(pa.array(found.owner[hit])).columns
         return pa.RecordBatch.from_arrays(
-            [*own.columns, pa.array(np.concatenate(places)), pa.array(np.concatenate(hashes).view(np.int64))],
-            ["key", "tie", "place", "anchor"],
+            [*columns, pa.array(found.block[hit].view(np.int64)), pa.array(found.prints[hit].view(np.int64)),
+             pa.array((found.first - found.start[found.owner])[hit].astype(np.int32)), pa.array((found.end - found.first)[hit].astype(np.int32)),
+             pa.array(busy[order][place[hit]])],
+            ["key", "tie", "block", "print", "first", "n", "busy"],
         )
 
     return run
 
 
-def _joined(raw: bytes) -> bytes:
-    """Words joined by one blank; long ones by their digest, which no word can be."""
-    words = raw.split()
-    if len(raw) > LONG_WORD * len(words):
-        words = [w if len(w) <= LONG_WORD else b"\t" + hashlib.sha256(w).hexdigest().encode() for w in words]
-    return b" ".join(words)
-
-
 def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """First and end byte of each word."""
     codes = np.frombuffer(raw, np.uint8)
@@ -125,41 +169,44 @@ def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def phrases(raw: bytes, marked: np.ndarray, window: int = WINDOW) -> Iterator[tuple[int, bytes, int]]:
-    """(block, phrase, first word) at the marked anchors (twice the place, plus one if busy) of a text."""
-    grams, place = anchors(word_hashes(raw), window)
-    starts, ends = word_spans(raw)
-    busy = dict(zip((marked >> 1).tolist(), (marked & 1).tolist()))
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    for i, j in zip(first.tolist(), [*(first[1:] - 1).tolist(), len(place) - 1]):
-        kind = busy.get(int(place[i]))
-        if kind == 0:
-            yield int(grams[place[i]]), _joined(raw[starts[i] : ends[j + window - 1]]), i
-        elif kind == 1:
-            for at in range(i, j + 1):
-                phrase = _joined(raw[starts[at] : ends[at + window - 1]])
-                yield xxhash.xxh64_intdigest(phrase, 1), phrase, at
+def _phrases(window: int):
+    """Words of the asked phrases of each row; for busy blocks the hash of each window instead."""
+    names = ["key", "tie", "block", "first", "phrase"]
 
-
-def _phrase_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(part: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
-            rows, blocks, values, firsts = zip(*held)
-            own = part.select(["key", "tie"]).take(pa.array(rows, pa.int64()))
+            rows, blocks, firsts, values = zip(*held)
+            columns = part.select(["key", "tie"]).take(pa.array(rows, pa.int64())).columns
             return pa.RecordBatch.from_arrays(
-                [*own.columns, pa.array(np.array(blocks, np.uint64).view(np.int64)), pa.array(values, pa.binary()), pa.array(firsts, pa.int64())],
-                ["key", "tie", "block", "phrase", "first"],
+                [*columns, pa.array(np.array(blocks, np.uint64).view(np.int64)), pa.array(firsts, pa.int32()), pa.array(values, pa.binary())], names
             )
 
         for batch in batches:
             for part in chunks(batch, "text"):
+                raws = raw_texts(part)
+                found = Windows(raws, window)
+                owner, (block, mark, busy) = _listed(part, "asked", "block", "print", "busy")
+                asked = dict(zip(_codes(owner, block.view(np.uint64), mark.view(np.uint64)).tolist(), busy.tolist()))
                 held: list[tuple] = []
-                for i, (raw, marked) in enumerate(zip(raw_texts(part), part.column("marked").to_pylist())):
-                    for found in phrases(raw, np.array(marked, np.int64), window):
-                        held.append((i, *found))
-                        if len(held) == PHRASES:
-                            yield out(part, held)
-                            held = []
+                row, spans = -1, None
+                for at, code in enumerate(_codes(found.owner, found.block, found.prints).tolist()):
+                    kind = asked.get(code)
+                    if kind is None:
+                        continue
+                    i = int(found.owner[at])
+                    first, end, base = int(found.first[at]), int(found.end[at]), int(found.start[i])
+                    if kind:
+                        at_window = np.arange(first, end - window + 1)
+                        hashes = found.hashes(at_window, at_window + window)
+                        held += [(i, h, f - base, None) for h, f in zip(hashes.tolist(), at_window.tolist())]
+                    else:
+                        if row != i:
+                            row, spans = i, word_spans(raws[i])
+                        piece = raws[i][spans[0][first - base] : spans[1][end - base - 1]]
+                        held.append((i, int(found.block[at]), first - base, b" ".join(piece.split())))
+                    if len(held) >= PHRASES:
+                        yield out(part, held)
+                        held = []
                 if held:
                     yield out(part, held)
 
@@ -195,14 +242,14 @@ class Block:
         return out
 
 
-def _factor_rows(window: int):
+def _factors(window: int):
     """Factors of each phrase against phrases of its block with a smaller key; blocks follow each other in key order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, at, held, waiting = None, None, Block(window), []
         for batch in batches:
-            spans = []
-            for key, phrase, least in zip(*(batch.column(c).to_pylist() for c in ("block", "phrase", "least"))):
+            rows, starts, ends = [], [], []
+            for i, (key, least, first, phrase) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "key", "first", "phrase")))):
                 words = phrase.split(b" ")
                 if key != block:
                     block, at, held, waiting = key, least, Block(window), []
@@ -210,14 +257,13 @@ def _factor_rows(window: int):
                     for other in waiting:
                         held.add(other)
                     at, waiting = least, []
-                spans.append([{"start": s, "end": e} for s, e in held.factors(words)])
+                for s, e in held.factors(words):
+                    rows.append(i)
+                    starts.append(first + s)
+                    ends.append(first + e)
                 waiting.append(words)
-            n_words = [len(p.split(b" ")) for p in batch.column("phrase").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("block", "print", "least")), pa.array(n_words, pa.int64()),
-                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                ["block", "print", "least", "n", "factors"],
-            )
+            columns = batch.select(["key", "tie"]).take(pa.array(rows, pa.int64())).columns
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["key", "tie", "start", "end"])
 
     return run
 
@@ -225,40 +271,48 @@ def _factor_rows(window: int):
 def repeated(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """``spans`` (start and end word) of the windows of a row that also start in a row of smaller key.
 
-    ``texts`` has ``key``, ``tie`` (hash of the text) and ``text``; the result key, tie and spans, which may
-    overlap, for rows that have some.
+    ``texts`` has ``key`` without nulls, ``tie`` (hash of the text) and ``text``; the result key, tie and spans, which
+    may overlap, for rows that have some.
     """
     key = texts.schema["key"].dataType.simpleString()
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = texts.where(F.col("key").isNotNull())
-    found = map_chunks(known.select("text"), _anchor_hashes(window), "anchor long, times long")
+    own = f"key {key}, tie long"
+    found = map_chunks(texts.select("key", "text"), _anchors(window), f"key {key}, anchor long, times long")
     shared = stored(
         found.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("times").alias("times")).where("n > 1")
-        .select("anchor", (F.col("times") > BUSY).cast("long").alias("busy")),
+        .select("anchor", (F.col("times") > BUSY).alias("busy")),
         "shared-anchors",
     )
-    at = map_chunks(known, _anchor_places(window), f"key {key}, tie long, place long, anchor long")
     marked = stored(
-        at.join(shared, "anchor").groupBy("key", "tie")
-        .agg(F.collect_set(F.col("place") * 2 + F.col("busy")).alias("marked")),
+        found.select("key", "anchor").join(shared, "anchor").groupBy("key")
+        .agg(F.collect_set(F.struct("anchor", "busy")).alias("marked")),
         "marked-anchors",
     )
-    rows = texts.join(marked, ["key", "tie"]).select("key", "tie", "text", "marked").mapInArrow(
-        _phrase_rows(window), f"key {key}, tie long, block long, phrase binary, first long"
-    ).withColumn("print", F.xxhash64("phrase"))
-    distinct = rows.groupBy("block", "phrase", "print").agg(F.min("key").alias("least"))
-    parsed = (
-        distinct.repartition(tasks, "block").sortWithinPartitions("block", "least")
-        .mapInArrow(_factor_rows(window), f"block long, print long, least {key}, n long, factors array<struct<start:bigint,end:bigint>>")
+    rows = stored(
+        map_chunks(texts.join(marked, "key").select("key", "tie", "text", "marked"), _prints(window), f"{own}, block long, print long, first int, n int, busy boolean"),
+        "phrases",
+    )
+    # The first key of each phrase; only blocks of different phrases are looked into.
+    least = rows.groupBy("block", "print", "busy").agg(F.min("key").alias("least"))
+    mixed = rows.groupBy("block").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low < high").select("block")
+    asked = least.join(mixed, "block").groupBy(F.col("least").alias("key")).agg(F.collect_set(F.struct("block", "print", "busy")).alias("asked"))
+    first_rows = stored(
+        texts.join(asked, "key").select("key", "tie", "text", "asked").mapInArrow(_phrases(window), f"{own}, block long, first int, phrase binary"),
+        "first-phrases",
+    )
+    whole = rows.join(least.select("block", "print", "least"), ["block", "print"]).where(F.col("least") < F.col("key")).select(
+        "key", "tie", F.col("first").alias("start"), (F.col("first") + F.col("n")).alias("end")
     )
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
-    own = rows.select("key", "tie", "block", "print", "first").join(parsed, ["block", "print"]).withColumn(
-        "factors", F.when(F.col("least") < F.col("key"), whole).otherwise(F.col("factors"))
+    quiet = (
+        first_rows.where(F.col("phrase").isNotNull()).repartition(tasks, "block").sortWithinPartitions("block", "key")
+        .mapInArrow(_factors(window), f"{own}, start int, end int")
     )
-    moved = own.select("key", "tie", "first", F.explode("factors").alias("f")).select(
-        "key", "tie", F.struct((F.col("first") + F.col("f.start")).alias("start"), (F.col("first") + F.col("f.end")).alias("end")).alias("span")
+    windows = first_rows.where(F.col("phrase").isNull())
+    earliest = windows.groupBy("block").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
+    busy = windows.join(earliest, "block").where(F.col("least") < F.col("key")).select(
+        "key", "tie", F.col("first").alias("start"), (F.col("first") + window).alias("end")
     )
-    return moved.groupBy("key", "tie").agg(F.collect_set("span").alias("spans"))
+    return whole.unionByName(quiet).unionByName(busy).groupBy("key", "tie").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def cut(raw: bytes, spans: list[dict]) -> tuple[int, int, bytes]:
@@ -284,9 +338,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     becomes an empty one. Repeated rows stay repeated; columns named n_words or n_removed are replaced.
     """
     tie, spans = fresh(docs, "text_hash", "repeated_spans")
-    docs = docs.drop(*({"n_words", "n_removed"} - {key, text}))
-    docs = docs.withColumn(tie, F.xxhash64(text))
-    texts = docs.select(F.col(key).alias("key"), F.col(tie).alias("tie"), F.col(text).alias("text"))
+    docs = docs.drop(*({"n_words", "n_removed"} - {key, text})).withColumn(tie, F.xxhash64(text))
+    texts = docs.select(F.col(key).alias("key"), F.col(tie).alias("tie"), F.col(text).alias("text")).where(F.col("key").isNotNull())
     found = repeated(texts, window).select(F.col("key").alias(key), F.col("tie").alias(tie), F.col("spans").alias(spans))
     joined = docs.join(found, [key, tie], "left").select(*docs.columns, spans).drop(tie)
 

@@ -58,6 +58,12 @@ def test_against_all_windows(spark, monkeypatch, busy):
     assert got(spark.createDataFrame(rows, DOCS).repartition(5)) == plain([r[:2] for r in rows])
 
 
+def test_rows_without_a_key_take_no_part(spark):
+    passage = words(8, 40)
+    rows = [(0, words(1, 20) + " " + passage[:60], None, None, 0), (None, passage, None, None, 0), (5, words(2, 9) + " " + passage, None, None, 0), (0, passage[20:], None, None, 0)]
+    assert got(spark.createDataFrame(rows, DOCS)) == plain([r[:2] for r in rows])
+
+
 def test_repetitive_texts_and_long_words(spark):
     rows = [(i, " ".join(["a b a"] * (5 + i)) + " " + "z" * 100 * i, None, None, 0) for i in range(8)]
     rows += [(20, " ".join(f"{'w' * 70}{i}" for i in range(30)), None, None, 0), (21, " ".join(f"{'w' * 70}{i}" for i in range(9, 40)), None, None, 0)]
@@ -80,12 +86,18 @@ def test_pieces_do_not_cut_words(monkeypatch):
 
 def test_equal_windows_have_equal_anchors():
     rng = random.Random(4)
-    hashes = np.array([rng.getrandbits(64) for _ in range(9)], np.uint64)
-    sequence = np.array([hashes[rng.randrange(9)] for _ in range(4000)], np.uint64)
-    grams, place = substrings.anchors(sequence, 7)
-    seen = {}
-    for i, p in enumerate(place.tolist()):
-        assert seen.setdefault(sequence[i : i + 7].tobytes(), (p - i, grams[p])) == (p - i, grams[p])
+    texts = [" ".join(rng.choice("abcdefghi") for _ in range(n)).encode() for n in (0, 6, 7, 2000, 3, 2000)]
+    found = substrings.Windows(texts, 7)
+    seen, prints, covered = {}, {}, 0
+    for owner, first, end, block, own in zip(found.owner, found.first, found.end, found.block, found.prints):
+        w = texts[owner].split()
+        first, end = first - found.start[owner], end - found.start[owner]
+        for i in range(first, end - 6):
+            assert seen.setdefault(tuple(w[i : i + 7]), block) == block
+            covered += 1
+        assert prints.setdefault(tuple(w[first:end]), own) == own
+    assert covered == sum(max(0, len(t.split()) - 6) for t in texts)
+    assert len(set(prints.values())) == len(prints)
 
 
 def test_factors_look_across_their_ends():
