@@ -23,14 +23,19 @@ LABELS = OTHER + 1
 
 # Fixed patterns of the four kinds.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A start that fails fails for its whole run of digits, so only the first digit of a run starts a match.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-#: Documents to fit the field on at most, and tokens of each.
+#: Different texts to fit the field on at most, and different cases (token features, label, neighbours' labels).
 TRAIN_DOCUMENTS = 20_000
-TRAIN_TOKENS = 512
+TRAIN_CASES = 100_000
+#: Tokens of each text in the fit: runs of RUN at seeded places all over it, or all of a text with fewer than RUNS * RUN.
+RUN, RUNS = 64, 8
+#: Percent of the pattern matches whose label the fit hides from their neighbours.
+HIDDEN = 30
 SEED = 20_250_707
 #: Marginal from which a label becomes a span.
 SURE = 0.95
@@ -70,7 +75,7 @@ def base_spans(text: str) -> list[Span]:
             out.append((0, start, last))
         at = text.find("@", max(at + 1, last))
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
             out.append((1, m.start(), m.end()))
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -149,11 +154,13 @@ class Field:
         self.given: list[int] = []
         self.edges: list[tuple[int, int, int]] = []
 
-    def add(self, owner: int, text: str, base: list[Span], limit: int | None = None) -> None:
+    def add(self, owner: int, text: str, base: list[Span], kept: list[tuple[int, int]] | None = None) -> None:
+        """Nodes and edges of a text, or of the tokens (first, end) in ``kept``."""
         covered = sorted((s, e, k) for k, s, e in base)
         seen: tuple[dict[str, int], ...] = ({}, {}, {})
         before, place = -1, 0
-        for start, end in tokens(text)[:limit]:
+        found = tokens(text)
+        for start, end in found if kept is None else [t for first, last in kept for t in found[first:last]]:
             node, token = len(self.spans), text[start:end]
             while place < len(covered) and covered[place][1] <= start:
                 place += 1
@@ -224,64 +231,120 @@ class Model:
         return belief / belief.sum(axis=1, keepdims=True)
 
 
-def fit(field: Field) -> Model:
-    """Pseudo-likelihood: each node's label given its features and its neighbours' pattern labels."""
+Case = tuple[tuple[int, ...], int, tuple[int, ...]]
+
+
+def cases(field: Field, hidden: np.ndarray | None = None) -> list[Case]:
+    """Features, label and neighbours of each node; a neighbour is its edge kind, end and label as one number.
+
+    Nodes marked as hidden say nothing to their neighbours, as tokens without a match do in use.
+    """
+    near: list[list[int]] = [[] for _ in field.spans]
+    label = [OTHER if g < 0 else g for g in field.given]
+    for a, b, kind in field.edges:
+        if hidden is None or not hidden[b]:
+            near[a].append((kind * 2) * LABELS + label[b])
+        if hidden is None or not hidden[a]:
+            near[b].append((kind * 2 + 1) * LABELS + label[a])
+    return [(tuple(f), y, tuple(sorted(n))) for f, y, n in zip(field.features, label, near)]
+
+
+def fit(counted: dict[Case, int]) -> Model:
+    """Pseudo-likelihood: each node's label given its features and its neighbours' pattern labels, cases by number."""
     prior = np.array(AGREEMENT)[:, None, None] * np.eye(LABELS)
     model = Model(np.zeros((FEATURES, LABELS)), prior.copy())
-    n = len(field.spans)
+    n = len(counted)
     if not n:
         model.unary[0, OTHER] = 10.0  # nothing to learn from: nothing is added
         return model
-    y = np.array([g if g >= 0 else OTHER for g in field.given])
-    owner = np.repeat(np.arange(n), [len(r) for r in field.features])
-    at = np.concatenate([np.array(r) for r in field.features])
-    edges = np.array(field.edges, dtype=np.int64).reshape(-1, 3)
-    a, b, kind = edges.T
+    rows = sorted(counted)
+    weight = np.array([counted[r] for r in rows], dtype=float)[:, None]
+    y = np.array([r[1] for r in rows])
+    owner = np.repeat(np.arange(n), [len(r[0]) for r in rows])
+    at = np.array([f for r in rows for f in r[0]], dtype=np.int64)
+    node = np.repeat(np.arange(n), [len(r[2]) for r in rows])
+    code = np.array([c for r in rows for c in r[2]], dtype=np.int64)
+    kind, behind, other = code // (2 * LABELS), code // LABELS % 2 == 1, code % LABELS
     truth = np.eye(LABELS)[y]
     rate = {"unary": np.full_like(model.unary, 1e-8), "pair": np.full_like(model.pair, 1e-8)}
     for _ in range(STEPS):
         scores = np.zeros((n, LABELS))
         np.add.at(scores, owner, model.unary[at])
-        np.add.at(scores, a, model.pair[kind, :, y[b]])
-        np.add.at(scores, b, model.pair[kind, y[a], :])
+        said = np.where(behind[:, None], model.pair[kind, other, :], model.pair[kind, :, other])
+        np.add.at(scores, node, said)
         p = np.exp(scores - scores.max(axis=1, keepdims=True))
-        error = truth - p / p.sum(axis=1, keepdims=True)
+        error = (truth - p / p.sum(axis=1, keepdims=True)) * weight
         unary, pair = -PENALTY * model.unary, -PENALTY * (model.pair - prior)
         np.add.at(unary, at, error[owner])
-        np.add.at(pair, (kind, slice(None), y[b]), error[a])
-        np.add.at(pair, (kind, y[a]), error[b])
+        np.add.at(pair, (kind[~behind], slice(None), other[~behind]), error[node[~behind]])
+        np.add.at(pair, (kind[behind], other[behind]), error[node[behind]])
         for name, weights, gradient in (("unary", model.unary, unary), ("pair", model.pair, pair)):
             rate[name] += gradient**2
             weights += 0.5 * gradient / np.sqrt(rate[name])
     return model
 
 
+def runs(n: int, seed: int) -> list[tuple[int, int]]:
+    """Runs of tokens (first, end) to fit on: all of few tokens, else RUNS of RUN, one in each part of the text."""
+    if n <= RUN * RUNS:
+        return [(0, n)]
+    draw = np.random.default_rng(seed)
+    edges = np.linspace(0, n, RUNS + 1).astype(int)
+    starts = [int(draw.integers(low, max(low, high - RUN) + 1)) for low, high in zip(edges, edges[1:])]
+    return [(s, s + RUN) for s in starts]
+
+
+def sampled(docs: DataFrame, text: str, limit: int) -> DataFrame:
+    """At most ``limit`` different texts (``text``, ``draw``), the first by a seeded hash: the same on any cluster."""
+    draw = F.xxhash64(text, F.lit(SEED)).alias("draw")
+    known = docs.where(F.col(text).isNotNull())
+    chosen = known.select(draw).distinct().orderBy("draw").limit(limit)
+    # At most ``limit`` hashes are broadcast; copies of a text that are chosen meet in its hash only after that.
+    return known.select(F.col(text).alias("text"), draw).join(F.broadcast(chosen), "draw").dropDuplicates(["draw"])
+
+
 def learn(docs: DataFrame, text: str = "text") -> Model:
-    """Fit on a seeded sample of at most TRAIN_DOCUMENTS documents, labelled by the patterns.
+    """Fit on at most TRAIN_DOCUMENTS different texts, labelled by the patterns.
 
-    What reaches the driver are the tokens' features and labels, at most TRAIN_TOKENS of a document.
+    Tasks reduce tokens to different cases and their number; the driver gets the TRAIN_CASES most frequent.
     """
-    n = docs.count()
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for t in texts(part):
-            field = Field()
-            field.add(0, t, base_spans(t), TRAIN_TOKENS)
-            out.append({"features": field.features, "given": field.given, "edges": [list(e) for e in field.edges]})
-        kinds = {"features": pa.list_(pa.list_(pa.int32())), "given": pa.list_(pa.int32()), "edges": pa.list_(pa.list_(pa.int32()))}
-        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], v) for k, v in kinds.items()], list(kinds))
-
-    sample = docs.select(F.col(text).alias("text")).sample(fraction=min(1.0, 0.9 * TRAIN_DOCUMENTS / max(1, n)), seed=SEED)
-    rows = map_chunks(sample, run, "features array<array<int>>, given array<int>, edges array<array<int>>")
-    field = Field()
-    for r in rows.where(F.size("given") > 0).limit(TRAIN_DOCUMENTS).collect():
-        first = len(field.spans)
-        field.spans += [(0, 0)] * len(r.given)
-        field.features += r.features
-        field.given += r.given
-        field.edges += [(i + first, j + first, kind) for i, j, kind in r.edges]
-    return fit(field)
+        found: dict[Case, int] = {}
+        for t, draw in zip(texts(part), part.column("draw").to_pylist()):
+            field, seed = Field(), draw & (1 << 63) - 1
+            field.add(0, t, base_spans(t), runs(len(tokens(t)), seed))
+            hidden = (np.random.default_rng(seed + 1).integers(0, 100, len(field.spans)) < HIDDEN) & (np.array(field.given) >= 0)
+            for case in cases(field, hidden):
+                found[case] = found.get(case, 0) + 1
+        lists = pa.list_(pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([c[0] for c in found], lists), pa.array([c[1] for c in found], pa.int32()),
+             pa.array([c[2] for c in found], lists), pa.array(list(found.values()), pa.int64())],
+            ["features", "label", "near", "n"],
+        )
+
+    rows = map_chunks(sampled(docs, text, TRAIN_DOCUMENTS), run, "features array<int>, label int, near array<int>, n long")
+    counted = rows.groupBy("features", "label", "near").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "features", "label", "near")
+    return fit({(tuple(r.features), r.label, tuple(r.near)): r.n for r in counted.limit(TRAIN_CASES).collect()})
+
+
+def recovered(values: list[str], model: Model, percent: int = HIDDEN) -> tuple[int, int, int]:
+    """How many pattern matches were hidden, got any sure label, and got their own."""
+    hidden = labelled = right = 0
+    for i, t in enumerate(values):
+        field = Field()
+        field.add(0, t, base_spans(t))
+        truth = np.array(field.given)
+        hide = (np.random.default_rng(SEED + i).integers(0, 100, len(truth)) < percent) & (truth >= 0)
+        if not hide.any():
+            continue
+        field.given = np.where(hide, -1, truth).tolist()
+        belief = model.marginals(field)
+        best = belief.argmax(axis=1)
+        sure = hide & (best != OTHER) & (belief.max(axis=1) >= SURE)
+        hidden, labelled, right = hidden + int(hide.sum()), labelled + int(sure.sum()), right + int((sure & (best == truth)).sum())
+    return hidden, labelled, right
 
 
 _TRIM = re.compile(r"[0-9A-Za-z+(].*[0-9A-Za-z)]|[0-9A-Za-z]", re.DOTALL)
@@ -298,6 +361,7 @@ def find(values: list[str], model: Model) -> list[tuple[list[Span], list[Span]]]
             for part, size in ((field.spans, before[0]), (field.owner, before[0]), (field.features, before[0]), (field.given, before[0]), (field.edges, before[1])):
                 del part[size:]
     added: list[list[Span]] = [[] for _ in values]
+    gave = -1
     if field.spans:
         belief = model.marginals(field)
         best = belief.argmax(axis=1)
@@ -309,9 +373,11 @@ def find(values: list[str], model: Model) -> list[tuple[list[Span], list[Span]]]
             if not found:
                 continue
             span = (label, start + found.start(), start + found.end())
-            if node in chained and sure[node - 1] and added[owner]:
+            # A token beside the one that gave the last span stretches it; a token between may have given none.
+            if node in chained and gave == node - 1:
                 span = (label, added[owner].pop()[1], span[2])
             added[owner].append(span)
+            gave = node
     return list(zip(base, added))
 
 
