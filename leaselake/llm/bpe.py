@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leaselake.llm.common import map_chunks, with_fields
 
-MEMO_PIECES = 400_000
+MEMO_PIECES, MEMO_LENGTH = 400_000, 64
 _GOLDEN = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -91,7 +91,8 @@ class PerfectHash:
 class Codec(dict):
     """Encoder and decoder; as a mapping it gives the packed ids of a pre-token.
 
-    The mapping keeps the last answers, at most ``MEMO_PIECES``, since text repeats its words.
+    The mapping keeps the last answers, at most ``MEMO_PIECES`` of at most ``MEMO_LENGTH`` characters each, since
+    text repeats its words.
     """
 
     def __init__(self, tokens: list[bytes], pattern: str):
@@ -103,9 +104,10 @@ class Codec(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.resolve(piece.encode())
-        if len(self) >= MEMO_PIECES:
-            self.clear()
-        self[piece] = ids
+        if len(piece) <= MEMO_LENGTH:
+            if len(self) >= MEMO_PIECES:
+                self.clear()
+            self[piece] = ids
         return ids
 
     def resolve(self, raw: bytes) -> bytes:

@@ -36,10 +36,13 @@ _STEP, _MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
-    """Feature numbers of a text, by n-gram size and piece, with repeats. White space counts as a blank."""
-    lowered = text.lower()
-    for start in range(0, len(lowered), PIECE):
-        piece = f" {lowered[start : start + PIECE + max(SIZES) - 1]} "
+    """Feature numbers of a text, by n-gram size and piece, with repeats. White space counts as a blank.
+
+    The text has a blank before and behind it; a piece gives the n-grams that begin in it.
+    """
+    padded = f" {text.lower()} " if text else ""
+    for start in range(0, len(padded), PIECE):
+        piece = padded[start : start + PIECE + max(SIZES) - 1]
         codes = np.frombuffer(piece.encode("utf-32-le", "replace"), "<u4")
         codes = np.where(codes <= 32, np.uint32(32), codes)
         rolled = codes
@@ -48,7 +51,8 @@ def grams(text: str) -> Iterator[np.ndarray]:
                 break
             rolled = rolled[:-1] * _STEP + codes[size - 1 :]
             if size in SIZES:
-                mixed = (rolled ^ (rolled >> np.uint32(15))) * _MIX
+                begun = rolled[:PIECE]
+                mixed = (begun ^ (begun >> np.uint32(15))) * _MIX
                 yield mixed >> np.uint32(32 - BITS)
 
 

@@ -33,6 +33,11 @@ def test_features_are_hashed_grams(monkeypatch):
     want = {sum_of(f" {text.lower()} ".replace("\n", " ")[i : i + n]) for n in X.SIZES for i in range(len(text) + 3 - n)}
     assert {int(v) for g in X.grams(text) for v in g} == want
     assert list(X.grams("")) == []
+    whole = [sorted(int(v) for g in X.grams(text + " Tail word") for v in g)]
+    for size in (1, 2, 3, 4, 5, 7, 8):
+        monkeypatch.setattr(X, "PIECE", size)
+        whole.append(sorted(int(v) for g in X.grams(text + " Tail word") for v in g))
+    assert all(w == whole[0] for w in whole)
 
 
 def sum_of(gram):
