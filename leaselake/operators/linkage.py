@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from leaselake.functions.keys import key_value
 from leaselake.functions.labels import pending_message
 from leaselake.functions.text import null_if_empty, strip_ws
-from leaselake.operators.skew import lookup_join
+from leaselake.operators.skew import broadcast_if_small, lookup_join
 from leaselake.session import stored
 
 # Statuses, methods, default threshold.
@@ -24,6 +25,9 @@ DEFAULT_THRESHOLD = 85.0
 #: Lower end of the band that is shown for manual review; below it a name has no candidate.
 DEFAULT_FLOOR = 80.0
 
+#: Names and candidates of a cell, names compared at a time, and names of one company that keep their own place.
+CELL, ROWS, NAMES = 4096, 256, 1 << 20
+
 Similarity = Callable[[Column, Column], Column]
 Pairs = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -35,57 +39,68 @@ def compare_key(col: Column) -> Column:
     return F.btrim(F.array_join(F.array_sort(F.split(plain, " ")), " "))
 
 
+#: Pairs whose common part is measured at a time.
+PAIRS = 1 << 16
+
+
 def _codes(texts: list[str]) -> np.ndarray:
     """Code points of the texts as one row each, zero padded."""
     width = max((len(t) for t in texts), default=0)
-    flat = "".join(t.ljust(width, "\0") for t in texts).encode("utf-32-le")
+    flat = "".join(t.ljust(width, "\0") for t in texts).encode("utf-32-le", "replace")
     return np.frombuffer(flat, dtype=np.uint32).reshape(len(texts), width)
 
 
-def _common_lengths(text: str, codes: np.ndarray) -> np.ndarray:
-    """Longest common subsequence of one text with every row of ``codes``.
-
-    One bit per character of ``text``, in as many 64-bit words as it takes; sums
-    carry from word to word.
-    """
-    if not text:
-        return np.zeros(len(codes), dtype=np.int64)
-    chars = np.array([ord(c) for c in text], dtype=np.uint32)
-    alphabet = np.unique(chars)
-    words = (len(text) + 63) // 64
-    bits = np.zeros((words, len(alphabet)), dtype=np.uint64)
-    for i, slot in enumerate(np.searchsorted(alphabet, chars).tolist()):
-        bits[i // 64, slot] |= np.uint64(1 << i % 64)
-    slots = np.searchsorted(alphabet, codes).clip(max=len(alphabet) - 1)
-    known = alphabet[slots] == codes
-    state = np.full((words, len(codes)), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for column, found in zip(slots.T, known.T):
-        carry = np.zeros(len(codes), dtype=np.uint64)
-        for word in range(words):
-            held = state[word]
-            hit = np.where(found, held & bits[word, column], np.uint64(0))
-            plus = held + hit
-            total = plus + carry
-            carry = ((plus < held) | (total < plus)).astype(np.uint64)
-            state[word] = total | (held - hit)
-    last = np.uint64((1 << (len(text) - 64 * (words - 1))) - 1)
-    state[-1] &= last
-    return len(text) - np.bitwise_count(state).sum(axis=0, dtype=np.int64)
-
-
-def _scores(text: str, others: list[str], codes: np.ndarray) -> np.ndarray:
-    """Similarity 0-100: one minus the share of characters outside the common part."""
-    total = np.array([len(o) for o in others], dtype=np.int64) + len(text)
-    apart = total - 2 * _common_lengths(text, codes)
-    return np.where(total > 0, (1.0 - apart / np.maximum(total, 1)) * 100.0, 100.0)
+class Texts:
+    """Texts with the places of each of their characters as bits, for measuring common parts."""
+
+    def __init__(self, texts: list[str], others: list[str]) -> None:
+        self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        self.other_sizes = np.array([len(t) for t in others], dtype=np.int64)
+        own, other = _codes(texts), _codes(others)
+        alphabet = np.unique(own) if own.size else np.zeros(1, np.uint32)
+        self.words = max(1, -(-own.shape[1] // 64))
+        # The last column of the alphabet is for characters that no text has.
+        self.bits = np.zeros((self.words, len(texts), len(alphabet) + 1), dtype=np.uint64)
+        slots = np.searchsorted(alphabet, own)
+        for i in range(own.shape[1]):
+            rows = np.flatnonzero(self.sizes > i)
+            self.bits[i // 64, rows, slots[rows, i]] |= np.uint64(1 << i % 64)
+        slots = np.searchsorted(alphabet, other).clip(max=len(alphabet) - 1)
+        self.slots = np.where(alphabet[slots] == other, slots, len(alphabet))
+        self.slots[np.arange(other.shape[1])[None, :] >= self.other_sizes[:, None]] = len(alphabet)
+
+    def common(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Longest common subsequence of the pairs, by a bit for each character; sums carry from word to word."""
+        state = np.full((self.words, len(rows)), np.iinfo(np.uint64).max, dtype=np.uint64)
+        for i in range(int(self.other_sizes[others].max(initial=0))):
+            slot = self.slots[others, i]
+            carry = np.zeros(len(rows), dtype=np.uint64)
+            for word in range(self.words):
+                held = state[word]
+                hit = held & self.bits[word, rows, slot]
+                plus = held + hit
+                total = plus + carry
+                if self.words > 1:
+                    carry = ((plus < held) | (total < plus)).astype(np.uint64)
+                state[word] = total | (held - hit)
+        # What lies behind a text's end stays set, so each zero bit is a common character.
+        return 64 * self.words - np.bitwise_count(state).sum(axis=0, dtype=np.int64)
+
+    def scores(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Similarity 0-100: one minus the share of characters outside the common part."""
+        out = np.zeros(len(rows))
+        for at in range(0, len(rows), PAIRS):
+            r, o = rows[at : at + PAIRS], others[at : at + PAIRS]
+            total = self.sizes[r] + self.other_sizes[o]
+            apart = total - 2 * self.common(r, o)
+            out[at : at + PAIRS] = np.where(total > 0, (1.0 - apart / np.maximum(total, 1)) * 100.0, 100.0)
+        return out
 
 
 def _pair_scores(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = np.zeros(len(a))
-    for text, rows in b.reset_index(drop=True).groupby(a.to_numpy(), sort=False):
-        others = rows.tolist()
-        out[rows.index.to_numpy()] = _scores(text, others, _codes(others))
-    return pd.Series(out)
+    place, texts = pd.factorize(a.to_numpy())
+    other, others = pd.factorize(b.to_numpy())
+    return pd.Series(Texts(list(texts), list(others)).scores(place, other))
 
 
 def name_similarity(a: Column, b: Column) -> Column:
@@ -118,10 +133,15 @@ def candidate_names(portfolio: DataFrame, key: str = "cnpj") -> DataFrame:
 
 
 def _unique(names: DataFrame) -> DataFrame:
-    """Distinct compare keys of the candidates; the first owner in order stands for all."""
+    """Distinct compare keys of the candidates; the first owner in order stands for all.
+
+    ``rank`` grows with the owner's place (seq, pos), missing ones last.
+    """
+    last = F.lit((1 << 63) - 1)
     return (
         names.groupBy(compare_key(F.col("candidate")).alias("b"))
         .agg(F.min(F.struct("seq", "pos", "key")).alias("owner"))
+        .withColumn("rank", F.coalesce(F.col("owner.seq") * NAMES + F.least(F.col("owner.pos"), F.lit(NAMES - 1)), last))
     )
 
 
@@ -138,18 +158,6 @@ def _partner_lengths(length: Column, floor: float) -> Column:
     return F.sequence(shortest.cast("int"), F.floor(length * F.lit((2.0 - t) / t) + F.lit(1e-9)).cast("int"))
 
 
-def _cuts(df: DataFrame) -> DataFrame:
-    """Segments of a text of length ``m`` cut in ``k`` + 1: number, start and length; the last ones are longer."""
-    plain, long = F.expr("m div (k + 1)"), F.expr("m % (k + 1)")
-    first_long = F.col("k") + 1 - long
-    return df.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumns(
-        {
-            "start": (F.col("j") * plain + F.greatest(F.lit(0), F.col("j") - first_long)).cast("int"),
-            "size": (plain + (F.col("j") >= first_long).cast("int")).cast("int"),
-        }
-    )
-
-
 def _letter_bits(text: Column) -> list[Column]:
     """Two words with a bit for each of the first four letters of each of 32 kinds.
 
@@ -172,54 +180,72 @@ def _letter_bits(text: Column) -> list[Column]:
     return [word(0), word(16)]
 
 
-def segment_pairs(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
-    """Distinct pairs (a, b) that can reach the lower limit, by one shared segment.
-
-    Exact. Two texts of lengths n and m at or above the limit differ by at most
-    k = (n + m)(1 - limit) inserted or deleted characters. Of k + 1 segments of b one
-    is untouched and has, for its number j, exactly j changes before it and at most
-    k - j behind it; so it occurs in a, moved by at most j places, by an odd or even
-    number as j is, and by as much as the rest of both texts allows. ``left`` has the
-    column a, ``right`` has b; both distinct and not empty.
+def _cell(floor: float, count: bool):
+    """Best candidate of each name of a cell, or how many pairs were met and measured."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: dict[str, list] = {"a": [], "score": [], "b": []}
+        met = measured = 0
+        if left.num_rows and right.num_rows:
+            a, b = left.column("a").to_pylist(), right.column("b").to_pylist()
+            texts = Texts(a, b)
+            words = [(left.column(f"a{i}").to_numpy(), right.column(f"b{i}").to_numpy()) for i in (0, 1)]
+            total = texts.sizes[:, None] + texts.other_sizes[None, :]
+            allowed = np.floor(total * (1.0 - floor / 100.0) + 1e-9).astype(np.int64)
+            rank = right.column("rank").to_numpy()
+            for at in range(0, len(a), ROWS):
+                part = slice(at, at + ROWS)
+                differ = sum(np.bitwise_count((x[part, None] ^ y[None, :]).view(np.uint64)).astype(np.int64) for x, y in words)
+                rows, others = np.nonzero(differ <= allowed[part])
+                rows += at
+                met, measured = met + differ.size, measured + len(rows)
+                scores = texts.scores(rows, others)
+                # The best of each name; of equally good candidates the first in portfolio order.
+                order = np.lexsort((rank[others], -scores, rows))
+                rows, others, scores = rows[order], others[order], scores[order]
+                first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else rows
+                first = first[scores[first] >= floor]
+                found["a"] += [a[i] for i in rows[first].tolist()]
+                found["score"] += scores[first].tolist()
+                found["b"] += [b[j] for j in others[first].tolist()]
+        if count:
+            return pa.table({"met": pa.array([met], pa.int64()), "measured": pa.array([measured], pa.int64())})
+        return pa.table({"a": pa.array(found["a"], pa.string()), "score": pa.array(found["score"], pa.float64()), "b": pa.array(found["b"], pa.string())})
+
+    return run
+
+
+def _met(left: DataFrame, right: DataFrame, floor: float, count: bool = False) -> DataFrame:
+    """Cells of names and candidates that may reach the lower limit, each compared in one task.
+
+    A cell holds at most about CELL names and CELL candidates of one length, whatever is frequent among them;
+    a name goes to the cells of all lengths a partner may have. Inside, two words of letter bits refuse most
+    pairs, and only the rest is measured; one row per name leaves a cell. ``left`` has the column a, ``right``
+    has b and ``rank``, their order in the portfolio; names and candidates are distinct and not empty.
     """
-    m, n, k = F.col("m"), F.col("n"), F.col("k")
-    lengths = right.select(F.length("b").alias("m")).distinct()
     word_a, word_b = _letter_bits(F.col("a")), _letter_bits(F.col("b"))
+    chunks = (F.floor(F.count("*") / CELL) + 1).cast("int")
+    by_length = broadcast_if_small(stored(right.groupBy(F.length("b").alias("m")).agg(chunks.alias("chunks")), "name-lengths"))
+    parts = left.count() // CELL + 1
     filed = (
-        _cuts(
-            right.select("b", *[w.alias(f"b{i}") for i, w in enumerate(word_b)], F.length("b").alias("m")).withColumn(
-                "k", F.explode(F.array_distinct(F.transform(_partner_lengths(m, floor), lambda x: _apart(m + x, floor))))
-            )
-        )
-        .withColumn("segment", F.xxhash64("m", "k", "j", F.substring("b", F.col("start") + 1, F.col("size"))))
-        .select("segment", "b", "b0", "b1")
+        right.select("b", "rank", *[w.alias(f"b{i}") for i, w in enumerate(word_b)], F.length("b").alias("m")).join(by_length, "m")
+        .withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int")).drop("chunks")
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     )
-    # Only lengths that some candidate has are looked up; their number is bounded by the longest name.
     sought = (
-        left.select("a", *[w.alias(f"a{i}") for i, w in enumerate(word_a)], F.length("a").alias("n"))
-        .withColumn("m", F.explode(_partner_lengths(F.length("a"), floor)))
-        .join(lengths, "m", "left_semi")
-        .withColumn("k", _apart(n + m, floor))
-        .where(F.abs(n - m) <= k)
+        left.select("a", *[w.alias(f"a{i}") for i, w in enumerate(word_a)], F.pmod(F.xxhash64("a"), F.lit(parts)).cast("int").alias("part"))
+        .withColumn("m", F.explode(_partner_lengths(F.length("a"), floor))).join(by_length, "m")
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     )
-    longer = n - m
-    before, behind = F.col("j"), k - F.col("j")
-    least = F.greatest(-before, longer - behind, -F.floor((k - longer) / 2))
-    most = F.least(before, longer + behind, F.floor((k + longer) / 2))
-    # From the first place of the right parity on, every second one.
-    first = (least + F.pmod(least + before, F.lit(2))).cast("int")
-    moves = F.when(first <= most, F.sequence(first, most.cast("int"), F.lit(2))).otherwise(F.array().cast("array<int>"))
-    place = F.col("start") + F.col("move")
-    looked_up = (
-        _cuts(sought)
-        .withColumn("move", F.explode(moves))
-        .where((place >= 0) & (place + F.col("size") <= n))
-        .withColumn("segment", F.xxhash64("m", "k", "j", F.substring("a", place + 1, F.col("size"))))
-        .select("segment", "a", "a0", "a1", "k")
-    )
-    differ = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-    met = looked_up.join(filed, "segment").where(differ <= k).select("a", "b").distinct()
-    return met.join(right, "b") if len(right.columns) > 1 else met
+    cell = ["m", "chunk", "part"]
+    schema = "met long, measured long" if count else "a string, score double, b string"
+    return sought.groupBy(*cell).cogroup(filed.groupBy(*cell)).applyInArrow(_cell(floor, count), schema)
+
+
+def measured_pairs(left: DataFrame, right: DataFrame, floor: float) -> tuple[int, int]:
+    """Pairs of names and candidates that share a cell, and those of them whose common part is measured."""
+    met, measured = _met(left, right, floor, True).agg(F.sum("met"), F.sum("measured")).first()
+    return met or 0, measured or 0
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -254,9 +280,9 @@ def best_names(
     equal = names.join(candidates.withColumnRenamed("b", "a"), "a").select(
         "a", F.lit(KEY_SCORE).alias("score"), F.col("owner.key").alias("key")
     )
-    rest = names.where(F.col("a") != "").join(candidates.select(F.col("b").alias("a")), "a", "left_anti")
-    pairs = segment_pairs(rest, candidates.where(F.col("b") != ""), floor).withColumn("score", name_similarity(F.col("a"), F.col("b")))
-    return equal.unionByName(_best(pairs.where(F.col("score") >= floor)))
+    rest = stored(names.where(F.col("a") != "").join(candidates.select(F.col("b").alias("a")), "a", "left_anti"), "open-names")
+    best = _met(rest, candidates.where(F.col("b") != ""), floor).join(candidates, "b")
+    return equal.unionByName(_best(best))
 
 
 def best_by(names: DataFrame, portfolio: DataFrame, similarity: Similarity, pairs: Pairs, floor: float) -> DataFrame:

@@ -79,8 +79,11 @@ def test_name_matching_against_brute_force(spark):
             assert got[i].score == (pytest.approx(best) if best >= floor else None)
 
 
-def test_segment_pairs_lose_no_pair(spark):
+@pytest.mark.parametrize("cell", [7, 4096])
+def test_cells_lose_no_candidate(spark, monkeypatch, cell):
     rng = random.Random(11)
+    monkeypatch.setattr(J, "CELL", cell)
+    monkeypatch.setattr(J, "ROWS", 5)
 
     def disturbed(text):
         for _ in range(rng.randint(0, 6)):
@@ -90,24 +93,31 @@ def test_segment_pairs_lose_no_pair(spark):
 
     stems = ["".join(rng.choices("abcd ", k=rng.randint(1, 24))) for _ in range(30)]
     left = sorted({disturbed(rng.choice(stems)) for _ in range(150)} - {""})
-    right = sorted({disturbed(rng.choice(stems)) for _ in range(150)} - {""})
+    right = sorted({disturbed(rng.choice(stems)) for _ in range(150)} - {""}) + ["é日🙂 ab" * 20]
+    left += ["é日🙂 ab" * 19 + "c", "日é"]
     plain = lambda a, b: (1 - (len(a) + len(b) - 2 * common(a, b)) / (len(a) + len(b))) * 100
-    for floor in (60.0, 80.0, 90.0):
-        pairs = J.segment_pairs(spark.createDataFrame([(t,) for t in left], "a string"), spark.createDataFrame([(t,) for t in right], "b string"), floor)
-        got = {(r.a, r.b) for r in pairs.collect()}
-        assert {(a, b) for a in left for b in right if plain(a, b) >= floor} <= got
-
-
-def test_few_pairs_are_compared(spark):
-    """On the part names, which share a small vocabulary, the join gives few of all pairs."""
+    table = [[plain(a, b) for b in right] for a in left]
+    candidates = spark.createDataFrame([(t, i) for i, t in enumerate(right)], "b string, rank long")
+    for floor in (60.0, 90.0):
+        pairs = J._met(spark.createDataFrame([(t,) for t in left], "a string"), candidates, floor).collect()
+        best = {}
+        for r in pairs:
+            best[r.a] = max(best.get(r.a, (0, 0)), (round(r.score, 9), -right.index(r.b)))
+        want = {a: max((round(s, 9), -j) for j, s in enumerate(row)) for a, row in zip(left, table) if max(row) >= floor}
+        assert best == want
+
+
+def test_few_pairs_are_measured(spark):
+    """On the part names, which share a small vocabulary, letter bits refuse nearly all pairs at the default floor."""
     from leaselake.plans import registry as Q
 
     folder = "/root/testdata/sf0.01"
     if not Path(folder).is_dir():
         pytest.skip("tables not present")
     names = Q.named_tenants(spark, folder).select(J.compare_key(F.col("tenant_name")).alias("a")).distinct()
-    candidates = J._unique(J.candidate_names(Q.named_companies(spark, folder))).select("b")
-    assert J.segment_pairs(names, candidates, 85.0).count() < 0.05 * names.count() * candidates.count()
+    candidates = J._unique(J.candidate_names(Q.named_companies(spark, folder))).select("b", "rank")
+    met, measured = J.measured_pairs(names, candidates, J.DEFAULT_FLOOR)
+    assert met <= names.count() * candidates.count() and 0 < measured < 0.05 * met
 
 
 def test_own_measure_brings_its_pairs_and_gets_raw_names(spark):
