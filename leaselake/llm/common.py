@@ -102,3 +102,28 @@ def global_rows(df: DataFrame, order: list[str], name: str = "row") -> tuple[Dat
         name, F.col(before) + F.col(place).bitwiseAND((1 << 33) - 1)
     )
     return numbered.drop(place, part, before), total
+
+
+#: Bits of the filter below: 8 MB, whatever it marks.
+FILTER_BITS = 1 << 26
+
+
+def key_bits(rows: DataFrame, *key: str) -> DataFrame:
+    """A filter that marks the keys of some rows: at most 2,048 bitmaps of 4 KB, each a row."""
+    place = F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
+    return rows.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+
+
+def maybe_marked(df: DataFrame, bits: DataFrame, name: str, *key: str | Column) -> DataFrame:
+    """Add ``name``: false for rows whose key is surely not marked; a few others are true as well.
+
+    The filter is broadcast, bounded by FILTER_BITS, so rows need not move to be told apart; it tells fewer apart as
+    the marked keys pass the number of bits, and is never wrong about a marked one.
+    """
+    at, bucket, held = fresh(df, "bit", "bucket", "bits")
+    place = F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
+    own = F.broadcast(bits.select(F.col("bucket").alias(bucket), F.col("bits").alias(held)))
+    joined = df.withColumns({bucket: F.bitmap_bucket_number(place), at: F.bitmap_bit_position(place)}).join(own, bucket, "left")
+    byte = F.conv(F.hex(F.expr(f"substring(`{held}`, cast(`{at}` div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, (F.col(at) % 8).cast("int")).bitwiseAND(1) == 1
+    return joined.withColumn(name, F.coalesce(bit, F.lit(False))).drop(at, bucket, held)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leaselake.llm import golay
-from leaselake.llm.common import chunks, fresh, raw_texts, with_fields
+from leaselake.llm.common import chunks, fresh, key_bits, maybe_marked, raw_texts, with_fields
 from leaselake.llm.components import connected_components
 from leaselake.operators.skew import broadcast_if_small
 from leaselake.session import stored
@@ -233,12 +233,13 @@ def keep_one(
     equal, and what else ``linked`` needs to find the classes of fingerprints from these rows and the texts
     (doc_id, tie, text).
     """
-    tie, known, unknown = fresh(docs, "text_hash", "key_or_zero", "no_key")
+    tie, known, unknown, doubtful = fresh(docs, "text_hash", "key_or_zero", "no_key", "doubtful")
     zero = F.lit("0").cast(docs.schema[key].dataType)
     hashed = docs.withColumns({tie: F.xxhash64(text), known: F.coalesce(F.col(key), zero), unknown: F.col(key).isNull()})
     texts = hashed.select(F.col(key).alias("doc_id"), F.col(tie).alias("tie"), F.col(text).alias("text"))
     rows = stored(prints(texts, ["doc_id", "tie"], "text"), "simhash")
-    roots = rows.select("fingerprint").distinct().join(linked(rows, texts), "fingerprint", "left").select(
+    found = linked(rows, texts)
+    roots = rows.select("fingerprint").distinct().join(found, "fingerprint", "left").select(
         "fingerprint", F.coalesce("root", "fingerprint").alias("root")
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "tie"))
@@ -250,6 +251,11 @@ def keep_one(
             F.coalesce(F.col("first.doc_id"), zero).alias(known), F.col("first.unknown").alias(unknown), F.col("first.tie").alias(tie)
         )
     )
+    # Rows of a fingerprint of their own without links stay where they are.
+    several = rows.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
+    others = rows.join(several.unionByName(found.select("fingerprint")).distinct(), "fingerprint")
+    told = maybe_marked(hashed, stored(key_bits(others, "doc_id", "tie"), "doubtful-bits"), doubtful, key, tie)
     # Rows repeated in full meet by the same columns as the join, so texts move once.
     same = [known, unknown, tie]
-    return hashed.join(kept, same).dropDuplicates(same).select(*docs.columns)
+    chosen = told.where(doubtful).join(kept, same).dropDuplicates(same)
+    return told.where(~F.col(doubtful)).select(*docs.columns).unionByName(chosen.select(*docs.columns))

@@ -100,3 +100,17 @@ def test_awkward_rows(awkward, empty):
     assert left.columns == awkward.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in left.collect()) == survivors(awkward_rows())
     assert jaccard.keep_one(empty).count() == 0
+
+
+def test_filter_knows_all_marked_keys(spark, monkeypatch):
+    from leaselake.llm import common
+
+    for bits in (1 << 26, 1 << 10):
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        rows = spark.range(5000).selectExpr("if(id % 50 = 0, null, id) AS id", "id * 7 AS bits", "'own' AS bucket")
+        marked = common.key_bits(rows.where("bits % 3 = 0"), "id", "bits")
+        told = common.maybe_marked(rows, marked, "told", "id", "bits")
+        assert told.columns == [*rows.columns, "told"] and told.count() == 5000
+        assert told.where("bits % 3 = 0 and not told").count() == 0
+        wrong = told.where("bits % 3 <> 0 and told").count()
+        assert wrong < 10 if bits > 1 << 20 else wrong > 1000
