@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leaselake.functions.keys import looks_like_key, normalise_key
+from leaselake.functions.parsing import clean_list
 from leaselake.functions.text import header_key, strip_ws
 from leaselake.operators.skew import HOT_ROWS, attach_group, lookup_join
 
@@ -305,3 +306,91 @@ def validate_records(df: DataFrame, key: str = "cnpj", name: str = "razao_social
         ),
     )
     return df.withColumn("reason", F.nullif(parts, F.lit("")))
+
+
+# Fields of a company record in order, their kind, whether a null or no value will do, and messages.
+RECORD_FIELDS = (
+    ("cnpj", "string", "needed"), ("razao_social", "string", "needed"), ("aliases", "list", "default"), ("nomes_fantasia", "list", "default"),
+    ("ativo", "boolean", "default"), ("origem_import", "string", "null"), ("created_at", "datetime", "default"),
+)
+FIELD_LABELS = {"cnpj": "CNPJ", "razao_social": "Razão Social"}
+MISSING, UNEXPECTED, NO_NAME = "Field required", "Extra inputs are not permitted", "String should have at least 1 character"
+WRONG_KIND = {
+    "string": "Input should be a valid string", "list": "Input should be a valid list",
+    "boolean": "Input should be a valid boolean", "datetime": "Input should be a valid datetime",
+}
+TRUE_WORDS, FALSE_WORDS = ("true", "t", "1", "yes", "y", "on"), ("false", "f", "0", "no", "n", "off")
+NO_RECORD = "campo: Input should be a valid dictionary"
+
+
+def _field(record: Column, name: str) -> dict[str, Column]:
+    """A field of a parsed record: its kind in JSON (null where it is absent), text and items."""
+    value = F.try_variant_get(record, f"$.{name}", "variant")
+    return {
+        "kind": F.schema_of_variant(value), "text": F.try_variant_get(record, f"$.{name}", "string"),
+        "items": F.try_variant_get(record, f"$.{name}", "array<variant>"),
+    }
+
+
+def _fits(field: dict[str, Column], kind: str) -> Column:
+    text = field["kind"] == "STRING"
+    word = F.lower(field["text"])
+    if kind == "string":
+        return text
+    if kind == "list":
+        return field["kind"].startswith("ARRAY")
+    if kind == "boolean":
+        return (field["kind"] == "BOOLEAN") | (text & word.isin(*TRUE_WORDS, *FALSE_WORDS)) | ((field["kind"] == "BIGINT") & word.isin("0", "1"))
+    return (field["kind"] == "BIGINT") | (text & field["text"].try_cast("timestamp").isNotNull())
+
+
+def _item_faults(items: Column, name: str) -> Column:
+    """A message for each item that is no string, null for the others."""
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    message = lambda i: F.concat(F.lit(f"{name}."), i.cast("string"), F.lit(f": {WRONG_KIND['string']}"))
+    faults = F.transform(items, lambda v, i: F.when(kind(v) != "STRING", message(i)))
+    return F.coalesce(faults, F.array().cast("array<string>"))
+
+
+def validate_json(df: DataFrame, line: str = "line") -> DataFrame:
+    """M7: add ``reason`` and ``record`` to JSON lines that should be company records, one company each.
+
+    ``reason`` names each field that is missing, of a wrong kind, unusable or not expected, by the order of the
+    model and then by that of the line, joined by "; "; it is null for a sound record. ``record`` holds the cleaned
+    fields of a sound record and is null for any other. A null line, text that is no JSON and JSON that is no object
+    are refused as a whole. An absent field and a null one count as the default where the model has one, and
+    a null where it asks for a value is of a wrong kind. Other columns are kept.
+    """
+    parsed = F.try_parse_json(F.col(line))
+    keys = F.json_object_keys(F.when(F.schema_of_variant(parsed).startswith("OBJECT"), F.col(line)))
+    rows = df.withColumns({"_parsed": parsed, "_keys": keys})
+    fields = {name: _field(F.col("_parsed"), name) for name, _, _ in RECORD_FIELDS}
+    key, owner = normalise_key(fields["cnpj"]["text"]), strip_ws(fields["razao_social"]["text"])
+    problems = []
+    for name, kind, absent in RECORD_FIELDS:
+        field, there = fields[name], F.array_contains("_keys", name)
+        null = there & (F.coalesce(field["kind"], F.lit("VOID")) == "VOID")
+        problem = F.when(null, F.lit(None if absent == "null" else WRONG_KIND[kind])).when(there & ~_fits(field, kind), WRONG_KIND[kind])
+        if absent == "needed":
+            problem = F.when(~there, MISSING).otherwise(problem)
+        text_ok = there & (field["kind"] == "STRING")
+        if name == "cnpj":
+            problem = F.when(text_ok, key["reason"]).otherwise(problem)
+        if name == "razao_social":
+            problem = F.when(text_ok & (owner == ""), NO_NAME).otherwise(problem)
+        label = FIELD_LABELS.get(name, name)
+        problems.append(F.array(F.concat(F.lit(f"{label}: "), problem)))
+        if kind == "list":
+            problems.append(_item_faults(field["items"], name))
+    known = F.array(*[F.lit(n) for n, _, _ in RECORD_FIELDS])
+    problems.append(F.transform(F.array_except("_keys", known), lambda k: F.concat(k, F.lit(f": {UNEXPECTED}"))))
+    reason = F.nullif(F.array_join(F.array_compact(F.concat(*problems)), "; "), F.lit(""))
+    names = lambda n: clean_list(F.try_variant_get("_parsed", f"$.{n}", "array<string>"))
+    active = F.lower(fields["ativo"]["text"])
+    record = F.struct(
+        key["value"].alias("cnpj"), owner.alias("razao_social"), names("aliases").alias("aliases"), names("nomes_fantasia").alias("nomes_fantasia"),
+        F.coalesce(active.isin(*TRUE_WORDS), F.lit(True)).alias("ativo"), strip_ws(fields["origem_import"]["text"]).alias("origem_import"),
+        F.coalesce(fields["created_at"]["text"].try_cast("timestamp"), F.timestamp_seconds(fields["created_at"]["text"].try_cast("long"))).alias("created_at"),
+    )
+    judged = rows.withColumn("reason", F.when(F.col("_keys").isNull(), NO_RECORD).otherwise(reason))
+    return judged.withColumn("record", F.when(F.col("reason").isNull(), record)).drop("_parsed", "_keys")

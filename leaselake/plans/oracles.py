@@ -518,6 +518,16 @@ def oracle_sql() -> dict[str, str]:
       CASE WHEN c_custkey % 4 = 0 THEN 'Razão Social: String should have at least 1 character' END AS b FROM r)
       SELECT c_custkey, nullif(concat_ws('; ', a, b), '') AS reason FROM q"""
 
+    sql["record_faults"] = f"""WITH r AS (SELECT *, c_custkey % 11 AS kind, {key('c_custkey + 1')} AS key FROM customer), f AS (
+      SELECT *, CASE kind WHEN 1 THEN 'CNPJ: Field required' WHEN 2 THEN 'cidade: Extra inputs are not permitted'
+        WHEN 3 THEN 'CNPJ: Input should be a valid string'
+        WHEN 4 THEN 'Razão Social: String should have at least 1 character; aliases.1: Input should be a valid string'
+        WHEN 6 THEN 'aliases: Input should be a valid list; ativo: Input should be a valid boolean; created_at: Input should be a valid datetime'
+        WHEN 9 THEN 'ativo: Input should be a valid boolean; origem_import: Input should be a valid string; zona: Extra inputs are not permitted'
+        WHEN 0 THEN NULL WHEN 5 THEN NULL ELSE 'campo: Input should be a valid dictionary' END AS reason FROM r)
+      SELECT c_custkey, reason, CASE WHEN reason IS NULL THEN key END AS cnpj, CASE WHEN reason IS NULL THEN c_name END AS name,
+        CASE kind WHEN 0 THEN '' WHEN 5 THEN 'A|B' END AS aliases, CASE kind WHEN 0 THEN true WHEN 5 THEN false END AS ativo FROM f"""
+
     sql["link_by_key"] = f"WITH {LINKS} SELECT contract_id, cnpj FROM k"
     sql["link_status"] = f"WITH {LINKS} SELECT contract_id, cnpj, status, method, score FROM k"
     sql["company_coverage"] = f"""WITH {COVERAGE} SELECT cnpj, CASE WHEN n IS NULL THEN 'NAO_ENCONTRADO' ELSE 'ENCONTRADO' END AS status,
@@ -625,7 +635,8 @@ def oracle_sql() -> dict[str, str]:
       SELECT contract_id, CAST(coalesce(fresh, nd) AS VARCHAR) AS adjustment_next, coalesce(fresh <> nd, false) AS refreshed FROM g"""
     sql["reject_union"] = f"""WITH {OUTCOMES}, {PORTFOLIO}, {CHANGES.replace('j AS (', 'j AS (')} SELECT 'import' AS stage, count(*) AS rejects FROM o WHERE status='error'
       UNION ALL SELECT 'changes', count(*) FROM jj WHERE reason IS NOT NULL"""
-    sql["stream_dedup"] = "SELECT DISTINCT user_id||'/'||event_type AS hash FROM events"
+    sql["stream_dedup"] = """SELECT user_id||'/'||event_type AS hash, arg_min(event_id, (ts, event_id)) AS event_id,
+      epoch_us(CAST(min(ts) AS TIMESTAMP)) AS ts FROM events GROUP BY ALL"""
     sql["stream_history"] = f"""WITH {FACTS} SELECT 'contrato_'||lpad(CAST(contract_id AS VARCHAR), 9, '0')||'.txt' AS file_name,
       {REVIEW_LIST} <> '' AS needs_review, rent, tenant_document FROM f"""
     sql["stream_links"] = f"WITH {LINKS} SELECT contract_id, cnpj, status, method, score FROM k"

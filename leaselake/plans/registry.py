@@ -889,6 +889,28 @@ def record_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.validate_records(rows).select("c_custkey", "reason")
 
 
+@query
+def record_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Company records as JSON lines: fields missing, unexpected, of a wrong kind, unusable; lines that are none."""
+    key = synth.key_of(F.col("c_custkey") + 1)
+    kind = F.col("c_custkey") % 11
+    name, start = F.to_json(F.struct(F.col("c_name").alias("razao_social"))), F.concat(F.lit('{"cnpj":"'), key, F.lit('",'))
+    rest = F.substring(name, 2, 1000)
+    line = (
+        F.when(kind == 0, F.concat(start, rest)).when(kind == 1, name).when(kind == 2, F.concat(start, F.lit('"cidade":"Recife",'), rest))
+        .when(kind == 3, F.concat(F.lit('{"cnpj":'), F.ltrim(key, F.lit("0")), F.lit(","), rest))
+        .when(kind == 4, F.concat(start, F.lit('"razao_social":"  ","aliases":["A",3," A ",""]}')))
+        .when(kind == 5, F.concat(start, F.lit('"aliases":["A"," A ","","B"],"ativo":"off",'), rest))
+        .when(kind == 6, F.concat(start, F.lit('"ativo":"talvez","created_at":"ontem","aliases":"A","origem_import":null,'), rest))
+        .when(kind == 7, F.lit("[1, 2]")).when(kind == 8, F.substring(name, 1, 9)).when(kind == 9, F.concat(start, F.lit('"origem_import":5,"ativo":null,"zona":1,'), rest))
+    )
+    rows = synth.table(spark, sf_dir, "customer").select("c_custkey", line.alias("line"))
+    return I.validate_json(rows).select(
+        "c_custkey", "reason", F.col("record.cnpj").alias("cnpj"), F.col("record.razao_social").alias("name"),
+        F.array_join("record.aliases", "|").alias("aliases"), F.col("record.ativo").alias("ativo"),
+    )
+
+
 # ---- linkage ----------------------------------------------------------------------------------------
 @query
 def link_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1313,14 +1335,14 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events in five arrivals, each with events of the whole time, so that most come late."""
     events = synth.table(spark, sf_dir, "events").select(
         F.concat_ws("/", "user_id", "event_type").alias("hash"), F.col("ts").cast("timestamp").alias("ts"),
-        F.pmod(F.xxhash64("event_id"), F.lit(5)).alias("arrival"),
+        "event_id", F.pmod(F.xxhash64("event_id"), F.lit(5)).alias("arrival"),
     )
     path = work_folder(spark, "events")
     events.repartition(5, "arrival").drop("arrival").write.parquet(path)
-    arriving = spark.readStream.schema("hash string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    arriving = spark.readStream.schema("hash string, ts timestamp, event_id long").option("maxFilesPerTrigger", 1).parquet(path)
     out = work_folder(spark, "dedup")
-    STREAM.stream_dedup(arriving, "hash", "ts", f"{out}/first", f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/first").select("hash")
+    STREAM.stream_dedup(arriving, "hash", ["ts", "event_id"], f"{out}/first", f"{out}/checkpoint").awaitTermination()
+    return STREAM.first_events(spark, f"{out}/first", "hash", ["ts", "event_id"]).select("hash", "event_id", F.unix_micros("ts").alias("ts"))
 
 
 @query

@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from leaselake.operators.dedup import dedup_by_content
@@ -101,21 +102,25 @@ def stream_ingest(
     )
 
 
-def stream_dedup(stream: DataFrame, hash_col: str, time_col: str, out: str, checkpoint: str) -> StreamingQuery:
+def stream_dedup(stream: DataFrame, hash_col: str, order: list[str], out: str, checkpoint: str) -> StreamingQuery:
     """R2: the first event of each hash, however late it or its copies come.
 
-    The hashes written by earlier batches are the state: a batch is reduced to its first
-    event per hash and matched with them. No event is dropped for being late, and a
-    repeated batch replaces itself. One output folder per batch.
+    A batch is reduced to its first event per hash by ``order`` (columns that tell events apart, so a retry
+    keeps the same one) and matched with the earliest event written for the hash so far. A hash not seen yet is
+    written, and so is an event that is earlier than what was written, as a correction; ``first_events`` reads
+    the corrected state. No event is dropped for being late, and a repeated batch replaces itself. One
+    output folder per batch.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        fields = [c for c in batch.columns if c != hash_col]
-        first = batch.groupBy(hash_col).agg(F.min_by(F.struct(*fields), time_col).alias("_first")).select(hash_col, "_first.*")
+        fields = [*order, *[c for c in batch.columns if c not in (hash_col, *order)]]
+        first = batch.groupBy(hash_col).agg(F.min(F.struct(*order)).alias("_least"), F.min_by(F.struct(*fields), F.struct(*order)).alias("_first"))
         if batch_id:
-            seen = batch.sparkSession.read.schema(f"{hash_col} {dict(batch.dtypes)[hash_col]}, batch long").parquet(out)
-            first = first.join(seen.where(F.col("batch") < batch_id).select(hash_col), hash_col, "left_anti")
-        first.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            schema = T.StructType([f for f in batch.schema.fields if f.name in (hash_col, *order)]).add("batch", "long")
+            seen = batch.sparkSession.read.schema(schema).parquet(out).where(F.col("batch") < batch_id)
+            known = seen.groupBy(hash_col).agg(F.min(F.struct(*order)).alias("_seen"))
+            first = first.join(known, hash_col, "left").where(F.col("_seen").isNull() | (F.col("_least") < F.col("_seen")))
+        first.select(hash_col, "_first.*").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(store)
@@ -125,6 +130,13 @@ def stream_dedup(stream: DataFrame, hash_col: str, time_col: str, out: str, chec
     )
 
 
+def first_events(spark: SparkSession, out: str, hash_col: str, order: list[str]) -> DataFrame:
+    """The first event of each hash, corrections taken in."""
+    rows = spark.read.parquet(out).drop("batch")
+    fields = [c for c in rows.columns if c != hash_col]
+    return rows.groupBy(hash_col).agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("_first")).select(hash_col, "_first.*")
+
+
 def stream_link(
     contracts: DataFrame, portfolio: DataFrame, out: str, checkpoint: str, id_col: str = "contract_id",
 ) -> StreamingQuery:

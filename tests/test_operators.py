@@ -365,7 +365,7 @@ def test_compacted_history_reads_the_same(spark, tmp_path):
     assert rows(new) == [("h1", "z"), ("h2", "c"), ("h3", "d")]
 
 
-def test_late_events_are_kept_once(spark, tmp_path):
+def test_late_events_correct_earlier_ones(spark, tmp_path):
     from leaselake.streaming import ingest as STREAM
 
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
@@ -373,6 +373,28 @@ def test_late_events_are_kept_once(spark, tmp_path):
     for rows in arrivals:
         spark.createDataFrame(rows, "hash string, ts string").coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema("hash string, ts string").parquet(source)
-        STREAM.stream_dedup(stream, "hash", "ts", out, str(tmp_path / "checkpoint")).awaitTermination()
-    got = sorted((r.hash, r.ts) for r in spark.read.parquet(out).collect())
-    assert got == [("a", "2026-01-04"), ("b", "2020-01-01"), ("c", "2018-01-01")]
+        STREAM.stream_dedup(stream, "hash", ["ts"], out, str(tmp_path / "checkpoint")).awaitTermination()
+    got = sorted((r.hash, r.ts) for r in STREAM.first_events(spark, out, "hash", ["ts"]).collect())
+    # The event of 2019 came last and corrects the one written first.
+    assert got == [("a", "2019-01-01"), ("b", "2020-01-01"), ("c", "2018-01-01")]
+
+
+def test_records_in_json(spark):
+    from leaselake.operators import portfolio_import as I
+
+    lines = {
+        '{"cnpj":"11.222.333/0001-81","razao_social":" A "}': None, None: I.NO_RECORD, "": I.NO_RECORD, "[]": I.NO_RECORD, "3": I.NO_RECORD, "{": I.NO_RECORD,
+        "{}": "CNPJ: Field required; Razão Social: Field required",
+        '{"cnpj":null,"razao_social":7,"aliases":[null,"x"],"ativo":2}':
+            "CNPJ: Input should be a valid string; Razão Social: Input should be a valid string; aliases.0: Input should be a valid string; ativo: Input should be a valid boolean",
+        '{"z":1,"cnpj":"12","a":2,"razao_social":"A"}': "CNPJ: CNPJ deve ter 14 dígitos; obtido 2 em '12'.; z: Extra inputs are not permitted; a: Extra inputs are not permitted",
+        '{"cnpj":"11222333000181","razao_social":"A","created_at":"2026-01-02T03:04:05Z","ativo":"NO","origem_import":null}': None,
+    }
+    rows = spark.createDataFrame([(i, t, "own") for i, t in enumerate(lines)], "reason int, line string, record string").drop("reason", "record")
+    got = I.validate_json(rows).collect()
+    assert {r.line: r.reason for r in got} == lines
+    assert all((r.record is None) == (r.reason is not None) for r in got)
+    first, last = (next(r.record for r in got if r.line == t) for t in (list(lines)[0], list(lines)[-1]))
+    assert (first.cnpj, first.razao_social, first.aliases, first.ativo, first.created_at) == ("11222333000181", "A", [], True, None)
+    assert last.ativo is False and str(last.created_at).startswith("2026-01-02 03:04:05")
+    assert I.validate_json(rows.limit(0)).count() == 0
