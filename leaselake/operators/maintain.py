@@ -130,13 +130,16 @@ def judge_changes(
     return good.select(*changes.columns, "reason", "effective").unionByName(bad)
 
 
-def apply_changes(base: DataFrame, judged: DataFrame, created_at: Column | None = None) -> DataFrame:
+def apply_changes(
+    base: DataFrame, judged: DataFrame, created_at: Column | None = None, top: Column | None = None
+) -> DataFrame:
     """M4: the table after all effective changes, by one grouping and one join.
 
     The last insert or remove of a key starts its final state; each field then takes
     the last value given since, else the stored one. An inserted company, also one
     removed before, is created at ``created_at`` (now, unless told otherwise) and is
-    numbered after all stored ones, in the order of the changes.
+    numbered after all stored ones, in the order of the changes; ``top`` is the last
+    stored number, for callers whose ``base`` is a part of the table.
     """
     stamp = F.current_timestamp() if created_at is None else created_at
     given = F.col("op") != "remove"
@@ -152,7 +155,10 @@ def apply_changes(base: DataFrame, judged: DataFrame, created_at: Column | None
     state = judged.where("effective").groupBy(F.col("cnpj").alias("_key")).agg(
         F.max(F.when(F.col("op") != "edit", F.struct("seq", "op"))).alias("_reset"), *[last(f).alias(f"_{f}") for f in FIELDS]
     )
-    top = base.agg(F.coalesce(F.max("portfolio_seq"), F.lit(0)).alias("n")).scalar() if "portfolio_seq" in base.columns else F.lit(0)
+    if top is None and "portfolio_seq" in base.columns:
+        top = base.agg(F.coalesce(F.max("portfolio_seq"), F.lit(0)).alias("n")).scalar()
+    elif top is None:
+        top = F.lit(0)
     joined = base.join(state, F.col("cnpj") == F.col("_key"), "full_outer")
     fresh = F.coalesce(F.col("_reset.op") == "insert", F.lit(False))
     empty = F.array().cast("array<string>")

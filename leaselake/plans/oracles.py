@@ -184,10 +184,10 @@ l AS (SELECT *,
 PORTFOLIO = f"""
 p AS (
   SELECT c_custkey + 1 AS portfolio_seq, {key('c_custkey + 1')} AS cnpj,
-    'Comércio Alvorada '||c_custkey||' LTDA' AS razao_social, c_custkey % 7 <> 0 AS ativo, 1 AS n_aliases
+    'Comércio Alvorada '||c_custkey||' LTDA' AS razao_social, c_custkey % 7 <> 0 AS ativo, c_name AS alias
   FROM customer
   UNION ALL
-  SELECT s_suppkey + 1000000000, {key('s_suppkey + 900000000000')}, 'Fornecedora Litoral '||s_suppkey||' SA', true, 1
+  SELECT s_suppkey + 1000000000, {key('s_suppkey + 900000000000')}, 'Fornecedora Litoral '||s_suppkey||' SA', true, s_name
   FROM supplier)
 """
 LINKS = f"""
@@ -251,7 +251,8 @@ CHANGES = f"""
 c0 AS (SELECT o_orderkey AS seq, CASE o_orderstatus WHEN 'F' THEN 'edit' WHEN 'O' THEN 'insert' ELSE 'remove' END AS op,
    CASE WHEN o_orderkey % 37 <> 0 THEN {key('o_custkey * 2 + 1')} END AS cnpj, o_orderkey AS k FROM orders),
 c1 AS (SELECT *, CASE WHEN k % 11 = 0 THEN '' WHEN op = 'edit' AND k % 3 = 0 THEN NULL ELSE 'Nome '||k END AS name,
-   CASE WHEN k % 4 = 0 THEN false END AS ativo FROM c0),
+   CASE WHEN k % 4 = 0 THEN false END AS ativo, CASE WHEN k % 10 = 0 THEN '' WHEN k % 5 = 0 THEN 'Apelido '||k||'|Outro' END AS al,
+   CASE WHEN k % 7 = 0 THEN 'Fantasia|Loja '||k END AS nf FROM c0),
 c2 AS (SELECT *, CASE WHEN cnpj IS NULL THEN 'CNPJ: CNPJ deve ter 14 dígitos; obtido 2 em ''12''.'
    WHEN op <> 'remove' AND name = '' THEN 'Razão Social: String should have at least 1 character' END AS wrong FROM c1),
 c3 AS (SELECT *, last_value(CASE WHEN wrong IS NULL THEN CASE op WHEN 'insert' THEN true WHEN 'remove' THEN false END END IGNORE NULLS)
@@ -266,8 +267,9 @@ APPLIED = f"""
 e AS (SELECT * FROM jj WHERE effective),
 rs AS (SELECT cnpj, max(seq) AS rseq, arg_max(op, seq) AS rop FROM e WHERE op <> 'edit' GROUP BY 1),
 sn AS (SELECT e.* FROM e LEFT JOIN rs USING (cnpj) WHERE op <> 'remove' AND (rseq IS NULL OR seq >= rseq)),
-lt AS (SELECT cnpj, arg_max(name, seq) FILTER (name IS NOT NULL) AS lname, arg_max(ativo, seq) FILTER (ativo IS NOT NULL) AS lativo FROM sn GROUP BY 1),
-al AS (SELECT coalesce(p.cnpj, rs.cnpj) AS cnpj, p.razao_social, p.ativo, p.portfolio_seq, rs.rop, rs.rseq FROM p FULL JOIN rs ON p.cnpj = rs.cnpj)
+lt AS (SELECT cnpj, arg_max(name, seq) FILTER (name IS NOT NULL) AS lname, arg_max(ativo, seq) FILTER (ativo IS NOT NULL) AS lativo,
+   arg_max(al, seq) FILTER (al IS NOT NULL) AS lal, arg_max(nf, seq) FILTER (nf IS NOT NULL) AS lnf FROM sn GROUP BY 1),
+al AS (SELECT coalesce(p.cnpj, rs.cnpj) AS cnpj, p.razao_social, p.ativo, p.portfolio_seq, p.alias, rs.rop, rs.rseq FROM p FULL JOIN rs ON p.cnpj = rs.cnpj)
 """
 NEAR_NAME = (
     "(substr(upper(p_brand)||' '||p_type||' '||p_name, 1, CAST(p_partkey % 5 + 2 AS INT)) || "
@@ -618,8 +620,10 @@ def oracle_sql() -> dict[str, str]:
       CASE WHEN rop = 'insert' THEN coalesce(lativo, true) ELSE coalesce(lativo, ativo) END AS ativo,
       CASE WHEN rop = 'insert' THEN 'manual' ELSE 'carga' END AS origem_import,
       CASE WHEN rop = 'insert' THEN (SELECT max(portfolio_seq) FROM p) + rseq ELSE portfolio_seq END AS portfolio_seq,
+      CASE WHEN rop = 'insert' THEN coalesce(lal, '') ELSE coalesce(lal, alias) END AS aliases, coalesce(lnf, '') AS nomes_fantasia,
       CASE WHEN rop = 'insert' THEN '2026-02-02' ELSE '2024-01-01' END AS created_day
       FROM al LEFT JOIN lt ON al.cnpj = lt.cnpj WHERE rop IS NULL OR rop <> 'remove'"""
+    sql["bucketed_changes"], sql["bucketed_history"] = sql["applied_changes"], sql["upsert_history"]
     sql["deleted_companies"] = f"""WITH {PORTFOLIO}, g AS (SELECT DISTINCT {key('s_suppkey * 3 + 1')} AS cnpj FROM supplier)
       SELECT count(*) FILTER (g.cnpj IS NULL) AS kept, count(*) FILTER (g.cnpj IS NOT NULL) AS deleted FROM p LEFT JOIN g ON p.cnpj = g.cnpj"""
     sql["truncated_portfolio"] = f"WITH {PORTFOLIO} SELECT CAST(0 AS BIGINT) AS kept, count(*) AS deleted FROM p"

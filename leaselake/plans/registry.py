@@ -20,6 +20,7 @@ from leaselake.functions import labels as L
 from leaselake.functions import parsing as P
 from leaselake.functions import text as X
 from leaselake.operators import brackets as B
+from leaselake.operators import buckets as BU
 from leaselake.operators import dedup as D
 from leaselake.operators import extract as E
 from leaselake.operators import linkage as J
@@ -40,6 +41,7 @@ from leaselake.streaming import ingest as STREAM
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
+BUCKET_ROWS = 10_000
 
 
 def query(function: Query) -> Query:
@@ -1126,22 +1128,41 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def upsert_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _history_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Stored records, and arriving ones of which each file comes twice, a day apart."""
     rows = _history(spark, sf_dir)
     old = rows.where(F.col("o_orderstatus").isin("F", "O")).drop("o_orderstatus").withColumn(
         "id", F.concat(F.lit("antigo-"), "file_name")
     )
     arriving = rows.where(F.col("o_orderstatus").isin("O", "P")).drop("o_orderstatus")
-    # Each file arrives twice in the batch, a day apart.
-    new = arriving.withColumn("file_name", F.concat("file_name", F.lit("_v2"))).withColumn(
+    return old, arriving.withColumn("file_name", F.concat("file_name", F.lit("_v2"))).withColumn(
         "processed_at", F.col("processed_at") + F.expr("INTERVAL 1 DAY")
     ).unionByName(arriving.withColumn("file_name", F.concat("file_name", F.lit("_v1"))))
-    return M.upsert_history(old, new, ["processed_at"]).select(
+
+
+def _history_rows(history: DataFrame) -> DataFrame:
+    return history.select(
         "id", "file_name", "file_hash", "needs_review", F.date_format("processed_at", "yyyy-MM-dd").alias("day")
     )
 
 
+@query
+def upsert_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _history_rows(M.upsert_history(*_history_batch(spark, sf_dir), ["processed_at"]))
+
+
+@query
+def bucketed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same upsert on a stored table in buckets, half of the files after the other half."""
+    old, new = _history_batch(spark, sf_dir)
+    root, buckets = work_folder(spark, "history"), BU.bucket_count(old, BUCKET_ROWS)
+    BU.create_buckets(old, root, "file_hash", buckets)
+    for half in ("0", "1"):
+        part = new.where(F.substring("file_hash", 1, 1) < "8" if half == "0" else F.substring("file_hash", 1, 1) >= "8")
+        BU.upsert_history_buckets(spark, root, part, buckets, ["processed_at"])
+    return _history_rows(BU.read_buckets(spark, root, "file_hash"))
+
+
 @query
 def history_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TAB.history_view(_history(spark, sf_dir)).select("file_name", "file_hash")
@@ -1187,7 +1208,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_folder(spark, "files")
     documents = synth.table(spark, sf_dir, "documents")
     raw = F.when(F.col("lang") == "en", F.col("text")).otherwise(F.encode("text", "ISO-8859-1").cast("string"))
-    documents.select("doc_id", raw.alias("value")).coalesce(1).write.partitionBy("doc_id").text(path)
+    documents.select("doc_id", raw.alias("value")).repartition("doc_id").write.partitionBy("doc_id").text(path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     listed = files.unionByName(spark.createDataFrame([(f"{path}/doc_id=-1/nada.txt",)], "path string"))
     found = DOC.scan_listed(spark, listed, path, recursive=True)
@@ -1205,7 +1226,7 @@ def delimited_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = synth.table(spark, sf_dir, "customer").select(key.alias("k"), name.alias("name"), F.col("c_nationkey").alias("n"))
     for encoding, delimiter in (("UTF-8", ";"), ("ISO-8859-1", ",")):
-        both = rows.withColumn("folder", F.explode(F.array(F.lit("a"), F.lit("b")))).repartition(2, "k")
+        both = rows.withColumn("folder", F.explode(F.array(F.lit("a"), F.lit("b")))).repartition("k")
         both = both.where(F.pmod("k", F.lit(2)) == (0 if encoding == "UTF-8" else 1))
         both.write.option("encoding", encoding).option("sep", delimiter).option("quoteAll", "true").option(
             "escape", '"'
@@ -1231,8 +1252,11 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         op.alias("op"),
         F.when(k % 37 == 0, F.lit("12")).otherwise(synth.key_of(F.col("o_custkey") * 2 + 1)).alias("cnpj"),
         name.alias("razao_social"),
-        F.lit(None).cast("array<string>").alias("aliases"),
-        F.lit(None).cast("array<string>").alias("nomes_fantasia"),
+        # Lists with blanks, empty and repeated entries; some empty as a whole.
+        F.when(k % 10 == 0, F.array().cast("array<string>")).when(
+            k % 5 == 0, F.array(F.concat(F.lit("  Apelido "), k.cast("string")), F.lit(" "), F.concat(F.lit("Apelido "), k.cast("string")), F.lit("Outro"))
+        ).alias("aliases"),
+        F.when(k % 7 == 0, F.array(F.lit("Fantasia "), F.concat(F.lit("Loja "), k.cast("string")))).alias("nomes_fantasia"),
         F.when(k % 4 == 0, F.lit(False)).alias("ativo"),
     )
 
@@ -1243,14 +1267,28 @@ def judged_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("seq", "op", "cnpj", "reason", "effective")
 
 
+def _changed_rows(companies: DataFrame) -> DataFrame:
+    return companies.select(
+        "cnpj", "razao_social", "ativo", "origem_import", "portfolio_seq", F.array_join("aliases", "|").alias("aliases"),
+        F.array_join("nomes_fantasia", "|").alias("nomes_fantasia"), F.date_format("created_at", "yyyy-MM-dd").alias("created_day"),
+    )
+
+
 @query
 def applied_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     companies = synth.portfolio(spark, sf_dir)
     judged = M.judge_changes(companies, _changes(spark, sf_dir))
-    changed = M.apply_changes(companies, judged, F.lit("2026-02-02 00:00:00").cast("timestamp"))
-    return changed.select(
-        "cnpj", "razao_social", "ativo", "origem_import", "portfolio_seq", F.date_format("created_at", "yyyy-MM-dd").alias("created_day")
-    )
+    return _changed_rows(M.apply_changes(companies, judged, F.lit("2026-02-02 00:00:00").cast("timestamp")))
+
+
+@query
+def bucketed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same change set on a stored portfolio in buckets."""
+    companies = synth.portfolio(spark, sf_dir)
+    root, buckets = work_folder(spark, "portfolio"), BU.bucket_count(companies, BUCKET_ROWS)
+    BU.create_buckets(companies, root, "cnpj", buckets)
+    BU.apply_changes_to_buckets(spark, root, _changes(spark, sf_dir), buckets, F.lit("2026-02-02 00:00:00").cast("timestamp"))
+    return _changed_rows(BU.read_buckets(spark, root, "cnpj"))
 
 
 @query
@@ -1314,15 +1352,6 @@ def reject_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- streaming ---------------------------------------------------------------------------------------------
-def _drain(stream: DataFrame, spark: SparkSession, purpose: str) -> DataFrame:
-    """Run a stream over all input that is there, into a table."""
-    out = work_folder(spark, purpose)
-    stream.writeStream.format("parquet").option("path", f"{out}/data").option(
-        "checkpointLocation", f"{out}/checkpoint"
-    ).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/data")
-
-
 def _stream_of(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
     """The rows of a table as a stream of files."""
     path = work_folder(spark, purpose)
@@ -1332,14 +1361,14 @@ def _stream_of(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
 
 @query
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events in five arrivals, each with events of the whole time, so that most come late."""
+    """Events in some five arrivals, each with events of the whole time, so that most come late."""
     events = synth.table(spark, sf_dir, "events").select(
         F.concat_ws("/", "user_id", "event_type").alias("hash"), F.col("ts").cast("timestamp").alias("ts"),
-        "event_id", F.pmod(F.xxhash64("event_id"), F.lit(5)).alias("arrival"),
+        "event_id",
     )
-    path = work_folder(spark, "events")
-    events.repartition(5, "arrival").drop("arrival").write.parquet(path)
-    arriving = spark.readStream.schema("hash string, ts timestamp, event_id long").option("maxFilesPerTrigger", 1).parquet(path)
+    path, files = work_folder(spark, "events"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    events.repartition(files, "event_id").write.parquet(path)
+    arriving = spark.readStream.schema("hash string, ts timestamp, event_id long").option("maxFilesPerTrigger", -(-files // 5)).parquet(path)
     out = work_folder(spark, "dedup")
     STREAM.stream_dedup(arriving, "hash", ["ts", "event_id"], f"{out}/first", f"{out}/checkpoint").awaitTermination()
     return STREAM.first_events(spark, f"{out}/first", "hash", ["ts", "event_id"]).select("hash", "event_id", F.unix_micros("ts").alias("ts"))

@@ -398,3 +398,68 @@ def test_records_in_json(spark):
     assert (first.cnpj, first.razao_social, first.aliases, first.ativo, first.created_at) == ("11222333000181", "A", [], True, None)
     assert last.ativo is False and str(last.created_at).startswith("2026-01-02 03:04:05")
     assert I.validate_json(rows.limit(0)).count() == 0
+
+
+def _files(root):
+    return {f: f.stat().st_mtime_ns for f in Path(root).glob("bucket=*/*.parquet")}
+
+
+def test_only_changed_buckets_are_written(spark, tmp_path):
+    from leaselake.operators import buckets as BU
+
+    root, number = str(tmp_path / "t"), 16
+    base = spark.range(400).select(F.col("id").cast("string").alias("k"), F.lit("old").alias("v"), F.lit(1).alias("made"))
+    BU.create_buckets(base, root, "k", number)
+    before = _files(root)
+    assert len(before) == number and BU.read_buckets(spark, root, "k").count() == 400
+    changes = spark.createDataFrame([("7", "new", 2), ("7", "newer", 3), ("1000", "added", 2), (None, "lost", 2)], "k string, v string, made int")
+    touched = BU.upsert_buckets(spark, root, changes, "k", number, ["made"], ("made",))
+    after = _files(root)
+    same = {f for f in before if int(f.parent.name.split("=")[1]) not in touched}
+    assert 1 <= len(touched) <= 2 and len(same) == number - len(touched)
+    # The others keep their files, names and times; the changed ones have new files only.
+    assert {f: t for f, t in after.items() if f in same} == {f: before[f] for f in same}
+    assert len(after) == number and not (set(after) - same) & set(before)
+    got = {r.k: (r.v, r.made) for r in BU.read_buckets(spark, root, "k").collect()}
+    assert len(got) == 401 and got["7"] == ("newer", 1) and got["1000"] == ("added", 2) and got["8"] == ("old", 1)
+    assert BU.upsert_buckets(spark, root, changes.limit(0), "k", number, ["made"]) == [] and _files(root) == after
+
+
+def test_a_bucket_that_loses_its_last_key_is_empty(spark, tmp_path):
+    from leaselake.operators import buckets as BU
+
+    root = str(tmp_path / "t")
+    base = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int")
+    BU.create_buckets(base, root, "k", 4)
+    with pytest.raises(Exception, match="already exists"):
+        BU.create_buckets(base, root, "k", 4)
+    keys = spark.createDataFrame([("a",), ("not there",)], "k string")
+    assert len(BU.delete_from_buckets(spark, root, keys, "k", 4)) == 1
+    assert [tuple(r) for r in BU.read_buckets(spark, root, "k").collect()] == [("b", 2)]
+    BU.delete_from_buckets(spark, root, base.select("k"), "k", 4)
+    empty = BU.read_buckets(spark, root, "k")
+    assert empty.columns == ["k", "v"] and empty.count() == 0
+    BU.create_buckets(base.limit(0), str(tmp_path / "none"), "k", 4)
+    assert BU.read_buckets(spark, str(tmp_path / "none"), "k").count() == 0
+    with pytest.raises(ValueError):
+        BU.create_buckets(base.withColumn("bucket", F.lit(1)), str(tmp_path / "clash"), "k", 4)
+
+
+def test_a_change_set_in_buckets_gives_the_same_table(spark, tmp_path):
+    from leaselake.operators import buckets as BU
+
+    base = companies(spark, [(A, "Alpha", ["x"]), (C, "Gamma", [])])
+    base = base.withColumns(
+        {"ativo": F.lit(True), "created_at": F.lit("2020-01-01").cast("timestamp"), "origem_import": F.lit("carga")}
+    )
+    rows = [(1, "remove", A, None), (2, "insert", BB, "Beta"), (3, "edit", "12", "x"), (4, "edit", A, "gone"), (5, "insert", C, "Gamma")]
+    changes = spark.createDataFrame([(*r, [" n ", "n"], None, None) for r in rows],
+                                    "seq long, op string, cnpj string, razao_social string, aliases array<string>, nomes_fantasia array<string>, ativo boolean")
+    stamp = F.lit("2026-02-02").cast("timestamp")
+    want = M.apply_changes(base, M.judge_changes(base, changes), stamp)
+    root = str(tmp_path / "t")
+    BU.create_buckets(base, root, "cnpj", 8)
+    touched, judged = BU.apply_changes_to_buckets(spark, root, changes, 8, stamp)
+    got = BU.read_buckets(spark, root, "cnpj").select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert sum(r.effective for r in judged.collect()) == 2 and len(touched) <= 2
