@@ -12,14 +12,16 @@ from collections.abc import Callable
 from datetime import date
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaselake.functions import parsing as P
 from leaselake.functions.keys import COMPANY_PATTERN, PERSON_PATTERN, digits_only
 from leaselake.functions.text import collapse_ws, contains_any, fold_case, name_key, null_if_empty
+from leaselake.operators.skew import lookup_join
 from leaselake.plans import lease_ptbr as R
-from leaselake.session import stored
+from leaselake.session import stored, work_folder
 
 PARTY = "struct<type:string,name:string,document:string>"
 FIELD_TYPES = {
@@ -582,7 +584,12 @@ def _dependent_stage(rules: tuple[R.Field, ...], dated: bool) -> list[Column | s
     ]
 
 
-def _output_stage() -> list[Column | str]:
+def own_fields(rules: tuple[R.Field, ...]) -> list[R.Field]:
+    """Fields of a pack that the default one does not have."""
+    return [f for f in rules if f.name not in FIELD_NAMES]
+
+
+def _output_stage(rules: tuple[R.Field, ...]) -> list[Column | str]:
     principal = F.coalesce(
         F.col("landlord.value"),
         F.struct(*[F.lit(None).cast("string").alias(n) for n in ("type", "name", "document")]),
@@ -592,6 +599,7 @@ def _output_stage() -> list[Column | str]:
     ).otherwise(found(F.array(), R.HIGH, FIELD_TYPES["extra_landlords"]))
     return [
         *[extra.alias(n) if n == "extra_landlords" else n for n in FIELD_NAMES],
+        *[f.name for f in own_fields(rules)],
         "waives_improvements",
         "cumulates_penalties",
     ]
@@ -606,7 +614,7 @@ def _stages(rules: tuple[R.Field, ...], dated: bool) -> tuple[list[Column | str]
         _value_stage(rules) + ref,
         _field_stage(rules) + ref,
         _dependent_stage(rules, dated),
-        _output_stage(),
+        _output_stage(rules),
     )
 
 
@@ -622,10 +630,11 @@ def extract_fields(
     ``ref_date`` switches on the calculated next adjustment; without it that
     field holds only a date written in the text. The other columns of ``df`` stay;
     the text itself is dropped unless ``keep_text``, so that later stages do not
-    carry it.
+    carry it. ``rules`` may hold fields of the caller's own beside all of the default pack
+    (``rule_tables``).
     """
     kept = [c for c in df.columns if keep_text or c != text_col]
-    taken = set(kept) & set(FIELD_NAMES)
+    taken = set(kept) & {*FIELD_NAMES, *[f.name for f in rules]}
     if taken:
         raise ValueError(f"input columns clash with extracted fields: {sorted(taken)}")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -661,45 +670,73 @@ def with_excerpt(
     return folded.withColumn(out, cut).drop("_folded")
 
 
+def answered(
+    excerpts: DataFrame, interpreter: Callable[[Column], Column], root: str, col: str = "_excerpt"
+) -> DataFrame:
+    """``hash`` and ``reply`` of all distinct excerpts, asking only for those without a stored answer.
+
+    New answers are added to the table at ``root`` when all of them are there; a null reply counts as none, so
+    the next run asks again. Of two answers, as from runs side by side, the least counts.
+    """
+    spark = excerpts.sparkSession
+    open_ = excerpts.where(F.col(col).isNotNull()).select(F.col(col).alias("excerpt")).distinct()
+    open_ = open_.withColumn("hash", F.sha2("excerpt", 256))
+    if _holds_table(spark, root):
+        open_ = open_.join(spark.read.parquet(root).where(F.col("reply").isNotNull()).select("hash").distinct(), "hash", "left_anti")
+    # A filter on the reply here would be moved before the projection, and ask twice.
+    open_.select("hash", interpreter(F.col("excerpt")).alias("reply")).write.mode("append").parquet(root)
+    return spark.read.parquet(root).where(F.col("reply").isNotNull()).groupBy("hash").agg(F.min("reply").alias("reply"))
+
+
+def _holds_table(spark: SparkSession, root: str) -> bool:
+    try:
+        spark.read.parquet(root)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
+
+
 def route_ambiguous(
     df: DataFrame,
     text_col: str,
     interpreter: Callable[[Column], Column] | None = None,
     field: str = "lease_type",
     allowed: tuple[str, ...] = R.LEASE_TYPES,
+    answers: str | None = None,
 ) -> DataFrame:
     """Ask the caller's interpreter about the unresolved rows, and about no others.
 
     ``interpreter`` maps the excerpt column to ``struct<value, confidence,
     detail>`` (an Arrow ``pandas_udf`` or any Column function); a null answer means that
-    it is not configured. A reply outside ``allowed``, or no interpreter, leaves the
-    field not found, with the reason. The rows are written once and read by both parts.
+    it is not configured. It is asked once for each distinct excerpt (the empty one for a null
+    text); with ``answers``, a folder of stored answers, also over all runs of one field. A reply
+    outside ``allowed``, or no interpreter, leaves the field not found, with the reason. Rows
+    and excerpts are written once and read by all parts; the questions are asked when this is called.
     """
-    rows = stored(df, "routing")
     resolved = F.coalesce(
         F.col(field)["value"].isNotNull() & (F.col(field)["confidence"] >= R.REVIEW_LIMIT), F.lit(False)
     )
-    unresolved = rows.where(~resolved)
     if interpreter is None:
-        asked = unresolved.withColumn(field, missing("string", R.NO_INTERPRETER))
-    else:
-        reply = F.col("_reply")
-        answered = F.lower(F.trim(reply["value"]))
-        decided = (
-            F.when(reply.isNull(), missing("string", R.INTERPRETER_ABSENT))
-            .when(
-                answered.isin(*allowed),
-                result(answered, reply["confidence"], R.BY_INTERPRETER, reply["detail"], "string"),
-            )
-            .otherwise(missing("string", R.INTERPRETER_UNDECIDED))
-        )
-        asked = (
-            with_excerpt(unresolved, text_col, "_excerpt")
-            .withColumn("_reply", interpreter(F.col("_excerpt")))
-            .withColumn(field, decided)
-            .drop("_excerpt", "_reply")
-        )
-    return rows.where(resolved).unionByName(asked.select(*rows.columns))
+        return df.withColumn(field, F.when(resolved, F.col(field)).otherwise(missing("string", R.NO_INTERPRETER)))
+    whole = with_excerpt(df.withColumn("_source", F.coalesce(F.col(text_col), F.lit(""))), "_source", "_excerpt", ~resolved)
+    rows = stored(whole.drop("_source"), "routing")
+    unresolved = rows.where(F.col("_excerpt").isNotNull())
+    replies = answered(unresolved, interpreter, answers or work_folder(df.sparkSession, "answers"))
+    replies = replies.select(F.col("hash").alias("_hash"), F.col("reply").alias("_reply"))
+    reply = F.col("_reply")
+    value = F.lower(F.trim(reply["value"]))
+    decided = (
+        F.when(reply.isNull(), missing("string", R.INTERPRETER_ABSENT))
+        .when(value.isin(*allowed), result(value, reply["confidence"], R.BY_INTERPRETER, reply["detail"], "string"))
+        .otherwise(missing("string", R.INTERPRETER_UNDECIDED))
+    )
+    plain = ["_excerpt", *[n for n, t in df.dtypes if t in ("string", "int", "bigint")]]
+    asked = lookup_join(
+        unresolved.withColumn("_hash", F.sha2("_excerpt", 256)), replies, ["_hash"], plain
+    ).withColumn(field, decided)
+    return rows.where(F.col("_excerpt").isNull()).select(*df.columns).unionByName(asked.select(*df.columns))
 
 
 # ---- provenance and assembly (E23, E24, E26, A9) -----------------------------------------------
@@ -716,7 +753,7 @@ def _record(field: Column) -> Column:
     )
 
 
-def with_provenance(df: DataFrame) -> DataFrame:
+def with_provenance(df: DataFrame, rules: tuple[R.Field, ...] = R.FIELDS) -> DataFrame:
     """Provenance map, the sorted fields to review, and the review flag.
 
     Needs the alert list of ``compliance_flags``.
@@ -727,15 +764,16 @@ def with_provenance(df: DataFrame) -> DataFrame:
         F.lit(False).alias("needs_review"),
         F.concat(F.size("flags.alerts").cast("string"), F.lit(R.LEGAL_FLAGS_DETAIL)).alias("detail"),
     )
-    keys = [key for _, key in R.PROVENANCE_KEYS] + [R.LEGAL_FLAGS_KEY]
+    fields = [*R.PROVENANCE_KEYS, *[(f.name, f.key) for f in own_fields(rules)]]
+    keys = [key for _, key in fields] + [R.LEGAL_FLAGS_KEY]
     provenance = F.map_from_arrays(
         F.array(*[F.lit(k) for k in keys]),
-        F.array(*[_record(F.col(name)) for name, _ in R.PROVENANCE_KEYS], legal),
+        F.array(*[_record(F.col(name)) for name, _ in fields], legal),
     )
     review = F.array_sort(
         F.array_compact(
             F.array(
-                *[F.when(needs_review(F.col(n)), F.lit(k)) for n, k in R.PROVENANCE_KEYS]
+                *[F.when(needs_review(F.col(n)), F.lit(k)) for n, k in fields]
             )
         )
     )
@@ -744,9 +782,10 @@ def with_provenance(df: DataFrame) -> DataFrame:
     )
 
 
-def assemble_contracts(df: DataFrame) -> DataFrame:
+def assemble_contracts(df: DataFrame, rules: tuple[R.Field, ...] = R.FIELDS) -> DataFrame:
     """Replace the result structs by their values, provenance kept beside them."""
-    others = [c for c in df.columns if c not in FIELD_NAMES]
+    own = [f.name for f in own_fields(rules)]
+    others = [c for c in df.columns if c not in FIELD_NAMES and c not in own]
     return df.select(
         *others,
         *[
@@ -755,6 +794,7 @@ def assemble_contracts(df: DataFrame) -> DataFrame:
             else F.col(f"{n}.value").alias(n)
             for n in FIELD_NAMES
         ],
+        *[F.col(f"{n}.value").alias(n) for n in own],
     )
 
 

@@ -19,14 +19,18 @@ from leaselake.operators.linkage import (
     pendencies,
 )
 from leaselake.operators.report import build_ledger, ledger_totals
+from leaselake.plans.lease_ptbr import FIELDS, Field
 
 
 def analyse(
-    documents: DataFrame, text_col: str = "text", ref_date: date | str | Column | None = None
+    documents: DataFrame,
+    text_col: str = "text",
+    ref_date: date | str | Column | None = None,
+    rules: tuple[Field, ...] = FIELDS,
 ) -> DataFrame:
     """One assembled contract per document, with flags and provenance."""
-    fields = extract_fields(documents, text_col, ref_date=ref_date)
-    return assemble_contracts(with_provenance(compliance_flags(fields)))
+    fields = extract_fields(documents, text_col, rules, ref_date)
+    return assemble_contracts(with_provenance(compliance_flags(fields), rules), rules)
 
 
 class Report(NamedTuple):

@@ -366,6 +366,11 @@ def oracle_sql() -> dict[str, str]:
     sql["ambiguous_routing"] = f"""WITH {FACTS} SELECT contract_id, coalesce(lease_type, 'comercial') AS "value",
       CASE WHEN layout=3 THEN 0.8 ELSE 0.9 END::DOUBLE AS confidence, CASE WHEN layout=3 THEN 'llm' ELSE 'regra' END AS origin,
       CASE WHEN layout=3 THEN 'lido no trecho' ELSE 'tipo pelo título' END AS detail FROM f"""
+    sql["own_rule_pack"] = f"""WITH {FACTS}, o AS (SELECT *, grace_months IS NULL AND grace_in_days = 1 AS days FROM f)
+      SELECT contract_id, rent, CASE adjustment_index WHEN 'IPCA' THEN 'IPCA (novo)' ELSE adjustment_index END AS adjustment_index,
+      CASE WHEN days THEN CAST(45 AS BIGINT) END AS grace_days, CASE WHEN fire_insurance=1 THEN 'sim' END AS fire_cover,
+      CASE WHEN NOT days THEN 'carência em dias não localizada' END AS days_detail,
+      CASE WHEN fire_insurance=1 THEN 0.8 ELSE 0.0 END::DOUBLE AS cover_confidence, NOT days AS days_to_review FROM o"""
     at = lambda term: f"strpos(lower(text), '{term}')"
     sql["excerpts"] = "SELECT doc_id, CASE " + " ".join(
         f"WHEN {at(t)} > 0 THEN substr(text, CAST(greatest(1, {at(t)} - 100) AS BIGINT), 400)"
@@ -545,6 +550,14 @@ def oracle_sql() -> dict[str, str]:
       SELECT {key('p_partkey + 1')} AS cnpj, CASE WHEN g.cnpj IS NULL THEN 'NAO_ENCONTRADO' ELSE 'ENCONTRADO' END AS status,
       CASE WHEN g.cnpj IS NULL THEN 'nenhum' ELSE 'fuzzy' END AS method, coalesce(score, 0.0) AS score, coalesce(contracts, 0) AS contracts
       FROM part LEFT JOIN g ON g.cnpj = {key('p_partkey + 1')}"""
+    ending = "array_to_string(list_slice(string_split(lower({0}), ' '), -2, -1), ' ')"
+    sql["own_similarity"] = f"""WITH c AS (SELECT p_partkey AS seq, 0 AS pos, p_name||' '||p_type||' '||p_brand AS b FROM part
+        UNION ALL SELECT p_partkey, 1, p_brand||' '||p_name FROM part), q AS (SELECT p_partkey AS contract_id, {TENANT_NAME} AS a FROM part),
+      qa AS (SELECT DISTINCT a, {ending.format('a')} AS e FROM q), cb AS (SELECT b, min((seq, pos)) AS owner, any_value({ending.format('b')}) AS e FROM c GROUP BY b),
+      s AS (SELECT a, owner, (1.0::DOUBLE - levenshtein(lower(a), lower(b))::DOUBLE / greatest(length(a), length(b))) * 100.0 AS score FROM qa JOIN cb USING (e)),
+      w AS (SELECT a, owner, score FROM s WHERE score >= 60 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, owner) = 1)
+      SELECT contract_id, CASE WHEN score >= 80 THEN {key('owner[1] + 1')} END AS cnpj, CASE WHEN score >= 80 THEN 'ENCONTRADO' ELSE 'NAO_ENCONTRADO' END AS status,
+        CASE WHEN score >= 80 THEN 'fuzzy' ELSE 'nenhum' END AS method, round(score, 6) AS score FROM q LEFT JOIN w USING (a)"""
     sql["compare_keys"] = f"SELECT p_partkey AS contract_id, {COMPARE.format('(' + TENANT_NAME + ')')} AS key FROM part"
     company = "p_name||' '||p_type||' '||p_brand"
     sql["edit_scores"] = f"""WITH q AS (SELECT p_partkey, lower(({TENANT_NAME})) AS a, lower({company}) AS b FROM part)
@@ -643,5 +656,11 @@ def oracle_sql() -> dict[str, str]:
       epoch_us(CAST(min(ts) AS TIMESTAMP)) AS ts FROM events GROUP BY ALL"""
     sql["stream_history"] = f"""WITH {FACTS} SELECT 'contrato_'||lpad(CAST(contract_id AS VARCHAR), 9, '0')||'.txt' AS file_name,
       {REVIEW_LIST} <> '' AS needs_review, rent, tenant_document FROM f"""
+    sql["stream_links_versions"] = f"""WITH {LINKS}, a AS (SELECT contract_id, p.portfolio_seq % 3 <> 0 AS one, p.portfolio_seq % 5 <> 1 AS two, p.cnpj
+        FROM f LEFT JOIN p ON p.cnpj = f.tenant_document),
+      b AS (SELECT contract_id, coalesce(one, false) AS one, coalesce(two, false) AS two, cnpj FROM a)
+      SELECT contract_id, CASE WHEN two THEN cnpj END AS cnpj, CASE WHEN two THEN 'ENCONTRADO' ELSE 'NAO_ENCONTRADO' END AS status,
+        CASE WHEN two THEN 'cnpj' ELSE 'nenhum' END AS method, CASE WHEN two THEN 100.0 ELSE 0.0 END::DOUBLE AS score,
+        CAST(CASE WHEN contract_id % 2 = 0 AND one = two THEN 1 ELSE 2 END AS BIGINT) AS portfolio_version FROM b"""
     sql["stream_links"] = f"WITH {LINKS} SELECT contract_id, cnpj, status, method, score FROM k"
     return sql

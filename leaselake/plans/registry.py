@@ -28,6 +28,7 @@ from leaselake.operators import maintain as M
 from leaselake.operators import normalise as N
 from leaselake.operators import portfolio_import as I
 from leaselake.operators import report as R
+from leaselake.operators import rule_tables as RT
 from leaselake.operators.accuracy import accuracy_matrix
 from leaselake.operators.compliance import compliance_flags, flags_struct, text_clauses, triage
 from leaselake.plans.contracts import analyse
@@ -240,6 +241,34 @@ def ambiguous_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.route_ambiguous(fields, "text", interpreter).select("contract_id", "lease_type.*")
 
 
+@query
+def own_rule_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts by a pack read from tables: the default one with an index renamed, and two fields of its own."""
+    fields, rules = RT.pack_tables(spark)
+    own = spark.createDataFrame(
+        [("grace_days", "carencia_dias", "int", "carência em dias não localizada", None, 1, 365, "fora de faixa: "),
+         ("fire_cover", "cobertura_incendio", "string", "sem cobertura", None, None, None, None)], RT.FIELD_COLUMNS,
+    )
+    own_rules = spark.createDataFrame(
+        [("grace_days", 0, r"car[êe]ncia\s+de\s+(\d{1,3})\s+dias", "int", 0.9, None, None, None, None, ["car"]),
+         ("fire_cover", 5, r"seguro\s+contra\s+inc[êe]ndio", "constant", 0.8, "pelo contrato", None, "sim", None, None)], RT.RULE_COLUMNS,
+    )
+    renamed = rules.withColumn("constant", F.when(F.col("constant") == "IPCA", "IPCA (novo)").otherwise(F.col("constant")))
+    path = work_folder(spark, "pack")
+    fields.unionByName(own).write.parquet(f"{path}/fields")
+    renamed.unionByName(own_rules).write.parquet(f"{path}/rules")
+    pack = RT.read_pack(spark.read.parquet(f"{path}/fields"), spark.read.parquet(f"{path}/rules"))
+    rows = analyse(synth.contracts(spark, sf_dir), rules=pack)
+    record = lambda label: F.col("provenance")[label]
+    return plain(
+        rows.select(
+            "contract_id", "rent", "adjustment_index", "grace_days", "fire_cover", record("carencia_dias")["detail"].alias("days_detail"),
+            record("cobertura_incendio")["confidence"].alias("cover_confidence"),
+            F.array_contains("review_fields", "carencia_dias").alias("days_to_review"),
+        )
+    )
+
+
 @query
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = synth.table(spark, sf_dir, "documents")
@@ -1035,6 +1064,18 @@ def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("contract_id", F.round(J.name_similarity("a", "b"), 6).alias("score"))
 
 
+@query
+def own_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tenants linked by a measure of the caller's own, among names that end in the same two words."""
+    ending = lambda c: F.substring_index(F.lower(c), " ", -2)
+    links = J.link_entities(
+        named_tenants(spark, sf_dir), named_companies(spark, sf_dir), threshold=80.0, floor=60.0,
+        similarity=lambda a, b: J.edit_similarity(F.lower(a), F.lower(b)),
+        pairs=lambda names, candidates: names.join(candidates, ending("a") == ending("b")),
+    )
+    return links.select("contract_id", "cnpj", "status", "method", F.round("score", 6).alias("score"))
+
+
 # ---- reports ------------------------------------------------------------------------------------------
 @query
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1407,6 +1448,20 @@ def stream_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/links").select("contract_id", "cnpj", "status", "method", "score")
 
 
+@query
+def stream_links_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts in two halves; between them the portfolio gets companies and loses others."""
+    tenants = synth.facts(spark, sf_dir).select("contract_id", F.lit(None).cast("string").alias("tenant_name"), "tenant_document")
+    companies = synth.portfolio(spark, sf_dir)
+    base = work_folder(spark, "versions")
+    for half, left_out in ((0, F.col("portfolio_seq") % 3 == 0), (1, F.col("portfolio_seq") % 5 == 1)):
+        tenants.where(F.col("contract_id") % 2 == half).write.mode("append").parquet(f"{base}/tenants")
+        TAB.save_version(companies.where(~left_out), f"{base}/portfolio")
+        arriving = spark.readStream.schema(tenants.schema).parquet(f"{base}/tenants")
+        STREAM.stream_link_versions(arriving, f"{base}/portfolio", f"{base}/links", f"{base}/checkpoint").awaitTermination()
+    return STREAM.current_links(spark, f"{base}/links").select("contract_id", "cnpj", "status", "method", "score", "portfolio_version")
+
+
 @query
 def clause_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags computed from plain columns and the text, without the extraction."""

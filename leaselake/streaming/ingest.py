@@ -10,10 +10,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from leaselake.operators.dedup import dedup_by_content
-from leaselake.operators.linkage import link_entities, prepared_candidates
+from leaselake.operators.linkage import BY_KEY, link_entities, prepared_candidates
 from leaselake.operators.maintain import hash_id
 from leaselake.plans.contracts import analyse
+from leaselake.session import stored
 from leaselake.sources.documents import _documents, _glob
+from leaselake.sources.tables import read_version, versions
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -137,6 +139,89 @@ def first_events(spark: SparkSession, out: str, hash_col: str, order: list[str])
     return rows.groupBy(hash_col).agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("_first")).select(hash_col, "_first.*")
 
 
+# ---- linkage against a portfolio that changes -------------------------------------------------
+NAMES = ("razao_social", "aliases", "nomes_fantasia")
+LINK = ("cnpj", "status", "method", "score")
+
+
+def current_links(spark: SparkSession, out: str, id_col: str = "contract_id") -> DataFrame:
+    """The last link of each contract, with the portfolio version it was made with."""
+    rows = spark.read.parquet(out)
+    fields = [c for c in rows.columns if c not in (id_col, "batch")]
+    return rows.groupBy(id_col).agg(F.max_by(F.struct(*fields), "batch").alias("_last")).select(id_col, "_last.*")
+
+
+def _changed_companies(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``cnpj`` of companies of ``old`` that ``new`` does not hold at the same place under the same names."""
+    same = lambda df: df.select("cnpj", F.sha2(F.to_json(F.struct("portfolio_seq", *NAMES)), 256).alias("_names"))
+    return same(old).join(same(new), ["cnpj", "_names"], "left_anti").select("cnpj")
+
+
+def relink(links: DataFrame, old: DataFrame, new: DataFrame, id_col: str, name: str, document: str) -> DataFrame:
+    """Links that another portfolio version changes, as ``link_entities`` on all of it would give them.
+
+    Contracts whose company is gone or has other names, and those whose best candidate lies in the review
+    band, are linked anew. All others without a key match are compared only with companies that are
+    new or renamed, and take one that is better, or as good and earlier in the portfolio.
+    """
+    lost, fresh = _changed_companies(old, new), _changed_companies(new, old)
+    links = stored(links.join(lost.withColumn("_lost", F.lit(True)), "cnpj", "left"), "earlier-links")
+    in_doubt = F.col("_lost").isNotNull() | (F.col("cnpj").isNull() & (F.coalesce("score", F.lit(0.0)) > 0))
+    again = link_entities(links.where(in_doubt), new, id_col, name, document).select(id_col, *LINK)
+    rest = links.where(~in_doubt & ~F.col("method").eqNullSafe(BY_KEY))
+    place = new.select("cnpj", F.col("portfolio_seq").alias("_seq"))
+    held = rest.join(place, "cnpj", "left").select(id_col, F.col("score").alias("_score"), F.col("_seq").alias("_held"))
+    found = link_entities(rest, new.join(fresh, "cnpj", "left_semi"), id_col, name, document).join(place, "cnpj", "left")
+    found = found.join(held, id_col)
+    before = F.coalesce("_score", F.lit(-1.0))
+    better = (F.col("method") == BY_KEY) | (F.col("score") > before) | (
+        (F.col("score") == before) & (F.col("_seq") < F.col("_held"))
+    )
+    news = again.unionByName(found.where(better).select(id_col, *LINK))
+    was = links.select(id_col, name, document, *[F.col(c).alias(f"_{c}") for c in LINK])
+    differs = ~(F.col("cnpj").eqNullSafe(F.col("_cnpj")) & F.col("method").eqNullSafe(F.col("_method")) & F.col("score").eqNullSafe(F.col("_score")))
+    return news.join(was, id_col).where(differs).select(id_col, name, document, *LINK)
+
+
+def stream_link_versions(
+    contracts: DataFrame,
+    portfolio_root: str,
+    out: str,
+    checkpoint: str,
+    id_col: str = "contract_id",
+    name: str = "tenant_name",
+    document: str = "tenant_document",
+) -> StreamingQuery:
+    """R3 with a portfolio that changes: each batch takes the newest finished version (``save_version``).
+
+    When that is another than the last batch had, contracts of earlier batches whose link it changes are
+    written once more with the new version; ``current_links`` shows the last link of each. A
+    contract comes once; its id tells contracts apart. A repeated batch replaces itself. A batch reads the
+    earlier links only when the version changed, apart from their version numbers.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        version = versions(spark, portfolio_root)[-1]
+        portfolio = read_version(spark, portfolio_root, version)
+        links = link_entities(batch, portfolio, id_col, name, document).select(id_col, name, document, *LINK)
+        if batch_id:
+            earlier = spark.read.parquet(out).where(F.col("batch") < batch_id)
+            last = earlier.agg(F.max_by("portfolio_version", F.struct("batch", "portfolio_version"))).first()[0]
+            if last is not None and last != version:
+                fields = [name, document, *LINK]
+                rows = earlier.groupBy(id_col).agg(F.max_by(F.struct(*fields), "batch").alias("_last")).select(id_col, "_last.*")
+                links = links.unionByName(relink(rows, read_version(spark, portfolio_root, last), portfolio, id_col, name, document))
+        links.withColumn("portfolio_version", F.lit(version).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return (
+        contracts.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def stream_link(
     contracts: DataFrame, portfolio: DataFrame, out: str, checkpoint: str, id_col: str = "contract_id",
 ) -> StreamingQuery:

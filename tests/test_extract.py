@@ -182,3 +182,63 @@ def test_interpreter_sees_only_unresolved(spark):
 def test_clashing_columns_are_refused(spark):
     with pytest.raises(ValueError):
         E.extract_fields(spark.createDataFrame([("a", 1)], "text string, rent int"))
+
+
+def test_an_excerpt_is_asked_once(spark, tmp_path):
+    import pandas as pd
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("value string, confidence double, detail string")
+    def reply(excerpt: pd.Series) -> pd.DataFrame:
+        calls.add(len(excerpt))
+        return pd.DataFrame({"value": [None if e == "" else "comercial" for e in excerpt], "confidence": 0.8, "detail": "x"})
+
+    texts = ["imóvel de esquina"] * 40 + ["imóvel de canto"] * 3 + [None, "", "fins residenciais"]
+    df = spark.createDataFrame([(i, "own", t) for i, t in enumerate(texts)], "id int, hash string, text string")
+    fields = E.extract_fields(df, keep_text=True)
+    root = str(tmp_path / "answers")
+    for asked in (3, 3):  # two texts and the empty one; nothing new in the second run
+        rows = E.route_ambiguous(fields, "text", reply, answers=root).collect()
+        assert calls.value == asked and len(rows) == len(texts)
+        got = {r.id: (r.lease_type.value, r.hash) for r in rows}
+        assert {got[i] for i in range(43)} == {("comercial", "own")} and got[45][0] == "residencial" and got[43] == (None, "own")
+    more = E.extract_fields(df.unionByName(df.withColumn("text", F.lit("imóvel novo"))), keep_text=True)
+    E.route_ambiguous(more, "text", reply, answers=root).collect()
+    assert calls.value == 4
+    assert E.route_ambiguous(fields.limit(0), "text", reply).count() == 0
+
+
+def test_packs_as_tables(spark):
+    from leaselake.operators import rule_tables as RT
+    from leaselake.plans import lease_ptbr as R
+
+    fields, rules = RT.pack_tables(spark)
+    assert RT.read_pack(fields.withColumn("note", F.lit(1)), rules) == R.FIELDS
+    add = lambda field, *rows: RT.read_pack(
+        fields.unionByName(spark.createDataFrame([field], RT.FIELD_COLUMNS)), rules.unionByName(spark.createDataFrame(list(rows), RT.RULE_COLUMNS))
+    )
+    own = ("court", "foro", "string", "sem foro", None, None, None, None)
+    rule = ("court", 2, r"foro\s+de\s+(\w+)", "text", 0.9, None, None, None, None, None)
+    pack = add(own, rule, ("court", 1, r"comarca\s+de\s+(\w+)", "text", 0.7, "comarca", None, None, None, ["comarca"]))
+    assert pack[:-1] == R.FIELDS and [r.confidence for r in pack[-1].rules] == [0.7, 0.9]
+    df = spark.createDataFrame([(1, "Foro de Santos. Comarca de Itu."), (2, "foro de Campinas"), (3, None), (4, "")], "id int, text string")
+    got = {r.id: r.court for r in E.extract_fields(df, rules=pack).collect()}
+    assert [(got[i].value, got[i].confidence, got[i].detail) for i in (1, 2)] == [("itu", 0.7, "comarca"), ("campinas", 0.9, None)]
+    assert [(got[i].value, got[i].origin, got[i].detail) for i in (3, 4)] == [(None, "nao_encontrado", "sem foro")] * 2
+    with pytest.raises(ValueError, match="clash"):
+        E.extract_fields(df.withColumn("court", F.lit(1)), rules=pack)
+    for field, row, message in (
+        (own, (*rule[:2], "(", *rule[3:]), "rule 2"),
+        (own, (*rule[:2], "foro", *rule[3:]), "rule 2"),
+        (own, (*rule[:3], "money", *rule[4:]), "gives no string"),
+        (own, (*rule[:3], "constant", *rule[4:]), "constant goes with"),
+        (("tenant", *own[1:]), ("tenant", *rule[1:]), "cannot be used"),
+        (("court", "locador", *own[2:]), rule, "belongs to another"),
+        (own, ("forum", *rule[1:]), "rules without a field"),
+        (("court", "foro", "int", "", None, 1, None, None), (*rule[:3], "int", *rule[4:]), "come together"),
+    ):
+        with pytest.raises(ValueError, match=message):
+            add(field, row)
+    with pytest.raises(ValueError, match="rent: a field of the default pack is missing"):
+        RT.read_pack(fields.where("field <> 'rent'"), rules.where("field <> 'rent'"))

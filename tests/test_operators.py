@@ -463,3 +463,34 @@ def test_a_change_set_in_buckets_gives_the_same_table(spark, tmp_path):
     got = BU.read_buckets(spark, root, "cnpj").select(want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert sum(r.effective for r in judged.collect()) == 2 and len(touched) <= 2
+
+
+def test_links_follow_the_portfolio(spark, tmp_path):
+    """Earlier links after a new version are those that linking all contracts with it gives."""
+    import random
+
+    from leaselake.sources import tables as TAB
+    from leaselake.streaming import ingest as STREAM
+
+    draw = random.Random(5)
+    words = ["alfa", "beta", "gama", "delta", "norte", "sul", "comercio", "industria"]
+    firm = lambda: " ".join(draw.choices(words, k=3))
+    key = lambda i: f"{i:014d}"
+    first = [(key(i), firm(), [firm()] if i % 3 == 0 else []) for i in range(40)]
+    second = [(k, firm() if i % 7 == 1 else n, a) for i, (k, n, a) in enumerate(first) if i % 5] + [(key(i), firm(), []) for i in range(40, 60)]
+    place = lambda rows: companies(spark, rows).withColumn("portfolio_seq", F.col("cnpj").cast("long") * 13 % 61)
+    rows = [(i, firm()[: draw.choice([9, 30])] if i % 9 else None, key(draw.randrange(70)) if i % 4 == 0 else None) for i in range(120)]
+    schema = "contract_id long, tenant_name string, tenant_document string"
+    base = str(tmp_path)
+    for part, version in ((rows[:80], first), (rows[80:], second)):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{base}/in")
+        TAB.save_version(place(version), f"{base}/portfolio")
+        stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+        STREAM.stream_link_versions(stream, f"{base}/portfolio", f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    columns = ["contract_id", "cnpj", "status", "method", "score"]
+    want = J.link_entities(spark.createDataFrame(rows, schema), place(second)).select(columns).collect()
+    now = STREAM.current_links(spark, f"{base}/out")
+    assert sorted(map(tuple, now.select(columns).collect()), key=lambda r: r[0]) == sorted(map(tuple, want), key=lambda r: r[0])
+    made = {r.contract_id: r.portfolio_version for r in now.collect()}
+    assert {made[i] for i in range(80, 120)} == {2} and {made[i] for i in range(80)} == {1, 2}
+    assert spark.read.parquet(f"{base}/out").where("portfolio_version = 1").count() == 80
