@@ -159,7 +159,8 @@ def join_quoted(lines: DataFrame, give_back: bool = False) -> DataFrame:
     it over, or sets it. So states are added up within blocks and then over the
     blocks of a file, as line numbers are, and no file meets in one task. The lines of a row
     with a cell longer than MAX_CELL_CHARS are not gathered: it is empty, or with ``give_back`` each
-    of its lines is a row of its own, and a column ``error`` says so.
+    of its lines is a row of its own, and a column ``error`` says so. The rows behind them move on by
+    sums of the same kind.
     """
     opened, kept = F.lit(False), F.lit(True)
     for d in DELIMITERS:
@@ -200,7 +201,9 @@ def join_quoted(lines: DataFrame, give_back: bool = False) -> DataFrame:
         "source", "block", F.greatest(F.col("_offset") + F.col("_begun") - 1, F.lit(0)).alias("_record"), "row", "value", "delimiter",
         "_open", "_open_after", ((F.col("_open") == 1) | (F.col("_open_after") == 1)).alias("_several"),
     )
-    one = rows.where(~F.col("_several")).select("source", F.col("_record").alias("row"), "value", "delimiter")
+    one = rows.where(~F.col("_several")).select(
+        "source", "block", F.col("row").alias("_line"), F.col("_record").alias("row"), "value", "delimiter"
+    )
     # Read several times from here on: written once, and so are the few cells over several lines.
     several = stored(rows.where("_several"), "open-lines")
     sizes = stored(_longest_cells(several), "cell-sizes")
@@ -209,22 +212,28 @@ def join_quoted(lines: DataFrame, give_back: bool = False) -> DataFrame:
     ).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "value"))), lambda r: r["value"]), "\n").alias("value"),
         F.first("delimiter").alias("delimiter"),
-    )
-    endless = several.join(sizes.where(F.col("_size") > MAX_CELL_CHARS), ["source", "_record"])
+        F.min(F.struct("block", F.col("row").alias("_line"))).alias("_at"),
+    ).select("source", "_at.*", "row", "value", "delimiter")
     if not give_back:
+        endless = several.join(sizes.where(F.col("_size") > MAX_CELL_CHARS), ["source", "_record"])
         empty = endless.groupBy("source", F.col("_record").alias("row")).agg(F.lit("").alias("value"), F.first("delimiter").alias("delimiter"))
-        return one.unionByName(fitting).unionByName(empty)
-    # Rows after a record that is given back move on by its further lines.
-    spans = endless.groupBy("source", "_record").agg(F.min("row").alias("_from"), F.count("*").alias("_lines"))
-    moves = spans.groupBy("source").agg(F.collect_list(F.struct("_record", (F.col("_lines") - 1).alias("_more"))).alias("_moves"))
-    given = endless.join(spans, ["source", "_record"]).select(
-        "source", F.col("_record").alias("row"), "value", "delimiter", (F.col("row") - F.col("_from")).alias("_inside"),
+        return one.unionByName(fitting).drop("block", "_line").unionByName(empty)
+    # Every line of a record that is given back after its first moves all that follows by one row.
+    given = several.join(sizes.where(F.col("_size") > MAX_CELL_CHARS), ["source", "_record"]).select(
+        "source", "block", F.col("row").alias("_line"), F.col("_record").alias("row"), "value", "delimiter", F.col("_open").alias("_later"),
         F.lit(f"quoted cell longer than {MAX_CELL_CHARS} characters: line given back as a row").alias("error"),
     )
-    kept_rows = one.unionByName(fitting).withColumn("_inside", F.lit(0).cast("long")).withColumn("error", F.lit(None).cast("string"))
-    moved = lookup_join(kept_rows.unionByName(given), moves, ["source"], ["row"])
-    earlier = F.expr("coalesce(aggregate(filter(_moves, m -> m._record < row), 0L, (n, m) -> n + m._more), 0L)")
-    return moved.select("source", (F.col("row") + F.col("_inside") + earlier).alias("row"), "value", "delimiter", "error")
+    kept_rows = one.unionByName(fitting).withColumn("_later", F.lit(0)).withColumn("error", F.lit(None).cast("string"))
+    later = given.groupBy("source", "block").agg(F.sum("_later").alias("_moved"))
+    moves = counts.join(later, ["source", "block"], "left").select(
+        "source", "block",
+        F.coalesce(F.sum("_moved").over(blocks.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_moves"),
+    )
+    lines_of_block = W.partitionBy("source", "block").orderBy("_line").rowsBetween(W.unboundedPreceding, W.currentRow)
+    moved = kept_rows.unionByName(given).withColumn("_here", F.sum("_later").over(lines_of_block))
+    return moved.join(moves, ["source", "block"]).select(
+        "source", (F.col("row") + F.col("_moves") + F.col("_here")).alias("row"), "value", "delimiter", "error"
+    )
 
 
 def rows_from_lines(lines: DataFrame) -> DataFrame:
