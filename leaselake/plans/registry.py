@@ -1417,7 +1417,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rendered contracts, each twice, through the incremental ingest."""
+    """All rendered contracts, each twice, in some four arrivals through the incremental ingest, with three folds."""
     texts = synth.contracts(spark, sf_dir).select(
         F.concat(F.lit("/entrada/"), "file_name").alias("path"), "file_name",
         F.col("file_name").alias("order_key"),
@@ -1426,12 +1426,21 @@ def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = texts.unionByName(
         texts.withColumns({"path": F.concat("path", F.lit(".copia")), "order_key": F.concat("order_key", F.lit(".copia"))})
     )
-    out = work_folder(spark, "history")
+    out, files = work_folder(spark, "history"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = work_folder(spark, "arrivals")
+    twice.repartition(files, "path").write.parquet(path)
+    arriving = spark.readStream.schema(twice.schema).option("maxFilesPerTrigger", -(-files // 4)).parquet(path)
+    buckets = BU.bucket_count(texts.select("file_name"), BUCKET_ROWS)
+
+    def fold(batch_id: int) -> None:
+        if batch_id < 3:  # the last batches stay above the base
+            STREAM.fold_history(spark, f"{out}/history", f"{out}/base", buckets)
+
     STREAM.stream_ingest(
-        _stream_of(spark, twice, "arrivals"), f"{out}/history", f"{out}/checkpoint", synth.REF_DATE,
-        F.lit("2026-10-06 00:00:00").cast("timestamp"),
+        arriving, f"{out}/history", f"{out}/checkpoint", synth.REF_DATE,
+        F.lit("2026-10-06 00:00:00").cast("timestamp"), after_batch=fold,
     ).awaitTermination()
-    history = STREAM.read_history(spark, f"{out}/history")
+    history = STREAM.read_folded_history(spark, f"{out}/history", f"{out}/base")
     return history.select(
         "file_name", "needs_review", F.col("contract.rent").alias("rent"),
         F.col("contract.tenant.document").alias("tenant_document"),

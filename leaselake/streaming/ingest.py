@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from leaselake.operators.buckets import change_buckets, create_buckets, read_buckets
 from leaselake.operators.dedup import dedup_by_content
 from leaselake.operators.linkage import BY_KEY, link_entities, prepared_candidates
 from leaselake.operators.maintain import hash_id
+from leaselake.operators.skew import broadcast_if_small
 from leaselake.plans.contracts import analyse
 from leaselake.session import stored
 from leaselake.sources.documents import _documents, _glob
 from leaselake.sources.tables import read_version, versions
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Hashes after the last fold up to this number are broadcast (some 100 bytes each).
+FOLDED_BROADCAST_ROWS = 500_000
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -52,15 +60,73 @@ def history_batch(documents: DataFrame, processed_at: Column, ref_date: date | s
     )
 
 
+def _last_of(rows: DataFrame) -> DataFrame:
+    """Of every content hash, the record of the last batch."""
+    fields = [c for c in rows.columns if c not in ("file_hash", "batch")]
+    return rows.groupBy("file_hash").agg(F.max_by(F.struct(*fields), "batch").alias("_last")).select("file_hash", "_last.*")
+
+
 def read_history(spark: SparkSession, root: str) -> DataFrame:
     """The history as of now: of every content hash, the record of the last batch."""
-    stored = spark.read.parquet(root)
-    fields = [c for c in stored.columns if c not in ("file_hash", "batch")]
-    return (
-        stored.groupBy("file_hash")
-        .agg(F.max_by(F.struct(*fields), "batch").alias("_last"))
-        .select("file_hash", "_last.*")
-    )
+    return _last_of(spark.read.parquet(root))
+
+
+# ---- history in two levels: buckets of the hash below, batches not yet folded into them above --------------
+def _folded(spark: SparkSession, base: str) -> int | None:
+    """Number of the last batch folded into a base, None before the first fold."""
+    try:
+        marks = spark.read.parquet(f"{base}/folded")
+    except AnalysisException:  # no fold has finished yet
+        return None
+    return marks.agg(F.max("batch")).first()[0]
+
+
+def _after(spark: SparkSession, root: str, folded: int | None) -> DataFrame:
+    """Records of the batches after one; the folders of the others are not read."""
+    rows = spark.read.parquet(root)
+    return rows if folded is None else rows.where(F.col("batch") > folded)
+
+
+def fold_history(spark: SparkSession, root: str, base: str, buckets: int) -> list[int]:
+    """Fold the batches written since the last fold into the base; the numbers of the buckets written.
+
+    May be run between any batches of a running stream, one fold at a time; the stream goes on writing to
+    ``root``. Only buckets that the new records fall into are read and written. The batch up to which the
+    base goes is noted when its buckets are in place, so a fold that broke off is simply done again: its
+    batches still count as new, and their records win over the same ones in the base. ``buckets`` is
+    the same number each time. Batches folded long ago may be deleted, but not the last one.
+    """
+    folded = _folded(spark, base)
+    top = spark.read.parquet(root).agg(F.max("batch")).first()[0]
+    if top is None or top == folded:
+        return []
+    news = stored(_last_of(_after(spark, root, folded).where(F.col("batch") <= top)), "folded")
+    if folded is None:
+        create_buckets(news, f"{base}/buckets", "file_hash", buckets, mode="overwrite")
+        touched = list(range(buckets))
+    else:
+        touched = change_buckets(
+            spark, f"{base}/buckets", "file_hash", buckets, news,
+            lambda rows: rows.join(news, "file_hash", "left_anti").unionByName(news.select(*rows.columns)),
+        )
+    spark.range(1).select(F.lit(top).cast("long").alias("batch")).write.mode("append").parquet(f"{base}/folded")
+    return touched
+
+
+def read_folded_history(spark: SparkSession, root: str, base: str) -> DataFrame:
+    """``read_history`` over a folded one: only records after the last fold are grouped.
+
+    The base holds one record for each hash and is passed through; it is shuffled only where the hashes after the
+    last fold are too many to be broadcast.
+    """
+    folded = _folded(spark, base)
+    news = _last_of(_after(spark, root, folded))
+    if folded is None:
+        return news
+    rows = read_buckets(spark, f"{base}/buckets", "file_hash")
+    news = stored(news, "after-the-fold")
+    replaced = broadcast_if_small(news.select("file_hash"), FOLDED_BROADCAST_ROWS)
+    return rows.join(replaced, "file_hash", "left_anti").unionByName(news.select(*rows.columns))
 
 
 def compact_history(spark: SparkSession, root: str, new_root: str) -> int:
@@ -82,19 +148,23 @@ def stream_ingest(
     checkpoint: str,
     ref_date: date | str | None = None,
     processed_at: Column | None = None,
+    after_batch: Callable[[int], None] | None = None,
 ) -> StreamingQuery:
     """Extract arriving files and upsert them into the history by hash.
 
     A batch writes only its own records, to the folder of its number, so history
     already stored is not rewritten and a repeated batch replaces itself. The id
     comes from the hash, so a file that arrives again keeps it; ``read_history``
-    shows the last record of each.
+    shows the last record of each. ``after_batch`` is called with the number of each
+    batch when its records are written, for example to fold them (``fold_history``).
     """
     stamp = F.current_timestamp() if processed_at is None else processed_at
 
     def store(batch: DataFrame, batch_id: int) -> None:
         records = history_batch(batch, stamp, ref_date)
         records.write.mode("overwrite").parquet(f"{history_root}/batch={batch_id}")
+        if after_batch is not None:
+            after_batch(batch_id)
 
     return (
         documents.writeStream.foreachBatch(store)
@@ -104,32 +174,57 @@ def stream_ingest(
     )
 
 
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB instead of the memory of executors.
+
+    A query takes its settings when it starts, and a checkpoint keeps the store it began with.
+    """
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
 def stream_dedup(stream: DataFrame, hash_col: str, order: list[str], out: str, checkpoint: str) -> StreamingQuery:
     """R2: the first event of each hash, however late it or its copies come.
 
-    A batch is reduced to its first event per hash by ``order`` (columns that tell events apart, so a retry
-    keeps the same one) and matched with the earliest event written for the hash so far. A hash not seen yet is
-    written, and so is an event that is earlier than what was written, as a correction; ``first_events`` reads
-    the corrected state. No event is dropped for being late, and a repeated batch replaces itself. One
-    output folder per batch.
+    The earliest event of each hash by ``order`` (columns that tell events apart) is the state of a streaming
+    aggregation. A batch looks up its own hashes in it, so it costs what it holds, whatever came before.
+    Every event gets the time of its batch; the earliest event of a hash is written when it carries
+    the time of the batch being run, which is so for a new hash and for an event earlier than
+    the one written, a correction. ``first_events`` reads the corrected state. No event is dropped for being
+    late; a repeated batch gets its old time and state, and replaces its folder. An event that comes again unchanged is
+    not written again. The null hash is a hash. The state grows with the distinct hashes and
+    is split by hash; the number of its parts is that of shuffle partitions when the checkpoint begins.
     """
+    others = [c for c in stream.columns if c not in (hash_col, *order)]
+    place = F.struct(*order, "_arrived")
+    first = (
+        stream.withColumn("_arrived", F.current_timestamp())
+        .groupBy(hash_col)
+        .agg(F.min_by(F.struct(*order, *others, "_arrived"), place).alias("_first"))
+        .where(F.col("_first._arrived") == F.current_timestamp())
+        .select(hash_col, "_first.*")
+        .drop("_arrived")
+    )
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        fields = [*order, *[c for c in batch.columns if c not in (hash_col, *order)]]
-        first = batch.groupBy(hash_col).agg(F.min(F.struct(*order)).alias("_least"), F.min_by(F.struct(*fields), F.struct(*order)).alias("_first"))
-        if batch_id:
-            schema = T.StructType([f for f in batch.schema.fields if f.name in (hash_col, *order)]).add("batch", "long")
-            seen = batch.sparkSession.read.schema(schema).parquet(out).where(F.col("batch") < batch_id)
-            known = seen.groupBy(hash_col).agg(F.min(F.struct(*order)).alias("_seen"))
-            first = first.join(known, hash_col, "left").where(F.col("_seen").isNull() | (F.col("_least") < F.col("_seen")))
-        first.select(hash_col, "_first.*").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return (
-        stream.writeStream.foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    with _state_on_disk(stream.sparkSession):
+        return (
+            first.writeStream.outputMode("update")
+            .foreachBatch(store)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
 
 
 def first_events(spark: SparkSession, out: str, hash_col: str, order: list[str]) -> DataFrame:

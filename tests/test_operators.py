@@ -3,6 +3,7 @@
 import random
 from decimal import Decimal as D
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -379,6 +380,74 @@ def test_late_events_correct_earlier_ones(spark, tmp_path):
     assert got == [("a", "2019-01-01"), ("b", "2020-01-01"), ("c", "2018-01-01")]
 
 
+def test_dedup_state_writes_news_and_corrections_only(spark, tmp_path):
+    from leaselake.streaming import ingest as STREAM
+
+    source, out, order = str(tmp_path / "in"), str(tmp_path / "out"), ["ts", "id"]
+    schema = "hash string, ts int, id int, note string"
+    arrivals = [
+        [("a", 5, 1, "x"), ("a", 5, 2, "y"), (None, 3, 3, None), ("b", 9, 4, "z")],
+        [("a", 6, 5, "late"), ("b", 9, 4, "z"), ("b", 9, 9, "tie")],
+        [("a", 5, 0, "earlier"), (None, 1, 6, "n"), ("c", 1, 7, None)],
+    ]
+    provider = spark.conf.get(STREAM.STATE_STORE)
+    for rows in arrivals:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        query = STREAM.stream_dedup(stream, "hash", order, out, str(tmp_path / "checkpoint"))
+        query.awaitTermination()
+    assert spark.conf.get(STREAM.STATE_STORE) == provider
+    written = {(r.hash, r.id, r.batch) for r in spark.read.parquet(out).collect()}
+    assert written == {("a", 1, 0), (None, 3, 0), ("b", 4, 0), ("a", 0, 2), (None, 6, 2), ("c", 7, 2)}
+    got = {(r.hash, r.ts, r.id, r.note) for r in STREAM.first_events(spark, out, "hash", order).collect()}
+    assert got == {("a", 5, 0, "earlier"), (None, 1, 6, "n"), ("b", 9, 4, "z"), ("c", 1, 7, None)}
+    state = query.lastProgress["stateOperators"][0]
+    assert state["numRowsTotal"] == 4 and state["numRowsUpdated"] == 3
+    assert any(name.startswith("rocksdb") for name in state["customMetrics"])
+
+
+def test_folds_between_batches_of_a_running_history(spark, tmp_path, monkeypatch):
+    from leaselake.streaming import ingest as STREAM
+
+    root, base, buckets = str(tmp_path / "history"), str(tmp_path / "base"), 4
+    schema = "file_hash string, file_name string, needs_review boolean"
+
+    def arrive(batch, names):
+        rows = [(h, f"{h}-{batch}", None) for h in names]
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{root}/batch={batch}")
+
+    def same():
+        want = sorted(map(tuple, STREAM.read_history(spark, root).collect()))
+        got = sorted(map(tuple, STREAM.read_folded_history(spark, root, base).collect()))
+        assert got == want
+        return len(got)
+
+    arrive(0, [f"h{i}" for i in range(40)])
+    assert same() == 40
+    assert STREAM.fold_history(spark, root, base, buckets) == [0, 1, 2, 3]
+    files = _files(f"{base}/buckets")
+    arrive(1, ["h1"])
+    assert same() == 40
+    (bucket,) = STREAM.fold_history(spark, root, base, buckets)
+    kept = [f for f in files if f.parent.name != f"bucket={bucket}"]
+    assert len(kept) == 3 and all(_files(f"{base}/buckets").get(f) == files[f] for f in kept)
+    assert STREAM.fold_history(spark, root, base, buckets) == [] and same() == 40
+    arrive(2, ["h1", "new"])
+    arrive(3, ["h2", "new"])
+    arrive(4, [])
+    # A fold that breaks off after its buckets were written is done again.
+    with monkeypatch.context() as broken:
+        broken.setattr(STREAM, "F", SimpleNamespace(**{**vars(F), "lit": lambda v: 1 / 0}))
+        with pytest.raises(ZeroDivisionError):
+            STREAM.fold_history(spark, root, base, buckets)
+    assert same() == 41
+    assert STREAM.fold_history(spark, root, base, buckets) and same() == 41
+    arrive(5, ["h3"])
+    assert same() == 41
+    read = STREAM.read_folded_history(spark, root, base)
+    assert "Exchange hashpartitioning" not in read._jdf.queryExecution().executedPlan().toString()
+
+
 def test_records_in_json(spark):
     from leaselake.operators import portfolio_import as I
 
