@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from leaselake.functions.labels import bracket_label, plain_decimal
 from leaselake.functions.parsing import MONEY_TYPE, round_money
-from leaselake.operators.skew import broadcast_if_small
+from leaselake.operators.skew import broadcast_if_small, lookup_join
 from leaselake.plans import tax_tables as T
+from leaselake.session import stored
 
 BRACKET = "struct<lo:decimal(18,2),hi:decimal(18,2),rate:decimal(6,5),deduction:decimal(18,2)>"
 BRACKET_COLUMNS = (
@@ -104,8 +105,13 @@ def bracket_join(
     """Add the bracket of ``base_col``; a negative base gets a reason instead."""
     joined = _with_tables(df, brackets, version_col)
     picked = joined.withColumn("_b", pick_bracket(F.col(base_col).cast(MONEY_TYPE), F.col("_brackets")))
+    return _found(picked, df.columns, base_col)
+
+
+def _found(picked: DataFrame, columns: list[str], base_col: str) -> DataFrame:
+    """The columns of a lookup from the picked bracket ``_b``."""
     return picked.select(
-        *df.columns,
+        *columns,
         F.col("_version").alias("version"),
         F.col("_b.lo").alias("lo"),
         F.col("_b.hi").alias("hi"),
@@ -116,6 +122,50 @@ def bracket_join(
     )
 
 
+def bracket_range_join(
+    df: DataFrame, base_col: str, brackets: DataFrame, version_col: str, spread_by: list[str]
+) -> DataFrame:
+    """T1 for bracket tables of any size: the rows of ``bracket_join``, without a version gathered anywhere.
+
+    The bracket of a base is the least, by lower bound, of those of its version whose upper bound is not below it. So
+    the brackets and the distinct bases are laid out in one order, by version and falling bound, where all of
+    these come before the base, and each base takes the least bracket so far. The order is cut into ranges; the
+    least bracket of a version in each range is carried on over the short list of ranges, and one range is
+    one task, whatever share of the brackets a version has. Rows of ``df`` move once, to
+    the bracket of their base; ``spread_by`` names columns that tell rows of one base apart (``lookup_join``).
+
+    Null versions and null or negative bases have no bracket. Column names of ``df`` do not begin with ``_``.
+    """
+    value = F.col(base_col).cast(MONEY_TYPE)
+    keyed = df.withColumn("_version", F.col(version_col).cast("string")).withColumn("_value", F.when(value >= 0, value))
+    no_bracket = F.lit(None).cast(BRACKET).alias("_bracket")
+    bases = keyed.where("_version IS NOT NULL AND _value IS NOT NULL").select("_version", "_value").distinct().select(
+        "_version", F.lit(False).alias("_open"), "_value", F.lit(True).alias("_base"), no_bracket
+    )
+    bounds = brackets.where(F.col("version").isNotNull()).select(
+        F.col("version").cast("string").alias("_version"), F.col("hi").isNull().alias("_open"),
+        F.col("hi").cast(MONEY_TYPE).alias("_value"), F.lit(False).alias("_base"),
+        F.struct("lo", "hi", "rate", "deduction").cast(BRACKET).alias("_bracket"),
+    )
+    # Open brackets cover every base, so they come first; bounds come before the base of their value.
+    order = [F.desc("_open"), F.desc("_value"), F.col("_base"), F.col("_bracket")]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Ranges are cut at sampled rows, so they are written down before they are read twice.
+    laid = stored(
+        bases.unionByName(bounds).repartitionByRange(parts, F.col("_version"), *order).withColumn("_range", F.spark_partition_id()),
+        "bracket-ranges",
+    )
+    ends = laid.groupBy("_version", "_range").agg(F.min("_bracket").alias("_end"))  # at most versions + ranges
+    earlier = W.partitionBy("_version").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.withColumn("_carry", F.min("_end").over(earlier)).where("_carry IS NOT NULL").drop("_end")
+    inside = W.partitionBy("_version", "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    here = laid.withColumn("_here", F.min("_bracket").over(inside)).where("_base")
+    found = here.join(broadcast_if_small(carried), ["_version", "_range"], "left").select(
+        "_version", "_value", F.least("_here", "_carry").alias("_b")
+    )
+    return _found(lookup_join(keyed, found, ["_version", "_value"], spread_by), df.columns, base_col)
+
+
 def reduction(gross: Column) -> Column:
     """T4: reducer on the gross amount; flat, then falling, then none."""
     falling = round_money(

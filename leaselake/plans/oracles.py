@@ -7,7 +7,7 @@ with plain SQL; no extraction pattern of the library appears here.
 from __future__ import annotations
 
 from leaselake.operators.report import HEADERS
-from leaselake.plans.tax_tables import BRACKETS_2026
+from leaselake.plans.tax_tables import BRACKETS_2026, NEGATIVE_BASE
 from leaselake.synth import FACTS_SQL, MONTH_NAMES, REF_DATE
 
 W1 = "[5,4,3,2,9,8,7,6,5,4,3,2]"
@@ -466,6 +466,15 @@ def oracle_sql() -> dict[str, str]:
     sql["bracket_by_year"] = f"""WITH {FACTS}, {YEARLY} SELECT contract_id, version, lo, hi, rate,
       CASE WHEN hi IS NULL THEN 'acima de '||lo||' — 1E+1%' ELSE 'de '||lo||' até '||hi||' — 0%' END AS bracket
       FROM f JOIN yb ON yb.version = CAST(year(start_date) AS VARCHAR) AND ((hi IS NOT NULL AND rent <= hi) OR (hi IS NULL AND rent > lo))"""
+    sql["bracket_ranges"] = """WITH o AS (SELECT *, CAST(o_totalprice AS DECIMAL(18,2)) AS hi FROM orders),
+      d AS (SELECT DISTINCT o_orderpriority AS version, hi FROM o),
+      t AS (SELECT version, CAST(hi - CASE WHEN CAST(floor(hi) AS BIGINT) % 50 = 0 THEN 5000 ELSE 1 END AS DECIMAL(18,2)) AS lo, hi FROM d WHERE hi % 10 <> 0
+        UNION ALL SELECT version, max(hi), NULL FROM d GROUP BY 1),
+      r AS (SELECT o_orderkey AS contract_id, CASE WHEN o_custkey % 11 <> 0 THEN o_orderpriority END AS version,
+        CAST(CASE WHEN o_custkey % 17 = 0 THEN -hi ELSE hi + (o_custkey % 3 - 1) * 0.01 END AS DECIMAL(18,2)) AS rent FROM o),
+      b AS (SELECT contract_id, arg_min({'lo': lo, 'hi': hi}, (lo, hi)) AS b FROM r JOIN t USING (version) WHERE rent >= 0 AND (hi IS NULL OR rent <= hi) GROUP BY 1)
+      SELECT contract_id, rent, version, b.lo AS lo, b.hi AS hi, CAST(CAST(floor(b.lo) AS BIGINT) % 7 * 0.01 AS DECIMAL(6,5)) AS rate,
+        CAST(floor(b.lo) AS DECIMAL(18,2)) AS deduction, CASE WHEN rent < 0 THEN NEGATIVE END AS reason FROM r LEFT JOIN b USING (contract_id)""".replace("NEGATIVE", f"'{NEGATIVE_BASE}'")
     sql["bracket_problems"] = f"""WITH {YEARLY} SELECT version, lo, 'A última faixa da tabela deve ser aberta (maximo=None).' AS violation FROM yb
       WHERE CAST(version AS INT) % 3 = 1 AND hi IS NULL UNION ALL
       SELECT version, lo, 'Apenas a última faixa pode ter maximo=None.' FROM yb WHERE CAST(version AS INT) % 3 = 2 AND hi IS NOT NULL"""

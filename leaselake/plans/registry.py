@@ -682,6 +682,36 @@ def bracket_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("contract_id", "version", "lo", "hi", "rate", "bracket")
 
 
+def _priced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Amounts at, just above and just below the bounds of a bracket table per order priority.
+
+    Every distinct amount of a priority's orders is an upper bound. Some brackets reach far down and hide others.
+    """
+    money = "decimal(18,2)"
+    orders = synth.table(spark, sf_dir, "orders").withColumn("hi", F.col("o_totalprice").cast(money))
+    deep = F.when(F.pmod(F.floor("hi"), F.lit(50)) == 0, F.lit(5000)).otherwise(1)
+    bounds = orders.select(F.col("o_orderpriority").alias("version"), "hi").distinct().withColumn("lo", (F.col("hi") - deep).cast(money))
+    top = bounds.groupBy("version").agg(F.max("hi").alias("lo")).withColumn("hi", F.lit(None).cast(money))
+    table = bounds.where(F.col("hi") % 10 != 0).unionByName(top).select(
+        "version", "lo", "hi", (F.floor("lo") % 7 / 100).cast("decimal(6,5)").alias("rate"),
+        F.floor("lo").cast(money).alias("deduction"),
+    )
+    step = ((F.col("o_custkey") % 3 - 1) * F.lit("0.01").cast("decimal(3,2)")).cast(money)
+    amount = F.when(F.col("o_custkey") % 17 == 0, -F.col("hi")).otherwise(F.col("hi") + step).cast(money)
+    return orders.select(
+        F.col("o_orderkey").alias("contract_id"), amount.alias("rent"),
+        F.when(F.col("o_custkey") % 11 != 0, F.col("o_orderpriority")).alias("priority"),
+    ), table
+
+
+@query
+def bracket_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookup in tables of thousands of brackets."""
+    rents, table = _priced(spark, sf_dir)
+    found = B.bracket_range_join(rents, "rent", table, "priority", ["contract_id"])
+    return found.select("contract_id", "rent", "version", "lo", "hi", "rate", "deduction", "reason")
+
+
 @query
 def bracket_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = _yearly_brackets(spark, sf_dir)
@@ -1226,9 +1256,11 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def history_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The record of one content hash, that of the least order key."""
+    """The record of one content hash, that of the least order key, from a history stored for lookups."""
     least = synth.table(spark, sf_dir, "orders").agg(F.sha2(F.min("o_orderkey").cast("string"), 256)).first()[0]
-    return TAB.history_by_hash(_history(spark, sf_dir), least).select("file_name", "file_hash")
+    path = work_folder(spark, "lookup")
+    TAB.save_history(_history(spark, sf_dir), path)
+    return TAB.history_by_hash(spark.read.parquet(path), least).select("file_name", "file_hash")
 
 
 @query

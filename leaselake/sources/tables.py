@@ -82,6 +82,19 @@ def history_view(history: DataFrame) -> DataFrame:
     return history.orderBy(F.desc("processed_at"), "file_hash")
 
 
+def save_history(history: DataFrame, path: str, files: int | None = None, row_group_bytes: int = 16 << 20) -> None:
+    """A history for lookups by hash: files by ranges of the hash, sorted, with Bloom filters.
+
+    Bounds of a row group rule out most groups and its Bloom filter nearly all that remain, so a lookup reads
+    the footers and about one group. Hashes are random, so ranges are of even size.
+    """
+    spark = history.sparkSession
+    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    history.repartitionByRange(files, "file_hash").sortWithinPartitions("file_hash").write.option(
+        "parquet.bloom.filter.enabled#file_hash", "true"
+    ).option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.block.size", row_group_bytes).parquet(path)
+
+
 def history_by_hash(history: DataFrame, file_hash: str) -> DataFrame:
     """Point lookup; the filter reaches the Parquet scan."""
     return history.where(F.col("file_hash") == file_hash)

@@ -34,6 +34,62 @@ def test_tax(spark):
     assert by_rent[D("-1.00"), "PF"].tax_reason is not None
 
 
+def test_range_lookup_is_the_array_lookup(spark):
+    rng = random.Random(3)
+    money = lambda cents: D(cents) / 100
+    # Version "hot" has most brackets and rows; bounds fall as well as rise, so that some brackets hide others.
+    table = []
+    for version, n in (("hot", 400), ("b", 30), ("c", 3)):
+        for _ in range(n):
+            hi = rng.choice([None, *[rng.randint(0, 5000)] * 60])
+            table.append((version, money(rng.randint(0, 5000)), None if hi is None else money(hi), D(rng.randint(0, 9)) / 10, money(7)))
+    rows = [(i, rng.choice(["hot", "hot", "hot", "b", "c", "d", None]), rng.choice([None, *[money(rng.randint(-50, 5100))] * 9])) for i in range(1500)]
+    rows += [(i, "hot", money(2500)) for i in range(1500, 2500)]
+    brackets = spark.createDataFrame(
+        table, "version string, lo decimal(18,2), hi decimal(18,2), rate decimal(6,5), deduction decimal(18,2)"
+    ).withColumns({"legal_basis": F.lit("x"), "source_url": F.lit("y")})
+    rents = spark.createDataFrame(rows, "id int, year string, rent decimal(18,2)")
+    want = B.bracket_join(rents, "rent", brackets, "year")
+    got = B.bracket_range_join(rents, "rent", brackets, "year", ["id"])
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert B.bracket_range_join(rents.limit(0), "rent", brackets, "year", ["id"]).count() == 0
+    none = B.bracket_range_join(rents, "rent", brackets.limit(0), "year", ["id"])
+    assert none.count() == len(rows) and none.where("bracket is not null").count() == 0
+
+
+def test_lookup_reads_one_row_group(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from leaselake.sources import tables as TAB
+
+    path, rows = str(tmp_path / "history"), 40_000
+    history = spark.range(rows).select(F.sha2(F.col("id").cast("string"), 256).alias("file_hash"), F.uuid().alias("contract"))
+    TAB.save_history(history, path, files=2, row_group_bytes=256 << 10)
+    metas = [pq.ParquetFile(f).metadata for f in Path(path).glob("*.parquet")]
+    sizes = [m.row_group(i).num_rows for m in metas for i in range(m.num_row_groups)]
+    assert len(sizes) >= 8
+    wanted = history.first().file_hash
+    for value, found in ((wanted, 1), ("0" * 63 + "x", 0), ("8" + wanted[1:-1] + "y", 0)):
+        hit = TAB.history_by_hash(spark.read.parquet(path), value)
+        assert "PushedFilters: [IsNotNull(file_hash), EqualTo(file_hash" in hit._jdf.queryExecution().executedPlan().toString()
+        out = hit.select("file_hash")
+        assert len(out.collect()) == found
+        scans = [int(m) for m in _scan_rows(out)]
+        assert sum(scans) <= (max(sizes) if found else 0)
+
+
+def _scan_rows(df):
+    """Rows that left the file scans of a query that has been collected."""
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves, out = plan.collectLeaves(), []
+    for i in range(leaves.size()):
+        metrics = leaves.apply(i).metrics()
+        if metrics.contains("numOutputRows"):
+            out.append(metrics.apply("numOutputRows").value())
+    return out
+
+
 def test_reduction(spark, one):
     values = [D(x) for x in ("0.00", "5000.00", "5000.01", "6000.00", "7350.00", "7350.01")]
     assert one(B.reduction, values, "decimal(18,2)") == [D(x) for x in ("312.89", "312.89", "312.89", "179.75", "0.00", "0.00")]
