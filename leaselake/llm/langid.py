@@ -49,20 +49,38 @@ def letter_bits(codes: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
     return np.unpackbits(x.view(np.uint8), axis=1)
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+
+
+def _reduced(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters as they are and all else as blanks; and which of them count, those not beside a letter do not."""
+    letter = _is_letter()[codes]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    keep[:-1] |= letter[1:]
+    return np.where(letter, codes, SPACE), keep
+
+
+def _long(value: str) -> Iterator[np.ndarray]:
+    """What counts of a long text, piece by piece; each begins with the last two codes of the one before."""
+    last = np.zeros(0, dtype=np.int64)
+    padded = f"\n{value}\n"
+    for start in range(0, len(padded), PIECE):
+        around = (padded[start - 1 : start] if start else "\n", padded[start + PIECE : start + PIECE + 1] or "\n")
+        codes, keep = _reduced(_codes(around[0] + padded[start : start + PIECE] + around[1]))
+        piece = np.concatenate([last, codes[1:-1][keep[1:-1]]])
+        yield piece
+        last = piece[-2:]
+
+
 class Trigrams:
-    """Counted trigrams of several texts: letters, the distinct trigrams, and where each occurs."""
-
-    def __init__(self, owners: list[int], pieces: list[str]):
-        is_letter = _is_letter()
-        raw = "".join([f"\n{p}\n" for p in pieces]).encode("utf-32-le", "replace")
-        codes = np.frombuffer(raw, "<u4").astype(np.int64)
-        owner = np.repeat(np.array(owners, dtype=np.int64), [len(p) + 2 for p in pieces])
-        part = np.repeat(np.arange(len(pieces), dtype=np.int64), [len(p) + 2 for p in pieces])
-        letter = is_letter[codes]
-        keep = letter.copy()
-        keep[1:] |= letter[:-1]
-        keep[:-1] |= letter[1:]
-        codes, owner, part = np.where(letter, codes, SPACE)[keep], owner[keep], part[keep]
+    """Counted trigrams of several texts: letters, the distinct trigrams, and where each occurs.
+
+    Takes the codes that count, the owner of each, and the part it belongs to; no trigram goes over two parts.
+    """
+
+    def __init__(self, codes: np.ndarray, owner: np.ndarray, part: np.ndarray):
         present = np.zeros(sys.maxunicode + 1, dtype=bool)
         present[codes] = True
         self.letters = np.flatnonzero(present)
@@ -109,20 +127,29 @@ def document_vectors(values: list[str], owners: list[int] | None = None, n: int
     owners = list(range(len(values))) if owners is None else owners
     n = len(values) if n is None else n
     out = np.zeros((n, DIMENSIONS), dtype=np.float32)
-    held: tuple[list[int], list[str]] = ([], [])
+    held: list[tuple[int, str]] = []
     size = 0
+
+    def sums() -> np.ndarray:
+        lengths = [len(text) for _, text in held]
+        codes, keep = _reduced(_codes("".join([text for _, text in held])))
+        of = np.repeat(np.array([owner for owner, _ in held], dtype=np.int64), lengths)
+        part = np.repeat(np.arange(len(held), dtype=np.int64), lengths)
+        return Trigrams(codes[keep], of[keep], part[keep]).sums(n)
+
     for owner, value in zip(owners, values):
         value = value.lower()
-        for start in range(0, max(1, len(value)), PIECE):
-            piece = value[start : start + PIECE + 2]
-            held[0].append(owner)
-            held[1].append(piece)
-            size += len(piece)
-            if size >= PIECE:
-                out += Trigrams(*held).sums(n)
-                held, size = ([], []), 0
-    if held[0]:
-        out += Trigrams(*held).sums(n)
+        if len(value) > PIECE:
+            for codes in _long(value):
+                out += Trigrams(codes, np.full(len(codes), owner, dtype=np.int64), np.zeros(len(codes), dtype=np.int64)).sums(n)
+            continue
+        held.append((owner, f"\n{value}\n"))
+        size += len(value)
+        if size >= PIECE:
+            out += sums()
+            held, size = [], 0
+    if held:
+        out += sums()
     return out
 
 

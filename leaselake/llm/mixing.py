@@ -23,6 +23,8 @@ LEVELS = ("domain", "lang", "source")
 DEFAULT_WEIGHT = 1
 #: Hexadecimal digits of the seeded order key by which a leaf's documents are summed before single ones are looked at.
 SLICE_DIGITS = 3
+#: A last slice with more rows is cut by further digits, down to single keys.
+SLICE_ROWS = 10_000
 _WIDE = "decimal(38,0)"
 
 
@@ -137,27 +139,22 @@ def select(docs: DataFrame, weights: DataFrame, percent: int, max_epochs: int, d
     leaf = [f"of_{c}" for c in LEVELS]
 
     def placed(df: DataFrame, plan: DataFrame) -> DataFrame:
+        """Rows with the plan of their leaf; ``slice`` is as much of the place as the plan's last slice has."""
         joined = df.join(broadcast_if_small(plan), _same(list(LEVELS), leaf))
         return joined.withColumn("place", order_key(seed, F.col("epochs"), "key")).withColumn(
-            "slice", F.substring("place", 1, SLICE_DIGITS)
+            "slice", F.expr("left(place, length(last))")
         )
 
-    sums = placed(narrow, budgets.where(F.col("rest") > 0)).groupBy(*leaf, "slice").agg(
-        F.sum("n_tokens").alias("held"), F.first("rest").alias("rest")
-    )
-    # Added up by first digit and then over the digits, so that no leaf's slices all meet in one task.
-    sums = sums.withColumn("digit", F.substring("slice", 1, 1))
-    earlier = W.partitionBy(*leaf).orderBy("digit").rowsBetween(W.unboundedPreceding, -1)
-    digits = sums.groupBy(*leaf, "digit").agg(F.sum("held").alias("digit_held")).withColumn(
-        "before", F.coalesce(F.sum("digit_held").over(earlier), F.lit(0))
-    ).select(*[F.col(c).alias(f"digit_{c}") for c in [*leaf, "digit"]], "before")
-    inside = W.partitionBy(*leaf, "digit").orderBy("slice").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ends = (
-        sums.join(digits, _same([*leaf, "digit"], [f"digit_{c}" for c in [*leaf, "digit"]]))
-        .withColumn("upto", F.col("before") + F.sum("held").over(inside)).where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("held") < F.col("rest")))
-        .select(*[F.col(c).alias(f"end_{c}") for c in leaf], F.col("slice").alias("last"), (F.col("rest") - F.col("upto") + F.col("held")).alias("room"))
-    )
-    plan = stored(budgets.join(ends, _same(leaf, [f"end_{c}" for c in leaf]), "left").select(*leaf, "epochs", "last", "room"), "plan")
+    # The slice in which a budget ends is cut again until it is small; a key's md5 has 32 digits.
+    ends = budgets.where(F.col("rest") > 0).select(*leaf, "epochs", F.lit("").alias("last"), F.col("rest").alias("room"))
+    for digits in range(SLICE_DIGITS, 32 + SLICE_DIGITS, SLICE_DIGITS):
+        inside_last = placed(narrow, ends).where(F.col("slice") == F.col("last"))
+        ends = stored(_last_slices(inside_last, leaf, digits), "ends")
+        if (ends.agg(F.max("rows")).first()[0] or 0) <= SLICE_ROWS:
+            break
+    plan = budgets.select(*leaf, "epochs").join(
+        broadcast_if_small(ends.select(*[F.col(c).alias(f"end_{c}") for c in leaf], "last", "room")), _same(leaf, [f"end_{c}" for c in leaf]), "left"
+    ).select(*leaf, "epochs", "last", "room")
     whole = placed(rows.where(F.col("n_tokens") > 0), plan)
     out = ["row", "domain", "n_tokens"]
     # Whole epochs, and the slices of the last epoch that lie before the one in which the budget ends.
@@ -166,14 +163,36 @@ def select(docs: DataFrame, weights: DataFrame, percent: int, max_epochs: int, d
         *out, F.explode(F.sequence(F.lit(0).cast("long"), F.col("reads") - 1)).alias("epoch"), F.col("n_tokens").alias("taken")
     )
     before = F.coalesce(
-        F.sum("n_tokens").over(W.partitionBy(*leaf).orderBy("place", "n_tokens").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+        F.sum("n_tokens").over(W.partitionBy(*leaf).orderBy("place", "n_tokens", "tie").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
     )
-    ending = whole.where(F.col("slice") == F.col("last")).withColumn("taken", F.least(F.col("n_tokens"), F.col("room") - before)).where(
+    # Rows of one key and size go by a hash of all they hold, so a retry reads the same ones.
+    ending = whole.where(F.col("slice") == F.col("last")).withColumn("tie", F.xxhash64(F.to_json("row"))).withColumn("taken", F.least(F.col("n_tokens"), F.col("room") - before)).where(
         F.col("taken") > 0
     ).select(*out, F.col("epochs").alias("epoch"), "taken")
     return full.unionByName(ending).select("row.*", *[F.col(c).alias(name) for c, name in added.items()])
 
 
+def _last_slices(rows: DataFrame, leaf: list[str], digits: int) -> DataFrame:
+    """Of each leaf the slice of so many digits of the place in which ``room`` ends, the room left in it and its rows.
+
+    Sums are added up by all digits but the last two, and then inside, so that no leaf's slices all meet in one task.
+    """
+    sums = rows.groupBy(*leaf, F.substring("place", 1, digits).alias("cut")).agg(
+        F.sum("n_tokens").alias("held"), F.count("*").alias("rows"), F.first("room").alias("room"), F.first("epochs").alias("epochs")
+    ).withColumn("digit", F.substring("cut", 1, max(1, digits - 2)))
+    earlier = W.partitionBy(*leaf).orderBy("digit").rowsBetween(W.unboundedPreceding, -1)
+    by_digit = sums.groupBy(*leaf, "digit").agg(F.sum("held").alias("digit_held")).withColumn(
+        "before", F.coalesce(F.sum("digit_held").over(earlier), F.lit(0))
+    ).select(*[F.col(c).alias(f"digit_{c}") for c in [*leaf, "digit"]], "before")
+    inside = W.partitionBy(*leaf, "digit").orderBy("cut").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = F.col("before") + F.sum("held").over(inside)
+    return (
+        sums.join(by_digit, _same([*leaf, "digit"], [f"digit_{c}" for c in [*leaf, "digit"]]))
+        .withColumn("upto", upto).where((F.col("upto") >= F.col("room")) & (F.col("upto") - F.col("held") < F.col("room")))
+        .select(*leaf, "epochs", F.col("cut").alias("last"), (F.col("room") - F.col("upto") + F.col("held")).alias("room"), "rows")
+    )
+
+
 def _share_sql(name: str, source: str, parent: list[str]) -> str:
     """The dealing of one level in DuckDB SQL: CTE ``name`` with ``budget`` from nodes in ``source``."""
     by = f"PARTITION BY {', '.join(parent)} " if parent else ""

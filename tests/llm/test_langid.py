@@ -26,8 +26,14 @@ def test_vectors_match_the_definition(monkeypatch):
     assert np.array_equal(L.document_vectors(texts), want)
     monkeypatch.setattr(L, "BLOCK", 3)
     assert np.array_equal(L.document_vectors(texts), want)
-    monkeypatch.setattr(L, "PIECE", 8)
-    assert np.array_equal(L.document_vectors(texts), want)
+    texts += ["a long word cut within", "...gaps -- of -- all  kinds... ", "\n\nx--------------------y z", "日本語 " * 9, "-" * 30, "ab"]
+    want = np.array([plain_vector(t) for t in texts])
+    for piece in (1, 2, 3, 5, 8, 20):
+        monkeypatch.setattr(L, "PIECE", piece)
+        assert np.array_equal(L.document_vectors(texts), want)
+    owners = [i % 3 for i in range(len(texts))]
+    together = np.array([want[[i for i, o in enumerate(owners) if o == k]].sum(axis=0) for k in range(3)])
+    assert np.array_equal(L.document_vectors(texts, owners, 3), together)
 
 
 def test_letter_vectors_are_nearly_orthogonal():

@@ -65,7 +65,10 @@ def test_budgets_match_exact_water_filling(spark, seed):
     assert all(got[v[:3]] <= 2 * v[3] for v in leaves_live)
 
 
-def test_same_as_sql(spark):
+@pytest.mark.parametrize("rows_a_slice", [10_000, 3])
+def test_same_as_sql(spark, monkeypatch, rows_a_slice):
+    monkeypatch.setattr(M, "SLICE_ROWS", rows_a_slice)
+    monkeypatch.setattr(M, "SLICE_DIGITS", 1 if rows_a_slice == 3 else 3)
     rng = random.Random(8)
     rows = [(i, " ".join("w" * rng.randint(0, 30)) or None, rng.choice(["x", "y", None]), rng.choice(["s1", "s1", "s1", "s2", "t1", None])) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
