@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from leaselake.functions.labels import bracket_label, plain_decimal
 from leaselake.functions.parsing import MONEY_TYPE, round_money
-from leaselake.operators.skew import broadcast_if_small, lookup_join
+from leaselake.operators.skew import broadcast_if_small, in_ranges, lookup_join
 from leaselake.plans import tax_tables as T
-from leaselake.session import stored
 
 BRACKET = "struct<lo:decimal(18,2),hi:decimal(18,2),rate:decimal(6,5),deduction:decimal(18,2)>"
 BRACKET_COLUMNS = (
@@ -149,12 +148,7 @@ def bracket_range_join(
     )
     # Open brackets cover every base, so they come first; bounds come before the base of their value.
     order = [F.desc("_open"), F.desc("_value"), F.col("_base"), F.col("_bracket")]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Ranges are cut at sampled rows, so they are written down before they are read twice.
-    laid = stored(
-        bases.unionByName(bounds).repartitionByRange(parts, F.col("_version"), *order).withColumn("_range", F.spark_partition_id()),
-        "bracket-ranges",
-    )
+    laid = in_ranges(bases.unionByName(bounds), F.col("_version"), *order)
     ends = laid.groupBy("_version", "_range").agg(F.min("_bracket").alias("_end"))  # at most versions + ranges
     earlier = W.partitionBy("_version").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     carried = ends.withColumn("_carry", F.min("_end").over(earlier)).where("_carry IS NOT NULL").drop("_end")

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leaselake.functions.keys import looks_like_key, normalise_key
 from leaselake.functions.parsing import clean_list
 from leaselake.functions.text import header_key, strip_ws
-from leaselake.operators.skew import HOT_ROWS, attach_group, lookup_join
+from leaselake.operators.skew import HOT_ROWS, attach_group, lookup_join, running_total
 
 # Header words in priority order, limits, messages.
 KEY_WORDS = ("cnpj",)
@@ -275,11 +274,8 @@ def imported_companies(outcomes: DataFrame, portfolio: DataFrame, created_at: Co
     lines of the ones before. All records of an import are created at one time.
     """
     empty = F.array().cast("array<string>")
-    before = W.orderBy("source").rowsBetween(W.unboundedPreceding, -1)
-    # One row per source.
-    offsets = outcomes.groupBy("source").agg(F.max("line").alias("_lines")).select(
-        "source", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_offset")
-    )
+    sizes = outcomes.groupBy("source").agg(F.max("line").alias("_lines"))
+    offsets = running_total(sizes, ["source"], "_lines", "_offset").drop("_lines")
     top = portfolio.agg(F.coalesce(F.max("portfolio_seq"), F.lit(0)).alias("n")).scalar()
     accepted = outcomes.where(F.col("status") == IMPORTED)
     return lookup_join(accepted, offsets, ["source"], ["line"]).select(

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leaselake.session import stored
+
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
 HOT_SPREAD = 1024
@@ -90,6 +93,31 @@ def attach_group(
     )
 
 
+def in_ranges(df: DataFrame, *order: str | Column) -> DataFrame:
+    """The rows with the number of their range of ``order`` in ``_range``, as many ranges as shuffle partitions.
+
+    Ranges are cut at sampled rows, so they are written down: every later reader sees the same ones.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Sum of ``value`` over all rows before each in ``order``, 0 for the first; equal rows of ``order`` by chance.
+
+    Ranges of the order are summed first, their sums are added up over the list of ranges (one row each), and only
+    one range is ever ordered in one task.
+    """
+    rows = in_ranges(df, *order)
+    before = lambda window: window.rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    carried = sums.select("_range", F.coalesce(F.sum("_sum").over(before(W.orderBy("_range"))), F.lit(0)).alias("_carry"))
+    inside = F.coalesce(F.sum(value).over(before(W.partitionBy("_range").orderBy(*order))), F.lit(0))
+    return rows.withColumn("_inside", inside).join(F.broadcast(carried), "_range").select(
+        *df.columns, (F.col("_carry") + F.col("_inside")).alias(name)
+    )
+
+
 def running_last(
     df: DataFrame, key: str, order: str, value: Column, segment: Column, name: str,
     start: DataFrame | None = None, start_value: str = "",
@@ -101,8 +129,6 @@ def running_last(
     the short list of segments, and only one segment is ever ordered in one task.
     ``start`` gives keys a value before their first row. Rows move once.
     """
-    from pyspark.sql import Window as W
-
     rows = df.withColumn("_segment", segment).withColumn("_value", value).repartition(key, "_segment")
     ends = rows.groupBy(key, "_segment").agg(
         F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_end")

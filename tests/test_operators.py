@@ -382,6 +382,18 @@ def test_dedup_with_and_without_further_columns(spark):
     assert tuple(batch_summary(dedup_by_content(df.where("id < 60"), "hash", ["id"], "error")).collect()[0]) == (60, 21, 38, 1)
 
 
+def test_running_total_over_ranges(spark):
+    rng = random.Random(4)
+    rows = [(f"{rng.random()}", rng.choice([None, 1, 5, 70])) for _ in range(300)] + [(None, 4)]
+    got = K.running_total(spark.createDataFrame(rows, "k string, n int"), ["k"], "n", "before").collect()
+    total, want = 0, set()
+    for k, n in sorted(rows, key=lambda r: r[0] or ""):
+        want.add((k, n, total))
+        total += n or 0
+    assert {tuple(r) for r in got} == want and len(got) == len(rows)
+    assert K.running_total(spark.createDataFrame([], "k string, n int"), ["k"], "n", "before").count() == 0
+
+
 def test_running_last_over_segments(spark):
     rows = [(k, i, (i % 7 == 0) if i % 3 == 0 else None) for k in ("a", "b") for i in range(40)]
     df = spark.createDataFrame(rows, "k string, seq long, v boolean")
