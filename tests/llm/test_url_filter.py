@@ -90,3 +90,37 @@ def test_features_by_hand(spark):
             "entropy": bits(r.url), "host_entropy": bits(r.host), "parameters": 1 + r.url.count("&") + r.url.count(";") if "?" in r.url else 0,
         }
         assert all(abs(r[n] - v) < 1e-9 for n, v in want.items()), r
+
+
+def test_limit_of_a_table_by_the_list(spark):
+    rng = random.Random(7)
+    for n, parts in ((1, 20), (60, 20), (300, 100_000)):
+        scored = [(rng.randint(0, parts) / parts, float(rng.random() < 0.4)) for _ in range(n)] + [(0.0, 0.0), (1.0, 1.0)]
+        assert U.limit_of(spark.createDataFrame(scored, "score double, label double")) == U.best_limit(scored)
+    for scored in ([(0.9, 1.0)], [(0.5, 1.0), (0.5, 0.0)], []):
+        assert U.limit_of(spark.createDataFrame(scored, "score double, label double")) == 0.5
+
+
+def test_fits_see_all_decided_urls(spark, monkeypatch):
+    """More URLs than a fit once took, and more than the limit was once taken from."""
+    from pyspark.sql import functions as F
+
+    n = 20_400
+    urls = spark.range(n + 7).select(
+        F.col("id").alias("page_id"),
+        F.when(F.col("id") >= n, "http://x.org/").when(F.col("id") % 3 == 0, F.concat(F.lit("http://a.net/es/"), "id"))
+        .when(F.col("id") % 3 == 1, F.concat(F.lit("http://bad.com/en/"), "id")).otherwise(F.concat(F.lit("http://b.com/"), "id")).alias("url"),
+    )
+    fit, seen, limits = U._fit, [], []
+
+    def counted(rows, names, trees):
+        seen.append((trees, rows.count()))
+        return fit(rows, names, 1)
+
+    monkeypatch.setattr(U, "_fit", counted)
+    limit_of = U.limit_of
+    monkeypatch.setattr(U, "limit_of", lambda scored: limits.append(scored.count()) or limit_of(scored))
+    assert U.judge(urls, RULES).count() == n + 7
+    assert [rows for trees, rows in seen if trees == U.TREES] == [n]
+    # Two blocking rules are left out in turn, and the only allowing one half by half: each URL once.
+    assert limits == [n] and sum(n - rows for trees, rows in seen if trees == U.LIMIT_TREES) == n
