@@ -14,14 +14,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leaselake.llm.common import chunks, fresh, in_fold, map_chunks, texts, with_fields
+from leaselake.session import stored
 
 DIMENSIONS = 1024
 SEED = 20_250_706
 UNDETERMINED = "und"
+#: Cosine that a text passes by chance with a language of unrelated letters in about one of 160 cases: 2.5 standard errors.
+CHANCE = 2.5 / DIMENSIONS**0.5
+#: At most one in so many learned texts of a size below CHANCE, and so many learned ones at least, for the cosine to decide.
+TOLD, LEAST_LEARNED = 1000, 1000
 #: Texts are read in pieces of so many code points, so that memory does not follow the longest text.
 PIECE = 1 << 20
 BLOCK = 8192
@@ -228,9 +233,42 @@ def identify(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
     return predict(rows.select("doc_id", "text", "held_out"), model).drop("text")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.0, folds: int = 4, held_out: int = 2) -> DataFrame:
-    """Documents with a determined language of at least the given cosine, with their own columns."""
-    model = learn(docs.where(~in_fold("doc_id", folds, held_out) & F.col("doc_id").isNotNull()))
-    names = tuple(fresh(docs, "lang_pred", "score"))
-    found = predict(docs, model, names=names)
-    return found.where((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= least)).select(*docs.columns)
+def _letters(text: str) -> Column:
+    """Size class of a text: its number of letters doubles from one class to the next."""
+    return F.length(F.bin(F.length(F.regexp_replace(text, r"\P{L}+", ""))))
+
+
+def told_classes(scored: DataFrame) -> list[int]:
+    """Classes whose texts are told from chance by their cosine, from learned rows (``letters``, ``score``).
+
+    That is so where at most one in TOLD learned texts lies below CHANCE. A class of fewer than LEAST_LEARNED
+    learned texts goes by the next lower one that has them.
+    """
+    low = F.sum((F.col("score") < CHANCE).cast("long")).alias("low")
+    learned = {r.letters: r for r in scored.groupBy("letters").agg(F.count("*").alias("n"), low).collect()}
+    out, told = [], False
+    for size in range(1, 32):  # a text has fewer than 2^31 letters
+        if size in learned and learned[size].n >= LEAST_LEARNED:
+            told = learned[size].low * TOLD <= learned[size].n
+        if told:
+            out.append(size)
+    return out
+
+
+def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", folds: int = 4, held_out: int = 2) -> DataFrame:
+    """Documents with a determined language, with their own columns; ``lang`` is the language found.
+
+    Undetermined are null texts, texts without a letter, and texts that resemble no learned language: their best
+    cosine is one that texts of unrelated letters reach by chance, though learned texts of as many letters
+    lie above it. Of shorter texts with such a cosine nothing can be told; they stay, with the language given
+    or else the likeliest.
+    """
+    learned = ~in_fold("doc_id", folds, held_out) & F.col("doc_id").isNotNull()
+    model = learn(docs.where(learned), text, lang)
+    found, score, letters = fresh(docs, "lang_pred", "score", "letters")
+    rows = predict(docs, model, text, (found, score)).where(F.col(found) != UNDETERMINED)
+    rows = stored(rows.withColumn(letters, _letters(text)), "languages")
+    told = told_classes(rows.where(learned & F.col(lang).isNotNull()).select(F.col(letters).alias("letters"), F.col(score).alias("score")))
+    chance = F.col(score) < CHANCE
+    language = F.when(chance, F.coalesce(lang, found)).otherwise(F.col(found))
+    return rows.where(~(chance & F.col(letters).isin(told))).withColumn(lang, language).select(*docs.columns)

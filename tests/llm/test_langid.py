@@ -5,7 +5,7 @@ import numpy as np
 
 from leaselake.llm import langid as L
 
-from .conftest import awkward_rows, lines
+from .conftest import awkward_rows, lines, words
 
 
 def plain_vector(text):
@@ -62,3 +62,33 @@ def test_awkward_rows(awkward, empty):
     assert L.identify(empty).count() == 0 and L.keep_identified(empty).count() == 0
     unlabelled = awkward.withColumn("lang", awkward.lang.substr(9, 1)).where("lang is null")
     assert {r.lang_pred for r in L.identify(unlabelled).collect()} <= {"und"}
+
+
+def test_identified_language_decides(spark, monkeypatch):
+    """Texts like no learned language go, and ``lang`` is what was found; too few letters to tell leave it as given."""
+    monkeypatch.setattr(L, "LEAST_LEARNED", 100)
+    langs = ["en", "de", "fr"]
+    docs = [(i, words(i, 30, langs[i % 3]), langs[i % 3]) for i in range(450)]
+    docs += [(1000 + i, words(9000 + i, 30, langs[i % 3]), langs[(i + 1) % 3] if i % 2 else None) for i in range(12)]
+    strange = ["".join(chr(1072 + (7 * i * i + 3 * j * j + j) % 32) + " " * (j % 6 == 5) for j in range(700)) for i in range(4)]
+    given = next(i for i in range(2100, 2200) if zlib.crc32(str(i).encode()) % 4 == 2)
+    docs += [(2000, strange[0], None), (2001, strange[1], None), (given, strange[2], "en"), (None, strange[3], "de")]
+    docs += [(3000, "ж", "fr"), (3001, "ж", None), (3002, "12 34", "en"), (3003, None, "en"), (None, words(9100, 30, "de"), None)]
+    rows = [(key, text, lang, f"own {key}") for key, text, lang in docs]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    kept = L.keep_identified(df)
+    assert kept.columns == df.columns
+    out = kept.collect()
+    got = {r.doc_id: r for r in out}
+    want = {i: langs[i % 3] for i in range(450)} | {1000 + i: langs[i % 3] for i in range(12)} | {3000: "fr", None: "de"}
+    assert len(out) == len(got) and set(got) == set(want) | {3001} and got[3001].lang in langs
+    assert {key: got[key].lang for key in want} == want
+    assert {(key, r.text, r.score) for key, r in got.items()} <= {(key, text, own) for key, text, _, own in rows}
+
+
+def test_sizes_that_tell(spark, monkeypatch):
+    monkeypatch.setattr(L, "LEAST_LEARNED", 100)
+    rows = [(3, 0.05)] * 2 + [(3, 0.5)] * 198 + [(5, 0.5)] * 100 + [(6, 0.01)] * 99 + [(9, 0.01)] + [(9, 0.5)] * 998
+    assert L.told_classes(spark.createDataFrame(rows, "letters int, score double")) == [5, 6, 7, 8]
+    assert L.told_classes(spark.createDataFrame(rows + [(9, 0.5)], "letters int, score double")) == list(range(5, 32))
+    assert L.told_classes(spark.createDataFrame([], "letters int, score double")) == []
