@@ -242,3 +242,29 @@ def test_packs_as_tables(spark):
             add(field, row)
     with pytest.raises(ValueError, match="rent: a field of the default pack is missing"):
         RT.read_pack(fields.where("field <> 'rent'"), rules.where("field <> 'rent'"))
+
+
+def test_each_pattern_searches_a_text_once():
+    """Rules with one pattern share its capture, and no capture is named twice in an expression."""
+    from leaselake.plans import lease_ptbr as R
+
+    stage = "\n".join(str(c) for c in E._capture_stage(R.FIELDS))
+    searched = {(r.pattern, r.group) for f in R.FIELDS for r in f.rules}
+    shown = lambda pattern: pattern.replace("\\", "\\\\").replace("\n", "\\n")
+    counts = {p: stage.count(f"{shown(p)}', {g})") + stage.count(f"{shown(p)}')") for p, g in searched}
+    assert {p: n for p, n in counts.items() if n != 1} == {}
+    assert "nullif" not in stage
+
+
+def test_payers_are_found_for_each_window(spark):
+    """A tie, no label, the nearest label on either side."""
+    texts = {
+        "o iptu cabe ao locatário e não ao locador": {"iptu": "locatario"},
+        "ao locador cabe o iptu, nunca a outro que o locatário": {"iptu": "locador"},
+        "o iptu é devido. " + "x" * 120 + " locador": {"iptu": None},
+        "locador iptu": {"iptu": "locador"},
+        "taxa de administração do locador; " + "y" * 110 + " iptu do locatário": {"iptu": "locatario", "taxa_administracao": "locador"},
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = {r.id: r.v for r in E.extract_fields(rows).select("id", F.col("expenses.value").alias("v")).collect()}
+    assert got == dict(enumerate(texts.values()))
