@@ -631,3 +631,18 @@ def test_links_follow_the_portfolio(spark, tmp_path):
     made = {r.contract_id: r.portfolio_version for r in now.collect()}
     assert {made[i] for i in range(80, 120)} == {2} and {made[i] for i in range(80)} == {1, 2}
     assert spark.read.parquet(f"{base}/out").where("portfolio_version = 1").count() == 80
+
+
+def test_blocks_of_other_letters_are_refused_as_a_whole(spark, monkeypatch):
+    """Names and candidates of equal lengths without a common letter share no cell; near ones still meet."""
+    monkeypatch.setattr(J, "CELL", 16)
+    left = [f"abcab{chr(97 + i % 3) * 3}{chr(100 + i // 3 % 2) * 2}{'ab'[i % 2]}" + "c" * (i // 6) for i in range(48)]
+    right = [f"xyzxy{chr(120 + i % 3) * 3}{chr(117 + i // 3 % 2) * 2}z" + "y" * (i // 6) for i in range(48)]
+    names = spark.createDataFrame([(t,) for t in left], "a string")
+    candidates = spark.createDataFrame([(t, i) for i, t in enumerate([*right, left[0] + "x"])], "b string, rank long")
+    (_, a), (_, b) = J._blocks(names, "a"), J._blocks(candidates, "b")
+    cells = J._near(a, b, 80.0).collect()
+    assert sum(r.a_rows * r.b_rows for r in cells) == 48 * 49
+    assert 0 < sum(r.a_rows * r.b_rows for r in cells if r.near) < 48 * 49 / 3
+    got = {r.a: r.b for r in J._met(names, candidates, 80.0).collect()}
+    assert left[0] in got and set(got.values()) == {left[0] + "x"}
