@@ -29,3 +29,11 @@ def test_every_query_is_accounted_for():
 
     assert set(queries()) <= set(entry.oracle_sql())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_rendered_texts_are_not_broadcast(spark):
+    """The texts of all contracts never meet on the driver, however small the planner takes them to be."""
+    from leaselake.plans.registry import queries
+
+    plan = queries()["clause_flags"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
