@@ -9,6 +9,7 @@ loopy message passing gives the others their marginals, and sure ones become spa
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leaselake.llm.common import map_chunks, texts, with_fields
+from leaselake.operators.skew import broadcast_if_small
+from leaselake.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
@@ -249,41 +252,76 @@ def cases(field: Field, hidden: np.ndarray | None = None) -> list[Case]:
     return [(tuple(f), y, tuple(sorted(n))) for f, y, n in zip(field.features, label, near)]
 
 
-def fit(counted: dict[Case, int]) -> Model:
-    """Pseudo-likelihood: each node's label given its features and its neighbours' pattern labels, cases by number."""
-    prior = np.array(AGREEMENT)[:, None, None] * np.eye(LABELS)
-    model = Model(np.zeros((FEATURES, LABELS)), prior.copy())
-    n = len(counted)
-    if not n:
-        model.unary[0, OTHER] = 10.0  # nothing to learn from: nothing is added
-        return model
-    rows = sorted(counted)
-    weight = np.array([counted[r] for r in rows], dtype=float)[:, None]
-    y = np.array([r[1] for r in rows])
-    owner = np.repeat(np.arange(n), [len(r[0]) for r in rows])
-    at = np.array([f for r in rows for f in r[0]], dtype=np.int64)
-    node = np.repeat(np.arange(n), [len(r[2]) for r in rows])
-    code = np.array([c for r in rows for c in r[2]], dtype=np.int64)
-    kind, behind, other = code // (2 * LABELS), code // LABELS % 2 == 1, code % LABELS
-    truth = np.eye(LABELS)[y]
-    rate = {"unary": np.full_like(model.unary, 1e-8), "pair": np.full_like(model.pair, 1e-8)}
-    for _ in range(STEPS):
-        scores = np.zeros((n, LABELS))
-        np.add.at(scores, owner, model.unary[at])
+class Cases:
+    """Cases and their numbers as arrays."""
+
+    def __init__(self, rows: list[Case], weight: list[int]):
+        self.n, self.weight = len(rows), np.array(weight, dtype=float)[:, None]
+        self.truth = np.eye(LABELS)[np.array([r[1] for r in rows], dtype=np.int64)]
+        self.owner = np.repeat(np.arange(self.n), [len(r[0]) for r in rows])
+        self.at = np.array([f for r in rows for f in r[0]], dtype=np.int64)
+        self.node = np.repeat(np.arange(self.n), [len(r[2]) for r in rows])
+        code = np.array([c for r in rows for c in r[2]], dtype=np.int64)
+        self.kind, self.behind, self.other = code // (2 * LABELS), code // LABELS % 2 == 1, code % LABELS
+
+    def push(self, model: Model, unary: np.ndarray, pair: np.ndarray) -> None:
+        """Add the direction in which these cases move the weights."""
+        kind, behind, other, node = self.kind, self.behind, self.other, self.node
+        scores = np.zeros((self.n, LABELS))
+        np.add.at(scores, self.owner, model.unary[self.at])
         said = np.where(behind[:, None], model.pair[kind, other, :], model.pair[kind, :, other])
         np.add.at(scores, node, said)
         p = np.exp(scores - scores.max(axis=1, keepdims=True))
-        error = (truth - p / p.sum(axis=1, keepdims=True)) * weight
-        unary, pair = -PENALTY * model.unary, -PENALTY * (model.pair - prior)
-        np.add.at(unary, at, error[owner])
+        error = (self.truth - p / p.sum(axis=1, keepdims=True)) * self.weight
+        np.add.at(unary, self.at, error[self.owner])
         np.add.at(pair, (kind[~behind], slice(None), other[~behind]), error[node[~behind]])
         np.add.at(pair, (kind[behind], other[behind]), error[node[behind]])
+
+
+def _climb(push: Callable[[Model, np.ndarray, np.ndarray], None]) -> Model:
+    """Pseudo-likelihood: each node's label given its features and its neighbours' pattern labels."""
+    prior = np.array(AGREEMENT)[:, None, None] * np.eye(LABELS)
+    model = Model(np.zeros((FEATURES, LABELS)), prior.copy())
+    rate = {"unary": np.full_like(model.unary, 1e-8), "pair": np.full_like(model.pair, 1e-8)}
+    for _ in range(STEPS):
+        unary, pair = -PENALTY * model.unary, -PENALTY * (model.pair - prior)
+        push(model, unary, pair)
         for name, weights, gradient in (("unary", model.unary, unary), ("pair", model.pair, pair)):
             rate[name] += gradient**2
             weights += 0.5 * gradient / np.sqrt(rate[name])
     return model
 
 
+def fit(counted: dict[Case, int]) -> Model:
+    """Fit on cases by number."""
+    if not counted:
+        model = Model(np.zeros((FEATURES, LABELS)), np.array(AGREEMENT)[:, None, None] * np.eye(LABELS))
+        model.unary[0, OTHER] = 10.0  # nothing to learn from: nothing is added
+        return model
+    rows = sorted(counted)
+    return _climb(Cases(rows, [counted[r] for r in rows]).push)
+
+
+def fit_spread(counted: DataFrame) -> Model:
+    """The same fit where the cases stay in tasks: each step, every task sends one direction of fixed size."""
+    size = FEATURES * LABELS
+
+    def push(model: Model, unary: np.ndarray, pair: np.ndarray) -> None:
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = np.zeros_like(unary), np.zeros_like(pair)
+            for batch in batches:
+                features, label, near, n = (batch.column(c).to_pylist() for c in ("features", "label", "near", "n"))
+                Cases(list(zip(features, label, near)), n).push(model, *own)
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([o.ravel() for o in own])], pa.list_(pa.float64()))], ["moved"])
+
+        for row in counted.mapInArrow(step, "moved array<double>").collect():
+            moved = np.array(row.moved)
+            unary += moved[:size].reshape(unary.shape)
+            pair += moved[size:].reshape(pair.shape)
+
+    return _climb(push)
+
+
 def runs(n: int, seed: int) -> list[tuple[int, int]]:
     """Runs of tokens (first, end) to fit on: all of few tokens, else RUNS of RUN, one in each part of the text."""
     if n <= RUN * RUNS:
@@ -303,17 +341,26 @@ def sampled(docs: DataFrame, text: str, limit: int) -> DataFrame:
     return known.select(F.col(text).alias("text"), draw).join(F.broadcast(chosen), "draw").dropDuplicates(["draw"])
 
 
-def learn(docs: DataFrame, text: str = "text") -> Model:
-    """Fit on at most TRAIN_DOCUMENTS different texts, labelled by the patterns.
+def different(docs: DataFrame, text: str) -> DataFrame:
+    """All different texts (``text``, ``draw``). Only texts that come more than once meet, so the others stay where they are."""
+    known = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.xxhash64(text, F.lit(SEED)).alias("draw"))
+    repeated = stored(known.groupBy("draw").agg(F.count("*").alias("n")).where("n > 1").select("draw"), "repeated-texts")
+    copies = broadcast_if_small(repeated)
+    return known.join(copies, "draw", "left_anti").unionByName(known.join(copies, "draw").dropDuplicates(["draw"]))
+
 
-    Tasks reduce tokens to different cases and their number; the driver gets the TRAIN_CASES most frequent.
+def learn(docs: DataFrame, text: str = "text", whole: bool = False) -> Model:
+    """Fit on at most TRAIN_DOCUMENTS different texts, labelled by the patterns, or on the ``whole`` of all texts.
+
+    Tasks reduce tokens to different cases and their number. The driver gets the TRAIN_CASES most frequent;
+    for the whole it gets all of them or, if there are more, none: then they stay in tasks.
     """
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         found: dict[Case, int] = {}
         for t, draw in zip(texts(part), part.column("draw").to_pylist()):
             field, seed = Field(), draw & (1 << 63) - 1
-            field.add(0, t, base_spans(t), runs(len(tokens(t)), seed))
+            field.add(0, t, base_spans(t), None if whole else runs(len(tokens(t)), seed))
             hidden = (np.random.default_rng(seed + 1).integers(0, 100, len(field.spans)) < HIDDEN) & (np.array(field.given) >= 0)
             for case in cases(field, hidden):
                 found[case] = found.get(case, 0) + 1
@@ -324,8 +371,14 @@ def learn(docs: DataFrame, text: str = "text") -> Model:
             ["features", "label", "near", "n"],
         )
 
-    rows = map_chunks(sampled(docs, text, TRAIN_DOCUMENTS), run, "features array<int>, label int, near array<int>, n long")
-    counted = rows.groupBy("features", "label", "near").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "features", "label", "near")
+    chosen = different(docs, text) if whole else sampled(docs, text, TRAIN_DOCUMENTS)
+    rows = map_chunks(chosen, run, "features array<int>, label int, near array<int>, n long")
+    counted = rows.groupBy("features", "label", "near").agg(F.sum("n").alias("n"))
+    if whole:
+        counted = stored(counted, "cases")
+        if counted.count() > TRAIN_CASES:
+            return fit_spread(counted)
+    counted = counted.orderBy(F.desc("n"), "features", "label", "near")
     return fit({(tuple(r.features), r.label, tuple(r.near)): r.n for r in counted.limit(TRAIN_CASES).collect()})
 
 
@@ -424,9 +477,9 @@ def masked(text: str, found: list[Span]) -> str:
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """Documents with all spans masked in the text, and the length column (if there is one) set anew.
 
-    Null texts stay null; rows, order of columns and all other columns stay as they are.
+    The fit is on all different texts. Null texts stay null; rows, order of columns and all other columns stay as they are.
     """
-    model = learn(docs, text)
+    model = learn(docs, text, whole=True)
     size = docs.columns.index(length) if length in docs.columns else None
     place = docs.columns.index(text)
 

@@ -153,3 +153,26 @@ def test_awkward_rows(awkward, empty):
     assert clean.columns == awkward.columns
     assert sorted(str((r.doc_id, r.text)) for r in clean.collect()) == sorted(str(r[:2]) for r in awkward_rows())
     assert P.spans(empty).count() == 0 and P.redact(empty).count() == 0
+
+
+def test_the_stage_learns_from_all_texts(spark, monkeypatch):
+    """Every token of every different text is in the fit of the stage, copies once, nulls not."""
+    monkeypatch.setattr(P, "TRAIN_DOCUMENTS", 3)
+    rows = [(i, f"{words(i, 3)} u{i}@mail.example.com {i}.2.3.4 v{i} 555-{i}") for i in range(20)]
+    rows += [(90, " ".join(f"{i} x{i}" for i in range(400))), (91, None)]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(P, "fit", lambda counted: seen.append(counted) or MODEL)
+    P.redact(docs, length=None)
+    assert sum(seen[0].values()) == sum(len(P.tokens(t)) for _, t in rows if t)
+
+
+def test_cases_that_stay_in_tasks_give_the_same_model(spark, monkeypatch):
+    monkeypatch.setattr(P, "STEPS", 12)
+    rows = [(i, f"{words(i, 3)} u{i}@mail.example.com {i}.2.3.4 v{i} 555-{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    near = P.learn(docs, whole=True)
+    monkeypatch.setattr(P, "TRAIN_CASES", 5)
+    far = P.learn(docs, whole=True)
+    assert np.allclose(near.unary, far.unary) and np.allclose(near.pair, far.pair)
+    assert not np.allclose(near.unary, P.learn(docs).unary)
