@@ -91,3 +91,19 @@ def test_arriving_files_and_the_written_report(spark, tmp_path):
     assert sheet[0]["IRRF Retido"] == sheet[1]["IRRF Retido"] == "R$ 394,54"
     lines = spark.read.option("header", "true").csv(str(tmp_path / "report" / "conformidade")).collect()
     assert len(lines) == 5 and "Beta" in lines[4]["label"]
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    """Listing many folders does not start a task for each; the session's setting stays as it was."""
+    for i in range(150):
+        (tmp_path / f"n{i}").mkdir()
+        (tmp_path / f"n{i}" / "a.txt").write_text(f"texto {i}")
+    tracker, before = spark.sparkContext.statusTracker(), spark.conf.get(S.LISTING_TASKS, None)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    rows = S.scan_documents(spark, str(tmp_path), recursive=True)
+    jobs = tracker.getJobIdsForGroup("listing")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for j in jobs for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages) <= 64
+    assert spark.conf.get(S.LISTING_TASKS, None) == before
+    assert rows.count() == 150
