@@ -37,3 +37,14 @@ def test_rendered_texts_are_not_broadcast(spark):
 
     plan = queries()["clause_flags"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
+def test_identifiers_are_spelled_out_by_all_tasks(spark):
+    """Orders move before anything is made of them, and the rows are those of one task."""
+    from leaselake import synth
+
+    spread, plain = synth.contracts(spark, SMALL), synth.render(synth.facts(spark, SMALL))
+    plan = spread._jdf.queryExecution().executedPlan().toString()
+    moved = next(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+    assert "hashpartitioning(o_orderkey" in moved
+    assert spread.exceptAll(plain).isEmpty() and plain.count() == spread.count()
